@@ -1,8 +1,8 @@
 """The queries of this folder and their SQL."""
 
-from . import mixing, packing, sharding, tokenfiles
+from . import fingerprints, language, mixing, packing, sharding, tokenfiles, warc
 
-_MODULES = (sharding, mixing, packing, tokenfiles)
+_MODULES = (warc, mixing, packing, language, tokenfiles, fingerprints, sharding)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
