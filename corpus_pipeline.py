@@ -1,17 +1,72 @@
-"""Stages that turn documents into packed training sequences. Filled in as the operators land."""
+"""From documents to packed training sequences: five stages, each over all that the one before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next one's docs. All but the last return the columns of documents. Empty tables pass
+through; null texts go at the first stage, as no language is found in them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lithos.llm.common import scratch
+from lithos.llm.jaccard import jaccard_components
+from lithos.llm.language import keep_known
+from lithos.llm.mixing import mix, training_order, word_count
 from lithos.llm.packing import pack_documents
+from lithos.llm.substrings import without_repeats
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language; lang becomes the predicted one."""
+    return keep_known(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that five-word shingles link at 0.8, the one with the least doc_id."""
+    groups = jaccard_components(docs)
+    others = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of 20-word windows that also stand earlier; n_chars follows.
+
+    A text that loses nothing stays as it is; one that loses words has the others joined by one space,
+    and may be empty.
+    """
+    cut = without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order; one that the mix takes again stands again, one that it does not take goes."""
+    mixed = mix(docs.withColumn("__size", word_count(F.col("text"))), size="__size")
+    return training_order(mixed).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids in sequences of at most 4096."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
-STAGES = [("packing", lambda spark, docs, sf_dir: pack_documents(docs))]
+#: Language ID, the mix's training order and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

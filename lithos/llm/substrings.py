@@ -196,30 +196,53 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return copies.union(sorted_).union(hot)
 
 
-def kept_words(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept: the words left, joined by one space.
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """docs with `__spans`, the array of its document's (start, n)."""
+    spans = repeated_spans(docs.select(F.col("doc_id").cast("long"), "text"))
+    spans = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
+    return docs.join(spans, docs["doc_id"].eqNullSafe(spans["__id"]), "left").drop("__id")
+
+
+def kept_words(docs: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256 (of the words left, joined by one space).
 
     A word goes if it is in a window of 20 words that also starts earlier: in a smaller doc_id (null is
     the smallest), or earlier in the same document. Windows are judged on the input. Texts of under 20
     words have no window; null texts have no words; rows that repeat a doc_id count as one document;
-    an empty df gives no rows.
+    an empty df gives no rows; other columns are not looked at.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, removed, texts = _cut(part.column(1), part.column(2))
+                digests = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words), pa.array(removed), digests], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["id"]), "left").select("doc_id", "text", "spans")
+    return _with_spans(docs).select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the words left as text; a text that loses nothing stays as it is, white space included."""
+    names, text = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield _cut(part, with_text)
+                _, removed, texts = _cut(part.column(text), part.column(len(names)))
+                own = part.column(text)
+                new = [t if n else o for n, t, o in zip(removed, texts, own.cast(pa.binary()).to_pylist(), strict=True)]
+                columns = list(part.columns[: len(names)])
+                columns[text] = pa.array(new, pa.binary()).cast(own.type)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return _with_spans(docs).select(*names, "__spans").mapInArrow(run, docs.schema)
 
 
-def _cut(part: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
-    data, offsets, starts, ends, first = _split(part.column(1))
-    spans = part.column(2)
-    spans = spans.combine_chunks() if isinstance(spans, pa.ChunkedArray) else spans
+def _cut(texts: pa.Array, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words, words removed, and the words left, joined by one space, of each row."""
+    data, offsets, starts, ends, first = _split(texts)
     per_row = np.array([len(x) if x is not None else 0 for x in spans.to_pylist()], np.int64) if spans.null_count < len(spans) else np.zeros(len(spans), np.int64)
     flat = spans.flatten()
     row = np.repeat(np.arange(len(per_row)), per_row)
@@ -240,12 +263,7 @@ def _cut(part: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
     out[_SPACE[out]] = 32
     bounds = np.concatenate([[0], np.cumsum(keep)])[offsets]
     texts = [out[a:b].tobytes().removesuffix(b" ") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    columns = [part.column(0), pa.array(np.diff(first)), pa.array(np.diff(removed)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-    if with_text:
-        columns.append(pa.array(texts, pa.binary()).cast(pa.string()))
-        names.append("kept")
-    return pa.RecordBatch.from_arrays(columns, names)
+    return np.diff(first), np.diff(removed), texts
 
 
 def op4_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
