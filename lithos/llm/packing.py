@@ -36,7 +36,12 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
         if len(a) < len(b):
             a, b = b, a
         both = len(a) + len(b) - k
-        if both > 0:
+        if both == 1 and len(b) == 1:
+            x, y = a.pop(0), b[0]
+            insort(a, (x[0] + y[0], min(x[1], y[1]), n + len(nodes)))
+            nodes.append((x[2], y[2]))
+            parts = a
+        elif both > 0:
             # a's smallest parts meet b's largest; the rest of b meets a's empty parts
             met = []
             for x, y in zip(a[:both][::-1], b[len(b) - both :] if both < len(b) else b, strict=True):
@@ -65,13 +70,14 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def windows(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
-    """Items by window; one window more as long as a sum exceeds the capacity. No size may exceed it."""
+    """Items by window; the windows rise in number, in proportion to the excess, as long as a sum exceeds the capacity. No size may exceed it."""
     k = max(1, -(-sum(sizes) // capacity))
     while sizes:
         parts = difference(sizes, k)
-        if max(sum(sizes[i] for i in p) for p in parts) <= capacity:
+        most = max(sum(sizes[i] for i in p) for p in parts)
+        if most <= capacity:
             return parts
-        k += 1
+        k = max(k + 1, k * most // capacity)
     return []
 
 
