@@ -27,7 +27,7 @@ def expected_delta(text: Column, expected_value: Column, predicted: Column | Non
     """The model's value within [-5, 15], else the first stated effect of at most 15, else from the value score."""
     stated = [tx.first_number(text, p) for p in DELTA]
     rest = F.coalesce(*[F.when(s <= 15, s) for s in stated], F.when(expected_value >= 7, F.round(2.0 + (expected_value - 7) * 1.5, 1)))
-    return rest if predicted is None else F.coalesce(F.round(F.greatest(F.lit(-5.0), F.least(F.lit(15.0), predicted)), 2), rest)
+    return rest if predicted is None else F.when(predicted.isNotNull(), F.round(F.greatest(F.lit(-5.0), F.least(F.lit(15.0), predicted)), 2)).otherwise(rest)
 
 
 def baseline(hits: DataFrame) -> DataFrame:

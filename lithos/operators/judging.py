@@ -18,8 +18,8 @@ from .retrieval import ranked
 
 
 def unit(value: Column, top: float = 10.0) -> Column:
-    """J01."""
-    return F.greatest(F.lit(0.0), F.least(value / top, F.lit(1.0)))
+    """J01. Null stays null (greatest and least would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(value / top, F.lit(1.0))))
 
 
 def criteria(vector_novelty: Column | None = None) -> dict[str, Column]:

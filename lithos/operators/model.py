@@ -83,7 +83,7 @@ def predict(df: DataFrame, model: DataFrame, values: Column) -> DataFrame:
     clamp = lambda c: F.greatest(F.lit(0.05), F.least(F.lit(0.95), c))
     out = joined.withColumn("predicted", p).withColumn("delta", F.col("predicted") - F.col("baseline"))
     score = clamp(clamp(0.5 + F.col("delta") / 20) * (0.5 + 0.5 * F.greatest(F.lit(0.0), F.col("r2"))))
-    return out.withColumn("predictive", F.coalesce(score, F.lit(0.45))).select(*df.columns, "predicted", "delta", "predictive")
+    return out.withColumn("predictive", F.when(F.col("delta").isNotNull(), score).otherwise(F.lit(0.45))).select(*df.columns, "predicted", "delta", "predictive")
 
 
 def model_label(model: DataFrame) -> DataFrame:
