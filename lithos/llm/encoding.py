@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import slices, utf8, word_spans
+from .common import lower_ascii, slices, utf8, word_spans
 
 END = 2
 #: Distinct words whose ids a Python worker keeps; beyond that it starts afresh.
@@ -26,66 +26,98 @@ class WordEncoder:
     """Encodes texts word by word and remembers each word's ids.
 
     This is exact for a tokenizer whose pre-tokenizer always splits at ASCII white space and drops it:
-    the ids of a text are then its words' ids in a row. Trailing punctuation is split off likewise where
-    the pre-tokenizer splits it from the letter or digit before it, and ASCII upper case folded where
-    the normalizer lower-cases.
+    the ids of a text are then its words' ids in a row. Punctuation at a word's end is a word of its own
+    where a letter or digit stands before it, as the pre-tokenizer splits there, and A-Z is lower-cased
+    first, as the normalizer does. Words of small Latin letters alone are one piece of the
+    pre-tokenizer, so that they go to the tokenizer's model directly; that way is taken only if it
+    gives the same ids on the probe words.
     """
 
-    _TAIL = re.compile(r"^(.*[a-z0-9])([.,;:!?]+)$", re.DOTALL)
+    _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+    _PROBE = ("the", "tokenizer", "straße", "éèêîñ", "qzxjwvkq")
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in self._LETTERS}
+        self.plain = re.compile(f"[{self._LETTERS}]+")
+        self.direct = all(self._model_ids(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in self._PROBE)
         self.clear()
 
+    def _model_ids(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.translate(self.spelling))]
+
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.known: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        direct = [self.direct and self.plain.fullmatch(t) is not None for t in texts]
+        others = iter(self.tokenizer.encode_batch_fast([t for t, d in zip(texts, direct, strict=True) if not d], add_special_tokens=False))
+        got = [self._model_ids(t) if d else next(others).ids for t, d in zip(texts, direct, strict=True)]
         for w in words:
             self.known[w] = len(self.known)
         lengths = np.array([len(x) for x in got], np.int64)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, *got])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32)])
 
     def encode(self, column: pa.Array, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in a row, and each row's offsets in them; null is as empty; `end` closes each row."""
         data, offsets = utf8(column)
         starts, ends, first = word_spans(data, offsets)
-        joined = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(_offsets(ends - starts)), pa.py_buffer(_gather(data, starts, ends))])
-        coded = joined.dictionary_encode()
-        words = [w.decode().lower() if w.isascii() else w.decode() for w in coded.dictionary.to_pylist()]
-        split = [m.groups() if (m := self._TAIL.match(w)) and w.isascii() else (w, None) for w in words]
-        if len(self.known) > KEPT_WORDS:
-            self.clear()
-        if new := list(dict.fromkeys(x for pair in split for x in pair if x is not None and x not in self.known)):
-            self._learn(new)
-        head = np.array([self.known[a] for a, _ in split], np.int64)
-        tail = np.array([self.known[b] if b is not None else -1 for _, b in split], np.int64)
-        at = coded.indices.to_numpy(zero_copy_only=False) if len(starts) else np.zeros(0, np.int64)
-        pieces = np.empty((len(starts), 2), np.int64)
-        pieces[:, 0], pieces[:, 1] = (head[at], tail[at]) if len(starts) else (0, 0)
-        flat = pieces.reshape(-1)
-        used = flat >= 0
-        per_word = np.concatenate([[0], np.cumsum(used)])[2 * first]
-        flat = flat[used]
-        lengths = self.lengths[flat]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.arange(total[-1]) - np.repeat(total[:-1] - self.starts[flat], lengths)] if len(flat) else np.zeros(0, np.uint32)
-        bounds = total[per_word]
+        if b"<|" not in data.tobytes():  # else a special token may stand there, which is matched as it is written
+            data = lower_ascii(data)
+            starts, ends, first = _split_tails(data, starts, ends, first)
+        n = len(offsets) - 1
+        if len(starts):
+            joined = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(_offsets(ends - starts)), pa.py_buffer(_gather(data, starts, ends))])
+            coded = joined.dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            if len(self.known) > KEPT_WORDS:
+                self.clear()
+            if new := [w for w in words if w not in self.known]:
+                self._learn(new)
+            which = np.array([self.known[w] for w in words], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            lengths = self.lengths[which]
+            total = np.concatenate([[0], np.cumsum(lengths)])
+            ids = self.ids[np.arange(total[-1]) - np.repeat(total[:-1] - self.starts[which], lengths)]
+            bounds = total[first]
+        else:
+            ids, bounds = np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         if end is None:
             return ids, bounds
-        n = len(offsets) - 1
         return np.insert(ids, bounds[1:], np.uint32(end)), bounds + np.arange(n + 1)
 
 
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b".,;:!?")] = True
+_STEM = np.zeros(256, bool)
+_STEM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+
+
+def _split_tails(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with up to three marks of punctuation behind a letter or digit become two."""
+    if not len(starts):
+        return starts, ends, first
+    tail = np.zeros(len(starts), np.int64)
+    for _ in range(3):
+        at = ends - 1 - tail
+        tail += (at > starts) & _TAIL[data[np.maximum(at, 0)]] & (tail == _)
+    tail[~_STEM[data[ends - 1 - tail]]] = 0
+    cut = np.flatnonzero(tail)
+    middle = ends[cut] - tail[cut]
+    first = first + np.concatenate([[0], np.cumsum(tail > 0)])[first]
+    new_ends = ends.copy()
+    new_ends[cut] = middle
+    return np.insert(starts, cut + 1, middle), np.insert(new_ends, cut + 1, ends[cut]), first
+
+
 def _offsets(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
 
