@@ -224,3 +224,15 @@ def test_entry_without_training_folder():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_plans(spark):
+    """Native operators have no Python node; filters and columns reach the scan."""
+    from lithos.plans import record_queries, text_queries
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for f in (text_queries.t03, text_queries.t11, record_queries.j14, record_queries.b14):
+        text_ = plan(f(spark, "/root/testdata/sf0.001"))
+        assert "Python" not in text_ and "Arrow" not in text_ and "CartesianProduct" not in text_
+    scan = plan(text_queries.t03(spark, "/root/testdata/sf0.001"))
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in scan
