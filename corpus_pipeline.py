@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm.common import scratch
+from lithos.llm.common import materialize, scratch
 from lithos.llm.jaccard import jaccard_components
 from lithos.llm.language import keep_known
 from lithos.llm.mixing import mix, training_order, word_count
@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that five-word shingles link at 0.8, the one with the least doc_id."""
     groups = jaccard_components(docs)
-    others = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    others = materialize(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "others")  # Spark broadcasts it where it is small
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -6,9 +6,10 @@ pivots there are. A document with n shingles has (total variation, which bounds
 distance 1 - 1/n from the pivot {s} if it holds shingle s, and 1 if not; the nearest pivots are its
 own shingles, in one order for all documents, rare ones first. A linked document lacks a fifth of them at most, so that
 the window of the first n - ceil(0.8 n) + 1 pivots replicates both documents into a shared region.
-Within regions documents are pivots: each region's least one takes those within the threshold into its
-ball. Other documents are compared with balls' members only inside the triangle inequality's window:
-within twice the threshold of the ball's pivot.
+Regions of few documents compare them all. In larger ones documents are pivots, region by region and
+again and again: the least ones that are not in the region's largest component meet the documents of other
+components; what lies within the threshold joins its component, and a region whose documents are all
+in one component is done. When the rest is small, it is compared in full, so that the result is exact.
 """
 
 from __future__ import annotations
@@ -18,19 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, mix64, parquet, ragged, slices, utf8, window_hashes, word_hashes, word_spans
+from .common import discard, lower_ascii, materialize, mix64, parquet, ragged, slices, utf8, window_hashes, word_hashes, word_spans
 
 SHINGLE = 5
 #: Similarity in percent: documents link when 100 x intersection >= PERCENT x union.
 PERCENT = 80
-#: Hashed counters of how many documents hold a shingle; they only put shingles in order.
-COUNTER_BITS = 20
+#: Hashed counters of how many documents hold a shingle, which only put shingles in order: 16 for each document,
+#: in powers of two between these.
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 24
 CHUNKS = 64
-#: Bits of a set's parity sketch, whose Hamming distance bounds the symmetric difference from below.
-SKETCH = 512
+#: Regions of up to so many documents compare all; larger ones when so many pairs for each document are left.
+SMALL, FEW = 16, 4
+#: Bits of a set's parity sketch, at least and at most: as many as the set has shingles, in powers of two. The
+#: Hamming distance of two sketches bounds the symmetric difference from below; a longer one is folded to the shorter.
+LEAST_BITS, MOST_BITS = 256, 65536
 #: Documents that are compared with one pivot in one task, about.
 REGION = 256
 
@@ -70,24 +75,33 @@ def _nodes(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 _SUMMARY = "doc_id long, node long, n long, sketch array<long>, chunk int, counts binary"
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document; at the end, the task's shingle counters in chunks."""
-    names = [x.split()[0] for x in _SUMMARY.split(", ")]
-    counts = np.zeros(1 << COUNTER_BITS, np.uint32)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            rows, hashes = sets(part.column(1))
-            k = part.num_rows
-            counts += np.bincount((hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS).astype(np.uint32)
-            n = np.bincount(rows, minlength=k)
-            parity = np.bincount(rows * SKETCH + (hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=k * SKETCH) & 1
-            sketch = np.packbits(parity.astype(np.uint8).reshape(k, SKETCH), axis=1).view(np.int64)
-            node = pa.array(_nodes(rows, hashes, k).view(np.int64), mask=n == 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(sketch.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), node, pa.array(n.astype(np.int64)), lists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-    blobs = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(CHUNKS, -1)]
-    none = [pa.nulls(CHUNKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-    yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(blobs, pa.binary())], names)
+def _summaries(counters: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document; at the end, the task's shingle counters in chunks."""
+        names = [x.split()[0] for x in _SUMMARY.split(", ")]
+        counts = np.zeros(counters, np.uint32)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows, hashes = sets(part.column(1))
+                k = part.num_rows
+                np.add.at(counts, _counter(hashes, counters), np.uint32(1))
+                n = np.bincount(rows, minlength=k)
+                bits = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+                start = np.concatenate([[0], np.cumsum(bits)])
+                parity = np.bincount(start[rows] + (hashes & (bits[rows] - 1).astype(np.uint64)).astype(np.int64), minlength=start[-1]) & 1
+                sketch = np.packbits(parity.astype(np.uint8)).view(np.int64)
+                node = pa.array(_nodes(rows, hashes, k).view(np.int64), mask=n == 0)
+                lists = pa.ListArray.from_arrays(pa.array((start // 64).astype(np.int32)), pa.array(sketch))
+                yield pa.RecordBatch.from_arrays([part.column(0), node, pa.array(n.astype(np.int64)), lists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        blobs = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(CHUNKS, -1)]
+        none = [pa.nulls(CHUNKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(blobs, pa.binary())], names)
+
+    return run
+
+
+def _counter(hashes: np.ndarray, counters: int) -> np.ndarray:
+    return (hashes >> np.uint64(65 - counters.bit_length())).astype(np.int64)
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,21 +114,28 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
 
 
-def _order(counters: DataFrame) -> np.ndarray:
+def _order(chunks: DataFrame, counters: int) -> np.ndarray:
     """A class of commonness (0 to 31) for each counter, from counts over all documents."""
-    found = counters.repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").collect()  # CHUNKS rows
-    counts = np.zeros((CHUNKS, (1 << COUNTER_BITS) // CHUNKS), np.int64)
-    for r in found:
+    counts = np.zeros((CHUNKS, counters // CHUNKS), np.int64)
+    for r in chunks.repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").toLocalIterator():  # CHUNKS rows, one at a time
         counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
     flat = counts.reshape(-1)
-    return np.clip(np.floor(2 * np.log2(np.maximum(flat, 1) / max(flat.mean(), 1))), 0, 31).astype(np.uint8)
+    return np.clip(np.floor(3 * np.log2(np.maximum(flat, 1) / max(flat.mean(), 1))), 0, 31).astype(np.uint8)
+
 
+def _folded(sketch: Column, words: Column) -> Column:
+    """A sketch folded to a number of words: words that stand that far apart are added modulo 2."""
+    part = lambda i: F.aggregate(F.sequence(i, F.size(sketch) - 1, words), F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.get(sketch, j)))
+    return F.when(F.size(sketch) == words, sketch).otherwise(F.transform(F.sequence(F.lit(0), words - 1), part))
 
-def _possible(a: str, b: str, percent: int) -> object:
+
+def _possible(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketches leave room for a similarity of percent. Columns n_a, s_a, n_b, s_b."""
-    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
-    apart = sum((F.bit_count(F.col(f"s_{a}")[i].bitwiseXOR(F.col(f"s_{b}")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * (na + nb - apart) >= percent * (na + nb + apart))
+    na, nb, sa, sb = (F.col(f"{c}_{x}") for c in "ns" for x in (a, b))
+    words = F.least(F.size(sa), F.size(sb))
+    each = F.zip_with(_folded(sa, words), _folded(sb, words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(each, F.lit(0), lambda t, x: t + x)
+    return F.when(100 * F.least(na, nb) < percent * F.greatest(na, nb), F.lit(False)).otherwise(100 * (na + nb - apart) >= percent * (na + nb + apart))
 
 
 def _with(pairs: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
@@ -155,17 +176,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "both", "either"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, all_at_once: bool = False) -> DataFrame:
     """Pairs (a, b) with their exact intersection and union that link. Each pivot b and the documents held
     against it meet in a region; regions of many documents are split and the pivot goes to each part."""
+    if all_at_once:
+        docs = docs.hint("merge")  # a large share of the texts is wanted
     salts = materialize(pairs.groupBy("b").agg((F.ceil(F.count("*") / REGION)).cast("int").alias("parts")), "regions")
     wanted = pairs.select(F.col("a").alias("node")).union(salts.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc"), "node")
+    wanted = materialize(wanted, "wanted")  # its size is then known: Spark broadcasts it where it is under the threshold
     texts = materialize(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc"])).select("node", "text"), "texts")
     salted = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     members = salted.join(texts.withColumnRenamed("node", "a"), "a").select("b", "salt", F.lit(1).alias("role"), F.col("a").alias("node"), "text")
     pivots = salts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts.withColumnRenamed("node", "b"), "b").select("b", "salt", F.lit(0).alias("role"), F.col("b").alias("node"), "text")
     regions = members.union(pivots).repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
-    return materialize(regions.mapInArrow(_compare, _LINKS).filter(F.col("both") * 100 >= F.col("either") * PERCENT).distinct(), "links")
+    links = materialize(regions.mapInArrow(_compare, _LINKS).filter(F.col("both") * 100 >= F.col("either") * PERCENT).distinct(), "links")
+    discard(salts, wanted, texts)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -194,8 +220,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    read = materialize(docs.mapInArrow(_summaries, _SUMMARY), "summaries")
-    order = spark.sparkContext.broadcast(_order(read.filter("chunk IS NOT NULL").select("chunk", "counts")))  # 2^COUNTER_BITS bytes
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (16 * docs.count()).bit_length()))
+    read = materialize(docs.mapInArrow(_summaries(counters), _SUMMARY), "summaries")
+    order = spark.sparkContext.broadcast(_order(read.filter("chunk IS NOT NULL").select("chunk", "counts"), counters))  # MOST_COUNTERS bytes at most
     summary = read.filter("chunk IS NULL").drop("chunk", "counts")
     nodes = materialize(summary.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
@@ -205,7 +232,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                 rows, hashes = sets(part.column(0))
                 k = part.num_rows
                 names, n = _nodes(rows, hashes, k), np.bincount(rows, minlength=k)
-                rank = order.value[(hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+                rank = order.value[_counter(hashes, counters)]
                 at = np.argsort(rows * 32 + rank, kind="stable")
                 rows, hashes = rows[at], hashes[at]
                 keep = np.arange(len(rows)) - np.searchsorted(rows, np.arange(k))[rows] < (n - (PERCENT * n + 99) // 100 + 1)[rows]
@@ -214,31 +241,54 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     replicated = docs.select("text").mapInArrow(windows, "pivot long, node long")
     shared = materialize(replicated.groupBy("pivot").count().filter("count > 1").select("pivot"), "pivots")
     regions = materialize(replicated.join(shared, "pivot", "left_semi").distinct(), "regions")
-
-    # the least document of each region is its pivot
-    least = materialize(regions.groupBy("pivot").agg(F.min("node").alias("b"), F.count("*").alias("k")).filter("k > 1").select("pivot", "b"), "least")
-    star = regions.join(least, "pivot").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    links = _verified(docs, materialize(_narrowed(star, nodes, PERCENT), "star"), nodes)
+    sizes = materialize(regions.groupBy("pivot").agg(F.count("*").alias("k"), F.min("node").alias("b")).filter("k > 1"), "sizes")
+    discard(shared)
+
+    # first all pairs of small regions, and the least documents of the others against the rest
+    small = regions.join(sizes.filter(F.col("k") <= SMALL).select("pivot"), "pivot").groupBy("pivot").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(y.alias("a"), x.alias("b")))))
+    pairs = small.select(F.explode(each).alias("p")).select("p.*")
+    large = materialize(regions.join(sizes.filter(F.col("k") > SMALL).select("pivot", "b"), "pivot"), "large")
+    pairs = pairs.union(large.filter("node <> b").select(F.col("node").alias("a"), "b")).distinct()
+    candidates = materialize(_narrowed(pairs, nodes, PERCENT), "candidates")
+    links = _verified(docs, candidates, nodes, all_at_once=True)
     labels = components(links)
+    discard(regions, sizes, candidates)
 
-    # balls: each linked document belongs to one pivot; every other document is a ball of its own
-    balls = materialize(links.groupBy("a").agg(F.min("b").alias("ball")), "balls")
-    placed = regions.join(least.select("pivot"), "pivot", "left_semi").join(balls, F.col("node") == F.col("a"), "left").withColumn("ball", F.coalesce("ball", "node")).drop("a")
-    placed = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = materialize(placed.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("pivot"), "mixed")
-    placed = materialize(placed.join(mixed, "pivot", "left_semi"), "placed")
-    centres = materialize(placed.select("pivot", F.col("ball").alias("b"), F.col("component").alias("there")).distinct(), "centres")
-    near = placed.join(centres, "pivot").filter("component <> there").select(F.col("node").alias("a"), "b").distinct()
-    within = materialize(_narrowed(near, nodes, 2 * PERCENT - 100), "windows")
-    members = balls.select(F.col("ball").alias("b"), F.col("a").alias("x")).union(within.select("b", F.col("b").alias("x")).distinct())
-    rest = within.join(members, "b").filter("a <> x").select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
-    rest = materialize(_narrowed(rest, nodes, PERCENT), "rest")
-    more = _verified(docs, rest, nodes) if rest.limit(1).count() else None
-    if more is not None:
-        labels = components(links.union(more))
+    # then again and again documents of other components, four times as many each time, until little is left, which is compared in full
+    few = FEW * nodes.count()
+    large, at_once = large.select("pivot", "node"), 1
+    while True:
+        placed = large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = materialize(placed.groupBy("pivot", "component").agg(F.count("*").alias("k")), "parts")
+        size = parts.groupBy("pivot").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("c")).filter("c > 1")
+        size = materialize(size, "sizes")
+        left = size.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
+        if not left:
+            break
+        placed = materialize(placed.join(size.select("pivot", "main"), "pivot"), "placed")
+        if left <= few:
+            other = placed.select("pivot", F.col("node").alias("b"), F.col("component").alias("there"))
+            pairs = placed.join(other, "pivot").filter("component <> there AND node > b").select(F.col("node").alias("a"), "b").distinct()
+        else:
+            order = F.row_number().over(Window.partitionBy("pivot").orderBy("node"))
+            apart = placed.filter("component <> main").withColumn("place", order).filter(F.col("place") <= at_once)
+            apart = materialize(apart.select("pivot", F.col("node").alias("b"), F.col("component").alias("there")), "apart")
+            pairs = placed.join(apart, "pivot").filter("component <> there").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+            # these pivots are done in their regions
+            large = materialize(placed.select("pivot", "node").join(apart.select("pivot", F.col("b").alias("node")), ["pivot", "node"], "left_anti"), "large")
+            at_once *= 4
+        candidates = materialize(_narrowed(pairs, nodes, PERCENT), "candidates")
+        if candidates.limit(1).count():
+            links = links.union(_verified(docs, candidates, nodes))
+            labels = components(links)
+        discard(parts, placed, candidates)
+        if left <= few:
+            break
 
     named = summary.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("doc_id", "node", F.col("n").alias("n_shingles"), "component")
     named = materialize(named, "named")
+    discard(read, nodes, large)
     smallest = materialize(named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).filter("k > 1").drop("k"), "smallest")
     return named.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 

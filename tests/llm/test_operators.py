@@ -348,8 +348,11 @@ def shingle_sets(rows):
     return out
 
 
-def test_jaccard(spark, monkeypatch):
+@pytest.mark.parametrize("small,few", [(16, 4), (3, 1), (2, 0.1)])
+def test_jaccard(spark, monkeypatch, small, few):
     monkeypatch.setattr(jaccard, "REGION", 2)
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "FEW", few)
     base = rows_of(documents(spark, 90))
     r = random.Random(8)
     rows = [(x["doc_id"], x["text"]) for x in base]
