@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,15 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, parquet, partitions
+from .common import bucket_of, mix64, parquet, partitions
 
 #: Two primes below 2^31 and a base for each: products of a power and a code point fit in 64 bits.
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 #: A fingerprint has the prefix hashes at so many places at most.
 PLACES = 64
+#: The code points before a place that decide whether it is taken.
+WINDOW = 8
+ORDERS = 1 << 31
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_inverse = [np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> list[np.ndarray]:
@@ -31,6 +36,15 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """Powers of the first base's inverse modulo the first prime: they move a span's hash to place 0."""
+    p, b = PRIMES[0], pow(BASES[0], -1, PRIMES[0])
+    while len(_inverse[0]) < n:
+        have = _inverse[0]
+        _inverse[0] = np.concatenate([have, have * np.uint64(pow(b, len(have), p)) % np.uint64(p)])
+    return _inverse[0]
+
+
 def terms(text: str, first: int = 0) -> np.ndarray:
     """(code point + 1) x base^place modulo each prime; the text begins at place `first`."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
@@ -64,56 +78,99 @@ class PrefixHash:
 
 
 class Fingerprint:
-    """Length, whole hash and the prefix hashes (modulo the first prime) at multiples of a power of two."""
+    """Length, whole hash, and the prefix hashes (modulo the first prime) at places that the content chooses.
+
+    A place ends a window of WINDOW code points; the windows whose mixed hashes are the least of the whole
+    text are taken, PLACES - 1 at most, and the text's end. An edit moves only the places at it, however
+    it shifts those behind. In a run of a window that repeats within n / PLACES code points (rounded up to
+    a power of two), the number in the run is mixed in and
+    one window of a period can be taken, so that periodic texts have places as well.
+    """
 
-    def __init__(self, n: int, step: int, whole: tuple[int, int], prefixes: np.ndarray) -> None:
-        self.n, self.step, self.whole, self.prefixes = n, step, whole, prefixes
+    def __init__(self, n: int, whole: tuple[int, int], bound: int, places: np.ndarray, prefixes: np.ndarray, windows: np.ndarray, orders: np.ndarray) -> None:
+        self.n, self.whole, self.bound = n, whole, bound
+        self.places, self.prefixes, self.windows, self.orders = places, prefixes, windows, orders
 
     @classmethod
     def of(cls, t: np.ndarray) -> Fingerprint:
         """From terms()."""
-        n = t.shape[1]
-        step = 1
-        while n > step * PLACES:
-            step *= 2
-        p = np.uint64(PRIMES[0])
-        blocks = np.add.reduceat(t[0], np.arange(0, n, step)) % p if n else np.zeros(0, np.uint64)
-        prefixes = np.cumsum(blocks) % p
-        whole = (int(prefixes[-1]) if n else 0, int(t[1].sum() % np.uint64(PRIMES[1])))
-        return cls(n, step, whole, prefixes[: n // step].astype(np.uint32))
+        n, p = t.shape[1], np.uint64(PRIMES[0])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t[0])]) % p
+        whole = (int(sums[n]), int(t[1].sum() % np.uint64(PRIMES[1])))
+        m = max(0, n - WINDOW + 1)
+        windows = (sums[WINDOW:] + p - sums[:m]) % p * inverse_powers(m)[:m] % p if m else np.zeros(0, np.uint64)
+        orders = _orders(windows, n)
+        bound = ORDERS
+        if m >= PLACES:
+            bound = int(np.partition(orders, PLACES - 1)[PLACES - 1])
+        at = np.flatnonzero(orders[: m - 1] < bound) if m else np.zeros(0, np.int64)  # the last window ends the text
+        places = np.append(at + WINDOW, n)
+        last = windows[-1:] if m else np.zeros(1, np.uint64)
+        return cls(n, whole, bound, places, sums[places].astype(np.int64), np.append(windows[at], last).astype(np.int64), np.append(orders[at], 0).astype(np.int64))
 
     def __str__(self) -> str:
-        data = np.array(self.whole, "<u4").tobytes() + self.prefixes.astype("<u4").tobytes()
-        return f"{self.n}:{base64.b64encode(data).decode()}"
+        data = np.concatenate([[*self.whole, self.bound], self.places, self.prefixes, self.windows, self.orders])
+        return f"{self.n}:{base64.b64encode(data.astype('<u4').tobytes()).decode()}"
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
-        n, data = int(text.split(":")[0]), np.frombuffer(base64.b64decode(text.split(":")[1]), "<u4")
-        step = 1
-        while n > step * PLACES:
-            step *= 2
-        return cls(n, step, (int(data[0]), int(data[1])), data[2:].astype(np.uint32))
+        n, data = int(text.split(":")[0]), np.frombuffer(base64.b64decode(text.split(":")[1]), "<u4").astype(np.int64)
+        return cls(n, (int(data[0]), int(data[1])), int(data[2]), *data[3:].reshape(4, -1))
+
+    def spans(self, bound: int) -> Counter:
+        """How often each span between neighbouring places of an order under bound stands: its length, its
+        hash as if it stood at 0, and the window that it ends with."""
+        keep = self.orders < bound
+        keep[-1] = True
+        ends, sums = self.places[keep], self.prefixes[keep]
+        starts = np.append(0, ends[:-1])
+        moved = (sums - np.append(0, sums[:-1])) % PRIMES[0] * inverse_powers(self.n + 1)[starts].astype(np.int64) % PRIMES[0]
+        return Counter(zip((ends - starts).tolist(), moved.tolist(), self.windows[keep].tolist(), strict=True))
 
     def likeness(self, other: Fingerprint) -> float:
-        """Share of the longer text in spans that both have at the same place, 0 to 1.
+        """Share of the longer text in spans that both have, wherever they stand, 0 to 1.
 
-        The common beginning is found by binary search over the prefix hashes; behind it, blocks are
-        equal where the differences of their prefix hashes are.
+        Places count where both texts would take them: the one with more of its windows taken gives up
+        those beyond the other's bound. A span shorter than a window needs the same window before its end.
         """
         if (self.n, self.whole) == (other.n, other.whole):
             return 1.0
-        step = max(self.step, other.step)
-        a, b = self.prefixes[step // self.step - 1 :: step // self.step], other.prefixes[step // other.step - 1 :: step // other.step]
-        m = min(len(a), len(b))
-        if not m:
-            return 0.0
-        a, b = a[:m].astype(np.int64), b[:m].astype(np.int64)
-        lo, hi = 0, m
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if a[mid - 1] == b[mid - 1] else (lo, mid - 1)
-        rest = int(((np.diff(a[lo:]) - np.diff(b[lo:])) % PRIMES[0] == 0).sum()) if lo < m else 0
-        return min(1.0, (lo + rest) * step / max(self.n, other.n))
+        bound = min(self.bound, other.bound)
+        both = self.spans(bound) & other.spans(bound)
+        return sum(key[0] * times for key, times in both.items()) / max(self.n, other.n)
+
+
+def _orders(windows: np.ndarray, n: int) -> np.ndarray:
+    """A number from 0 to ORDERS - 1 for each window: its mixed hash, into which its number in a run of equal windows goes."""
+    mixed = mix64(windows + np.uint64(1))
+    near = 1
+    while n > near * PLACES:
+        near *= 2
+    low = np.uint64(max(1, len(windows)).bit_length())
+    mask = (np.uint64(1) << low) - np.uint64(1)
+    ranked = np.sort((mixed & ~mask) | np.arange(len(windows), dtype=np.uint64))
+    at = (ranked & mask).astype(np.int64)
+    goes_on = np.append(False, (ranked[1:] >> low == ranked[:-1] >> low) & (np.diff(at) <= near))[: len(windows)]
+    if goes_on.any():
+        i = np.arange(len(windows))
+        number = i - np.maximum.accumulate(np.where(goes_on, 0, i))
+        again = at[goes_on]
+        first = mixed[again] == _least(mixed, near)[again]  # one window of a period, or its windows' places drift apart
+        mixed[again] = mix64(mixed[again] + number[goes_on].astype(np.uint64))
+        orders = (mixed >> np.uint64(33)).astype(np.int64)
+        orders[again[~first]] = ORDERS
+        return orders
+    return (mixed >> np.uint64(33)).astype(np.int64)
+
+
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each item and the width - 1 before it."""
+    blocks = np.concatenate([x, np.full(-len(x) % width, ~np.uint64(0))]).reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()[: len(x)]
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    out = ahead.copy()
+    out[width - 1 :] = np.minimum(ahead[width - 1 :], behind[: max(0, len(x) - width + 1)])
+    return out
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -337,6 +337,26 @@ def test_prefix_hash():
     assert 0.9 < f.likeness(fingerprints.Fingerprint.of(fingerprints.terms(b))) < 1
 
 
+def test_likeness_of_shifted_texts():
+    of = lambda text: fingerprints.Fingerprint.of(fingerprints.terms(text))
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(300)]
+    for size in (120, 800, 3000):
+        text = " ".join(r.choice(vocabulary) for _ in range(size))
+        middle = len(text) // 2
+        other = of(" ".join(r.choice(vocabulary[::-1]) for _ in range(size)))
+        for near in ("new " + text, text[5:], text[:middle] + " new " + text[middle:], text[:middle] + text[middle + 7 :], "a b " + text[:middle] + "x" + text[middle:]):
+            assert 0.8 < of(text).likeness(of(near)) < 1 and of(near).likeness(of(text)) == of(text).likeness(of(near))
+        assert of(text).likeness(other) < 0.2
+        assert of(text).likeness(of(text[: 2 * middle // 3])) > 0.2  # a third, whose places are denser
+    for period in ("a ", "one and the same line\n"):
+        text = period * 400
+        assert of(text).likeness(of("new " + text)) > 0.8 and of(text).likeness(of(text[:3001] + "new" + text[3001:])) > 0.6
+    short, f = of("abc"), of("new " + text)
+    assert short.likeness(of("abd")) == 0 and of("").likeness(short) == 0 and of("").likeness(of("")) == 1
+    assert len(f.places) <= fingerprints.PLACES and fingerprints.Fingerprint.parse(str(f)).likeness(f) == 1
+
+
 # ---- 9 ----
 
 
