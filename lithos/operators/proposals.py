@@ -138,16 +138,26 @@ def mandatory(docs: DataFrame, summaries: DataFrame, most: int = 1400) -> DataFr
 
 def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, extra: DataFrame, k: int = 12, inject: int = 4) -> DataFrame:
     """The whole retrieval for all queries in one plan: vectors, rerank, quality, dedupe, injection, neighbours.
-    chunks: doc_id, chunk_index, text, vec_id; queries: query_id, query_vector, problem, constraints."""
-    near = retrieval.vector_top_k(vectors, queries.select("query_id", "query_vector"), max(retrieval.FIRST_STAGE * k, retrieval.LEAST_FIRST_STAGE))
-    words = queries.select("query_id", tx.keywords(F.concat_ws(" ", "problem", "constraints")).alias("keywords"))
-    hits = near.join(chunks, "vec_id").join(words, "query_id")
-    kept = retrieval.dedupe_prefix(retrieval.drop_low_quality(retrieval.rerank(hits)))
-    placed = ranked(kept.drop("rank"), ["query_id"], [F.desc("rerank_score"), F.asc("vec_id")])
+    chunks: doc_id, chunk_index, text, source, vec_id (chunks may share a vector); queries: query_id, query_vector, problem,
+    constraints, dirs (folders of the query's cases, whose sources R12 boosts)."""
+    first = max(retrieval.FIRST_STAGE * k, retrieval.LEAST_FIRST_STAGE)
+    near = retrieval.vector_top_k(vectors, queries.select("query_id", "query_vector"), first).drop("rank")
+    words = queries.select("query_id", tx.keywords(F.concat_ws(" ", "problem", "constraints")).alias("keywords"), "dirs")
+    place = [F.asc("vec_id"), F.asc("doc_id"), F.asc("chunk_index")]
+    hits = ranked(near.join(chunks, "vec_id"), ["query_id"], [F.desc("score"), *place], first).join(words, "query_id")
+    kept = retrieval.dedupe_prefix(retrieval.drop_low_quality(retrieval.rerank(hits, retrieval.source_boost(F.col("source"), F.col("dirs")))))
+    placed = ranked(kept.drop("rank"), ["query_id"], [F.desc("rerank_score"), *place])
     merged = retrieval.inject(placed, extra, inject, k)
     return retrieval.expand_neighbours(merged, chunks, k)
 
 
+def case_extras(routes: DataFrame, brought: DataFrame, k: int = 12, inject: int = 4) -> DataFrame:
+    """What the cases (query_id, dir) of each query bring (dir, doc_id, chunk_index, text, ...). Of a case only the first
+    `inject` that are no hits yet can go in, so that its first ones, as many as these and the first stage's hits, stand for all."""
+    most = inject + max(retrieval.FIRST_STAGE * k, retrieval.LEAST_FIRST_STAGE)
+    return routes.select("query_id", "dir").join(ranked(brought, ["dir"], retrieval.injection_order(), most, "__n").drop("__n"), "dir").drop("dir")
+
+
 def propose(samples: DataFrame, reviews: DataFrame, problem: Column) -> DataFrame:
     """Supplied samples to ordered verdicts: items, sanitising, merging, checks, verdict, order, in one lazy plan.
     Grounding is taken from whether an item names a source with a snippet."""

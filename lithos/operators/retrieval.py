@@ -134,13 +134,17 @@ def case_score(text: Column, keywords: Column, marks: Sequence[str] = ("извл
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0.0)).otherwise(F.least(F.lit(1.0), base + bonus))
 
 
+def injection_order() -> list[Column]:
+    stage = F.when(F.col("kind") == "kpi", 0).when(F.col("kind") == "brainstorm", 1).when(F.col("kind").isNotNull(), 2).otherwise(3)
+    optional = F.when(F.col("kind").isNull(), F.col("example_score")).otherwise(F.lit(0.0))
+    return [F.asc(stage), F.desc(tx.kpi_boost(F.col("text"))), F.desc(optional), F.asc("doc_id"), F.asc("chunk_index")]
+
+
 def inject(hits: DataFrame, extra: DataFrame, most: int, k: int) -> DataFrame:
     """Extra hits (kind, example_score) before the others: mandatory ones (kpi, brainstorm, other), then optional
     ones by KPI mark and score; those already there are skipped, `most` go in, and k stay."""
     new = extra.join(hits.select("query_id", "doc_id", "chunk_index"), ["query_id", "doc_id", "chunk_index"], "left_anti")
-    stage = F.when(F.col("kind") == "kpi", 0).when(F.col("kind") == "brainstorm", 1).when(F.col("kind").isNotNull(), 2).otherwise(3)
-    new = new.withColumns({"__stage": stage, "__boost": tx.kpi_boost(F.col("text")), "__opt": F.when(F.col("kind").isNull(), F.col("example_score")).otherwise(F.lit(0.0))})
-    order = [F.asc("__stage"), F.desc("__boost"), F.desc("__opt"), F.asc("doc_id"), F.asc("chunk_index")]
+    order = injection_order()
     once = ranked(new, ["query_id", "doc_id", "chunk_index"], order, 1, "__n")
     first = ranked(once, ["query_id"], order, most, "__place")
     both = first.select("query_id", "doc_id", "chunk_index", "text", "score", F.lit(0).alias("__part"), "__place").unionByName(

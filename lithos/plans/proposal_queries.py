@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.functions import text as tx
-from lithos.operators import business, citations, evaluation, feedback, graphs, hypotheses, judging, model, proposals, retrieval, tables
+from lithos.operators import business, chunking, citations, evaluation, feedback, graphs, hypotheses, judging, model, proposals, retrieval, tables
 from lithos.sources import files
 from lithos.sources import sql as stores
 
@@ -106,23 +106,38 @@ def r05(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.lookup(e, e.filter("chunk_index % 3 = 0").select("doc_id", "chunk_index")).select("doc_id", "chunk_index", "score")
 
 
+def file_name() -> Column:
+    k = F.col("doc_id") % 5
+    return F.when(k == 0, F.lit("Brainstorm.docx")).when(k == 1, F.lit("dir/tailings.xlsx")).otherwise(F.lit("other.pdf"))
+
+
 @query("r15_mandatory", "SELECT lang AS query_id, doc_id, CASE WHEN doc_id % 5 = 1 THEN 'kpi' ELSE 'brainstorm' END AS kind FROM documents WHERE doc_id % 5 = 0 OR (doc_id % 5 = 1 AND doc_id % 2 = 0)")
 def r15(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id") % 5
-    docs = t.documents(spark, d).select(F.col("lang").alias("query_id"), "doc_id", F.when(k == 0, F.lit("Brainstorm.docx")).when(k == 1, F.lit("dir/tailings.xlsx")).otherwise(F.lit("other.pdf")).alias("source"), F.lit("").alias("title"), "text")
+    docs = t.documents(spark, d).select(F.col("lang").alias("query_id"), "doc_id", file_name().alias("source"), F.lit("").alias("title"), "text")
     lines = docs.filter("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("at"), F.lit("- line").alias("line"))
     return proposals.mandatory(docs, lines).select("query_id", "doc_id", "kind")
 
 
 @query("r17_retrieve")
 def r17(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors are chunks: the vector's label is the document, its id the place, a document's text the text."""
+    """All chunks of all documents. The tables have fewer vectors than chunks: a chunk has the one that its hash chooses, a
+    query that of its number. Documents are files of the case folder that their source chooses, named as in R15."""
     e = t.table(spark, d, "embeddings")
-    docs = t.documents(spark, d).select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 1400).alias("text"))
-    chunks = e.join(docs, "vec_id").select(F.col("label").alias("doc_id"), F.col("vec_id").cast("int").alias("chunk_index"), "text", "vec_id")
-    asked = tq.problems(spark, d).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
-    extra = chunks.filter("vec_id % 40 = 0").join(asked.select("query_id"), F.lit(True)).filter("query_id % 7 = vec_id % 7")
-    extra = extra.select("query_id", "doc_id", "chunk_index", "text", F.lit(1.0).alias("score"), F.lit("kpi").alias("kind"), F.lit(1.0).alias("example_score"))
+    ends = e.agg(F.min("vec_id").alias("lo"), (F.max("vec_id") - F.min("vec_id") + 1).alias("span"))
+    vec_id = lambda key: F.col("lo") + F.pmod(key, F.col("span"))
+    folder = F.concat(F.lit("dir"), F.pmod(F.xxhash64("source"), F.lit(3)).cast("string"))
+    owned = t.documents(spark, d).select(folder.alias("query_id"), "doc_id", F.concat_ws("/", folder, file_name()).alias("source"), F.lit("").alias("title"), "text")
+    chunks = chunking.chunks(owned.select("doc_id", "source", "text")).join(F.broadcast(ends), F.lit(True))
+    chunks = chunks.select("doc_id", "chunk_index", "text", "source", vec_id(F.xxhash64("doc_id", "chunk_index")).alias("vec_id"))
+    problems, cases = tq.problems(spark, d), tq.cases(spark)
+    routes = retrieval.route_cases(problems, cases, ["os "])
+    dirs = routes.groupBy("query_id").agg(F.sort_array(F.collect_set("dir")).alias("dirs"))
+    asked = problems.join(F.broadcast(ends), F.lit(True)).withColumn("vec_id", vec_id(F.col("query_id"))).drop("lo", "span")
+    asked = asked.join(e.select("vec_id", F.col("embedding").alias("query_vector")), "vec_id").drop("vec_id")
+    asked = asked.join(dirs, "query_id", "left").withColumn("dirs", F.coalesce("dirs", F.array().cast("array<string>")))
+    lines = owned.filter(F.col("source").endswith(".xlsx")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    brought = proposals.mandatory(owned, lines).withColumnRenamed("query_id", "dir")
+    extra = proposals.case_extras(routes, brought)
     return proposals.retrieve(chunks, e.select("vec_id", "embedding"), asked, extra).select("query_id", "doc_id", "chunk_index", "rank")
 
 

@@ -1,5 +1,7 @@
 """Golden examples for the operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +238,20 @@ def test_plans(spark):
         assert "Python" not in text_ and "Arrow" not in text_ and "CartesianProduct" not in text_
     scan = plan(text_queries.t03(spark, "/root/testdata/sf0.001"))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in scan
+
+
+def test_whole_retrieval(spark, tmp_path):
+    from lithos.plans import proposal_queries
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abdefghklmnopqrsuvw") for _ in range(r.randrange(3, 9)))
+    docs = [(100 + i, " ".join(word() for _ in range(n)), f"src{i}", "en") for i, n in enumerate([900, 30, 40, 50])]
+    docs.append((105, "12 .", "src1", "en"))  # no first-stage hit, for its quality; its case brings it
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, i / 2], 0) for i in range(2)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, 0, "plain"), (7, 0, "los os alle"), (7, 1, "x")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [tuple(x) for x in proposal_queries.r17(spark, str(tmp_path)).collect()]
+    whole = {(x["doc_id"], x["chunk_index"]) for x in chunking.chunks(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")).collect()}
+    assert len(whole) > 6 and {g[0] for g in got} == {0, 7}
+    assert {g[1:3] for g in got if g[0] == 0} == whole - {(105, 0)} and {g[1:3] for g in got if g[0] == 7} == whole
+    assert [g[3] for g in got if g[:3] == (7, 105, 0)] == [1]
