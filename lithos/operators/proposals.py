@@ -107,11 +107,13 @@ def analysis(hyps: DataFrame, hits: DataFrame, gaps: DataFrame) -> DataFrame:
     less 0.06 for each high gap of the query (0.15 at least)."""
     keys = ("pH", "dosage", "metric")
     p = lambda c: tx.parameters(c)
+    states = lambda c, k: F.try_element_at(c, F.lit(k)).isNotNull()
     h, g = hyps.select("hyp_id", "query_id", p(F.col("text")).alias("p")), hits.select("query_id", p(F.col("text")).alias("q"))
-    both = sum((F.when(F.try_element_at("p", F.lit(k)).isNotNull() & F.try_element_at("q", F.lit(k)).isNotNull(), 1).otherwise(0) for k in keys), F.lit(0))
-    met = h.join(g, "query_id", "left").groupBy("hyp_id", "query_id").agg(F.sum(both).alias("both"))
+    stated = g.groupBy("query_id").agg(*[F.count_if(states("q", k)).alias(f"__{k}") for k in keys])
+    both = sum((F.when(states("p", k), F.coalesce(f"__{k}", F.lit(0))).otherwise(0) for k in keys), F.lit(0))
+    met = h.join(stated, "query_id", "left").select("hyp_id", "query_id", both.alias("both"))
     high = gaps.filter("severity = 'high'").groupBy("query_id").agg(F.count("*").alias("high"))
-    score = F.least(F.lit(0.85), 0.45 + 0.1 * F.coalesce("both", F.lit(0)))
+    score = F.least(F.lit(0.85), 0.45 + 0.1 * F.col("both"))
     score = F.when(F.col("high") > 0, F.greatest(F.lit(0.15), score - 0.06 * F.col("high"))).otherwise(score)
     return met.join(high, "query_id", "left").select("hyp_id", F.round(score, 3).alias("predictive"))
 

@@ -118,21 +118,24 @@ def r15(spark: SparkSession, d: str) -> DataFrame:
     return proposals.mandatory(docs, lines).select("query_id", "doc_id", "kind")
 
 
+def with_vector(spark: SparkSession, d: str, df: DataFrame, key: Column) -> DataFrame:
+    """df with vec_id: the vector that key chooses, as the tables have fewer vectors than chunks or hypotheses."""
+    ends = t.table(spark, d, "embeddings").agg(F.min("vec_id").alias("__lo"), (F.max("vec_id") - F.min("vec_id") + 1).alias("__span"))
+    return df.join(F.broadcast(ends), F.lit(True)).withColumn("vec_id", F.col("__lo") + F.pmod(key, F.col("__span"))).drop("__lo", "__span")
+
+
 @query("r17_retrieve")
 def r17(spark: SparkSession, d: str) -> DataFrame:
-    """All chunks of all documents. The tables have fewer vectors than chunks: a chunk has the one that its hash chooses, a
-    query that of its number. Documents are files of the case folder that their source chooses, named as in R15."""
+    """All chunks of all documents: a chunk has the vector that its hash chooses, a query that of its number. Documents are
+    files of the case folder that their source chooses, named as in R15."""
     e = t.table(spark, d, "embeddings")
-    ends = e.agg(F.min("vec_id").alias("lo"), (F.max("vec_id") - F.min("vec_id") + 1).alias("span"))
-    vec_id = lambda key: F.col("lo") + F.pmod(key, F.col("span"))
     folder = F.concat(F.lit("dir"), F.pmod(F.xxhash64("source"), F.lit(3)).cast("string"))
     owned = t.documents(spark, d).select(folder.alias("query_id"), "doc_id", F.concat_ws("/", folder, file_name()).alias("source"), F.lit("").alias("title"), "text")
-    chunks = chunking.chunks(owned.select("doc_id", "source", "text")).join(F.broadcast(ends), F.lit(True))
-    chunks = chunks.select("doc_id", "chunk_index", "text", "source", vec_id(F.xxhash64("doc_id", "chunk_index")).alias("vec_id"))
+    chunks = with_vector(spark, d, chunking.chunks(owned.select("doc_id", "source", "text")), F.xxhash64("doc_id", "chunk_index"))
     problems, cases = tq.problems(spark, d), tq.cases(spark)
     routes = retrieval.route_cases(problems, cases, ["os "])
     dirs = routes.groupBy("query_id").agg(F.sort_array(F.collect_set("dir")).alias("dirs"))
-    asked = problems.join(F.broadcast(ends), F.lit(True)).withColumn("vec_id", vec_id(F.col("query_id"))).drop("lo", "span")
+    asked = with_vector(spark, d, problems, F.col("query_id"))
     asked = asked.join(e.select("vec_id", F.col("embedding").alias("query_vector")), "vec_id").drop("vec_id")
     asked = asked.join(dirs, "query_id", "left").withColumn("dirs", F.coalesce("dirs", F.array().cast("array<string>")))
     lines = owned.filter(F.col("source").endswith(".xlsx")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
@@ -244,9 +247,16 @@ def j20(spark: SparkSession, d: str) -> DataFrame:
 
 @query("b05_analogies")
 def b05(spark: SparkSession, d: str) -> DataFrame:
-    h = t.hypotheses(spark, d).filter("hyp_id % 5 = 0").select("hyp_id", F.lit("en").alias("query_id"), F.col("mechanism").alias("text"))
-    hits = t.heads(spark, d).filter("score > 0.9")
-    return proposals.analogies(h.join(F.broadcast(hits.select("query_id").distinct()), "query_id"), hits)
+    """Every hypothesis asks with the vector of its number; its hits are the 12 chunks that R01 finds nearest."""
+    e = t.table(spark, d, "embeddings")
+    h = with_vector(spark, d, t.hypotheses(spark, d).select("hyp_id", F.col("mechanism").alias("text")), F.col("hyp_id")).withColumnRenamed("vec_id", "query_id")
+    asked = e.join(h.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    near = retrieval.vector_top_k(e.select("vec_id", "embedding"), asked, 12).drop("rank")
+    chunks = with_vector(spark, d, chunking.chunks(t.documents(spark, d).select("doc_id", "text")), F.xxhash64("doc_id", "chunk_index"))
+    order = [F.desc("score"), F.asc("vec_id"), F.asc("doc_id"), F.asc("chunk_index")]
+    places = retrieval.ranked(near.join(chunks.drop("text"), "vec_id"), ["query_id"], order, 12)
+    hits = places.join(chunks.select("doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"])
+    return proposals.analogies(h, hits)
 
 
 def asked_hypotheses(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -1,12 +1,13 @@
 """Golden examples for the operators."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lithos.functions import text as tx
-from lithos.operators import business, chunking, citations, evaluation, feedback, graphs, hypotheses, judging, model, retrieval, tables
+from lithos.operators import business, chunking, citations, evaluation, feedback, graphs, hypotheses, judging, model, proposals, retrieval, tables
 from lithos.sources import files
 from lithos.sources import sql as stores
 
@@ -255,3 +256,23 @@ def test_whole_retrieval(spark, tmp_path):
     assert len(whole) > 6 and {g[0] for g in got} == {0, 7}
     assert {g[1:3] for g in got if g[0] == 0} == whole - {(105, 0)} and {g[1:3] for g in got if g[0] == 7} == whole
     assert [g[3] for g in got if g[:3] == (7, 105, 0)] == [1]
+
+
+def test_analogies_of_all_hypotheses(spark, tmp_path):
+    from lithos.plans import proposal_queries
+
+    r = random.Random(4)
+    docs = [(i, " ".join("".join(r.choice("abdefghklm") for _ in range(8)) for _ in range(40)), f"src{i}", "en") for i in range(90)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [math.cos(i), math.sin(i)], 0) for i in range(7)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, i * 3, "1-URGENT") for i in range(1, 31)], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = proposal_queries.b05(spark, str(tmp_path)).collect()
+    assert sorted(x["hyp_id"] for x in got) == list(range(1, 31)) and {x["score"] for x in got} == {18}
+    assert len({x["doc_id"] for x in got}) > 1
+
+
+def test_analysis(spark):
+    hyps = spark.createDataFrame([(1, "a", "pH 9 recovery 5"), (2, "a", "nothing"), (3, "b", "pH 9")], "hyp_id int, query_id string, text string")
+    hits = spark.createDataFrame([("a", "pH 8"), ("a", "pH 7"), ("c", "pH 7")], "query_id string, text string")
+    gaps = spark.createDataFrame([("b", "high"), ("a", "medium")], "query_id string, severity string")
+    assert {tuple(x) for x in proposals.analysis(hyps, hits, gaps).collect()} == {(1, 0.65), (2, 0.45), (3, 0.39)}
