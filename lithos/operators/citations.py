@@ -93,6 +93,26 @@ def best_windows(pairs: DataFrame, max_len: int = 280, step: int = 20) -> DataFr
     return best.select("pair_id", "start", "length", "score", F.regexp_replace(tx.strip(F.col("window")), r"\s+", " ").alias("excerpt"))
 
 
+def candidates(snippets: DataFrame, docs: DataFrame, size: int = 3, least: int = 1) -> DataFrame:
+    """Pairs of snippets (item_id, snippet) and docs (doc_id, corpus) that share at least `least` runs of `size` words (all of a snippet
+    with fewer words), wherever they stand in either: an equi-join on hashes of the runs, counted before texts
+    are met. copy numbers the different texts of one doc_id, which may be null."""
+    words = lambda df, text: df.withColumn("w", tx.all_of(F.lower(text), r"[\p{L}\p{M}\p{N}_]+"))
+
+    def runs(df: DataFrame, *key: str) -> DataFrame:
+        hashed = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.col("n")), " ")))
+        return df.filter((F.col("n") > 0) & (F.size("w") >= F.col("n"))).select(*key, "n", F.explode(F.array_distinct(hashed)).alias("run"))
+
+    docs = docs.withColumn("__row", F.xxhash64("doc_id", "corpus"))  # ids may be null or repeated
+    asked = runs(words(snippets, "snippet").withColumn("n", F.least(F.lit(size), F.size("w"))), "item_id")
+    held = runs(words(docs, "corpus").join(F.broadcast(asked.select("n").distinct()), F.lit(True)), "doc_id", "__row")  # 1 to size
+    shared = held.join(asked, ["n", "run"]).groupBy("item_id", "doc_id", "__row").agg(F.count("*").alias("shared"))
+    needed = asked.groupBy("item_id").agg(F.least(F.lit(least), F.count("*")).alias("needed"))
+    found = shared.join(needed, "item_id").filter("shared >= needed").select("item_id", "doc_id", "__row")
+    placed = ranked(found, ["item_id", "doc_id"], [F.asc("__row")], None, "copy").drop("doc_id")
+    return placed.join(snippets, "item_id").join(docs, "__row").select("item_id", "doc_id", "copy", "snippet", "corpus")
+
+
 def align(pairs: DataFrame, max_len: int = 280) -> DataFrame:
     """The excerpt that stands for a snippet, and its overlap: the best window, or the snippet itself where it overlaps better and enough."""
     windows = best_windows(pairs, max_len)

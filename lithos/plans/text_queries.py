@@ -389,9 +389,9 @@ def c02(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c08_align")
 def c08(spark: SparkSession, d: str) -> DataFrame:
-    """Alignment of passages with the documents whose first 60 characters they hold or that hold theirs."""
-    found = planted(spark, d).filter(F.col("corpus").contains(F.substring("snippet", 1, 60)))
-    pairs = found.withColumn("pair_id", F.concat_ws("-", "item_id", "doc_id"))
+    """Alignment of passages with the documents that hold three words in a row of theirs."""
+    found = citations.candidates(table(spark, d, "benchmark").select("item_id", F.col("text").alias("snippet")), documents(spark, d).select("doc_id", F.col("text").alias("corpus")))
+    pairs = found.withColumn("pair_id", F.concat_ws("-", "item_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.when(F.col("copy") > 1, F.col("copy"))))
     return citations.align(pairs.select("pair_id", "snippet", "corpus"))
 
 

@@ -276,3 +276,14 @@ def test_analysis(spark):
     hits = spark.createDataFrame([("a", "pH 8"), ("a", "pH 7"), ("c", "pH 7")], "query_id string, text string")
     gaps = spark.createDataFrame([("b", "high"), ("a", "medium")], "query_id string, severity string")
     assert {tuple(x) for x in proposals.analysis(hyps, hits, gaps).collect()} == {(1, 0.65), (2, 0.45), (3, 0.39)}
+
+
+def test_aligned_candidates(spark, tmp_path):
+    from lithos.plans import text_queries
+
+    passage = "the quick brown fox met nine old grey cats on that wet day and they all ran far from it into a red barn"
+    docs = [(1, "then " + passage.replace("the quick brown", "some slow white") + " end"), (2, passage[40:80] + " and more"), (3, "no word of this is shared"), (None, passage), (None, passage + " x"), (5, "ok"), (6, "so ok then"), (7, "Elsewhere")]
+    spark.createDataFrame([(i, x, "s", "en") for i, x in docs], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (2, "ok")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {x["pair_id"]: x["overlap"] for x in text_queries.c08(spark, str(tmp_path)).collect()}
+    assert set(got) == {"1-1", "1-2", "1-null", "1-null-2", "2-5", "2-6"} and got["1-null"] == got["1-null-2"] == 1.0 and got["1-1"] > 0.5
