@@ -1,15 +1,22 @@
-"""Exact Jaccard join over word shingles as a metric-space join with pivots and triangle-inequality windows.
-
-Whole documents are poor pivots for a corpus: nearly every document has distance 1 from nearly every
-other, so windows around such pivots keep everything. The join therefore begins with the smallest
-pivots there are. A document with n shingles has (total variation, which bounds Jaccard from below)
-distance 1 - 1/n from the pivot {s} if it holds shingle s, and 1 if not; the nearest pivots are its
-own shingles, in one order for all documents, rare ones first. A linked document lacks a fifth of them at most, so that
-the window of the first n - ceil(0.8 n) + 1 pivots replicates both documents into a shared region.
-Regions of few documents compare them all. In larger ones documents are pivots, region by region and
-again and again: the least ones that are not in the region's largest component meet the documents of other
-components; what lies within the threshold joins its component, and a region whose documents are all
-in one component is done. When the rest is small, it is compared in full, so that the result is exact.
+"""Exact Jaccard join over word shingles as a metric-space join: pivots, regions, windows, recursion.
+
+In a corpus nearly every document has distance 1 from nearly every other, so that Voronoi cells around sampled
+documents would be one undivided rest. The first pivots are therefore the smallest sets there are, single
+shingles. A document of n shingles has (total variation, which bounds Jaccard from below) distance
+1 - 1/n from {s} if it holds s, and 1 if not; it stands in the cell of its first shingle, in one order for all
+documents, rare ones first. The window of the threshold replicates it to its first n - ceil(0.8 n) + 1
+shingles, and says for each how large a partner may be that it first meets there: what a document has
+left from that shingle on bounds the intersection.
+
+Regions are worked on in rounds. In the first, documents link to the nearest of their region and to
+its centre, the document with the most possible links; what lies within the threshold of a centre is one
+component without further pairs, so that groups of near copies cost no more than their members. The next
+rounds look only at documents of different components, the nearest first and more of them each time, until none
+are left. A region too large for one task is divided: Voronoi cells around sampled documents, each with the
+documents that the triangle inequality does not keep out of it, again and again; where the distances are
+so even that cells keep nearly everything, pairs of blocks. Distances in this step are Hamming
+distances of parity sketches, which are a metric and bound the symmetric difference from below. Sketches only rule
+pairs out; exact sets decide, so that the result is exact.
 """
 
 from __future__ import annotations
@@ -19,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, lower_ascii, materialize, mix64, parquet, ragged, slices, utf8, window_hashes, word_hashes, word_spans
+from .common import discard, lower_ascii, materialize, mix64, parquet, ragged, slices, utf8, whole_groups, window_hashes, word_hashes, word_spans
 
 SHINGLE = 5
 #: Similarity in percent: documents link when 100 x intersection >= PERCENT x union.
@@ -31,12 +38,18 @@ PERCENT = 80
 #: in powers of two between these.
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 24
 CHUNKS = 64
-#: Regions of up to so many documents compare all; larger ones when so many pairs for each document are left.
-SMALL, FEW = 16, 4
 #: Bits of a set's parity sketch, at least and at most: as many as the set has shingles, in powers of two. The
 #: Hamming distance of two sketches bounds the symmetric difference from below; a longer one is folded to the shorter.
 LEAST_BITS, MOST_BITS = 256, 65536
-#: Documents that are compared with one pivot in one task, about.
+#: Documents that one task compares with one another; larger regions are divided.
+CELL = 1024
+#: Pivots of a region that is divided, at least and at most.
+LEAST_PIVOTS, MOST_PIVOTS = 16, 512
+#: A document goes to so many cells on average at most, or the region is compared in pairs of blocks.
+REPLICAS = 3
+#: Pairs and sketch words that are in memory at once.
+PAIRS, WORDS = 1 << 18, 1 << 20
+#: Documents that are compared with one other in one task, about.
 REGION = 256
 
 
@@ -55,11 +68,17 @@ def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             hashes.append(window_hashes(words, n, 100 + n)[first[short]])
             rows.append(short)
     h, r = np.concatenate(hashes), np.concatenate(rows)
-    order = np.lexsort((h, r))
-    h, r = h[order], r[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return r[keep], h[keep]
+    bits = np.uint64(max(1, len(count).bit_length()))
+    key = (r.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits)
+    order = np.argsort(key)
+    key, h, r = key[order], h[order], r[order]
+    new = np.ones(len(h), bool)
+    new[1:] = key[1:] != key[:-1]
+    if ((h[1:] != h[:-1]) & ~new[1:]).any():  # equal but for the lowest bits
+        order = np.lexsort((h, r))
+        h, r = h[order], r[order]
+        new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+    return r[new], h[new]
 
 
 def _nodes(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
@@ -104,54 +123,252 @@ def _counter(hashes: np.ndarray, counters: int) -> np.ndarray:
     return (hashes >> np.uint64(65 - counters.bit_length())).astype(np.int64)
 
 
-def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            have = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64)
-            total[chunk] = total[chunk] + have if chunk in total else have
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+def _order(chunks: DataFrame, counters: int, mean: float) -> np.ndarray:
+    """A class of commonness (0 to 31) for each counter, from counts over all documents: a byte each."""
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                have = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64)
+                total[chunk] = total[chunk] + have if chunk in total else have
+        for chunk, x in total.items():
+            out = np.clip(np.floor(3 * np.log2(np.maximum(x, 1) / max(mean, 1))), 0, 31).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["chunk", "classes"])
+
+    order = np.zeros((CHUNKS, counters // CHUNKS), np.uint8)
+    for r in chunks.repartition(CHUNKS, "chunk").mapInArrow(classes, "chunk int, classes binary").toLocalIterator():  # CHUNKS rows, one at a time
+        order[r["chunk"]] = np.frombuffer(r["classes"], np.uint8)
+    return order.reshape(-1)
+
+
+def reach(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The largest partner that a set of n shingles can link with if the first shingle that both hold is its number `at`."""
+    return (100 + PERCENT) * (n - at) // PERCENT - n
+
+
+# ---- regions ----
+
+_REGION = "region long, node long, n int, reach int, sketch array<long>, component long, home int"
+_FIELDS = tuple(x.split()[0] for x in _REGION.split(", "))
+#: Part of a document in a region. Pairs count where one is at home in it, or the two stand in different blocks.
+VISITOR, HOME, LEFT, RIGHT = 0, 1, 2, 3
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (a row each) folded to a number of words: words that stand that far apart are added modulo 2."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+
+class _Sketches:
+    """Sketches of different lengths."""
+
+    def __init__(self, column: pa.Array) -> None:
+        self.flat = column.flatten().to_numpy().view(np.uint64)
+        at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+        self.at, self.words = at[:-1], np.diff(at)
+        self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, words: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each row in the matrix, matrix) of rows with words to `most` words, folded to `words`."""
+        if words not in self.made:
+            place, parts, done = np.zeros(len(self.words), np.int64), [], 0
+            for w in np.unique(self.words[(self.words >= words) & (self.words <= most)]):
+                rows = np.flatnonzero(self.words == w)
+                parts.append(_folded(self.flat[self.at[rows][:, None] + np.arange(w)], words))
+                place[rows] = done + np.arange(len(rows))
+                done += len(rows)
+            self.made[words] = place, np.concatenate(parts)
+        return self.made[words]
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Hamming distances of pairs of rows whose lengths are at most a factor of two apart."""
+        out = np.zeros(len(i), np.int64)
+        words = np.minimum(self.words[i], self.words[j])
+        for w in np.unique(words):
+            place, matrix = self.of(int(w), 2 * int(w))
+            some = np.flatnonzero(words == w)
+            for part in np.array_split(some, max(1, -(-len(some) * int(w) // WORDS))):
+                out[part] = np.bitwise_count(matrix[place[i[part]]] ^ matrix[place[j[part]]]).sum(axis=1)
+        return out
+
+
+def _survivors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows in whole regions that sizes, windows and sketches leave possible, and their sketches' distance."""
+    region, node, n, reaches, _, component, home = (rows[f].combine_chunks() for f in _FIELDS)
+    region, node, n, reaches, component, home = (x.to_numpy().astype(np.int64) for x in (region, node, n, reaches, component, home))
+    sketches = _Sketches(rows["sketch"].combine_chunks())
+    begin = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+    end = np.repeat(np.append(begin[1:], len(region)), np.diff(np.append(begin, len(region))))
+    partners = end - np.arange(len(region)) - 1
+    upto, found, a = np.cumsum(partners), [], 0
+    while a < len(region):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+        i = np.repeat(np.arange(a, b), partners[a:b])
+        j = ragged(np.arange(a, b) + 1, partners[a:b])
+        ok = (n[j] <= reaches[i]) & (n[i] <= reaches[j]) & (component[i] != component[j]) & (node[i] != node[j])
+        ok &= (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & ((home[i] == HOME) | (home[j] == HOME) | (home[i] + home[j] == LEFT + RIGHT))
+        i, j = i[ok], j[ok]
+        apart, both = sketches.apart(i, j), n[i] + n[j]
+        ok = 100 * (both - apart) >= PERCENT * (both + apart)
+        found.append((i[ok], j[ok], apart[ok]))
+        a = b
+    return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True))  # type: ignore[return-value]
+
+
+_PAIRS = "a long, b long, left long"
+
+
+def _candidates(nearest: int, centre: bool):
+    """The pairs to hold against each other in this round: those in which one is among the other's `nearest`, and those
+    with the region's centre. `left` is the number of possible pairs that are not among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches):
+            i, j, apart = _survivors(rows)
+            if not len(i):
+                continue
+            region, node = rows["region"].to_numpy(), rows["node"].to_numpy()
+            m = len(i)
+            x, y = np.concatenate([i, j]), np.concatenate([j, i])
+            order = np.lexsort((node[y], np.concatenate([apart, apart]), x))
+            first = np.searchsorted(x[order], x[order])
+            rank = np.empty(2 * m, np.int64)
+            rank[order] = np.arange(2 * m) - first
+            take = (rank[:m] < nearest) | (rank[m:] < nearest)
+            degree = np.bincount(x, minlength=len(node))
+            if centre:
+                best = np.lexsort((node, -degree, region))
+                centres = np.zeros(len(node), bool)
+                centres[best[np.append(True, region[best][1:] != region[best][:-1])]] = True
+                take |= centres[i] | centres[j]
+            hub = degree[i] >= degree[j]
+            a, b = np.where(hub, node[j], node[i])[take], np.where(hub, node[i], node[j])[take]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "left"])
+            if len(a) < m:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([m - len(a)])], ["a", "b", "left"])
+
+    return run
 
 
-def _order(chunks: DataFrame, counters: int) -> np.ndarray:
-    """A class of commonness (0 to 31) for each counter, from counts over all documents."""
-    counts = np.zeros((CHUNKS, counters // CHUNKS), np.int64)
-    for r in chunks.repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").toLocalIterator():  # CHUNKS rows, one at a time
-        counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    flat = counts.reshape(-1)
-    return np.clip(np.floor(3 * np.log2(np.maximum(flat, 1) / max(flat.mean(), 1))), 0, 31).astype(np.uint8)
+def _looked_into(rows: DataFrame, nearest: int, centre: bool) -> tuple[DataFrame, int]:
+    """Candidate pairs (a, b) of regions of at most CELL documents, and the number of those left for later rounds."""
+    found = materialize(rows.select(*_FIELDS).repartition("region").sortWithinPartitions("region").mapInArrow(_candidates(nearest, centre), _PAIRS), "found")
+    low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
+    pairs = found.filter("a IS NOT NULL").groupBy(low, high).agg(F.max("b").alias("b"))
+    pairs = materialize(pairs.select(F.when(F.col("b") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("a"), "b"), "candidates")
+    left = found.agg(F.sum("left")).first()[0] or 0
+    discard(found)
+    return pairs, left
 
 
-def _folded(sketch: Column, words: Column) -> Column:
-    """A sketch folded to a number of words: words that stand that far apart are added modulo 2."""
-    part = lambda i: F.aggregate(F.sequence(i, F.size(sketch) - 1, words), F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.get(sketch, j)))
-    return F.when(F.size(sketch) == words, sketch).otherwise(F.transform(F.sequence(F.lit(0), words - 1), part))
+def _blocks(regions: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Regions for the first round: of those with over CELL documents, hashed blocks, each with the same few pivots."""
+    rows = regions.join(sizes, "region").withColumns({"parts": F.ceil(F.col("k") / CELL).cast("int"), "component": F.col("node"), "home": F.lit(HOME)})
+    block = F.when(F.col("parts") > 1, F.xxhash64("region", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")))).otherwise(F.col("region"))
+    pivots = rows.filter((F.col("parts") > 1) & (_fraction("node", 3) * F.col("k") < LEAST_PIVOTS))
+    pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("region", F.xxhash64("region", F.col("part").cast("long")))
+    return rows.withColumn("region", block).select(*_FIELDS).union(pivots.select(*_FIELDS))
 
 
-def _possible(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and sketches leave room for a similarity of percent. Columns n_a, s_a, n_b, s_b."""
-    na, nb, sa, sb = (F.col(f"{c}_{x}") for c in "ns" for x in (a, b))
-    words = F.least(F.size(sa), F.size(sb))
-    each = F.zip_with(_folded(sa, words), _folded(sb, words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    apart = F.aggregate(each, F.lit(0), lambda t, x: t + x)
-    return F.when(100 * F.least(na, nb) < percent * F.greatest(na, nb), F.lit(False)).otherwise(100 * (na + nb - apart) >= percent * (na + nb + apart))
+def _fraction(column: str, seed: int) -> Column:
+    """A hash between 0 and 1."""
+    return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def _with(pairs: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
-    return pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+_SPLIT = "region long, node long, n int, reach int, sketch array<long>, component long, home int, blocks boolean"
 
 
-def _narrowed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches do not rule out."""
-    return _with(_with(pairs, nodes, "a"), nodes, "b").filter(_possible("a", "b", percent)).select(*pairs.columns)
+def _assigned(cell_size: int, most_replicas: float):
+    """Input by part of a region, pivots first: (key, role, k, words) and the region's fields. Each document's cells."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            keys = table["key"].to_numpy()
+            bounds = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            for a, b in zip(bounds, [*bounds[1:], len(keys)], strict=True):
+                part = table.slice(a, b - a).combine_chunks()
+                role, k, words = part["role"].to_numpy(), int(part["k"][0].as_py()), int(part["words"][0].as_py())
+                place, matrix = _Sketches(part["sketch"].chunk(0)).of(words)
+                matrix, n = matrix[place], part["n"].to_numpy().astype(np.int64)
+                slack = 2 * ((n + np.minimum(part["reach"].to_numpy(), 100 * n // PERCENT)) * (100 - PERCENT) // (100 + PERCENT))
+                pivots, rows = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+                if not len(rows):
+                    continue
+                near = _distances(matrix[pivots], matrix[pivots])
+                np.fill_diagonal(near, 1 << 30)
+                replicas = (near <= (near.min(axis=1) + slack[pivots])[:, None]).sum(axis=1).mean() if len(pivots) > 1 else np.inf
+                region, node = int(part["region"][0].as_py()), part["node"].to_numpy()
+                blocks = replicas > most_replicas
+                if blocks:
+                    parts = -(-2 * k // cell_size)
+                    own = (mix64(node.view(np.uint64) + np.uint64(77)) % np.uint64(parts)).astype(np.int64)[rows]
+                    who, other = np.repeat(np.arange(len(rows)), parts), np.tile(np.arange(parts), len(rows))
+                    low, high = np.minimum(own[who], other), np.maximum(own[who], other)
+                    cell = low * parts + high
+                    home = np.where(low == high, HOME, np.where(own[who] == low, LEFT, RIGHT))
+                else:
+                    out = [], [], []
+                    for some in np.array_split(rows, max(1, -(-len(rows) * len(pivots) * words // WORDS))):
+                        gap = _distances(matrix[some], matrix[pivots])
+                        nearest = gap.argmin(axis=1)
+                        x, p = np.nonzero(gap <= (gap.min(axis=1) + slack[some])[:, None])
+                        for o, v in zip(out, (x + (some[0] - rows[0]), p, p == nearest[x]), strict=True):
+                            o.append(v)
+                    who, cell, at_home = (np.concatenate(o) for o in out)
+                    home = np.where(at_home & (part["home"].to_numpy()[rows][who] == HOME), HOME, VISITOR)
+                    cell = node[pivots][cell]
+                name = mix64(cell.astype(np.int64).view(np.uint64) + mix64(np.array([region]).view(np.uint64) + np.uint64(3 + blocks)))
+                taken = part.take(pa.array(rows[who]))
+                columns = {"region": pa.array(name.view(np.int64)), "home": pa.array(home.astype(np.int32)), "blocks": pa.array(np.full(len(who), blocks))}
+                names = [x.split()[0] for x in _SPLIT.split(", ")]
+                yield from pa.table([columns.get(c, taken[c] if c not in columns else None) for c in names], names).combine_chunks().to_batches(10_000)
+
+    return run
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a), len(b)), np.int64)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    return out
+
+
+def _divided(rows: DataFrame) -> DataFrame:
+    """Rows of regions of over CELL documents, divided until no region has more: Voronoi cells and their windows.
+
+    A document x of the cell of p and one y that it links with, at most t apart: d(y, p) <= d(y, x) + d(x, p), and
+    d(x, p) is at most d(x, q) <= t + d(y, q) for y's own pivot q; so y visits each cell whose pivot is no
+    further than its own by 2 t. Where that is most cells, the region is compared in pairs of blocks.
+    """
+    done, level = None, 0
+    while True:
+        sizes = rows.groupBy("region").agg(F.count("*").alias("k"), F.min(F.size("sketch")).alias("words"))
+        sizes = materialize(sizes, "sizes")
+        large = sizes.filter(F.col("k") > CELL)
+        if not large.limit(1).count():
+            return rows if done is None else done.union(rows)
+        small = rows.join(sizes.filter(F.col("k") <= CELL).select("region"), "region").select(*_FIELDS)
+        done = small if done is None else done.union(small)
+        parts = F.ceil(F.col("k") / (4 * CELL)).cast("int")
+        large = rows.join(large, "region").withColumn("parts", parts)
+        share = F.least(F.greatest(2 * F.col("k") / CELL, F.lit(LEAST_PIVOTS)), F.lit(MOST_PIVOTS))
+        pivots = large.filter(_fraction("node", 7 + level) * F.col("k") < share).withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(0)})
+        members = large.withColumns({"part": F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")).cast("int"), "role": F.lit(1)})
+        both = pivots.union(members.select(*pivots.columns)).withColumn("key", F.xxhash64("region", "part")).select("key", "role", "k", "words", *_FIELDS)
+        split = materialize(both.repartition("key").sortWithinPartitions("key", "role", "node").mapInArrow(_assigned(CELL, REPLICAS), _SPLIT), "split")
+        done = done.union(split.filter("blocks").select(*_FIELDS))
+        rows, level = split.filter("NOT blocks").select(*_FIELDS), level + 1
+
+
+# ---- exact sets ----
 
 _LINKS = "a long, b long, both long, either long"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input by region, the pivot first: (b, salt, role, node, text). Exact intersections and unions."""
+    """Input by document b, that one first: (b, salt, role, node, text). Exact intersections and unions."""
     region, pivot = None, None
     for batch in batches:
         for part in slices(batch, "text"):
@@ -177,11 +394,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, all_at_once: bool = False) -> DataFrame:
-    """Pairs (a, b) with their exact intersection and union that link. Each pivot b and the documents held
-    against it meet in a region; regions of many documents are split and the pivot goes to each part."""
+    """Pairs (a, b) that link, by their exact intersection and union. Each b and the documents held
+    against it meet in a task; those with many are split and b goes to each part."""
     if all_at_once:
         docs = docs.hint("merge")  # a large share of the texts is wanted
-    salts = materialize(pairs.groupBy("b").agg((F.ceil(F.count("*") / REGION)).cast("int").alias("parts")), "regions")
+    salts = materialize(pairs.groupBy("b").agg((F.ceil(F.count("*") / REGION)).cast("int").alias("parts")), "salts")
     wanted = pairs.select(F.col("a").alias("node")).union(salts.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc"), "node")
     wanted = materialize(wanted, "wanted")  # its size is then known: Spark broadcasts it where it is under the threshold
     texts = materialize(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc"])).select("node", "text"), "texts")
@@ -189,7 +406,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, all_at_once:
     members = salted.join(texts.withColumnRenamed("node", "a"), "a").select("b", "salt", F.lit(1).alias("role"), F.col("a").alias("node"), "text")
     pivots = salts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts.withColumnRenamed("node", "b"), "b").select("b", "salt", F.lit(0).alias("role"), F.col("b").alias("node"), "text")
     regions = members.union(pivots).repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
-    links = materialize(regions.mapInArrow(_compare, _LINKS).filter(F.col("both") * 100 >= F.col("either") * PERCENT).distinct(), "links")
+    links = materialize(regions.mapInArrow(_compare, _LINKS).filter(F.col("both") * 100 >= F.col("either") * PERCENT).select("a", "b").distinct(), "links")
     discard(salts, wanted, texts)
     return links
 
@@ -205,10 +422,44 @@ def components(links: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("to"), F.col("component").alias("up"))
         following = materialize(step.join(up, "to").select("node", F.least("to", "up").alias("component"), F.col("component").alias("was")), "labels")
         if not following.filter("component <> was").limit(1).count():
+            discard(ends)
             return following.drop("was")
         labels = following.drop("was")
 
 
+def _regions(docs: DataFrame, nodes: DataFrame, order, counters: int) -> DataFrame:
+    """(region, node, n, reach, sketch): what shares a pivot, each set of documents once with its widest windows."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows, hashes = sets(part.column(0))
+                k = part.num_rows
+                names, n = _nodes(rows, hashes, k), np.bincount(rows, minlength=k)
+                rank = order.value[_counter(hashes, counters)].astype(np.uint64)
+                bits = np.uint64(k.bit_length())
+                key = (rows.astype(np.uint64) << (np.uint64(64) - bits)) | (rank << (np.uint64(59) - bits)) | (hashes >> (bits + np.uint64(5)))
+                at = np.argsort(key)
+                if (key[at[1:]] == key[at[:-1]]).any():  # ties go by the whole hash, by which the rows are sorted
+                    at = np.argsort(key, kind="stable")
+                rows, hashes = rows[at], hashes[at]
+                place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(k))[rows]
+                keep = place < (n - (PERCENT * n + 99) // 100 + 1)[rows]
+                rows, hashes, place = rows[keep], hashes[keep], place[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(names[rows].view(np.int64)), pa.array(reach(n[rows], place).astype(np.int32))], ["pivot", "node", "reach"])
+
+    replicated = docs.select("text").mapInArrow(windows, "pivot long, node long, reach int")
+    shared = replicated.groupBy("pivot").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("pivot")
+    shared = materialize(shared, "pivots")
+    members = materialize(replicated.join(shared, "pivot").groupBy("pivot", "node").agg(F.max("reach").alias("reach")), "members")
+    both = F.bit_xor(F.xxhash64("node", F.lit(1))), F.bit_xor(F.xxhash64("node", F.lit(2)))
+    same = members.groupBy("pivot").agg(F.xxhash64(*both, F.count("*")).alias("region"))  # pivots with the same documents
+    regions = members.join(same, "pivot").groupBy("region", "node").agg(F.max("reach").alias("reach"))
+    regions = materialize(regions.join(nodes.select("node", F.col("n").cast("int").alias("n"), "sketch"), "node").select("region", "node", "n", "reach", "sketch"), "regions")
+    discard(shared, members)
+    return regions
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the least doc_id reachable by links).
 
@@ -218,79 +469,44 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     repeat a doc_id stay rows; a null doc_id is never a component's least unless it stands alone; an
     empty df gives no rows. Shingles and sets are told apart by 64-bit hashes.
     """
+    return with_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def with_components(docs: DataFrame) -> DataFrame:
+    """As jaccard_components(), with `component`, a number that also those documents share that have no doc_id (null: empty set)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (16 * docs.count()).bit_length()))
     read = materialize(docs.mapInArrow(_summaries(counters), _SUMMARY), "summaries")
-    order = spark.sparkContext.broadcast(_order(read.filter("chunk IS NOT NULL").select("chunk", "counts"), counters))  # MOST_COUNTERS bytes at most
     summary = read.filter("chunk IS NULL").drop("chunk", "counts")
+    total = summary.agg(F.sum("n")).first()[0] or 0
+    order = spark.sparkContext.broadcast(_order(read.filter("chunk IS NOT NULL").select("chunk", "counts"), counters, total / counters))  # MOST_COUNTERS bytes at most
     nodes = materialize(summary.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    regions = _regions(docs, nodes, order, counters)
+    order.unpersist()
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows, hashes = sets(part.column(0))
-                k = part.num_rows
-                names, n = _nodes(rows, hashes, k), np.bincount(rows, minlength=k)
-                rank = order.value[_counter(hashes, counters)]
-                at = np.argsort(rows * 32 + rank, kind="stable")
-                rows, hashes = rows[at], hashes[at]
-                keep = np.arange(len(rows)) - np.searchsorted(rows, np.arange(k))[rows] < (n - (PERCENT * n + 99) // 100 + 1)[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(names[rows[keep]].view(np.int64))], ["pivot", "node"])
-
-    replicated = docs.select("text").mapInArrow(windows, "pivot long, node long")
-    shared = materialize(replicated.groupBy("pivot").count().filter("count > 1").select("pivot"), "pivots")
-    regions = materialize(replicated.join(shared, "pivot", "left_semi").distinct(), "regions")
-    sizes = materialize(regions.groupBy("pivot").agg(F.count("*").alias("k"), F.min("node").alias("b")).filter("k > 1"), "sizes")
-    discard(shared)
-
-    # first all pairs of small regions, and the least documents of the others against the rest
-    small = regions.join(sizes.filter(F.col("k") <= SMALL).select("pivot"), "pivot").groupBy("pivot").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(y.alias("a"), x.alias("b")))))
-    pairs = small.select(F.explode(each).alias("p")).select("p.*")
-    large = materialize(regions.join(sizes.filter(F.col("k") > SMALL).select("pivot", "b"), "pivot"), "large")
-    pairs = pairs.union(large.filter("node <> b").select(F.col("node").alias("a"), "b")).distinct()
-    candidates = materialize(_narrowed(pairs, nodes, PERCENT), "candidates")
-    links = _verified(docs, candidates, nodes, all_at_once=True)
+    sizes = regions.groupBy("region").agg(F.count("*").alias("k"))
+    pairs, _ = _looked_into(_blocks(regions, sizes), 2, True)
+    links = _verified(docs, pairs, nodes, all_at_once=True)
     labels = components(links)
-    discard(regions, sizes, candidates)
-
-    # then again and again documents of other components, four times as many each time, until little is left, which is compared in full
-    few = FEW * nodes.count()
-    large, at_once = large.select("pivot", "node"), 1
-    while True:
-        placed = large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = materialize(placed.groupBy("pivot", "component").agg(F.count("*").alias("k")), "parts")
-        size = parts.groupBy("pivot").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("c")).filter("c > 1")
-        size = materialize(size, "sizes")
-        left = size.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
-        if not left:
-            break
-        placed = materialize(placed.join(size.select("pivot", "main"), "pivot"), "placed")
-        if left <= few:
-            other = placed.select("pivot", F.col("node").alias("b"), F.col("component").alias("there"))
-            pairs = placed.join(other, "pivot").filter("component <> there AND node > b").select(F.col("node").alias("a"), "b").distinct()
-        else:
-            order = F.row_number().over(Window.partitionBy("pivot").orderBy("node"))
-            apart = placed.filter("component <> main").withColumn("place", order).filter(F.col("place") <= at_once)
-            apart = materialize(apart.select("pivot", F.col("node").alias("b"), F.col("component").alias("there")), "apart")
-            pairs = placed.join(apart, "pivot").filter("component <> there").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-            # these pivots are done in their regions
-            large = materialize(placed.select("pivot", "node").join(apart.select("pivot", F.col("b").alias("node")), ["pivot", "node"], "left_anti"), "large")
-            at_once *= 4
-        candidates = materialize(_narrowed(pairs, nodes, PERCENT), "candidates")
-        if candidates.limit(1).count():
-            links = links.union(_verified(docs, candidates, nodes))
+    nearest, left = 8, 1
+    while left:  # later rounds: documents of other components
+        placed = regions.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = placed.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
+        rows = materialize(placed.join(apart, "region").withColumn("home", F.lit(HOME)).select(*_FIELDS), "placed")
+        pairs, left = _looked_into(_divided(rows), nearest, False)
+        more = _verified(docs, pairs, nodes) if pairs.limit(1).count() else None
+        if more is not None and more.limit(1).count():
+            links = links.union(more)
             labels = components(links)
-        discard(parts, placed, candidates)
-        if left <= few:
-            break
+        discard(rows, pairs)
+        nearest *= 8
 
-    named = summary.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("doc_id", "node", F.col("n").alias("n_shingles"), "component")
+    named = summary.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("doc_id", F.col("n").alias("n_shingles"), "component")
     named = materialize(named, "named")
-    discard(read, nodes, large)
+    discard(read, nodes, regions)
     smallest = materialize(named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).filter("k > 1").drop("k"), "smallest")
-    return named.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return named.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "component")
 
 
 def op9_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

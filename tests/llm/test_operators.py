@@ -368,11 +368,13 @@ def shingle_sets(rows):
     return out
 
 
-@pytest.mark.parametrize("small,few", [(16, 4), (3, 1), (2, 0.1)])
-def test_jaccard(spark, monkeypatch, small, few):
+@pytest.mark.parametrize("cell,replicas", [(1024, 3), (4, 100), (6, 0)])
+def test_jaccard(spark, monkeypatch, cell, replicas):
+    """Whole regions, divided ones, those that are always divided into cells, and always into blocks."""
     monkeypatch.setattr(jaccard, "REGION", 2)
-    monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(jaccard, "REPLICAS", replicas)
+    monkeypatch.setattr(jaccard, "LEAST_PIVOTS", min(16, cell))
     base = rows_of(documents(spark, 90))
     r = random.Random(8)
     rows = [(x["doc_id"], x["text"]) for x in base]
