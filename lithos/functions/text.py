@@ -5,7 +5,7 @@ Patterns are matched with (?iU), so that letters of any script have case and \\w
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,11 @@ SMALL = "[а-яёa-z]"
 EDGES = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once: inside the functions of arrays Spark shares no subexpressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGES, "")
 

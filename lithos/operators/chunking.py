@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithos.functions.text import normalize, strip
+from lithos.functions.text import let, normalize, strip
 
 #: A unit ends at a blank line, or else behind a sentence.
 PARAGRAPH = r"\n\s*\n+"
@@ -14,10 +14,21 @@ SENTENCE = r"(?<=[.!?…])\s+(?=[А-ЯA-Z0-9])"
 
 def chunk_array(text: Column, size: int = 1200, overlap: int = 200) -> Column:
     """Units packed greedily to `size`; longer ones are cut at steps of size - overlap; then each chunk but
-    the first is led by the last `overlap` characters of the one before."""
-    text = normalize(F.coalesce(text, F.lit("")))
-    by_paragraph = F.split(text, PARAGRAPH)
-    units = F.when(F.size(by_paragraph) > 1, by_paragraph).otherwise(F.split(text, SENTENCE))
+    the first is led by the last `overlap` characters of the one before. The time is linear in the text's length."""
+    packed = let(normalize(F.coalesce(text, F.lit(""))), lambda t: _packed(t, size, overlap))
+    if overlap <= 0:
+        return packed
+
+    def led(whole: Column, c: Column, i: Column) -> Column:
+        before = F.element_at(whole, F.greatest(i, F.lit(1)))
+        tail = F.when(F.length(before) > overlap, F.substring(before, -overlap, overlap)).otherwise(before)
+        return F.when(i == 0, c).otherwise(F.substring(strip(F.concat(tail, F.lit("\n"), c)), 1, size + overlap))
+
+    return let(packed, lambda whole: F.transform(whole, lambda c, i: led(whole, c, i)))
+
+
+def _packed(text: Column, size: int, overlap: int) -> Column:
+    units = let(F.split(text, PARAGRAPH), lambda p: F.when(F.size(p) > 1, p).otherwise(F.split(text, SENTENCE)))
     units = F.filter(F.transform(units, strip), lambda u: u != "")
     none = F.array().cast("array<string>")
 
@@ -31,24 +42,16 @@ def chunk_array(text: Column, size: int = 1200, overlap: int = 200) -> Column:
     def step(acc: Column, u: Column) -> Column:
         done, current = acc["done"], acc["current"]
         joined = F.when(current == "", u).otherwise(F.concat(current, F.lit("\n\n"), u))
+        fits = F.length(u) + F.when(current == "", 0).otherwise(F.length(current) + 2) <= size
         state = lambda d, c: F.struct(d.alias("done"), c.alias("current"))
         return (
             F.when(F.length(u) > size, state(F.concat(add(done, current), pieces(u)), F.lit("")))
-            .when(F.length(joined) <= size, state(done, joined))
+            .when(fits, state(done, joined))
             .otherwise(state(add(done, current), u))
         )
 
     packed = F.aggregate(units, F.struct(none.alias("done"), F.lit("").alias("current")), step, lambda acc: add(acc["done"], strip(acc["current"])))
-    whole = F.when(text == "", none).when(F.length(text) <= size, F.array(text)).otherwise(packed)
-    if overlap <= 0:
-        return whole
-
-    def led(c: Column, i: Column) -> Column:
-        before = F.element_at(whole, F.greatest(i, F.lit(1)))
-        tail = F.when(F.length(before) > overlap, F.substring(before, -overlap, overlap)).otherwise(before)
-        return F.when(i == 0, c).otherwise(F.substring(strip(F.concat(tail, F.lit("\n"), c)), 1, size + overlap))
-
-    return F.transform(whole, led)
+    return F.when(text == "", none).when(F.length(text) <= size, F.array(text)).otherwise(packed)
 
 
 def chunks(docs: DataFrame, size: int = 1200, overlap: int = 200, text: str = "text") -> DataFrame:

@@ -20,43 +20,45 @@ def token_overlap(snippet: Column, corpus: Column) -> Column:
 def substring_overlap(snippet: Column, corpus: Column, window: int = 24) -> Column:
     """1 if the snippet's normal form, or a run of `window` words of it, is in the corpus's; else the best
     token overlap of such runs; snippets of under 4 words have their token overlap."""
-    own, whole = tx.overlap_form(snippet), tx.overlap_form(corpus)
-    words = F.split(own, " ")
-    n = F.least(F.size(words), F.lit(window))
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    tokens = tx.overlap_tokens(corpus)
-
-    def share(run: Column) -> Column:
-        t = tx.overlap_tokens(run)
-        return F.when(whole.contains(run), F.lit(1.0)).when(F.size(t) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(t, tokens)) / F.size(t))
-
-    best = F.array_max(F.transform(runs, share))
-    return F.when((own == "") | (whole == ""), F.lit(0.0)).when(whole.contains(own), F.lit(1.0)).when(F.size(words) < 4, token_overlap(snippet, corpus)).otherwise(best)
+    return tx.let(prepared(snippet, window), lambda p: _met(p, corpus, lambda _, sub: sub))
 
 
 def prepared(snippet: Column, window: int = 24) -> Column:
     """What overlap_with() needs of a snippet: to be computed once where many corpora meet it."""
-    form = tx.overlap_form(snippet)
-    words = F.split(form, " ")
-    n = F.least(F.size(words), F.lit(window))
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    with_tokens = F.transform(runs, lambda r: F.struct(r.alias("run"), tx.overlap_tokens(r).alias("tokens")))
-    return F.struct(tx.overlap_tokens(snippet).alias("tokens"), form.alias("form"), F.size(words).alias("n_words"), with_tokens.alias("runs"))
+
+    def parts(form: Column) -> Column:
+        words = F.split(form, " ")
+        n = F.least(F.size(words), F.lit(window))
+        runs = tx.let(F.struct(words.alias("w"), n.alias("n")), lambda s: F.transform(F.sequence(F.lit(0), F.size(s["w"]) - s["n"]), lambda i: F.array_join(F.slice(s["w"], i + 1, s["n"]), " ")))
+        with_tokens = F.transform(runs, lambda r: F.struct(r.alias("run"), tx.overlap_tokens(r).alias("tokens")))
+        return F.struct(tx.overlap_tokens(snippet).alias("tokens"), tx.overlap_tokens(form).alias("form_tokens"), form.alias("form"), F.size(words).alias("n_words"), with_tokens.alias("runs"))
+
+    return tx.let(tx.overlap_form(snippet), parts)
+
+
+def _met(p: Column, corpus: Column, result) -> Column:
+    """result(token overlap, substring overlap) of a prepared snippet. The corpus is put into its form once, and its
+    tokens are held against the snippet's once; the runs are then held against what both have."""
+    both = F.array_intersect(F.array_union(p["tokens"], p["form_tokens"]), tx.overlap_tokens(corpus))
+
+    def scores(c: Column) -> Column:
+        share = lambda t: F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(t, c["both"])) / F.size(t))
+        own, whole = share(p["tokens"]), c["whole"]
+        best = F.array_max(F.transform(p["runs"], lambda r: F.when(whole.contains(r["run"]), F.lit(1.0)).otherwise(share(r["tokens"]))))
+        sub = F.when((p["form"] == "") | (whole == ""), F.lit(0.0)).when(whole.contains(p["form"]), F.lit(1.0)).when(p["n_words"] < 4, own).otherwise(best)
+        return result(own, sub)
+
+    return tx.let(F.struct(tx.overlap_form(corpus).alias("whole"), both.alias("both")), scores)
 
 
 def overlap_with(p: Column, corpus: Column) -> Column:
     """C03 for a prepared snippet."""
-    whole, tokens = tx.overlap_form(corpus), tx.overlap_tokens(corpus)
-    share = lambda t: F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(t, tokens)) / F.size(t))
-    own = share(p["tokens"])
-    best = F.array_max(F.transform(p["runs"], lambda r: F.when(whole.contains(r["run"]), F.lit(1.0)).otherwise(share(r["tokens"]))))
-    sub = F.when((p["form"] == "") | (whole == ""), F.lit(0.0)).when(whole.contains(p["form"]), F.lit(1.0)).when(p["n_words"] < 4, own).otherwise(best)
-    return F.greatest(own, sub)
+    return _met(p, corpus, F.greatest)
 
 
 def citation_overlap(snippet: Column, corpus: Column) -> Column:
     """C03."""
-    return F.greatest(token_overlap(snippet, corpus), substring_overlap(snippet, corpus))
+    return tx.let(prepared(snippet), lambda p: overlap_with(p, corpus))
 
 
 def resolve_doc_ids(citations: DataFrame, hits: DataFrame) -> DataFrame:
