@@ -43,14 +43,14 @@ class DamagedArchive(ValueError):
 
 def members(stream: BinaryIO) -> Iterator[bytes]:
     """The gzip members of a stream in sequence, each inflated as its bytes arrive."""
-    unpack, out, held = zlib.decompressobj(31), [], b""
+    unpack, out, held, begun = zlib.decompressobj(31), [], b"", False
     while chunk := held or stream.read(READ_BYTES):
         out.append(unpack.decompress(chunk))
-        held = b""
+        held, begun = b"", True
         if unpack.eof:
             yield b"".join(out)
-            held, unpack, out = unpack.unused_data, zlib.decompressobj(31), []
-    if any(out):
+            held, unpack, out, begun = unpack.unused_data, zlib.decompressobj(31), [], False
+    if begun:
         raise DamagedArchive("the last member is cut off")
 
 
@@ -149,7 +149,8 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """The response and revisit records of archives (path): a row for each, read in sequence, a task for each few files.
 
     payload_bytes is the HTTP Content-Length, which revisits carry as well; a response's payload is held
-    against it and against the payload digest. payload is null for revisits. Damage raises DamagedArchive.
+    against it and against the payload digest. payload is null for revisits. Rows that repeat a page_id are
+    records of their own; no archives (an empty table) give no rows. Damage raises DamagedArchive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
