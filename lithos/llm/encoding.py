@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -12,8 +13,10 @@ import pyarrow as pa
 from .common import lower_ascii, slices, utf8, word_spans
 
 END = 2
-#: Distinct words whose ids a Python worker keeps; beyond that it starts afresh.
-KEPT_WORDS = 1_000_000
+#: Texts are encoded in slices of about so many bytes.
+ENCODED_BYTES = 1 << 20
+#: Bytes of the distinct words whose ids a Python worker keeps; beyond that it starts afresh.
+KEPT_BYTES = 2 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,27 +33,41 @@ class WordEncoder:
     where a letter or digit stands before it, as the pre-tokenizer splits there, and A-Z is lower-cased
     first, as the normalizer does. Words of small Latin letters alone are one piece of the
     pre-tokenizer, so that they go to the tokenizer's model directly; that way is taken only if it
-    gives the same ids on the probe words.
+    gives the same ids on the probe words. A tokenizer file of another kind, by its normalizer and
+    pre-tokenizer, encodes whole texts.
     """
 
     _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
     _PROBE = ("the", "tokenizer", "straße", "éèêîñ", "qzxjwvkq")
+    #: The rules of a file that may be encoded by words.
+    _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+    _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.by_words = self._splits_at_space()
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelling = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in self._LETTERS}
         self.plain = re.compile(f"[{self._LETTERS}]+")
-        self.direct = all(self._model_ids(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in self._PROBE)
+        self.direct = self.by_words and all(self._model_ids(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in self._PROBE)
         self.clear()
 
+    def _splits_at_space(self) -> bool:
+        rules = json.loads(self.tokenizer.to_str())
+        steps = (rules["normalizer"] or {}).get("normalizers", [])
+        splits = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        space = [(x["pattern"], x["content"]) for x in steps if x["type"] == "Replace"]
+        found = {k: splits[0].get(k) for k in ("pattern", "behavior", "invert")}
+        return [x["type"] for x in steps] == self._NORMALIZERS and space == [({"Regex": r"\s+"}, " ")] and found == {"pattern": {"Regex": self._SPLIT}, "behavior": "Removed", "invert": True}
+
     def _model_ids(self, word: str) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize(word.translate(self.spelling))]
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.size = 0
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
@@ -62,6 +79,7 @@ class WordEncoder:
         got = [self._model_ids(t) if d else next(others).ids for t, d in zip(texts, direct, strict=True)]
         for w in words:
             self.known[w] = len(self.known)
+            self.size += len(w)
         lengths = np.array([len(x) for x in got], np.int64)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
@@ -69,6 +87,10 @@ class WordEncoder:
 
     def encode(self, column: pa.Array, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in a row, and each row's offsets in them; null is as empty; `end` closes each row."""
+        if not self.by_words:
+            got = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            ids, bounds = np.concatenate([np.zeros(0, np.uint32), *got]), np.concatenate([[0], np.cumsum([len(x) for x in got], dtype=np.int64)])
+            return self._closed(ids, bounds, end)
         data, offsets = utf8(column)
         starts, ends, first = word_spans(data, offsets)
         if b"<|" not in data.tobytes():  # else a special token may stand there, which is matched as it is written
@@ -79,7 +101,7 @@ class WordEncoder:
             joined = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(_offsets(ends - starts)), pa.py_buffer(_gather(data, starts, ends))])
             coded = joined.dictionary_encode()
             words = coded.dictionary.to_pylist()
-            if len(self.known) > KEPT_WORDS:
+            if self.size > KEPT_BYTES:
                 self.clear()
             if new := [w for w in words if w not in self.known]:
                 self._learn(new)
@@ -90,9 +112,13 @@ class WordEncoder:
             bounds = total[first]
         else:
             ids, bounds = np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+        return self._closed(ids, bounds, end)
+
+    @staticmethod
+    def _closed(ids: np.ndarray, bounds: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         if end is None:
             return ids, bounds
-        return np.insert(ids, bounds[1:], np.uint32(end)), bounds + np.arange(n + 1)
+        return np.insert(ids, bounds[1:], np.uint32(end)), bounds + np.arange(len(bounds))
 
 
 _TAIL = np.zeros(256, bool)
@@ -142,10 +168,14 @@ def encoder(path: str) -> WordEncoder:
 
 
 def encoded(batches: Iterator[pa.RecordBatch], text: str, path: str, end: int | None = END) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with their rows' ids and offsets."""
-    for batch in batches:
-        for part in slices(batch, text):
-            yield part, *encoder(path).encode(part.column(part.schema.get_field_index(text)), end)
+    """Slices of the batches with their rows' ids and offsets. The words' ids are given up at the end, as Spark keeps its Python workers."""
+    own = encoder(path)
+    try:
+        for batch in batches:
+            for part in slices(batch, text, ENCODED_BYTES):
+                yield part, *own.encode(part.column(part.schema.get_field_index(text)), end)
+    finally:
+        own.clear()
 
 
 def crc32(ids: np.ndarray, before: int = 0) -> int:

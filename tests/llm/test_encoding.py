@@ -51,3 +51,23 @@ def test_corpus():
     texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
     check(texts)
     assert np.all(MINE.encode(pa.array(texts[:3]), None)[1] >= 0)
+
+
+def test_other_tokenizer():
+    """A file with other rules gives its own ids."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    whole, mine = Tokenizer.from_file(path), WordEncoder(path)
+    assert not mine.by_words and MINE.by_words
+    ids, bounds = mine.encode(pa.array(TEXTS, pa.string()))
+    for t, a, b in zip(TEXTS, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 2], t
+    assert mine.encode(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_words_are_given_up(monkeypatch):
+    from lithos.llm import encoding
+
+    monkeypatch.setattr(encoding, "KEPT_BYTES", 30)
+    for _ in range(2):
+        for t in TEXTS:
+            check([t])
