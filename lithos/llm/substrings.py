@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE, materialize, mix64, parquet, ragged, slices, utf8, window_hashes, word_hashes, word_spans
+from .common import _SPACE, materialize, mix64, parquet, ragged, slices, utf8, whole_groups, window_hashes, word_hashes, word_spans
 from .encoding import _gather, _offsets
 
 WINDOW = 20
@@ -21,8 +21,9 @@ BUCKET = 2000
 #: Windows that a task sorts together, in whole buckets.
 SORTED = 200_000
 
-_RUNS = "m long, g long, doc_id long, start int, n int"
-_SPANS = "doc_id long, start int, n int"
+#: A document is known by its id and the hash of its text, t.
+_RUNS = "m long, g long, doc_id long, t long, start int, n int"
+_SPANS = "doc_id long, t long, start int, n int"
 _LEAST = -(1 << 63)
 #: Lower bits that give way to the m-mer's place when minimisers are compared: enough for any Arrow string.
 _PLACE = np.uint64(28)
@@ -71,32 +72,32 @@ def _split(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            data, _, starts, ends, first = _split(part.column(1))
+            data, _, starts, ends, first = _split(part.column(2))
             m, g, at, n = super_kmers(word_hashes(data, starts, ends), first)
             row = np.searchsorted(first, at, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(m.view(np.int64)), pa.array(g.view(np.int64)), part.column(0).take(pa.array(row)), pa.array((at - first[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["m", "g", "doc_id", "start", "n"],
+                [pa.array(m.view(np.int64)), pa.array(g.view(np.int64)), *(part.column(i).take(pa.array(row)) for i in (0, 1)), pa.array((at - first[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                ["m", "g", "doc_id", "t", "start", "n"],
             )
 
 
-_PACKS = "bucket long, hot boolean, doc_id long, start int, n int, packed binary"
+_PACKS = "bucket long, hot boolean, doc_id long, t long, start int, n int, packed binary"
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The asked-for super-k-mers of each text as packed strings: words joined by one space; in hot buckets, of one window each."""
     for batch in batches:
         for part in slices(batch, "text"):
-            data, _, starts, ends, first = _split(part.column(1))
-            ids, out = part.column(0).to_pylist(), [[] for _ in range(6)]
-            for row, asked in enumerate(part.column(2).to_pylist()):
+            data, _, starts, ends, first = _split(part.column(2))
+            ids, hashes, out = part.column(0).to_pylist(), part.column(1).to_pylist(), [[] for _ in range(7)]
+            for row, asked in enumerate(part.column(3).to_pylist()):
                 for x in asked:
                     a = first[row] + x["start"]
                     words = [data[s:e].tobytes() for s, e in zip(starts[a : a + x["n"] + WINDOW - 1], ends[a : a + x["n"] + WINDOW - 1], strict=True)]
                     for i, k in [(i, 1) for i in range(x["n"])] if x["hot"] else [(0, x["n"])]:
-                        for o, v in zip(out, (x["m"], x["hot"], ids[row], x["start"] + i, k, b" ".join(words[i : i + k + WINDOW - 1])), strict=True):
+                        for o, v in zip(out, (x["m"], x["hot"], ids[row], hashes[row], x["start"] + i, k, b" ".join(words[i : i + k + WINDOW - 1])), strict=True):
                             o.append(v)
-            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], [x.split()[0] for x in _PACKS.split(", ")])
 
 
@@ -120,7 +121,7 @@ def equal_windows(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def _later(packs: pa.Table) -> pa.RecordBatch:
-    """Windows of whole buckets whose words also start earlier, as (doc_id, start, n)."""
+    """Windows of whole buckets whose words also start earlier, as (doc_id, t, start, n)."""
     n = packs["n"].to_numpy().astype(np.int64)
     column = packs["packed"].combine_chunks().cast(pa.large_binary())
     data, offsets, starts, ends, first = _split(pa.Array.from_buffers(pa.large_string(), len(column), column.buffers(), offset=column.offset))
@@ -129,78 +130,68 @@ def _later(packs: pa.Table) -> pa.RecordBatch:
     same = equal_windows(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))[at]
     row = np.repeat(np.arange(len(n)), n)
     start = packs["start"].to_numpy().astype(np.int64)[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    doc = packs["doc_id"].combine_chunks().fill_null(_LEAST).to_numpy()[row]
-    order = np.lexsort((start, doc, same))
+    doc, t = packs["doc_id"].combine_chunks().fill_null(_LEAST).to_numpy()[row], packs["t"].to_numpy()[row]
+    order = np.lexsort((start, t, doc, same))
     again = np.zeros(len(row), bool)
     group = same[order]
     first_of = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1]), np.arange(len(order)), 0))
     earliest = order[first_of]
-    again[order] = (doc[order] != doc[earliest]) | (start[order] != start[earliest])
+    again[order] = (doc[order] != doc[earliest]) | (t[order] != t[earliest]) | (start[order] != start[earliest])
     hit = np.flatnonzero(again)
     new = np.ones(len(hit), bool)
     new[1:] = (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])
     begin = np.flatnonzero(new)
     length = np.diff(np.append(begin, len(hit)))
-    return pa.RecordBatch.from_arrays([packs["doc_id"].combine_chunks().take(pa.array(row[hit[begin]])), pa.array(start[hit[begin]].astype(np.int32)), pa.array(length.astype(np.int32))], ["doc_id", "start", "n"])
+    ids = [packs[c].combine_chunks().take(pa.array(row[hit[begin]])) for c in ("doc_id", "t")]
+    return pa.RecordBatch.from_arrays([*ids, pa.array(start[hit[begin]].astype(np.int32)), pa.array(length.astype(np.int32))], ["doc_id", "t", "start", "n"])
 
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input sorted by bucket. Chunks of whole buckets."""
-    held: list[pa.RecordBatch] = []
-    count = 0
-    for batch in batches:
-        while batch.num_rows:
-            keys = batch.column(0).to_numpy()
-            if count >= SORTED:
-                last = held[-1].column(0)[-1].as_py()
-                same = int(np.searchsorted(keys != last, True)) if keys[0] == last else 0
-                if same:
-                    held.append(batch.slice(0, same))
-                if same < batch.num_rows:
-                    yield _later(pa.Table.from_batches(held))
-                    held, count = [], 0
-                batch = batch.slice(same)
-                continue
-            windows = np.cumsum(batch.column(4).to_numpy())
-            take = min(batch.num_rows, int(np.searchsorted(windows, SORTED - count)) + 1)
-            held.append(batch.slice(0, take))
-            count += int(windows[take - 1])
-            batch = batch.slice(take)
+    """Input sorted by bucket. Tables of whole buckets."""
+    held: list[pa.Table] = []
+    windows = 0
+    for table in whole_groups(batches):
+        held.append(table)
+        windows += int(table["n"].to_numpy().sum())
+        if windows >= SORTED:
+            yield _later(pa.concat_tables(held))
+            held, windows = [], 0
     if held:
-        yield _later(pa.Table.from_batches(held))
+        yield _later(pa.concat_tables(held))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, n): n windows from word `start` on whose words also start earlier. docs: doc_id, text.
+    """(doc_id, t, start, n): n windows from word `start` on whose words also start earlier. docs: doc_id, t (hash of the text), text.
 
     Super-k-mers whose minimiser stands once in the corpus cannot have repeats and stop there. Of equal
     super-k-mers only the earliest need be looked into, all windows of the others being repeats; so the
     groups of copies, however large, shrink to one string each before strings travel. What is left goes
-    as packed strings to the minimisers' buckets, where sorting finds equal windows exactly.
+    as packed strings to the minimisers' buckets, where sorting finds equal windows by their words. Super-k-mers
+    are told apart by 128 bits of hash.
     """
     spark = docs.sparkSession
     runs = docs.mapInArrow(_runs, _RUNS)
     shared = materialize(runs.groupBy("m").count().filter("count > 1").select("m"), "minimisers")
     runs = materialize(runs.join(shared, "m", "left_semi"), "superkmers")
-    strings = materialize(runs.groupBy("m", "g").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("n").alias("n"), F.count("*").alias("c")), "strings")
+    strings = materialize(runs.groupBy("m", "g").agg(F.min(F.struct("doc_id", "t", "start")).alias("first"), F.max("n").alias("n"), F.count("*").alias("c")), "strings")
     again = runs.join(strings.filter("c > 1").select("m", "g", "first"), ["m", "g"])
-    copies = again.filter(~F.struct("doc_id", "start").eqNullSafe(F.col("first"))).select("doc_id", "start", "n")
+    copies = again.filter(~F.struct("doc_id", "t", "start").eqNullSafe(F.col("first"))).select("doc_id", "t", "start", "n")
     buckets = materialize(strings.groupBy("m").count().filter("count > 1").withColumnRenamed("count", "strings"), "buckets")
-    asked = strings.join(buckets, "m").select(F.col("first.doc_id").alias("id"), F.struct("m", F.col("first.start").alias("start"), "n", (F.col("strings") > BUCKET).alias("hot")).alias("x"))
-    asked = asked.groupBy("id").agg(F.collect_list("x").alias("asked"))  # no more than the document has words
-    packs = materialize(docs.join(asked, docs["doc_id"].eqNullSafe(asked["id"])).select("doc_id", "text", "asked").mapInArrow(_packs, _PACKS), "packs")
+    asked = strings.join(buckets, "m").select(F.col("first.doc_id").alias("id"), F.col("first.t").alias("hash"), F.struct("m", F.col("first.start").alias("start"), "n", (F.col("strings") > BUCKET).alias("hot")).alias("x"))
+    asked = asked.groupBy("id", "hash").agg(F.collect_list("x").alias("asked"))  # no more than the document has words
+    packs = materialize(docs.join(asked, docs["doc_id"].eqNullSafe(asked["id"]) & (docs["t"] == asked["hash"])).select("doc_id", "t", "text", "asked").mapInArrow(_packs, _PACKS), "packs")
     sorted_ = packs.filter("NOT hot").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, _SPANS)
-    hot = packs.filter("hot").select("doc_id", "start", "n", "packed")
-    earliest = materialize(hot.groupBy("packed").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"), "hot")
-    hot = hot.join(earliest, "packed").filter(~F.struct("doc_id", "start").eqNullSafe(F.col("first"))).select("doc_id", "start", "n")
+    hot = packs.filter("hot").select("doc_id", "t", "start", "n", "packed")
+    earliest = materialize(hot.groupBy("packed").agg(F.min(F.struct("doc_id", "t", "start")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"), "hot")
+    hot = hot.join(earliest, "packed").filter(~F.struct("doc_id", "t", "start").eqNullSafe(F.col("first"))).select("doc_id", "t", "start", "n")
     return copies.union(sorted_).union(hot)
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     """docs with `__spans`, the array of its document's (start, n)."""
-    spans = repeated_spans(docs.select(F.col("doc_id").cast("long"), "text"))
-    spans = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
-    return docs.join(spans, docs["doc_id"].eqNullSafe(spans["__id"]), "left").drop("__id")
+    spans = repeated_spans(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text"))
+    spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).agg(F.collect_set(F.struct("start", "n")).alias("__spans"))
+    return docs.join(spans, docs["doc_id"].eqNullSafe(spans["__id"]) & (F.xxhash64(docs["text"]) == spans["__t"]), "left").drop("__id", "__t")
 
 
 def kept_words(docs: DataFrame) -> DataFrame:
@@ -208,8 +199,9 @@ def kept_words(docs: DataFrame) -> DataFrame:
 
     A word goes if it is in a window of 20 words that also starts earlier: in a smaller doc_id (null is
     the smallest), or earlier in the same document. Windows are judged on the input. Texts of under 20
-    words have no window; null texts have no words; rows that repeat a doc_id count as one document;
-    an empty df gives no rows; other columns are not looked at.
+    words have no window; null texts have no words; rows that repeat a doc_id and its text count as one
+    document; different texts of one doc_id, or of none, are documents that follow one another by the
+    hash of their texts; an empty df gives no rows; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
