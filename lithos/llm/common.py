@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +26,11 @@ def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir; a temporary one only where that is unset."""
+    """This application's folder under spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/lithos-{spark.sparkContext.applicationId}"
@@ -58,6 +63,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df in as many partitions as `rows` fill, 8 at least: for tables far smaller than what the shuffles are set for."""
+    return df.coalesce(max(8, -(-rows // each)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes materialized tables that no later step reads."""
     for df in tables:
@@ -101,6 +111,22 @@ def rank_distinct(df: DataFrame, column: str) -> DataFrame:
     return placed.withColumn("__rank", place).drop("__at")
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, after which the worker gives free memory back: Spark keeps its Python workers, and their
+    memory counts for the executor while the next stage runs."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return inner
+
+
 # ---- texts in Arrow batches ----------------------------------------------------------------------
 
 

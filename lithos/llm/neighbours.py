@@ -9,22 +9,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, parquet
+from .common import materialize, parquet, tidy
 
 #: Dimensions of the projection; even, for the closed form of the chi-square distribution.
 DIMS = 8
 #: Probability with which the stopping test leaves no nearer neighbour behind.
 SURE = 0.97
-#: Rows that fit the cells at most, those with the least hash of their id; every row is indexed.
-SAMPLE = 20_000
-#: Cells at most, rows of a part of a cell and queries of a block, about.
-CELLS = 4096
+#: Rows that fit the tree of cells, those with the least hash of their id; then rows of each cell that has over 2 x PART
+#: rows, which fit a tree of its own. Every row is indexed.
+SAMPLE, CELL_SAMPLE = 20_000, 4096
+#: Rows of a cell, or of a part of it where its trees give no more cells, and queries of a block, about.
 PART = 8192
 BLOCK = 4096
+#: Sampled rows of a cell at least.
+LEAST = 16
 LEAF = 64
 
-_INDEX = "vec_id long, cell int, projected array<double>, vector array<float>, norm double"
+_INDEX = "vec_id long, projected array<double>, vector array<float>, norm double"
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -72,20 +75,71 @@ def split(points: np.ndarray, most: int) -> tuple[list[np.ndarray], list[tuple]]
     return leaves, tree
 
 
-def cell_boxes(tree: list[tuple], dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the leaves' cells, in the order of the leaves."""
-    low, high, out = np.full(dims, -np.inf), np.full(dims, np.inf), []
-    todo = [(low, high)]
-    for node in tree:
-        low, high = todo.pop()
-        if node is None:
-            out.append((low, high))
-            continue
-        d, v = node
-        upper, lower = high.copy(), low.copy()
-        upper[d], lower[d] = v, v
-        todo += [(lower, high), (low, upper)]
-    return np.array([o[0] for o in out]), np.array([o[1] for o in out])
+class Cells:
+    """A kd-tree over projections whose leaves are the cells; a cell can be given a tree of its own."""
+
+    def __init__(self, tree: list[tuple | None], dims: int = DIMS) -> None:
+        self.dims = dims
+        self.nodes: list[list] = []  # dimension, value, left, right; a leaf has dimension -1
+        self._graft(tree)
+        self._freeze()
+
+    def _graft(self, tree: list[tuple | None], at: int | None = None) -> None:
+        """Adds the preorder tree as a new root, or in place of the leaf `at`."""
+        open_: list[tuple[int, int]] = []
+        for k, node in enumerate(tree):
+            here = at if k == 0 and at is not None else len(self.nodes)
+            if here == len(self.nodes):
+                self.nodes.append([-1, 0.0, -1, -1])
+            if k:
+                parent, side = open_.pop()
+                self.nodes[parent][side] = here
+            if node is not None:
+                self.nodes[here][:2] = node
+                open_ += [(here, 3), (here, 2)]
+
+    def _freeze(self) -> None:
+        self.dim, self.value, self.left, self.right = (np.array([n[i] for n in self.nodes]) for i in range(4))
+        n = len(self.nodes)
+        self.low, self.high = np.full((n, self.dims), -np.inf), np.full((n, self.dims), np.inf)
+        todo = [0]
+        while todo:
+            x = todo.pop()
+            if self.dim[x] >= 0:
+                for y in (self.left[x], self.right[x]):
+                    self.low[y], self.high[y] = self.low[x], self.high[x]
+                self.high[self.left[x], self.dim[x]] = self.low[self.right[x], self.dim[x]] = self.value[x]
+                todo += [self.left[x], self.right[x]]
+
+    def refined(self, trees: dict[int, list[tuple | None]]) -> Cells:
+        for leaf, tree in trees.items():
+            self._graft(tree, leaf)
+        self._freeze()
+        return self
+
+    def home(self, points: np.ndarray) -> np.ndarray:
+        """The cell of each point."""
+        at = np.zeros(len(points), np.int64)
+        live = np.flatnonzero(self.dim[at] >= 0)
+        while len(live):
+            x = at[live]
+            at[live] = np.where(points[live, self.dim[x]] < self.value[x], self.left[x], self.right[x])
+            live = live[self.dim[at[live]] >= 0]
+        return at
+
+    def within(self, points: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, cell) of all cells whose squared distance to the point is `most` or less; other branches are not entered."""
+        who, at = np.arange(len(points)), np.zeros(len(points), np.int64)
+        out = []
+        while len(who):
+            p = points[who]
+            gap = np.maximum(np.maximum(self.low[at] - p, p - self.high[at]), 0)
+            keep = (gap * gap).sum(axis=1) <= most[who]
+            who, at = who[keep], at[keep]
+            leaf = self.dim[at] < 0
+            out.append((who[leaf], at[leaf]))
+            who, at = np.tile(who[~leaf], 2), np.concatenate([self.left[at[~leaf]], self.right[at[~leaf]]])
+        return np.concatenate([w for w, _ in out] or [who]), np.concatenate([x for _, x in out] or [at])
 
 
 def box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -157,27 +211,27 @@ class Part:
 
 
 def clean(embeddings: DataFrame) -> DataFrame:
-    """vec_id, vector, norm of the rows that take part: finite in every component, not zero, of the usual length."""
+    """vec_id, vector, norm of the rows that take part: finite in every component and not zero."""
     v = F.col("embedding")
     rows = embeddings.select(F.col("vec_id").cast("long"), v.cast("array<float>").alias("vector")).filter(
         F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     )
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).filter("norm > 0")
-    usual = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("vector") == (usual[0] if usual else -1))
+    return rows.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).filter("norm > 0")
 
 
 def search(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """The k rows of embeddings (vec_id, embedding) with the largest inner product with each query (the same columns).
 
     query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. A query's own vec_id is no
-    candidate; a vec_id stands once in a result; all candidates are returned where there are fewer than
-    k. Null, zero and non-finite vectors, null ids and vectors of an unusual length take no part, on
-    either side; empty tables give no rows; other columns are not looked at.
+    candidate; a vec_id stands once in a result, with its best score where rows repeat it; of rows that repeat a query's
+    vec_id the least vector asks. All candidates are returned where there are fewer than k. Null, zero and
+    non-finite vectors and null ids take no part, on either side; of vectors of different lengths the shorter has zeros
+    at its end; empty tables give no rows; other columns are not looked at.
 
     Inner products become distances: rows get a component that brings all to the largest norm, queries
     are scaled to it. Cells cut the projected space; a query first looks into its own cell, and then into
-    the cells that the stopping test, at the distance found there, does not rule out.
+    the cells that the stopping test, at the distance found there, does not rule out. Cells grow in number with the rows,
+    and a block of queries meets only the cells that its queries look into.
     """
     spark = embeddings.sparkSession
     rows, asked = clean(embeddings), clean(queries)
@@ -185,6 +239,9 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     if not stats[0]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     total, largest, dim = stats
+    padded = F.when(F.size("vector") == dim, F.col("vector")).otherwise(F.slice(F.concat("vector", F.array_repeat(F.lit(0.0).cast("float"), dim)), 1, dim))
+    rows, asked = rows.withColumn("vector", padded), asked.filter(F.size("vector") <= dim).withColumn("vector", padded)
+    asked = asked.groupBy("vec_id").agg(F.min(F.struct("vector", "norm")).alias("v")).select("vec_id", "v.*")
     table = projection(dim)
 
     def project(vectors: np.ndarray, norms: np.ndarray, query: bool) -> np.ndarray:
@@ -194,32 +251,53 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector", "norm").toArrow().combine_chunks()
     drawn = project(_matrix(some["vector"].chunk(0), dim), some["norm"].to_numpy(), False)
-    n_cells = min(CELLS, max(1, total // PART), max(1, len(drawn) // 16))
-    _, tree = split(drawn, max(1, -(-len(drawn) // n_cells)))
-    low, high = cell_boxes(tree, DIMS)
+    n_cells = max(1, min(total // PART, len(drawn) // LEAST))
+    cells = Cells(split(drawn, max(1, -(-len(drawn) // n_cells)))[1])
     stop = chi2_quantile(SURE, DIMS)
 
-    def home(projected: np.ndarray) -> np.ndarray:
-        return box_distance(projected, low, high).argmin(axis=1) if len(low) <= 64 else np.concatenate([box_distance(projected[i : i + 256], low, high).argmin(axis=1) for i in range(0, len(projected), 256)] or [np.zeros(0, int)])
-
     def index(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not b.num_rows:
-                    continue
-                p = project(_matrix(b.column(1), dim), b.column(2).to_numpy(), query)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(p.reshape(-1)), DIMS).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(home(p).astype(np.int32)), lists, b.column(1), b.column(2)], ["vec_id", "cell", "projected", "vector", "norm"])
+                if b.num_rows:
+                    p = project(_matrix(b.column(1), dim), b.column(2).to_numpy(), query)
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(p.reshape(-1)), DIMS).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([b.column(0), lists, b.column(1), b.column(2)], ["vec_id", "projected", "vector", "norm"])
 
         return run
 
-    indexed = materialize(rows.mapInArrow(index(False), _INDEX), "vectors")
-    asked = materialize(asked.mapInArrow(index(True), _INDEX).dropDuplicates(["vec_id"]), "queries")
-    counts = indexed.groupBy("cell").count().collect()  # CELLS rows at most
-    parts = spark.createDataFrame([(r[0], max(1, -(-r[1] // (2 * PART)))) for r in counts], "cell int, parts int")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    placed = indexed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
-    block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block")
+    def homes(table: DataFrame, *columns: str) -> DataFrame:
+        """table with `cell`."""
+        shared = spark.sparkContext.broadcast(cells)  # a few numbers for each 8192 rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    cell = shared.value.home(_matrix(b.column(b.schema.get_field_index("projected")), DIMS))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *b.columns], ["cell", *b.schema.names])
+
+        fields = [f for f in table.select(*columns).schema]
+        return table.select(*columns).mapInArrow(tidy(run), T.StructType([T.StructField("cell", T.IntegerType()), *fields]))
+
+    indexed = materialize(rows.mapInArrow(tidy(index(False)), _INDEX), "vectors")
+    asked = materialize(asked.select("vec_id", "vector", "norm").mapInArrow(tidy(index(True)), _INDEX), "queries")
+    counts = homes(indexed, "vec_id", "projected").groupBy("cell").count().filter(F.col("count") > 2 * PART)
+    large = spark.createDataFrame(counts.collect(), "cell int, count long")  # SAMPLE / LEAST rows at most
+    if large.limit(1).count():
+
+        def fit(key: tuple, rows: pa.Table) -> pa.Table:
+            points = _matrix(rows.combine_chunks()["projected"].chunk(0), DIMS)
+            n = max(1, min(rows["count"][0].as_py() // PART, len(points) // LEAST))
+            tree = split(points, max(1, -(-len(points) // n)))[1]
+            return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "dims": pa.array([[-1 if x is None else x[0] for x in tree]], pa.list_(pa.int32())), "cuts": pa.array([[0.0 if x is None else x[1] for x in tree]], pa.list_(pa.float64()))})
+
+        share = F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(5)), 11) / F.lit(float(1 << 53))
+        drawn_rows = homes(indexed, "vec_id", "projected").join(large, "cell").filter(share * F.col("count") < CELL_SAMPLE)
+        trees = drawn_rows.select("cell", "count", "projected").groupBy("cell").applyInArrow(fit, "cell int, dims array<int>, cuts array<double>").collect()
+        cells = cells.refined({r["cell"]: [None if d < 0 else (d, v) for d, v in zip(r["dims"], r["cuts"], strict=True)] for r in trees})
+
+    sizes = homes(indexed, "vec_id", "projected").groupBy("cell").count()
+    parts = materialize(sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("count") / (2 * PART))).cast("int").alias("parts")), "parts")
+    placed = homes(indexed, "vec_id", "projected", "vector").join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
 
     def look(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """Queries (left) of one block in one part (right)."""
@@ -239,31 +317,34 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return pa.table({"query_id": left["vec_id"].to_numpy()[who], "vec_id": part.ids[row], "score": score})
 
     def visit(targets: DataFrame) -> DataFrame:
-        """targets: queries with cell and bound."""
-        asked_parts = targets.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", block, "vec_id", "vector", "projected", "norm", "bound")
-        needed = asked_parts.select("cell", "part", "block").distinct().toDF("cell", "part", "to")
-        data = placed.join(needed, ["cell", "part"]).select("cell", "part", F.col("to").alias("block"), "vec_id", "vector", "projected")
+        """targets: queries with cell and bound. A cell's queries are dealt over as many blocks as they fill."""
+        blocks = targets.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = targets.join(blocks, "cell").join(parts, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", "block", "vec_id", "vector", "projected", "norm", "bound")
+        data = placed.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "part", "block", "vec_id", "vector", "projected")
         by = ["cell", "part", "block"]
-        return asked_parts.groupBy(*by).cogroup(data.groupBy(*by)).applyInArrow(look, _FOUND)
+        return dealt.groupBy(*by).cogroup(data.groupBy(*by)).applyInArrow(look, _FOUND)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    top = lambda found, n: found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
-    there = asked.select("vec_id", F.col("cell").alias("home"), "projected", "vector", "norm")
-    first = materialize(top(visit(asked.withColumn("bound", F.lit(float("inf")))), k + 1), "nearest")
+    top = lambda found, n: found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
+    own = homes(asked, "vec_id", "projected", "vector", "norm")
+    first = materialize(top(visit(own.withColumn("bound", F.lit(float("inf")))), k + 1), "nearest")
     kth = first.filter(F.col("rank") == k + 1).select(F.col("query_id").alias("vec_id"), "score")
-    bounded = there.join(kth, "vec_id", "left").withColumn("bound", F.coalesce(2 * largest * largest - 2 * F.col("score") * largest / F.col("norm"), F.lit(float("inf")))).drop("score")
+    bound = F.coalesce(2 * largest * largest - 2 * F.col("score") * largest / F.col("norm"), F.lit(float("inf")))
+    bounded = asked.join(kth, "vec_id", "left").withColumn("bound", bound).select("vec_id", "projected", "vector", "norm", "bound")
+    shared = spark.sparkContext.broadcast(cells)
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 c = b.slice(i, 256)
-                p, bound, own = _matrix(c.column(2), DIMS), c.column(5).to_numpy(), c.column(1).to_numpy()
-                who, cell = np.nonzero(box_distance(p, low, high) <= stop * bound[:, None])
-                away = cell != own[who]
+                p, bound = _matrix(c.column(1), DIMS), c.column(4).to_numpy()
+                who, cell = shared.value.within(p, stop * bound)
+                away = cell != shared.value.home(p)[who]
                 who, cell = pa.array(who[away]), cell[away]
-                yield pa.RecordBatch.from_arrays([c.column(0).take(who), pa.array(cell.astype(np.int32)), c.column(2).take(who), c.column(3).take(who), c.column(4).take(who), c.column(5).take(who)], ["vec_id", "cell", "projected", "vector", "norm", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(x.take(who) for x in c.columns)], ["cell", *c.schema.names])
 
-    others = visit(bounded.select("vec_id", "home", "projected", "vector", "norm", "bound").mapInArrow(reach, _INDEX + ", bound double"))
+    others = visit(materialize(bounded.mapInArrow(tidy(reach), f"cell int, {_INDEX}, bound double"), "reach"))
     found = first.select("query_id", "vec_id", "score").union(others).filter("query_id <> vec_id")
     return top(found, k).select("query_id", "rank", "vec_id", "score")
 
