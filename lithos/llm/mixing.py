@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, parquet, rank_distinct
+from .common import WORD, materialize, parquet, rank_distinct
 
 WEIGHTS = (1, 2, 3)
 #: How often a document may be taken at most; a source's target stops at so many times its size.
@@ -78,11 +78,11 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", key: str = "d
     keep = [c for c in df.columns if c not in ("source_size", "target", "taken", "positions")]
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("__place")
     rows = df.select(*[F.col(f"`{c}`") for c in keep], place).withColumn("__bucket", F.substring("__place", 1, 3))
-    buckets = rows.groupBy(source, "__bucket").agg(F.sum(size).alias("__n"))
-    sizes = rows.groupBy(source).agg(F.sum(size).alias("source_size"))
+    buckets = materialize(rows.groupBy(source, "__bucket").agg(F.sum(size).alias("__n")), "buckets")  # 4096 rows for a source at most
+    sizes = buckets.groupBy(source).agg(F.sum("__n").alias("source_size"))
     goals = targets(sizes, source, weights, most).withColumnRenamed(source, "__source")
     ordered = Window.partitionBy(source).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.withColumn("__before", F.coalesce(F.sum("__n").over(ordered), F.lit(0)))  # 4096 rows for a source at most
+    offsets = buckets.withColumn("__before", F.coalesce(F.sum("__n").over(ordered), F.lit(0)))
     offsets = offsets.join(goals, F.col(source).eqNullSafe(F.col("__source"))).select("__source", F.col("__bucket").alias("__b"), "__before", "source_size", "weight", "target")
     inside = Window.partitionBy(source, "__bucket").orderBy("__place", key, size).rowsBetween(Window.unboundedPreceding, -1)
     spans = rows.withColumn("__in", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(offsets, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b")))
@@ -107,10 +107,13 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op3_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, range-sorted by the training position at which the mix first takes them; the others follow in
+    the order of a hash, so that no range is theirs alone."""
     docs = parquet(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    mixed = mix(sized).withColumn("first_position", F.try_element_at("positions", F.lit(1)))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_position").orderBy(F.col("first_position").asc_nulls_last()).drop("first_position")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")  # texts are read once
+    mixed = mix(sized).withColumn("first_position", F.round(F.try_element_at("positions", F.lit(1)), 9))
+    rest = 2 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    return mixed.orderBy(F.coalesce("first_position", rest)).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 QUERIES = {"op3_mix_curriculum": op3_mix_curriculum}
@@ -124,11 +127,15 @@ r AS (SELECT *, 3 * source_size AS lim, 3 * source_size / weight AS ratio FROM w
 p AS (SELECT *, coalesce(sum(lim) OVER f, 0) AS full_before, sum(weight) OVER () - coalesce(sum(weight) OVER f, 0) AS weight_left, sum(source_size) OVER () AS total
       FROM r WINDOW f AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT arg_min((total - full_before) / weight_left, ratio) FILTER (WHERE (total - full_before) / weight_left <= ratio) AS level FROM p),
-t AS (SELECT source, source_size, least(CAST(lim AS DOUBLE), weight * coalesce(level, 0)) AS target FROM r, l),
+t AS (SELECT source, source_size, weight, least(CAST(lim AS DOUBLE), weight * coalesce(level, 0)) AS target FROM r, l),
 o AS (SELECT d.*, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM d),
 c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle FROM o)
-SELECT doc_id, size, t.source_size, t.target,
-  CAST(CASE WHEN t.source_size > 0 THEN greatest(0, least(3, ceil((t.target - middle) / t.source_size))) * size ELSE 0 END AS BIGINT) AS taken
-FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+m AS (SELECT doc_id, size, t.source_size, t.target, t.weight, least(middle / t.target, 1) AS q,
+  CASE WHEN t.source_size > 0 THEN greatest(0, least(3, ceil((t.target - middle) / t.source_size))) ELSE 0 END AS passes
+FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(passes * size AS BIGINT) AS taken,
+  CASE WHEN passes > 0 THEN round(CASE WHEN weight = 1 THEN 1.5 - sqrt(greatest(2.25 - 2 * q, 0)) WHEN weight = 2 THEN q
+    WHEN q <= 0.3125 THEN (sqrt(0.25 + q) - 0.5) / 0.5 ELSE 0.5 + least((sqrt(0.5625 + 5 * (q - 0.3125)) - 0.75) / 2.5, 0.5) END, 9) END AS first_position
+FROM m
 """
 }
