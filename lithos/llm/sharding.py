@@ -13,8 +13,8 @@ from .common import materialize, parquet
 
 #: The ring's slots of equal width; a power of two. Planning works on so many counts, whatever the input.
 SLOT_BITS = 13
-#: Parts into which a slot's rows are dealt for counting, so that one hot key does not meet in one task.
-PARTS = 256
+#: A group's rows are dealt into 2^PART_BITS parts for counting, so that a hot group does not meet in one task.
+PART_BITS = 8
 
 _PIECES = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("base", T.LongType())]))
 
@@ -71,25 +71,26 @@ def plan(counts: dict[int, int], n_shards: int, vnodes: int = 128) -> dict[int,
 def shard(df: DataFrame, group: Column, key: Column, n_shards: int, vnodes: int = 128) -> DataFrame:
     """df's rows with `shard` (0 to n_shards - 1) and `slot` (the row's place in it, gapless from 0).
 
-    Rows of one group stand in one ring slot, so that they share a shard as long as it has room;
-    shards' row counts are at most one apart. key orders the rows in a slot. Null groups and keys are
-    values like others; repeated rows take places of their own; an empty df gives no rows.
+    Rows of one group stand in one ring slot and follow one another there, so that they share a shard as long as it
+    has room, and a shard's end tears one group at most; shards' row counts are at most one apart. key orders a
+    group's rows. Null groups and keys are values like others; repeated rows take places of their own; an empty df gives no rows.
     """
     spark = df.sparkSession
     ringed = materialize(
         df.withColumns({"__h": F.xxhash64(F.lit(17), group), "__k": F.xxhash64(F.lit(29), key)})
-        .withColumns({"__slot": F.shiftrightunsigned("__h", 64 - SLOT_BITS).cast("int"), "__part": F.shiftrightunsigned("__k", 56).cast("int")}),
+        .withColumns({"__slot": F.shiftrightunsigned("__h", 64 - SLOT_BITS).cast("int"), "__part": F.shiftrightunsigned("__k", 64 - PART_BITS).cast("int")}),
         "ring",
     )
-    parts = ringed.groupBy("__slot", "__part").agg(F.count("*").alias("__n"))
-    before = parts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("__slot").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    parts = ringed.groupBy("__slot", "__h", "__part").agg(F.count("*").alias("__n"))
+    ahead = Window.partitionBy("__slot").orderBy("__h", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
     counts = {r[0]: r[1] for r in ringed.groupBy("__slot").count().collect()}  # 2^SLOT_BITS rows at most
     table = spark.createDataFrame([(s, p) for s, p in plan(counts, n_shards, vnodes).items()], T.StructType([T.StructField("__slot", T.IntegerType()), T.StructField("__pieces", _PIECES)]))
-    within = Window.partitionBy("__slot", "__part").orderBy("__h", "__k")
+    within = Window.partitionBy("__slot", "__h", "__part").orderBy("__k")
     rank = (F.row_number().over(within) - 1).cast("long")
     placed = (
         ringed.withColumn("__row", rank)
-        .join(before, ["__slot", "__part"])
+        .join(before, ["__slot", "__h", "__part"])
         .withColumn("__rank", F.col("__row") + F.col("__before"))
         .join(F.broadcast(table), "__slot")
         .withColumn("__piece", F.filter("__pieces", lambda p: (p["lo"] <= F.col("__rank")) & (F.col("__rank") < p["hi"]))[0])
