@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, mix64, parquet, partitions
+from .common import bucket_of, mix64, parquet, partitions, tidy
 
 #: Two primes below 2^31 and a base for each: products of a power and a code point fit in 64 bits.
 PRIMES = (2147483647, 2147483629)
@@ -227,7 +227,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         if out:
             yield _batch(out)
 
-    return with_following(docs).mapInArrow(run, OUT)
+    return with_following(docs).mapInArrow(tidy(run), OUT)
 
 
 def _row(doc_id: int | None, text: str, t: np.ndarray, own: Fingerprint, following: str, following_print: Fingerprint) -> tuple:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, parquet, slices, utf8, word_spans
+from .common import mix64, parquet, slices, tidy, utf8, word_spans
 from .encoding import _gather, _offsets
 
 #: Hashed features, so that the model has at most FEATURES numbers for each language, whatever the corpus.
@@ -23,6 +23,7 @@ EVIDENCE = 60
 SMOOTHING = 0.5
 
 UNKNOWN = "und"
+LETTER = r"\p{L}"
 
 
 def _words(part: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -85,7 +86,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
             feature = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(feature), pa.string()), pa.array(feature, pa.int32()), pa.array(total[feature], pa.int64())], ["lang", "feature", "n"])
 
-    sums = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(run, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
+    sums = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(tidy(run), "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums["lang"].to_pylist()))
     counts = np.zeros((len(langs), FEATURES + 1))
     at = np.searchsorted(np.array(langs, object), np.array(sums["lang"].to_pylist(), object)) if langs else np.zeros(0, int)
@@ -129,7 +130,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> D
                     score[known] = (1 / np.exp(scaled).sum(axis=1))[known]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(guess, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    return df.withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    return df.withColumn("__letters", F.coalesce(F.col("text").rlike(LETTER), F.lit(False))).mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -139,11 +140,17 @@ def held_out(doc_id: Column) -> Column:
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without those whose language is unknown or holds less than `least` of the posterior; lang is the predicted one.
 
-    The model learns from docs itself: text and non-null lang of those that held_out() leaves.
+    The model learns from docs itself: text and non-null lang of those that held_out() leaves. Where no such row
+    has a lang there is no model and nothing to reject by: only null texts and those without a letter go, and lang
+    stays as it is. Each row is judged by its text alone, so that repeated rows and equal texts fare alike, whatever their
+    doc_id; whole texts count, however long; ties go to the language that is first by code point; an empty df gives no rows.
     """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
-    kept = predict(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    if not model[0]:
+        return docs.filter(F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
+    names = {c: c if c == "text" else f"__{i}" for i, c in enumerate(docs.columns)}  # no clash with predict's columns
+    kept = predict(docs.toDF(*names.values()), model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col("lang_pred" if c == "lang" else own).alias(c) for c, own in names.items()])
 
 
 def op6_language_nb(spark: SparkSession, sf_dir: str) -> DataFrame:

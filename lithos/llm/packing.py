@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parquet, partitions
+from .common import parquet, partitions, tidy
 from .encoding import END, crc32, encoded, tokenizer_path
 
 WINDOW = 4096
@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, path: str, end: int = END, capacity: int = WINDOW) -
             crc = np.array([crc32(ids[a : a + m]) for a, m in zip(at, length, strict=True)], np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens[row]))], list(_FIELDS))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), PIECES)
 
 
 def pack(cut: DataFrame, n_docs: int, capacity: int = WINDOW) -> DataFrame:
@@ -137,7 +137,7 @@ def pack(cut: DataFrame, n_docs: int, capacity: int = WINDOW) -> DataFrame:
 
     # spread by content, then in a fixed order: reruns and retries give the same windows
     dealt = cut.repartition(max(1, min(-(-n_docs // GROUP), partitions(spark))), F.xxhash64(*_FIELDS)).sortWithinPartitions(*_FIELDS)
-    return dealt.mapInArrow(run, PACKED)
+    return dealt.mapInArrow(tidy(run), PACKED)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end: int = END, capacity: int = WINDOW) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE, materialize, mix64, parquet, ragged, slices, utf8, whole_groups, window_hashes, word_hashes, word_spans
+from .common import materialize, mix64, parquet, ragged, slices, _SPACE, tidy, utf8, whole_groups, window_hashes, word_hashes, word_spans
 from .encoding import _gather, _offsets
 
 WINDOW = 20
@@ -170,7 +170,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     are told apart by 128 bits of hash.
     """
     spark = docs.sparkSession
-    runs = docs.mapInArrow(_runs, _RUNS)
+    runs = docs.mapInArrow(tidy(_runs), _RUNS)
     shared = materialize(runs.groupBy("m").count().filter("count > 1").select("m"), "minimisers")
     runs = materialize(runs.join(shared, "m", "left_semi"), "superkmers")
     strings = materialize(runs.groupBy("m", "g").agg(F.min(F.struct("doc_id", "t", "start")).alias("first"), F.max("n").alias("n"), F.count("*").alias("c")), "strings")
@@ -179,8 +179,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     buckets = materialize(strings.groupBy("m").count().filter("count > 1").withColumnRenamed("count", "strings"), "buckets")
     asked = strings.join(buckets, "m").select(F.col("first.doc_id").alias("id"), F.col("first.t").alias("hash"), F.struct("m", F.col("first.start").alias("start"), "n", (F.col("strings") > BUCKET).alias("hot")).alias("x"))
     asked = asked.groupBy("id", "hash").agg(F.collect_list("x").alias("asked"))  # no more than the document has words
-    packs = materialize(docs.join(asked, docs["doc_id"].eqNullSafe(asked["id"]) & (docs["t"] == asked["hash"])).select("doc_id", "t", "text", "asked").mapInArrow(_packs, _PACKS), "packs")
-    sorted_ = packs.filter("NOT hot").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, _SPANS)
+    packs = materialize(docs.join(asked, docs["doc_id"].eqNullSafe(asked["id"]) & (docs["t"] == asked["hash"])).select("doc_id", "t", "text", "asked").mapInArrow(tidy(_packs), _PACKS), "packs")
+    sorted_ = packs.filter("NOT hot").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_sort_buckets), _SPANS)
     hot = packs.filter("hot").select("doc_id", "t", "start", "n", "packed")
     earliest = materialize(hot.groupBy("packed").agg(F.min(F.struct("doc_id", "t", "start")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"), "hot")
     hot = hot.join(earliest, "packed").filter(~F.struct("doc_id", "t", "start").eqNullSafe(F.col("first"))).select("doc_id", "t", "start", "n")
@@ -212,7 +212,7 @@ def kept_words(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words), pa.array(removed), digests], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    return _with_spans(docs).select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(docs).select("doc_id", "text", "__spans").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 columns[text] = pa.array(new, pa.binary()).cast(own.type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _with_spans(docs).select(*names, "__spans").mapInArrow(run, docs.schema)
+    return _with_spans(docs).select(*names, "__spans").mapInArrow(tidy(run), docs.schema)
 
 
 def _cut(texts: pa.Array, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, parquet, partitions, scratch
+from .common import materialize, parquet, partitions, scratch, tidy
 from .encoding import END, crc32, encoded, tokenizer_path
 
 LENGTH = 2048
@@ -99,7 +99,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
             yield pa.RecordBatch.from_pylist([{"shard": shard, "tokens_path": writer.paths[0], "index_path": writer.paths[1], "n_docs": writer.docs, "n_tokens": writer.total}], pa.schema([("shard", pa.int32()), ("tokens_path", pa.string()), ("index_path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    return materialize(ordered.mapInArrow(run, MANIFEST), "manifest")
+    return materialize(ordered.mapInArrow(tidy(run), MANIFEST), "manifest")
 
 
 def open_tokens(path: str) -> pa.ipc.RecordBatchFileReader:
@@ -128,7 +128,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 yield from _spans(row["tokens_path"], row["index_path"], before[row["shard"]])
 
-    return manifest.repartition(max(1, len(before)), "shard").mapInArrow(run, DOCUMENTS)
+    return manifest.repartition(max(1, len(before)), "shard").mapInArrow(tidy(run), DOCUMENTS)
 
 
 def _spans(tokens_path: str, index_path: str, before: int) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, parquet, scratch
+from .common import materialize, parquet, scratch, tidy
 from .tokenfiles import filesystem
 
 #: An archive is closed when it has so many compressed bytes.
@@ -125,7 +125,7 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
             done.append({"path": f"{folder}/{name}", "n_records": count, "n_bytes": size})
         yield pa.RecordBatch.from_pylist(done, _FILES)
 
-    return materialize(marked.mapInArrow(run, ARCHIVES), "archives")
+    return materialize(marked.mapInArrow(tidy(run), ARCHIVES), "archives")
 
 
 def _record(row: dict) -> bytes:
@@ -171,7 +171,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(held, _PAGES)
 
     n = archives.count()
-    return archives.select("path").repartition(max(1, min(n, 10_000)), "path").mapInArrow(run, PAGES)
+    return archives.select("path").repartition(max(1, min(n, 10_000)), "path").mapInArrow(tidy(run), PAGES)
 
 
 def _read(headers: dict[str, str], block: bytes, with_payload: bool) -> dict:
