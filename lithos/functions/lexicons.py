@@ -113,3 +113,20 @@ RANKING_WEIGHTS = {"novelty": 0.3, "feasibility": 0.25, "expected_value": 0.3, "
 OBJECTIVE = {"approval": 0.55, "score": 0.45}
 RUN_INDEX = {"approval": 0.50, "score": 0.35, "grounding": 0.15}
 APPROVE_SCORE, ISSUE_PENALTY, OVERLAP_MIN = 6.5, 0.55, 0.30
+
+# Terms of the domain that a hypothesis may name, looked for as patterns in it and as written in excerpts;
+# words that are no terms or keywords; what ends a sentence before and behind an excerpt.
+DOMAIN_TERMS = (
+    r"кмц|карбоксиметилцеллюлоз", r"сернист\w+ натр", r"сернокисл\w+ желез", r"цианид", r"извест", r"собирател", r"пирит", r"флотац",
+    r"магнитн", r"мельниц", r"гидроциклон", r"грохот", r"измельч", r"сепарац", r"\d+[\.,]?\d*\s*кг\s*/\s*т", r"pH\s*\d",
+)
+TERM_STOP = ("повышение", "извлечение", "оптимизация", "гипотеза", "процесс", "улучшит")
+KEYWORD_STOP = ("которые", "является", "согласно", "данным", "источник")
+SENTENCE_STARTS = (". ", ".\n", "; ", ":\n", "\n\n")
+SENTENCE_ENDS = (". ", ".\n", "; ", "\n\n")
+
+# Constraints and the wording that breaks them.
+NO_CAPEX = ("без капитальных", "без капвложений")
+CAPEX = r"(?<!без\s)капитальн.{0,12}вложен|(?<!без\s)новое оборудован|строительств|магнитн.{0,12}флотац|новая установк"
+TRL_4 = ("trl 4", "trl4")
+ABOVE_TRL_4 = r"промышленн.{0,8}внедрен|пилотн.{0,12}цех|на\s+заводе|заводск.{0,8}масштаб|цехов.{0,8}испытан"

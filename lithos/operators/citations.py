@@ -80,19 +80,82 @@ def grounding(citations: DataFrame, corpus: DataFrame, least: float = lx.OVERLAP
     return by.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("grounded", "unknown", "short", "weak")]).withColumn("source_grounded", F.col("grounded") > 0)
 
 
+def hypothesis_terms(text: Column, most: int = 12) -> Column:
+    """The domain patterns that a text matches, in order, then its distinct words of 6 letters or more."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    named = F.filter(F.array(*[F.when(tx.matches(low, p), F.lit(p)) for p in lx.DOMAIN_TERMS]), lambda x: x.isNotNull())
+    words = F.array_except(tx.all_of(low, tx.SMALL + "{6,}"), F.array(*[F.lit(w) for w in lx.TERM_STOP]))
+    return F.slice(F.array_distinct(F.concat(named, words)), 1, most)
+
+
+def sentence_bounds(corpus: Column, start: Column, length: Column, max_len: int, left: int = 80, right: int = 60) -> Column:
+    """corpus[start : start + length] from the sentence's beginning, at most `left` characters before, to its end, at
+    most `right` behind; at most max_len characters of whole words; white space as one space."""
+    before_at = F.greatest(F.lit(0), start - left)
+    before, behind = F.substring(corpus, before_at + 1, start - before_at), F.substring(corpus, start + length + 1, F.lit(right))
+    back = F.reverse(before)
+    lefts = [F.when(F.instr(back, s[::-1]) > 0, start - F.instr(back, s[::-1]) + 1) for s in lx.SENTENCE_STARTS]
+    rights = [F.when(F.instr(behind, s) > 0, start + length + F.instr(behind, s) - 1 + len(s.strip())) for s in lx.SENTENCE_ENDS]
+    a, b = F.coalesce(*lefts, start), F.coalesce(*rights, F.least(F.length(corpus), start + length))
+
+    def cut(t: Column) -> Column:
+        head = F.substring(t, 1, max_len)
+        return F.when(F.length(t) > max_len, F.when(F.instr(head, " ") > 0, tx.strip(F.regexp_replace(head, r"(?s) [^ ]*$", ""))).otherwise(head)).otherwise(t)
+
+    out = tx.let(tx.strip(F.substring(corpus, a + 1, b - a)), cut)
+    return F.coalesce(F.nullif(F.regexp_replace(out, r"\s+", " "), F.lit("")), F.substring(corpus, start + 1, length))
+
+
+#: Windows are looked for in blocks of so many characters, so that a long text is not walked from its beginning for each.
+_BLOCK = 4000
+
+
+def _best(corpus: Column, step: int, lengths: tuple[int, ...], shortest: Column, score) -> Column:
+    """(score, turn, start, length) of the window with the highest score(window); the first length and start of equals."""
+    widest = max(lengths)
+    last = F.greatest(F.lit(0), F.length(corpus) - shortest)
+
+    def in_block(at: Column) -> Column:
+        block = F.substring(corpus, at + 1, F.lit(_BLOCK + widest))
+        starts = F.sequence(F.lit(0), F.least(F.lit(_BLOCK - step), last - at), F.lit(step))
+
+        def scored(text: Column, n: int, turn: int) -> Column:
+            own = lambda s: score(F.substring(text, s + 1, F.lit(n)))
+            return F.transform(starts, lambda s: F.struct(own(s).alias("score"), F.lit(-turn).alias("turn"), (-(at + s)).alias("start"), F.lit(n).alias("length")))
+
+        return tx.let(block, lambda t: F.array_max(F.concat(*[F.when(F.lit(n) >= shortest, scored(t, n, i)).otherwise(F.array().cast("array<struct<score:double,turn:int,start:int,length:int>>")) for i, n in enumerate(lengths)])))
+
+    blocks = F.sequence(F.lit(0), last - last % F.lit(_BLOCK), F.lit(_BLOCK))
+    return tx.let(F.array_max(F.transform(blocks, in_block)), lambda b: F.struct(b["score"].alias("score"), (-b["start"]).alias("start"), b["length"].alias("length")))
+
+
 def best_windows(pairs: DataFrame, max_len: int = 280, step: int = 20) -> DataFrame:
-    """The window of the corpus with the highest overlap with the snippet; the first of equals. pairs: pair_id, snippet, corpus.
+    """The window of the corpus with the highest overlap with the snippet, and 0.06 for each of its terms; the first of
+    equals. pairs: pair_id, snippet, corpus, and terms ARRAY<STRING> where terms count. excerpt is the window, between sentence ends (C07);
+    where no window scores, the keywords' window (C06) or the snippet itself.
 
-    Windows are exploded by start and length and met again by pair, so that a long corpus is many small rows.
+    All is done in the pair's row: nothing is dealt out. `step` divides the blocks that long texts are walked in.
     """
+    lengths = (max_len, max_len + 50, max_len - 30)
+    terms = F.col("terms") if "terms" in pairs.columns else F.array().cast("array<string>")
+    own = pairs.withColumns({"__p": prepared(F.col("snippet")), "__t": F.transform(F.coalesce(terms, F.array().cast("array<string>")), F.lower)})
+    bonus = lambda w: 0.06 * tx.let(F.lower(w), lambda low: F.size(F.filter("__t", lambda t: low.contains(t))))
     shortest = F.least(F.lit(100), F.length("corpus"))
-    pairs = pairs.withColumn("__p", prepared(F.col("snippet")))
-    sized = pairs.withColumn("length", F.explode(F.array(*[F.lit(n) for n in (max_len, max_len + 50, max_len - 30)]))).withColumn("order", F.lit(max_len + 50) - F.col("length"))
-    starts = sized.filter(F.col("length") >= shortest).withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("corpus") - shortest), F.lit(step))))
-    windows = starts.withColumn("window", F.expr("substring(corpus, start + 1, length)")).withColumn("score", overlap_with(F.col("__p"), F.col("window"))).drop("corpus", "__p", "snippet")
-    turn = F.when(F.col("length") == max_len, 0).when(F.col("length") == max_len + 50, 1).otherwise(2)
-    best = ranked(windows.withColumn("turn", turn), ["pair_id"], [F.desc("score"), F.asc("turn"), F.asc("start")], 1)
-    return best.select("pair_id", "start", "length", "score", F.regexp_replace(tx.strip(F.col("window")), r"\s+", " ").alias("excerpt"))
+    found = own.withColumn("__b", _best(F.col("corpus"), step, lengths, shortest, lambda w: overlap_with(F.col("__p"), w) + bonus(w)))
+    # the window without white space at its end keeps its start
+    taken = F.length(tx.strip(F.substring("corpus", F.col("__b.start") + 1, F.col("__b.length"))))
+    excerpt = F.when(F.col("__b.score") > 0, sentence_bounds(F.col("corpus"), F.col("__b.start"), taken, max_len)).otherwise(keyword_window(F.col("snippet"), F.col("corpus"), F.col("__t"), max_len))
+    return found.select("pair_id", F.col("__b.start").alias("start"), F.col("__b.length").alias("length"), F.col("__b.score").alias("score"), excerpt.alias("excerpt"))
+
+
+def keyword_window(snippet: Column, corpus: Column, terms: Column, max_len: int = 280, step: int = 40) -> Column:
+    """The window with the most of the snippet's words of 5 letters or more and of the terms; the first of equals; the
+    snippet's beginning where none is met."""
+    words = F.filter(tx.all_of(F.lower(snippet), tx.SMALL + "{5,}"), lambda w: ~w.isin(*lx.KEYWORD_STOP))
+    count = lambda keys, w: tx.let(F.lower(w), lambda low: F.size(F.filter(keys, lambda k: low.contains(k))).cast("double"))
+    best = tx.let(F.concat(words, terms), lambda keys: _best(corpus, step, (max_len + 80,), F.least(F.lit(81), F.length(corpus)), lambda w: count(keys, w)))
+    met = tx.let(best, lambda b: F.when(b["score"] > 0, F.regexp_replace(tx.strip(F.substring(corpus, b["start"] + 1, F.lit(max_len))), r"\s+", " ")))
+    return F.coalesce(met, F.substring(snippet, 1, max_len))
 
 
 def candidates(snippets: DataFrame, docs: DataFrame, size: int = 3, least: int = 1) -> DataFrame:
@@ -116,11 +179,23 @@ def candidates(snippets: DataFrame, docs: DataFrame, size: int = 3, least: int =
 
 
 def align(pairs: DataFrame, max_len: int = 280) -> DataFrame:
-    """The excerpt that stands for a snippet, and its overlap: the best window, or the snippet itself where it overlaps better and enough."""
-    windows = best_windows(pairs, max_len)
-    joined = pairs.join(windows.select("pair_id", "excerpt", "score"), "pair_id", "left")
-    joined = joined.withColumns({"raw": citation_overlap(F.col("snippet"), F.col("corpus")), "exact": tx.overlap_form(F.col("corpus")).contains(tx.overlap_form(F.col("snippet")))})
-    own = citation_overlap(F.col("excerpt"), F.col("corpus"))
-    keep = ~F.col("exact") & (F.coalesce(own, F.lit(0.0)) < F.col("raw")) & (F.col("raw") >= 0.25)
-    overlap = F.when(F.col("exact"), F.lit(1.0)).when(keep, F.col("raw")).otherwise(F.coalesce(own, F.lit(0.0)))
-    return joined.select("pair_id", F.when(keep | F.col("excerpt").isNull(), F.substring("snippet", 1, max_len)).otherwise(F.col("excerpt")).alias("aligned"), overlap.alias("overlap"))
+    """The excerpt that stands for a snippet, and its overlap. pairs: pair_id, snippet, corpus, and hypothesis where its
+    terms and wording count: the best window for the snippet; for the hypothesis, where it overlaps better by 0.05; the
+    snippet itself where that overlaps better than both and by 0.25 at least. Blank snippets and corpora overlap by 0."""
+    hinted = "hypothesis" in pairs.columns
+    exact = tx.overlap_form(F.col("corpus")).contains(tx.overlap_form(F.col("snippet")))
+    own = pairs.withColumn("exact", exact)
+    if hinted:
+        own = own.withColumn("terms", F.when(~F.col("exact"), hypothesis_terms(F.col("hypothesis"))))
+    fitted = lambda df: df.join(best_windows(df, max_len).select("pair_id", "excerpt"), "pair_id").withColumn("overlap", citation_overlap(F.col("excerpt"), F.col("corpus")))
+    out = fitted(own.drop("hypothesis")).select("pair_id", "snippet", "corpus", "exact", "excerpt", "overlap")
+    if hinted:
+        hint = own.filter(~F.col("exact") & (F.coalesce("hypothesis", F.lit("")) != "")).withColumn("snippet", F.col("hypothesis"))
+        hint = fitted(hint.drop("hypothesis")).select("pair_id", F.col("excerpt").alias("hint"), F.col("overlap").alias("hint_overlap"))
+        better = F.coalesce(F.col("hint_overlap") > F.col("overlap") + 0.05, F.lit(False))
+        out = out.join(hint, "pair_id", "left").withColumns({"excerpt": F.when(better, F.col("hint")).otherwise(F.col("excerpt")), "overlap": F.when(better, F.col("hint_overlap")).otherwise(F.col("overlap"))})
+    out = out.withColumn("raw", citation_overlap(F.col("snippet"), F.col("corpus")))
+    blank = (tx.strip(F.coalesce("snippet", F.lit(""))) == "") | (F.coalesce("corpus", F.lit("")) == "")
+    keep = blank | ~F.col("exact") & (F.col("overlap") < F.col("raw")) & (F.col("raw") >= 0.25)
+    overlap = F.when(blank, F.lit(0.0)).when(F.col("exact"), F.lit(1.0)).when(keep, F.col("raw")).otherwise(F.col("overlap"))
+    return out.select("pair_id", F.when(keep, F.substring("snippet", 1, max_len)).otherwise(F.col("excerpt")).alias("aligned"), overlap.alias("overlap"))
