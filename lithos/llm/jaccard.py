@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, lower_ascii, materialize, mix64, parquet, ragged, slices, utf8, whole_groups, window_hashes, word_hashes, word_spans
+from .common import discard, few, lower_ascii, materialize, mix64, parquet, ragged, slices, tidy, utf8, whole_groups, window_hashes, word_hashes, word_spans
 
 SHINGLE = 5
 #: Similarity in percent: documents link when 100 x intersection >= PERCENT x union.
@@ -91,7 +91,7 @@ def _nodes(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(total + np.bincount(rows, minlength=n).astype(np.uint64))
 
 
-_SUMMARY = "doc_id long, node long, n long, sketch array<long>, chunk int, counts binary"
+_SUMMARY = "doc_id long, t long, node long, n long, sketch array<long>, chunk int, counts binary"
 
 
 def _summaries(counters: int):
@@ -111,9 +111,9 @@ def _summaries(counters: int):
                 sketch = np.packbits(parity.astype(np.uint8)).view(np.int64)
                 node = pa.array(_nodes(rows, hashes, k).view(np.int64), mask=n == 0)
                 lists = pa.ListArray.from_arrays(pa.array((start // 64).astype(np.int32)), pa.array(sketch))
-                yield pa.RecordBatch.from_arrays([part.column(0), node, pa.array(n.astype(np.int64)), lists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), node, pa.array(n.astype(np.int64)), lists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         blobs = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(CHUNKS, -1)]
-        none = [pa.nulls(CHUNKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+        none = [pa.nulls(CHUNKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(blobs, pa.binary())], names)
 
     return run
@@ -137,7 +137,7 @@ def _order(chunks: DataFrame, counters: int, mean: float) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["chunk", "classes"])
 
     order = np.zeros((CHUNKS, counters // CHUNKS), np.uint8)
-    for r in chunks.repartition(CHUNKS, "chunk").mapInArrow(classes, "chunk int, classes binary").toLocalIterator():  # CHUNKS rows, one at a time
+    for r in chunks.repartition(CHUNKS, "chunk").mapInArrow(tidy(classes), "chunk int, classes binary").collect():  # MOST_COUNTERS bytes at most
         order[r["chunk"]] = np.frombuffer(r["classes"], np.uint8)
     return order.reshape(-1)
 
@@ -252,15 +252,16 @@ def _candidates(nearest: int, centre: bool):
     return run
 
 
-def _looked_into(rows: DataFrame, nearest: int, centre: bool) -> tuple[DataFrame, int]:
+def _looked_into(rows: DataFrame, count: int, nearest: int, centre: bool) -> tuple[DataFrame, int]:
     """Candidate pairs (a, b) of regions of at most CELL documents, and the number of those left for later rounds."""
-    found = materialize(rows.select(*_FIELDS).repartition("region").sortWithinPartitions("region").mapInArrow(_candidates(nearest, centre), _PAIRS), "found")
+    together = few(rows.select(*_FIELDS).repartition("region").sortWithinPartitions("region"), count, 20_000)
+    found = materialize(together.mapInArrow(tidy(_candidates(nearest, centre)), _PAIRS), "found")
     low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
     pairs = found.filter("a IS NOT NULL").groupBy(low, high).agg(F.max("b").alias("b"))
-    pairs = materialize(pairs.select(F.when(F.col("b") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("a"), "b"), "candidates")
-    left = found.agg(F.sum("left")).first()[0] or 0
+    left, n = found.agg(F.sum("left"), F.count("a")).first()
+    pairs = materialize(few(pairs.select(F.when(F.col("b") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("a"), "b"), n), "candidates")
     discard(found)
-    return pairs, left
+    return pairs, left or 0
 
 
 def _blocks(regions: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -357,7 +358,7 @@ def _divided(rows: DataFrame) -> DataFrame:
         pivots = large.filter(_fraction("node", 7 + level) * F.col("k") < share).withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(0)})
         members = large.withColumns({"part": F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")).cast("int"), "role": F.lit(1)})
         both = pivots.union(members.select(*pivots.columns)).withColumn("key", F.xxhash64("region", "part")).select("key", "role", "k", "words", *_FIELDS)
-        split = materialize(both.repartition("key").sortWithinPartitions("key", "role", "node").mapInArrow(_assigned(CELL, REPLICAS), _SPLIT), "split")
+        split = materialize(both.repartition("key").sortWithinPartitions("key", "role", "node").mapInArrow(tidy(_assigned(CELL, REPLICAS)), _SPLIT), "split")
         done = done.union(split.filter("blocks").select(*_FIELDS))
         rows, level = split.filter("NOT blocks").select(*_FIELDS), level + 1
 
@@ -398,15 +399,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, all_at_once:
     against it meet in a task; those with many are split and b goes to each part."""
     if all_at_once:
         docs = docs.hint("merge")  # a large share of the texts is wanted
-    salts = materialize(pairs.groupBy("b").agg((F.ceil(F.count("*") / REGION)).cast("int").alias("parts")), "salts")
+    n = pairs.count()
+    salts = materialize(few(pairs.groupBy("b").agg((F.ceil(F.count("*") / REGION)).cast("int").alias("parts")), n), "salts")
     wanted = pairs.select(F.col("a").alias("node")).union(salts.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc"), "node")
-    wanted = materialize(wanted, "wanted")  # its size is then known: Spark broadcasts it where it is under the threshold
+    wanted = materialize(few(wanted, n), "wanted")  # its size is then known: Spark broadcasts it where it is under the threshold
     texts = materialize(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc"])).select("node", "text"), "texts")
     salted = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     members = salted.join(texts.withColumnRenamed("node", "a"), "a").select("b", "salt", F.lit(1).alias("role"), F.col("a").alias("node"), "text")
     pivots = salts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts.withColumnRenamed("node", "b"), "b").select("b", "salt", F.lit(0).alias("role"), F.col("b").alias("node"), "text")
     regions = members.union(pivots).repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
-    links = materialize(regions.mapInArrow(_compare, _LINKS).filter(F.col("both") * 100 >= F.col("either") * PERCENT).select("a", "b").distinct(), "links")
+    links = materialize(few(regions, n, 2_000).mapInArrow(tidy(_compare), _LINKS).filter(F.col("both") * 100 >= F.col("either") * PERCENT).select("a", "b").distinct(), "links")
     discard(salts, wanted, texts)
     return links
 
@@ -414,13 +416,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, all_at_once:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes in links (a, b); the component is its least node. Labels spread along
     links and jump to their labels' labels, so that the rounds grow with the logarithm of a component's width."""
-    ends = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends")
-    labels = materialize(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
+    n = links.count()
+    ends = materialize(few(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), n), "ends")
+    labels = materialize(few(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), n), "labels")
     while True:
         near = ends.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").withColumn("to", F.least("component", "near"))
         up = labels.select(F.col("node").alias("to"), F.col("component").alias("up"))
-        following = materialize(step.join(up, "to").select("node", F.least("to", "up").alias("component"), F.col("component").alias("was")), "labels")
+        following = materialize(few(step.join(up, "to").select("node", F.least("to", "up").alias("component"), F.col("component").alias("was")), n), "labels")
         if not following.filter("component <> was").limit(1).count():
             discard(ends)
             return following.drop("was")
@@ -448,7 +451,7 @@ def _regions(docs: DataFrame, nodes: DataFrame, order, counters: int) -> DataFra
                 rows, hashes, place = rows[keep], hashes[keep], place[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(names[rows].view(np.int64)), pa.array(reach(n[rows], place).astype(np.int32))], ["pivot", "node", "reach"])
 
-    replicated = docs.select("text").mapInArrow(windows, "pivot long, node long, reach int")
+    replicated = docs.select("text").mapInArrow(tidy(windows), "pivot long, node long, reach int")
     shared = replicated.groupBy("pivot").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("pivot")
     shared = materialize(shared, "pivots")
     members = materialize(replicated.join(shared, "pivot").groupBy("pivot", "node").agg(F.max("reach").alias("reach")), "members")
@@ -473,20 +476,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def with_components(docs: DataFrame) -> DataFrame:
-    """As jaccard_components(), with `component`, a number that also those documents share that have no doc_id (null: empty set)."""
+    """As jaccard_components(), with `component`, a number that also those documents share that have no doc_id (null: an
+    empty set), and t, the hash of the text."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (16 * docs.count()).bit_length()))
-    read = materialize(docs.mapInArrow(_summaries(counters), _SUMMARY), "summaries")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t"))
+    n_docs = docs.count()
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (16 * n_docs).bit_length()))
+    read = materialize(docs.mapInArrow(tidy(_summaries(counters)), _SUMMARY), "summaries")
     summary = read.filter("chunk IS NULL").drop("chunk", "counts")
     total = summary.agg(F.sum("n")).first()[0] or 0
     order = spark.sparkContext.broadcast(_order(read.filter("chunk IS NOT NULL").select("chunk", "counts"), counters, total / counters))  # MOST_COUNTERS bytes at most
-    nodes = materialize(summary.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = summary.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = materialize(few(nodes, n_docs, 10_000), "nodes")
     regions = _regions(docs, nodes, order, counters)
     order.unpersist()
 
     sizes = regions.groupBy("region").agg(F.count("*").alias("k"))
-    pairs, _ = _looked_into(_blocks(regions, sizes), 2, True)
+    pairs, _ = _looked_into(_blocks(regions, sizes), regions.count(), 2, True)
     links = _verified(docs, pairs, nodes, all_at_once=True)
     labels = components(links)
     nearest, left = 8, 1
@@ -494,7 +500,7 @@ def with_components(docs: DataFrame) -> DataFrame:
         placed = regions.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         apart = placed.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
         rows = materialize(placed.join(apart, "region").withColumn("home", F.lit(HOME)).select(*_FIELDS), "placed")
-        pairs, left = _looked_into(_divided(rows), nearest, False)
+        pairs, left = _looked_into(_divided(rows), rows.count(), nearest, False)
         more = _verified(docs, pairs, nodes) if pairs.limit(1).count() else None
         if more is not None and more.limit(1).count():
             links = links.union(more)
@@ -502,11 +508,32 @@ def with_components(docs: DataFrame) -> DataFrame:
         discard(rows, pairs)
         nearest *= 8
 
-    named = summary.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("doc_id", F.col("n").alias("n_shingles"), "component")
-    named = materialize(named, "named")
+    named = summary.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("doc_id", "t", F.col("n").alias("n_shingles"), "component")
+    named = materialize(few(named, n_docs), "named")
     discard(read, nodes, regions)
-    smallest = materialize(named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).filter("k > 1").drop("k"), "smallest")
-    return named.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "component")
+    smallest = materialize(few(named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).filter("k > 1").drop("k"), n_docs), "smallest")
+    return named.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "component", "t")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id (null last), of several texts of that id the one
+    with the least hash, and of rows that repeat both the first by their other columns.
+
+    Texts without words link with nothing and stay, repeated rows of them as well. Which rows go is a narrow table,
+    which Spark broadcasts where it is small; only rows that repeat id and text meet by these.
+    """
+    named = materialize(with_components(docs).filter("component IS NOT NULL").select("component", "doc_id", "t"), "components")
+    first = named.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "t")).alias("x"))
+    others = named.join(first.select("component", F.col("x.doc_id").alias("id"), F.col("x.t").alias("own")), "component")
+    others = others.filter(~(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("own")))).select("doc_id", "t").distinct()
+    again = named.groupBy("doc_id", "t").count().filter("count > 1").select("doc_id", "t")
+    marked = materialize(others.withColumn("goes", F.lit(True)).union(again.join(others, again["doc_id"].eqNullSafe(others["doc_id"]) & (again["t"] == others["t"]), "left_anti").withColumn("goes", F.lit(False))), "marked")
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col("__m.doc_id")) & (F.xxhash64("text") == F.col("__m.t"))
+    joined = docs.join(marked.select(F.struct("doc_id", "t", "goes").alias("__m")), key, "left")
+    single = joined.filter("__m IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
+    order = Window.partitionBy("__m").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    repeated = joined.filter("NOT __m.goes").withColumn("__n", F.row_number().over(order)).filter("__n = 1")
+    return single.union(repeated.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op9_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
