@@ -130,3 +130,12 @@ NO_CAPEX = ("без капитальных", "без капвложений")
 CAPEX = r"(?<!без\s)капитальн.{0,12}вложен|(?<!без\s)новое оборудован|строительств|магнитн.{0,12}флотац|новая установк"
 TRL_4 = ("trl 4", "trl4")
 ABOVE_TRL_4 = r"промышленн.{0,8}внедрен|пилотн.{0,12}цех|на\s+заводе|заводск.{0,8}масштаб|цехов.{0,8}испытан"
+
+# Words that are no keywords of a structured document; kinds of entities; hints that constraints call for.
+STRUCTURE_STOP = ("изменение", "замена", "полная", "после", "провести", "опробование")
+ENTITY_SCHEMA = "entities array<struct<name:string,type:string,properties:map<string,string>>>"
+RULE_HINTS = (
+    (("без капитальн",), "Только лабораторные/пилотные испытания на существующем оборудовании, TRL 4"),
+    (("ph 8",), "pH гипотезы строго в диапазоне 8–10"),
+    (("концентрат", "сульфид"), "Учебник: схемы селективности; указывай ≥3% как критерий успеха при отсутствии точного %"),
+)

@@ -48,11 +48,27 @@ def economics(delta: Column, feasibility: Column, kpi: Column, no_capex: Column)
 
 
 def business_case(hyps: DataFrame, problem: Column, no_capex: Column, n_sources: Column) -> DataFrame:
-    """Target KPI, effect, economics and confidence of each hypothesis."""
+    """Target KPI, effect, economics, confidence and narrative of each hypothesis. A column baseline of hyps goes into the narrative."""
     h = hyps.withColumns({"target_kpi": tx.kpi_label(problem), "delta_pct": expected_delta(F.concat_ws(" ", "text", "reasoning"), F.col("expected_value"))})
     h = h.withColumn("e", economics(F.col("delta_pct"), F.col("feasibility"), F.col("target_kpi"), no_capex))
     confidence = F.when(F.col("e").isNull(), "low").when(n_sources >= 2, "high").otherwise("medium")
-    return h.select("hyp_id", "target_kpi", "delta_pct", F.round("e.revenue").alias("revenue"), F.round("e.savings").alias("savings"), F.col("e.capex").alias("capex"), F.round("e.payback_months", 1).alias("payback_months"), F.round("e.roi", 2).alias("roi"), confidence.alias("confidence"))
+    base = F.col("baseline").cast("string") if "baseline" in hyps.columns else F.lit(None).cast("string")
+    h = h.withColumn("narrative", narrative(F.col("target_kpi"), problem, base, F.col("delta_pct"), F.col("e"), F.col("expected_value"), F.col("feasibility")))
+    return h.select("hyp_id", "target_kpi", "delta_pct", "narrative", F.round("e.revenue").alias("revenue"), F.round("e.savings").alias("savings"), F.col("e.capex").alias("capex"), F.round("e.payback_months", 1).alias("payback_months"), F.round("e.roi", 2).alias("roi"), confidence.alias("confidence"))
+
+
+def narrative(kpi: Column, problem: Column, baseline: Column, delta: Column, e: Column, value: Column, feasibility: Column) -> Column:
+    """The business case in words; what is not known is left out. e: economics()."""
+    money = lambda c: F.format_number(F.round(c), 0)
+    return F.concat_ws(
+        " ",
+        F.concat(F.lit("Целевой KPI: **"), kpi, F.lit("** по задаче «"), F.substring(problem, 1, 80), F.lit("».")),
+        F.concat(F.lit("Базовый уровень по архиву: "), baseline, F.lit(".")),
+        F.when(delta.isNotNull(), F.concat(F.lit("Ожидаемый прирост: **+"), F.format_string("%.1f", delta.cast("double")), F.lit(" п.п.**"))),
+        F.concat(F.lit("Оценка экономического эффекта: **"), money(e["revenue"]), F.lit(" руб/год** (выручка/эффект); экономия: **"), money(e["savings"]), F.lit(" руб/год**.")),
+        F.concat(F.lit("Окупаемость ~**"), money(e["payback_months"]), F.lit(" мес.**, ROI **"), F.format_string("%.1f", e["roi"]), F.lit("x** (лабораторный TRL, без капвложений — по ограничениям).")),
+        F.concat(F.lit("Оценка ценности LLM: "), F.format_string("%s", value), F.lit("/10; реализуемость: "), F.format_string("%s", feasibility), F.lit("/10.")),
+    )
 
 
 def step_duration(text: Column, default: Column) -> Column:

@@ -136,16 +136,24 @@ def best_windows(pairs: DataFrame, max_len: int = 280, step: int = 20) -> DataFr
 
     All is done in the pair's row: nothing is dealt out. `step` divides the blocks that long texts are walked in.
     """
-    lengths = (max_len, max_len + 50, max_len - 30)
     terms = F.col("terms") if "terms" in pairs.columns else F.array().cast("array<string>")
-    own = pairs.withColumns({"__p": prepared(F.col("snippet")), "__t": F.transform(F.coalesce(terms, F.array().cast("array<string>")), F.lower)})
+    found = _windowed(pairs, F.col("snippet"), terms, max_len, step, "__w")
+    return found.select("pair_id", "__w.start", "__w.length", "__w.score", "__w.excerpt")
+
+
+def _windowed(pairs: DataFrame, wanted: Column, terms: Column, max_len: int, step: int, name: str) -> DataFrame:
+    """pairs with the struct `name`: (start, length, score, excerpt) of the window of corpus that is best for `wanted`."""
+    lengths = (max_len, max_len + 50, max_len - 30)
+    none = F.array().cast("array<string>")
+    own = pairs.withColumns({"__p": prepared(wanted), "__t": F.transform(F.coalesce(terms, none), F.lower)})
     bonus = lambda w: 0.06 * tx.let(F.lower(w), lambda low: F.size(F.filter("__t", lambda t: low.contains(t))))
     shortest = F.least(F.lit(100), F.length("corpus"))
-    found = own.withColumn("__b", _best(F.col("corpus"), step, lengths, shortest, lambda w: overlap_with(F.col("__p"), w) + bonus(w)))
+    best = _best(F.col("corpus"), step, lengths, shortest, lambda w: overlap_with(F.col("__p"), w) + bonus(w))
+    found = own.withColumn("__b", F.when(wanted.isNotNull(), best))
     # the window without white space at its end keeps its start
     taken = F.length(tx.strip(F.substring("corpus", F.col("__b.start") + 1, F.col("__b.length"))))
-    excerpt = F.when(F.col("__b.score") > 0, sentence_bounds(F.col("corpus"), F.col("__b.start"), taken, max_len)).otherwise(keyword_window(F.col("snippet"), F.col("corpus"), F.col("__t"), max_len))
-    return found.select("pair_id", F.col("__b.start").alias("start"), F.col("__b.length").alias("length"), F.col("__b.score").alias("score"), excerpt.alias("excerpt"))
+    excerpt = F.when(F.col("__b.score") > 0, sentence_bounds(F.col("corpus"), F.col("__b.start"), taken, max_len)).otherwise(keyword_window(wanted, F.col("corpus"), F.col("__t"), max_len))
+    return found.withColumn(name, F.struct("__b.start", "__b.length", "__b.score", excerpt.alias("excerpt"))).drop("__p", "__t", "__b")
 
 
 def keyword_window(snippet: Column, corpus: Column, terms: Column, max_len: int = 280, step: int = 40) -> Column:
@@ -182,18 +190,19 @@ def align(pairs: DataFrame, max_len: int = 280) -> DataFrame:
     """The excerpt that stands for a snippet, and its overlap. pairs: pair_id, snippet, corpus, and hypothesis where its
     terms and wording count: the best window for the snippet; for the hypothesis, where it overlaps better by 0.05; the
     snippet itself where that overlaps better than both and by 0.25 at least. Blank snippets and corpora overlap by 0."""
-    hinted = "hypothesis" in pairs.columns
+    none = F.array().cast("array<string>")
     exact = tx.overlap_form(F.col("corpus")).contains(tx.overlap_form(F.col("snippet")))
+    hinted = "hypothesis" in pairs.columns
     own = pairs.withColumn("exact", exact)
+    own = own.withColumn("terms", F.when(~F.col("exact"), hypothesis_terms(F.col("hypothesis"))).otherwise(none) if hinted else none)
+    out = _windowed(own, F.col("snippet"), F.col("terms"), max_len, 20, "__w").withColumn("excerpt", F.col("__w.excerpt"))
+    out = out.withColumn("overlap", citation_overlap(F.col("excerpt"), F.col("corpus")))
     if hinted:
-        own = own.withColumn("terms", F.when(~F.col("exact"), hypothesis_terms(F.col("hypothesis"))))
-    fitted = lambda df: df.join(best_windows(df, max_len).select("pair_id", "excerpt"), "pair_id").withColumn("overlap", citation_overlap(F.col("excerpt"), F.col("corpus")))
-    out = fitted(own.drop("hypothesis")).select("pair_id", "snippet", "corpus", "exact", "excerpt", "overlap")
-    if hinted:
-        hint = own.filter(~F.col("exact") & (F.coalesce("hypothesis", F.lit("")) != "")).withColumn("snippet", F.col("hypothesis"))
-        hint = fitted(hint.drop("hypothesis")).select("pair_id", F.col("excerpt").alias("hint"), F.col("overlap").alias("hint_overlap"))
+        wanted = F.when(~F.col("exact") & (F.coalesce("hypothesis", F.lit("")) != ""), F.col("hypothesis"))
+        out = _windowed(out, wanted, F.col("terms"), max_len, 20, "__h").withColumn("hint", F.when(wanted.isNotNull(), F.col("__h.excerpt")))
+        out = out.withColumn("hint_overlap", F.when(F.col("hint").isNotNull(), citation_overlap(F.col("hint"), F.col("corpus"))))
         better = F.coalesce(F.col("hint_overlap") > F.col("overlap") + 0.05, F.lit(False))
-        out = out.join(hint, "pair_id", "left").withColumns({"excerpt": F.when(better, F.col("hint")).otherwise(F.col("excerpt")), "overlap": F.when(better, F.col("hint_overlap")).otherwise(F.col("overlap"))})
+        out = out.withColumns({"excerpt": F.when(better, F.col("hint")).otherwise(F.col("excerpt")), "overlap": F.when(better, F.col("hint_overlap")).otherwise(F.col("overlap"))})
     out = out.withColumn("raw", citation_overlap(F.col("snippet"), F.col("corpus")))
     blank = (tx.strip(F.coalesce("snippet", F.lit(""))) == "") | (F.coalesce("corpus", F.lit("")) == "")
     keep = blank | ~F.col("exact") & (F.col("overlap") < F.col("raw")) & (F.col("raw") >= 0.25)

@@ -46,12 +46,36 @@ def exemplars(events: DataFrame, keep: int = 5, head: int = 80) -> DataFrame:
     return ranked(g, ["status"], [F.desc("first_ts"), F.asc("prefix")], keep)
 
 
-def hints(words: DataFrame, averages: DataFrame, top: int = 5, gap: float = 1.0) -> DataFrame:
-    """(kind, at, hint): the commonest words of each bucket, and the criteria that confirmed ones score higher on by `gap`."""
+def hints(words: DataFrame, averages: DataFrame, exemplars: DataFrame | None = None, top: int = 5, gap: float = 1.0, examples: int = 2) -> DataFrame:
+    """(kind, at, hint): the commonest words of each bucket, the criteria that confirmed ones score higher on by `gap`,
+    and the newest examples to follow and to avoid (exemplars(): status, rank, prefix)."""
     common = ranked(words, ["bucket"], [F.desc("n"), F.asc("word")], top).select(F.col("bucket").alias("kind"), F.col("rank").alias("at"), F.col("word").alias("hint"))
     c, r = (averages.filter(F.col("bucket") == b).select("criterion", F.col("average").alias(b)) for b in ("confirmed", "rejected"))
     better = c.join(r, "criterion").filter(F.col("confirmed") - F.col("rejected") >= gap)
-    return common.union(ranked(better.withColumn("kind", F.lit("criterion")), ["kind"], [F.asc("criterion")]).select("kind", F.col("rank"), "criterion"))
+    out = common.union(ranked(better.withColumn("kind", F.lit("criterion")), ["kind"], [F.asc("criterion")]).select("kind", F.col("rank"), "criterion"))
+    if exemplars is None:
+        return out
+    kind = F.when(F.col("status") == "confirmed", "exemplar").when(F.col("status") == "rejected", "anti_pattern")
+    return out.union(exemplars.withColumn("kind", kind).filter((F.col("rank") <= examples) & F.col("kind").isNotNull()).select("kind", "rank", "prefix"))
+
+
+def snapshot(counts: DataFrame, words: DataFrame, profiles: DataFrame, patterns: DataFrame, hint_rows: DataFrame, top: int = 50) -> DataFrame:
+    """all that feedback has taught as one row, with defaults where nothing is there yet: counts (F10), the `top` words of
+    each bucket (F04), score profiles (F02: bucket, criterion, total, n), exemplars and anti-patterns (F05), hints (F06)."""
+    word = lambda b: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("bucket") == b, F.struct("word", "n"))))).alias(f"{b}_keywords")
+    w = ranked(words, ["bucket"], [F.desc("n"), F.asc("word")], top).agg(word("confirmed"), word("rejected"))
+    profile = lambda b: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("bucket") == b, F.struct("criterion", F.struct(F.col("total").cast("double").alias("total"), F.col("n").alias("n"))))))).alias(b)
+    none = F.map_from_arrays(F.array(*[F.lit(c) for c in CRITERIA]), F.array(*[F.struct(F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n")) for _ in CRITERIA]))
+    p = profiles.agg(profile("confirmed"), profile("rejected"))
+    filled = lambda b: F.map_zip_with(none, b, lambda k, d, x: F.coalesce(x, d)).alias(b)
+    p = p.select(F.struct(filled("confirmed"), filled("rejected")).alias("score_profiles"))
+    listed = lambda s: F.sort_array(F.collect_list(F.when(F.col("status") == s, F.struct("rank", "prefix"))))["prefix"]
+    e = patterns.agg(listed("confirmed").alias("exemplars"), listed("rejected").alias("anti_patterns"))
+    h = hint_rows.agg(F.sort_array(F.collect_list(F.struct("kind", "at", "hint")))["hint"].alias("hints"))
+    out = counts.select(F.coalesce("confirmed_count", F.lit(0)).alias("confirmed_count"), F.coalesce("rejected_count", F.lit(0)).alias("rejected_count"))
+    for one in (w, p, e, h):
+        out = out.join(one, F.lit(True))  # one row each
+    return out
 
 
 def normalized(weights: Column) -> Column:
@@ -78,8 +102,10 @@ def stepped(weights: dict[str, float], status: str, expert: Mapping[str, float]
 
 def fold_weights(events: DataFrame, key: str = "tenant") -> DataFrame:
     """each tenant's weights after its events in order of (ts, event_id). The order matters, so that a tenant is
-    one fold; its events arrive sorted, batch by batch, and only the weights are held."""
-    cols = [key, "ts", "event_id", "status", *CRITERIA]
+    one fold; its events arrive sorted, batch by batch, and only the weights are held. An event with expert scores (columns
+    expert_<criterion>, where events have them) moves the weights by these alone."""
+    experts = [f"expert_{c}" for c in CRITERIA if f"expert_{c}" in events.columns]
+    cols = [key, "ts", "event_id", "status", *CRITERIA, *experts]
     rows = events.select(*cols).repartition(key).sortWithinPartitions(key, "ts", "event_id")
     out = f"{key} {events.schema[key].dataType.simpleString()}, n long, " + ", ".join(f"{c} double" for c in CRITERIA)
 
@@ -93,7 +119,8 @@ def fold_weights(events: DataFrame, key: str = "tenant") -> DataFrame:
                     done.append((now, n, *(w[c] for c in CRITERIA)))
                 if not n or r[0] != now:
                     now, n, w = r[0], 0, dict(lx.RANKING_WEIGHTS)
-                w = stepped(w, r[3], None, {c: (None if pd.isna(v) else v) for c, v in zip(CRITERIA, r[4:], strict=True)})
+                given = {c.removeprefix("expert_"): v for c, v in zip(cols[4:], r[4:], strict=True) if c in experts and not pd.isna(v)}
+                w = stepped(w, r[3], given or None, {c: (None if pd.isna(v) else v) for c, v in zip(CRITERIA, r[4 : 4 + len(CRITERIA)], strict=True)})
                 n += 1
         if n:
             done.append((now, n, *(w[c] for c in CRITERIA)))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
 from .retrieval import ranked
@@ -32,6 +33,18 @@ EQUIPMENT = (
 )
 LABELS = ("Material", "Process", "Property", "Parameter", "Publication", "Equipment")
 FALLBACK_LABEL, FALLBACK_RELATION = "Parameter", "CORRELATES_WITH"
+RELATIONS = ("AFFECTS", "USED_IN", "CORRELATES_WITH", "MODIFIES", "SUPPRESSES", "VALIDATES", "NEXT_PHASE")
+# What names a KPI and a process, tried in order, a process's own name, and reagents.
+KPI_WORDS = ("извлечение меди", "извлечение", "cu recovery", "recovery", "себестоимость", "селективность", "восстановление")
+PROCESS_WORDS = (
+    ("флотац", "флотация"), ("выщелачив", "выщелачив"), ("измельчен", "измельчен"), ("сгущен", "сгущен"), ("магнитн", "магнитная сепарация"),
+    ("грохочен", "классификация"), ("классификац", "классификация"),
+)
+REAGENTS = (
+    r"карбоксиметилцеллюлоз[аы]?\s*\(?\s*кмц\s*\)?", r"\bкмц\b", r"сернокисл\w+\s+желез\w+", r"медн\w+\s+купорос\w+", r"сернист\w+\s+натри\w+", r"цианид\w*",
+    r"извест\w+", r"ксантогенат\w+", r"собирател\w+", r"депрессант\w+", r"аполярн\w+\s+собирател\w+", r"феррицианид\w+",
+)
+GANGUE = "минералы пустой породы"
 
 
 def distinct_nodes(nodes: DataFrame, by: Sequence[str] = ("hyp_id",)) -> DataFrame:
@@ -53,6 +66,84 @@ def equipment(hyps: DataFrame, patterns: Sequence[tuple[str, str]] = EQUIPMENT,
     return hyps.select("hyp_id", F.posexplode(F.slice(F.filter(named, lambda x: x.isNotNull()), 1, most)).alias("at", "equipment"))
 
 
+_NODE, _LINK = "array<struct<id:string,type:string,source_doc_id:string>>", "array<struct<source:string,target:string,type:string>>"
+
+
+def supplied_graph(raw: Column) -> Column:
+    """(nodes, links) of a graph as JSON: nodes are objects with an id or plain strings, links have source or from and
+    target or to; what has no id or ends is left out."""
+    parts = F.from_json(raw, "nodes array<string>, links array<string>")
+    node = lambda x: F.when(tx.strip(x).startswith("{"), F.struct(tx.clean_id(F.coalesce(F.get_json_object(x, "$.id"), F.lit(""))).alias("id"), F.coalesce(F.get_json_object(x, "$.type"), F.lit("Material")).alias("type"), F.nullif(F.get_json_object(x, "$.source_doc_id"), F.lit("")).alias("source_doc_id"))).otherwise(F.struct(tx.clean_id(x).alias("id"), F.lit("Material").alias("type"), F.lit(None).cast("string").alias("source_doc_id")))
+    end = lambda x, a, b: tx.clean_id(F.coalesce(F.nullif(F.get_json_object(x, f"$.{a}"), F.lit("")), F.get_json_object(x, f"$.{b}"), F.lit("")))
+    link = lambda x: F.struct(end(x, "source", "from").alias("source"), end(x, "target", "to").alias("target"), F.coalesce(F.get_json_object(x, "$.type"), F.lit("AFFECTS")).alias("type"))
+    nodes = F.filter(F.transform(F.coalesce(parts["nodes"], F.array().cast("array<string>")), node), lambda n: n["id"] != "")
+    links = F.filter(F.transform(F.coalesce(parts["links"], F.array().cast("array<string>")), link), lambda k: (k["source"] != "") & (k["target"] != ""))
+    return F.struct(nodes.alias("nodes"), links.alias("links"))
+
+
+def causal_graph(text: Column, mechanism: Column, source: Column) -> Column:
+    """(nodes, links) that a hypothesis's wording gives: its KPI, its process, equipment (H11), values of pH and the first three
+    reagents, each with its typed link. text: all wording, mechanism: what stands in for reagents where nothing else is named."""
+
+    def build(low: Column) -> Column:
+        kpi = F.lit(lx.DEFAULT_KPI_LABEL)
+        for w in reversed(KPI_WORDS):
+            kpi = F.when(low.contains(w), F.lit(w)).otherwise(kpi)
+        kpi = F.when(low.contains("мед") & low.contains("извлеч"), F.lit("извлечение меди")).otherwise(kpi)
+        process = F.lit("процесс обогащения")
+        for w, name in reversed(PROCESS_WORDS):
+            process = F.when(low.contains(w), F.lit(name)).otherwise(process)
+        gear = F.slice(F.array_distinct(F.filter(F.array(*[F.when(tx.matches(low, p), F.lit(label)) for p, label in EQUIPMENT]), lambda x: x.isNotNull())), 1, 4)
+        ph = F.transform(tx.all_of(low, r"(?iU)pH\s*(\d+(?:[.,]\d+)?(?:\s*[-–—]\s*\d+(?:[.,]\d+)?)?)", 1), lambda v: F.concat(F.lit("pH "), F.replace(v, F.lit(","), F.lit("."))))
+        named = F.filter(F.transform(F.concat(*[tx.all_of(low, f"(?iU){p}") for p in REAGENTS]), tx.strip), lambda x: F.length(x) >= 3)
+        instead = F.when((F.size(gear) == 0) & (F.coalesce(mechanism, F.lit("")) != ""), F.array(F.substring(F.substring_index(mechanism, ".", 1), 1, 40))).otherwise(F.array().cast("array<string>"))
+        parts = F.struct(kpi.alias("kpi"), process.alias("process"), gear.alias("gear"), ph.alias("ph"), F.slice(F.when(F.size(named) > 0, named).otherwise(instead), 1, 3).alias("reagents"))
+        return tx.let(parts, lambda p: _assembled(p, low, source))
+
+    return tx.let(F.lower(text), build)
+
+
+def _assembled(p: Column, low: Column, source: Column) -> Column:
+    none = F.lit(None).cast("string")
+    node = lambda kind, s=source: lambda x: F.struct(tx.clean_id(x).alias("id"), F.lit(kind).alias("type"), s.alias("source_doc_id"))
+    link = lambda a, b, kind: F.struct(tx.clean_id(a).alias("source"), tx.clean_id(b).alias("target"), F.lit(kind).alias("type"))
+    gangue = low.contains("пуст") & (F.size(p["reagents"]) > 0)
+    nodes = F.concat(
+        F.array(node("Property")(p["kpi"]), node("Process")(p["process"])), F.transform(p["gear"], node("Material")), F.transform(p["ph"], node("Parameter")), F.transform(p["reagents"], node("Material")),
+        F.when(gangue, F.array(node("Material", none)(F.lit(GANGUE)))).otherwise(F.array().cast(_NODE)),
+    )
+    to_process = lambda kind: lambda x: link(x, p["process"], kind)
+    links = F.concat(
+        F.transform(p["gear"], to_process("MODIFIES")), F.transform(p["ph"], to_process("MODIFIES")), F.transform(p["reagents"], to_process("USED_IN")), F.array(link(p["process"], p["kpi"], "AFFECTS")),
+        F.when(gangue, F.array(link(F.get(p["reagents"], 0), F.lit(GANGUE), "SUPPRESSES"))).otherwise(F.array().cast(_LINK)),
+    )
+    return F.struct(nodes.cast(_NODE).alias("nodes"), links.cast(_LINK).alias("links"))
+
+
+def whole_graph(hyps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (hyp_id, id, type, source_doc_id, at), links and states of each hypothesis. hyps: hyp_id, text, mechanism, problem,
+    sources, roadmap, and where there are any graph (JSON, H10) and chunk_text (its first hits).
+
+    A supplied graph of under two nodes or no link is filled up from the wording (H12); hits add what their wording gives; nodes
+    without a source take the hypothesis's first; the roadmap's states (H13) become nodes, and the first of them
+    validates the first property. Nodes and links stand once whatever their case.
+    """
+    has = lambda c: F.col(c) if c in hyps.columns else F.lit(None).cast("string")
+    source = F.try_element_at("sources", F.lit(1))["doc_id"]
+    own = hyps.withColumns({"__g": supplied_graph(has("graph")), "__c": causal_graph(F.concat_ws(" ", "text", "mechanism", "problem"), F.col("mechanism"), source)})
+    own = own.withColumn("__e", F.when(F.coalesce(has("chunk_text"), F.lit("")) != "", causal_graph(F.concat_ws(" ", "text", has("chunk_text"), "mechanism", "problem"), F.col("mechanism"), source)))
+    enough = (F.size("__g.nodes") >= 2) & (F.size("__g.links") >= 1)
+    part = lambda name, kind: F.concat(F.col(f"__g.{name}"), F.when(enough, F.array().cast(kind)).otherwise(F.col(f"__c.{name}")), F.coalesce(F.col(f"__e.{name}"), F.array().cast(kind)))
+    nodes = own.select("hyp_id", source.alias("__source"), F.posexplode(part("nodes", _NODE)).alias("at", "n")).select("hyp_id", "at", "n.id", "n.type", F.coalesce("n.source_doc_id", F.when(F.col("n.type").isin("Material", "Process", "Parameter", "Property") & (F.col("n.id") != GANGUE), F.col("__source"))).alias("source_doc_id"))
+    nodes = distinct_nodes(nodes)
+    links = own.select("hyp_id", F.posexplode(part("links", _LINK)).alias("at", "k")).select("hyp_id", "at", "k.source", "k.target", "k.type")
+    states = roadmap_states(hyps)
+    target = nodes.groupBy("hyp_id").agg(F.min_by("id", F.when(F.col("type") == "Property", F.col("at"))).alias("kpi"), F.max_by("id", "at").alias("last"))
+    first = states.filter("at = 0").join(target, "hyp_id").select("hyp_id", F.lit(1 << 20).alias("at"), F.col("id").alias("source"), F.coalesce("kpi", "last").alias("target"), F.lit("VALIDATES").alias("type"))
+    phases = states.select("hyp_id", (F.col("at") + (1 << 20)).alias("at"), "id", F.lit("State").alias("type"), F.lit(None).cast("string").alias("source_doc_id"))
+    return distinct_nodes(nodes.unionByName(phases)), distinct_links(links.unionByName(first)), states
+
+
 def roadmap_states(hyps: DataFrame, phases: Sequence[tuple[str, str, int]] = PHASES, most: int = 6) -> DataFrame:
     """(hyp_id, at, id, phase_order, from_id): a state for each of six steps, and the state before it."""
     steps = hyps.select("hyp_id", F.posexplode(F.slice("roadmap", 1, most)).alias("at", "step"))
@@ -112,6 +203,19 @@ def upsert_entities(entities: DataFrame, labels: Sequence[str] = LABELS) -> Data
     return newest.groupBy("label", "name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("properties"))
 
 
+def upsert_relations(relations: DataFrame, entities: DataFrame, kinds: Sequence[str] = RELATIONS) -> tuple[DataFrame, DataFrame]:
+    """Relations (doc_id, source, target, type) of documents, once, each end with its entity's label (label, name; Parameter
+    where it is none), unknown kinds as CORRELATES_WITH; and the edges from each document's publication to the entities that it names."""
+    known = F.when(F.upper("type").isin(list(kinds)), F.upper("type")).otherwise(F.lit(FALLBACK_RELATION))
+    r = relations.filter((F.coalesce("source", F.lit("")) != "") & (F.coalesce("target", F.lit("")) != "")).withColumn("type", known)
+    label = entities.groupBy("name").agg(F.min("label").alias("label"))
+    of = lambda side: label.select(F.col("name").alias(side), F.col("label").alias(f"{side}_label"))
+    edges = r.select("source", "target", "type").distinct().join(of("source"), "source", "left").join(of("target"), "target", "left")
+    edges = edges.select("source", F.coalesce("source_label", F.lit(FALLBACK_LABEL)).alias("source_label"), "target", F.coalesce("target_label", F.lit(FALLBACK_LABEL)).alias("target_label"), "type")
+    named = r.select("doc_id", F.explode(F.array("source", "target")).alias("name")).distinct()
+    return edges, named.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("publication"), "name", F.lit("CITED_BY").alias("type"))
+
+
 def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of counts."""
     n = nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("label") == "Publication").alias("publications"))
@@ -125,6 +229,13 @@ def guess_label(names: DataFrame, entities: DataFrame) -> DataFrame:
     return names.join(known, "name", "left").withColumn("label", F.coalesce("label", by_name))
 
 
+def merge_relations(parts: DataFrame, kinds: Sequence[str] = RELATIONS) -> DataFrame:
+    """Relations (doc_id, origin, at, source, target, type) once whatever their ends' case; metadata (origin 0) first; no loops."""
+    known = parts.withColumn("type", F.when(F.upper("type").isin(list(kinds)), F.upper("type")).otherwise(F.lit(FALLBACK_RELATION)))
+    k = known.withColumns({"__s": F.lower(tx.strip(F.col("source"))), "__t": F.lower(tx.strip(F.col("target")))}).filter("__s <> __t AND __s <> '' AND __t <> ''")
+    return ranked(k, ["doc_id", "__s", "__t", "type"], [F.asc("origin"), F.asc("at")], 1, "__n").drop("__n", "__s", "__t")
+
+
 def merge_extracted(parts: DataFrame) -> DataFrame:
     """Entities (doc_id, origin, at, name, type) once whatever their case; metadata (origin 0) first."""
     return ranked(parts.withColumn("__k", F.lower("name")), ["doc_id", "__k"], [F.asc("origin"), F.asc("at")], 1, "__n").drop("__n", "__k")

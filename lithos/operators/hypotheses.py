@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
+from .lineage import settled
 from .retrieval import ranked
 
 RAW = "text string, mechanism string, reasoning string, novelty_score double, feasibility_score double, expected_value_score double, risk struct<technical:double,economic:double>, roadmap array<string>, sources array<struct<doc_id:string,snippet:string>>"
@@ -40,6 +42,13 @@ def _colons(schema: str) -> str:
     return ",".join(out)
 
 
+def entities(raw: Column) -> Column:
+    """The entities (name, type, properties) of a model's output; those without a name go, the default type is Parameter."""
+    found = F.coalesce(parse_json(raw, lx.ENTITY_SCHEMA)["entities"], F.array().cast("array<struct<name:string,type:string,properties:map<string,string>>>"))
+    typed = lambda e: F.struct(e["name"].alias("name"), F.coalesce(e["type"], F.lit("Parameter")).alias("type"), F.coalesce(e["properties"], F.create_map().cast("map<string,string>")).alias("properties"))
+    return F.transform(F.filter(found, lambda e: F.coalesce(e["name"], F.lit("")) != ""), typed)
+
+
 def undefaulted(df: DataFrame) -> DataFrame:
     """A novelty of 5 (or none) becomes 6; risks of 5 and 5, or none, become 4 and 4."""
     both = (F.coalesce("risk_technical", F.lit(5.0)) == 5) & (F.coalesce("risk_economic", F.lit(5.0)) == 5)
@@ -89,16 +98,26 @@ def repaired(hyps: DataFrame, repairs: DataFrame, columns: tuple[str, ...] = ("t
     return j.withColumns(new).select(*hyps.columns)
 
 
-def clean_sources(cited: DataFrame, hits: DataFrame) -> DataFrame:
-    """A hypothesis's citations (hyp_id, query_id, at, cited_id, snippet) with ids of its hits, one for each document,
-    snippets of at most 300 characters, filled from the hit's text; the top hit where none is left."""
-    from .citations import resolve_doc_ids
+def clean_sources(cited: DataFrame, hits: DataFrame, least: float = lx.OVERLAP_MIN, shortest: int = 20) -> DataFrame:
+    """A hypothesis's citations (hyp_id, query_id, at, cited_id, snippet, and hypothesis, its text, where hints count) with ids of its
+    hits, one for each document, snippets of at most 300 characters, filled from the hit's text; the top hit where
+    none is left. A snippet that overlaps its document by less than `least` gives way to the excerpt that alignment (C08)
+    finds, where that overlaps better and has `shortest` characters."""
+    from .citations import align, citation_overlap, resolve_doc_ids
 
+    hint = [F.first("hypothesis").alias("hypothesis")] if "hypothesis" in cited.columns else []
     ids = resolve_doc_ids(cited.withColumn("citation_id", F.concat_ws("/", "hyp_id", F.col("at").cast("string"))), hits).filter("resolved IS NOT NULL")
     text = hits.groupBy("query_id", "doc_id").agg(F.min_by("text", "rank").alias("doc_text"), F.min("rank").alias("rank"))
     good = ids.join(text.withColumnRenamed("doc_id", "resolved"), ["query_id", "resolved"])
     snippet = F.substring(F.when(F.coalesce("snippet", F.lit("")) != "", F.col("snippet")).otherwise(F.substring("doc_text", 1, 200)), 1, 300)
-    once = ranked(good, ["hyp_id", "resolved"], [F.asc("at")], 1, "__n").select("hyp_id", F.col("resolved").alias("doc_id"), snippet.alias("snippet"))
+    once = ranked(good.withColumn("snippet", snippet), ["hyp_id", "resolved"], [F.asc("at")], 1, "__n").withColumn("pair_id", F.concat_ws("/", "hyp_id", "resolved"))
+    once = settled(once.withColumn("before", citation_overlap(F.col("snippet"), F.col("doc_text"))))
+    if hint:
+        once = once.join(cited.groupBy("hyp_id").agg(*hint).withColumnRenamed("hypothesis", "__h"), "hyp_id", "left")
+    weak = once.filter(F.col("before") < least).select("pair_id", "snippet", F.col("doc_text").alias("corpus"), *([F.col("__h").alias("hypothesis")] if hint else []))
+    better = once.join(align(weak).select("pair_id", "aligned", "overlap"), "pair_id", "left")
+    use = (F.col("overlap") > F.col("before")) & (F.length("aligned") >= shortest)
+    out = better.select("hyp_id", F.col("resolved").alias("doc_id"), F.when(use, F.col("aligned")).otherwise(F.col("snippet")).alias("snippet"))
     top = text.groupBy("query_id").agg(F.min_by(F.struct("doc_id", "doc_text"), "rank").alias("t"))
-    bare = cited.select("hyp_id", "query_id").distinct().join(once.select("hyp_id").distinct(), "hyp_id", "left_anti").join(top, "query_id")
-    return once.union(bare.select("hyp_id", "t.doc_id", F.substring("t.doc_text", 1, 200)))
+    bare = cited.select("hyp_id", "query_id").distinct().join(out.select("hyp_id").distinct(), "hyp_id", "left_anti").join(top, "query_id")
+    return out.union(bare.select("hyp_id", "t.doc_id", F.substring("t.doc_text", 1, 200)))

@@ -38,8 +38,8 @@ def composite(weights: Mapping[str, float] = lx.RANKING_WEIGHTS, vector_novelty:
 
 
 def rank_hypotheses(hyps: DataFrame, weights: Mapping[str, float] = lx.RANKING_WEIGHTS, by: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Composite and rank within a run; ties by hyp_id."""
-    return ranked(hyps.withColumn("composite", composite(weights)), list(by), [F.desc("composite"), F.asc("hyp_id")])
+    """Composite (9 digits, so that equal scores are equal) and rank within a run; ties by hyp_id."""
+    return ranked(hyps.withColumn("composite", F.round(composite(weights), 9)), list(by), [F.desc("composite"), F.asc("hyp_id")])
 
 
 def _text(c: str) -> Column:
@@ -117,11 +117,35 @@ CHECKS: dict[str, tuple[bool, Callable[[Column], Column]]] = {
 }
 
 
+def _influence_graph() -> Column:
+    """Hyps has graph_issues (H15); recommendations alone do not fail it."""
+    issues = F.coalesce("graph_issues", F.array().cast("array<string>"))
+    hard = F.filter(issues, lambda i: ~i.startswith(RECOMMENDATION))
+    return F.when(F.size(hard) > 0, F.array_join(hard, "; ")).otherwise(F.array_join(issues, "; "))
+
+
+def _business_case() -> Column:
+    """Hyps has business_case STRUCT<target_kpi, delta_pct, revenue, narrative>."""
+    case = F.col("business_case")
+    return _first_failing(
+        (case.isNull(), "Бизнес-кейс не сформирован"),
+        (F.coalesce(case["target_kpi"], F.lit("")) == "", "Не указан целевой KPI"),
+        (case["delta_pct"].isNull() & case["revenue"].isNull(), "Нет количественной оценки эффекта"),
+        (F.length(F.coalesce(case["narrative"], F.lit(""))) < 40, "Нет текстового бизнес-обоснования"),
+    )
+
+
+RECOMMENDATION = "Рекомендация"
+#: The checklist of hypotheses that have a graph and a business case (proposals.enriched()).
+WHOLE_CHECKS = CHECKS | {"influence_graph": (False, lambda p: _influence_graph()), "business_case": (False, lambda p: _business_case())}
+
+
 def checks(hyps: DataFrame, problem: Column, table: Mapping[str, tuple[bool, Callable[[Column], Column]]] = CHECKS) -> DataFrame:
-    """A row for each hypothesis and check: hyp_id, at, key, required, passed, note. problem: a column of hyps."""
+    """J05 to J12 (with WHOLE_CHECKS J13 as well): a row for each hypothesis and check: hyp_id, at, key, required, passed,
+    note. problem: a column of hyps. A note that only recommends is a pass."""
     items = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(k).alias("key"), F.lit(r).alias("required"), f(problem).alias("note")) for i, (k, (r, f)) in enumerate(table.items())])
     c = hyps.select("hyp_id", F.explode(items).alias("c")).select("hyp_id", "c.*")
-    return c.select("hyp_id", "at", "key", "required", (F.col("note") == "").alias("passed"), "note")
+    return c.select("hyp_id", "at", "key", "required", ((F.col("note") == "") | F.col("note").startswith(RECOMMENDATION)).alias("passed"), "note")
 
 
 def compliance(checked: DataFrame) -> DataFrame:
@@ -141,13 +165,25 @@ def messages(checked: DataFrame) -> DataFrame:
 
 
 def constraint_issues(hyps: DataFrame, constraints: Column) -> DataFrame:
-    """(hyp_id, kind, low, high) of ranges and values of pH outside the constraint's range. constraints: a column of hyps."""
+    """(hyp_id, kind, low, high): ranges and values of pH outside the constraint's range; investment where the
+    constraints rule it out (capex); a readiness above level 4 where they ask for that (trl). constraints: a column of hyps."""
+    low = F.lower(F.coalesce(constraints, F.lit("")))
     allowed = F.get(tx.ph_ranges(constraints), 0)
     text = F.concat_ws(" ", "text", "mechanism", "reasoning")
-    h = hyps.withColumns({"__a": allowed, "__r": tx.ph_ranges(text), "__v": tx.ph_values(text)}).filter("__a IS NOT NULL")
-    ranges = h.select("hyp_id", "__a", F.explode("__r").alias("r")).filter(F.greatest("r.low", "__a.low") > F.least("r.high", "__a.high"))
-    values = h.select("hyp_id", "__a", F.explode("__v").alias("v")).filter((F.col("v") < F.col("__a.low")) | (F.col("v") > F.col("__a.high")))
-    return ranges.select("hyp_id", F.lit("range").alias("kind"), "r.low", "r.high").union(values.select("hyp_id", F.lit("value"), "v", "v"))
+    none = F.lit(None).cast("double")
+    ranges = F.transform(F.filter(tx.ph_ranges(text), lambda r: F.greatest(r["low"], allowed["low"]) > F.least(r["high"], allowed["high"])), lambda r: F.struct(F.lit("range").alias("kind"), r["low"].alias("low"), r["high"].alias("high")))
+    values = F.transform(F.filter(tx.ph_values(text), lambda v: (v < allowed["low"]) | (v > allowed["high"])), lambda v: F.struct(F.lit("value").alias("kind"), v.alias("low"), v.alias("high")))
+    ruled = [(tx.contains_any(low, lx.NO_CAPEX) & tx.matches(text, lx.CAPEX), "capex"), (tx.contains_any(low, lx.TRL_4) & tx.matches(text, lx.ABOVE_TRL_4), "trl")]
+    words = F.filter(F.array(*[F.when(cond, F.struct(F.lit(kind).alias("kind"), none.alias("low"), none.alias("high"))) for cond, kind in ruled]), lambda x: x.isNotNull())
+    empty = F.array().cast("array<struct<kind:string,low:double,high:double>>")
+    found = F.concat(F.coalesce(ranges, empty), F.coalesce(values, empty), words)
+    return hyps.select("hyp_id", F.explode(found).alias("x")).select("hyp_id", "x.*")
+
+
+def with_constraint_issues(hyps: DataFrame, constraints: Column) -> DataFrame:
+    """hyps with n_constraint_issues, which verdict() reads."""
+    n = constraint_issues(hyps, constraints).groupBy("hyp_id").agg(F.count("*").alias("n_constraint_issues"))
+    return hyps.join(n, "hyp_id", "left").withColumn("n_constraint_issues", F.coalesce("n_constraint_issues", F.lit(0)))
 
 
 REVIEW = ("testability", "evidence_quality", "relevance", "novelty_assessment", "kpi_link")

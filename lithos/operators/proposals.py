@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
-from . import graphs, hypotheses, judging, retrieval
+from . import business, citations, graphs, hypotheses, judging, retrieval
+from .lineage import settled
 from .retrieval import ranked
 
 # How constraints are led in, in this order; materials; fields of documents in texts.
@@ -66,6 +67,53 @@ def entities(metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
     return e, a.join(b, "doc_id").select("doc_id", "source", "target", relation.alias("type"))
 
 
+def ner_sample(text: Column, measurements: Column, parameters: Column, most: int = 4500) -> Column:
+    """What an entity extractor is shown of a text: its KPI lines (8 at most), what is known of it (maps), and the whole
+    text, or of one over `most` characters its first 2000 and last 1500; cut at `most`."""
+    lines = F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: tx.strip(x).startswith("# KPI-сводка") | F.lower(x).contains("извлекаемый металл"))
+    known = F.when((F.coalesce(F.size(measurements), F.lit(0)) > 0) | (F.coalesce(F.size(parameters), F.lit(0)) > 0), F.concat(F.lit("Structured: "), F.to_json(F.struct(measurements.alias("measurement_results"), parameters.alias("process_parameters")))))
+    body = F.when(F.length(text) <= most, F.array(text)).otherwise(F.array(F.substring(text, 1, 2000), F.substring(text, -1500, 1500)))
+    parts = F.concat(F.array(F.when(F.size(lines) > 0, F.array_join(F.slice(lines, 1, 8), "\n")), known), body)
+    return F.substring(F.array_join(F.filter(parts, lambda x: F.coalesce(tx.strip(x), F.lit("")) != ""), "\n\n---\n\n"), 1, most)
+
+
+def whole_context(hits: DataFrame, nodes: DataFrame, links: DataFrame, gaps: DataFrame, most: int = 900) -> DataFrame:
+    """Per query its hits as numbered blocks (source, score and a mark for examples), 10 nodes, 8 links and 5 gaps at most. hits:
+    query_id, rank, doc_id, source, score, text, is_example; nodes: query_id, at, id, type, source; links: query_id, at, source,
+    target, type; gaps: R23."""
+    tag = F.when(F.coalesce("is_example", F.lit(False)), F.lit(" [ПРИМЕР]")).otherwise(F.lit(""))
+    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]"), tag, F.lit(" doc_id="), F.col("doc_id").cast("string"), F.lit(" source="), F.coalesce("source", F.lit("")), F.lit(" score="), F.format_string("%.3f", F.col("score").cast("double")), F.lit("\n"), F.substring("text", 1, most))
+    some = lambda df, at, keep, text: ranked(df, ["query_id"], [F.asc(at)], keep, "__n").select("query_id", F.col("__n").alias("at"), text.alias("line"))
+    origin = F.when(F.coalesce("source", F.lit("")) != "", F.concat(F.lit(" ["), "source", F.lit("]"))).otherwise(F.lit(""))
+    n = some(nodes, "at", 10, F.concat(F.lit("  - "), "type", F.lit(": "), "id", origin))
+    k = some(links, "at", 8, F.concat(F.lit("  → "), "source", F.lit(" --"), "type", F.lit("--> "), "target"))
+    g = some(gaps, "rank", 5, F.concat(F.lit("  - ["), "severity", F.lit("] "), "topic"))
+    named = lambda df, text: df.select("query_id").distinct().select("query_id", F.lit(0).alias("at"), F.lit(text).alias("line"))
+    graph = named(nodes, "\nKnowledge graph excerpt:").withColumn("part", F.lit(1)).unionByName(n.withColumn("part", F.lit(2))).unionByName(k.join(nodes.select("query_id").distinct(), "query_id", "left_semi").withColumn("part", F.lit(3)))
+    missing = named(gaps, "\nKnowledge gaps (address in hypotheses where possible):").withColumn("part", F.lit(4)).unionByName(g.withColumn("part", F.lit(5)))
+    lines = hits.select("query_id", F.col("rank").alias("at"), block.alias("line")).withColumn("part", F.lit(0)).unionByName(graph).unionByName(missing)
+    joined = lines.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("part", "at", "line")))["line"].alias("l"))
+    return joined.select("query_id", F.array_join("l", "\n\n").alias("context"))
+
+
+def whole_prompts(queries: DataFrame, contexts: DataFrame, hints: DataFrame, conflicts: DataFrame, topics: DataFrame) -> DataFrame:
+    """A prompt for each query, for any generator outside: problem, constraints, hints, at most 12 topics to spread over n
+    hypotheses (T34), context and conflicts. queries: query_id, problem, constraints, n; conflicts: R22; topics: query_id, at, topic."""
+    lines = lambda df, at, text, head: df.groupBy("query_id").agg(F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list(F.struct(at, text.alias("line"))))["line"], "\n")).alias("x"))
+    n = tx.hypothesis_count(F.col("n"))
+    first = ranked(topics, ["query_id"], [F.asc("at")], 12, "no")
+    parts = {
+        "__hints": lines(hints, "rank", F.concat(F.lit("- "), "hint"), "Case hints (ground every claim in snippet):\n"),
+        "__topics": lines(first, "no", F.concat(F.lit("  "), F.col("no").cast("string"), F.lit(". "), "topic"), "Directions to distribute:\n"),
+        "__conflicts": lines(conflicts, "rank", F.concat(F.lit("- "), "message"), "Detected conflicts in sources:\n"),
+    }
+    out = queries.join(contexts, "query_id", "left")
+    for name, df in parts.items():
+        out = out.join(df.withColumnRenamed("x", name), "query_id", "left")
+    text = F.concat_ws("\n\n", F.concat(F.lit("Target problem:\n"), "problem"), F.concat(F.lit("Constraints:\n"), F.coalesce(F.nullif("constraints", F.lit("")), F.lit("none"))), "__hints", "__topics", F.concat(F.lit("Relevant sources and knowledge graph:\n"), "context"), "__conflicts", F.concat(F.lit("Hypotheses: "), n.cast("string")))
+    return out.select("query_id", text.alias("prompt"))
+
+
 def context(hits: DataFrame, most: int = 900) -> DataFrame:
     """A query's hits as numbered blocks."""
     block = F.format_string("[%d] %s (%.2f)\n%s", F.col("rank").cast("int"), F.col("doc_id").cast("string"), F.col("score").cast("double"), F.substring("text", 1, most))
@@ -175,6 +223,58 @@ def propose(samples: DataFrame, reviews: DataFrame, problem: Column) -> DataFram
     return judging.output_order(v.withColumn("objective", judging.objective()))
 
 
+def enriched(hyps: DataFrame, hits: DataFrame, gaps: DataFrame, no_capex: Column) -> DataFrame:
+    """Hypotheses (with query_id, problem) after their enrichment: the structured roadmap as their roadmap (B09 to B11),
+    predictive (B07), business_case (B04), graph_issues and completeness (H14 to H16), and the composite score (J02)."""
+    steps = business.structured_roadmap(hyps)
+    lines = business.roadmap_lines(steps).groupBy("hyp_id").agg(F.sort_array(F.collect_list(F.struct("step_order", "line")))["line"].alias("lines"))
+    case = business.business_case(hyps, F.col("problem"), no_capex, F.size("sources"))
+    case = case.select("hyp_id", F.struct("target_kpi", "delta_pct", "revenue", "savings", "capex", "payback_months", "roi", "confidence", "narrative").alias("business_case"))
+    nodes, links, states = graphs.whole_graph(hyps)
+    measures = graphs.graph_measures(hyps, nodes, links, states).join(hyps.select("hyp_id", F.size("sources").alias("n_sources")), "hyp_id")
+    checked = graphs.validate(measures).select("hyp_id", F.col("issues").alias("graph_issues"), graphs.completeness().alias("completeness"))
+    out = hyps.join(lines, "hyp_id").join(analysis(hyps, hits, gaps), "hyp_id").join(case, "hyp_id").join(checked, "hyp_id")
+    return out.withColumn("roadmap", F.col("lines")).drop("lines").withColumn("composite", judging.composite(completeness=F.col("completeness")))
+
+
+def generate(problems: DataFrame, hits: DataFrame, samples: DataFrame, reviews: DataFrame) -> dict[str, DataFrame]:
+    """From problems (query_id, problem, constraints), what was retrieved for them (hits of retrieve(): query_id, rank, doc_id,
+    text, score) and supplied samples (run_id = query_id, sample_no, raw) to ordered verdicts. Hypotheses are settled three times, as
+    the steps behind read them often.
+
+    Constraints are split off the problem (T15), gaps found (R23), items merged and numbered (H01 to H07), citations cleaned
+    and aligned against the hits (C08 to C10), hypotheses enriched (J04), grounded (C11) and held against the constraints (J16) and all
+    twelve checks (J05 to J15), then judged, scored and ordered (J17 to J22). Returned: gaps, hypotheses, sources,
+    and summary (J21), each to be kept by run id (S22).
+    """
+    asked = split_constraints(problems).withColumn("keywords", F.transform(tx.keywords(F.concat_ws(" ", "problem", "constraints")), F.lower))
+    gaps = retrieval.knowledge_gaps(asked, hits)
+    found = hypotheses.items(samples).select("run_id", "sample_no", "at", "item.*").withColumns(
+        {"novelty": F.coalesce("novelty_score", F.lit(5.0)), "feasibility": F.coalesce("feasibility_score", F.lit(5.0)), "expected_value": F.coalesce("expected_value_score", F.lit(5.0)),
+         "risk_technical": F.col("risk.technical"), "risk_economic": F.col("risk.economic"), "sources": F.coalesce("sources", F.array().cast("array<struct<doc_id:string,snippet:string>>"))}
+    )
+    h = hypotheses.numbered(hypotheses.merge_samples(hypotheses.sanitized(hypotheses.undefaulted(found)))).withColumn("query_id", F.col("run_id"))
+    h = settled(h)
+    cited = h.select("hyp_id", "query_id", "text", F.posexplode_outer("sources").alias("at", "s")).select("hyp_id", "query_id", F.coalesce("at", F.lit(0)).alias("at"), F.coalesce("s.doc_id", F.lit("unknown")).alias("cited_id"), "s.snippet", F.col("text").alias("hypothesis"))
+    sources = settled(hypotheses.clean_sources(cited, hits.withColumn("doc_id", F.col("doc_id").cast("string"))))
+    listed = sources.groupBy("hyp_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "snippet"))).alias("sources"))
+    h = h.drop("sources").join(listed, "hyp_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<struct<doc_id:string,snippet:string>>")))
+    h = h.join(asked.select("query_id", "problem", "constraints"), "query_id")
+    h = settled(h)
+    h = enriched(h, hits, gaps, tx.contains_any(F.lower("constraints"), lx.NO_CAPEX))
+    h = settled(h)
+    key = lambda q, d: F.concat_ws("/", q, d)
+    corpus = retrieval.doc_corpus(hits).select(key("query_id", F.col("doc_id").cast("string")).alias("doc_id"), "corpus")
+    named = sources.join(h.select("hyp_id", "query_id"), "hyp_id").select("hyp_id", key("query_id", "doc_id").alias("doc_id"), "snippet")
+    grounded = citations.grounding(named, corpus).select("hyp_id", "source_grounded")
+    checked = judging.checks(h, F.col("problem"), judging.WHOLE_CHECKS)
+    joined = judging.with_reviews(h.join(judging.compliance(checked), "hyp_id"), reviews).join(grounded, "hyp_id", "left").withColumn("source_grounded", F.coalesce("source_grounded", F.lit(False)))
+    joined = judging.with_constraint_issues(joined.withColumn("n_issues", F.col("mandatory_total") - F.col("mandatory_passed")), F.col("constraints"))
+    v = judging.verdict(joined)
+    ordered = judging.output_order(v.withColumn("objective", judging.objective()))
+    return {"gaps": gaps, "sources": sources, "hypotheses": ordered, "summary": judging.run_summary(ordered.drop("compliance_pct"), ordered)}
+
+
 def default_graph(hyps: DataFrame, problem: Column, label: str = lx.DEFAULT_KPI_LABEL) -> tuple[DataFrame, DataFrame]:
     """Nodes and links of a hypothesis without a graph: its KPI, its equipment (H11), pH where it states one, each
     linked to the KPI; the first source is every node's source; ids are kept once whatever their case."""

@@ -111,16 +111,55 @@ def route_cases(queries: DataFrame, cases: DataFrame, broad: Sequence[str]) -> D
     """(query_id, case_no, dir) of the cases (case_no, dir, keywords) that a query names; all, if it names none but a broad keyword."""
     text = F.lower(F.concat_ws(" ", "problem", "constraints"))
     q = queries.select("query_id", text.alias("__text"))
-    named = q.join(F.broadcast(cases), F.exists("keywords", lambda k: F.col("__text").contains(F.lower(k)))).select("query_id", "case_no", "dir")
+    named = q.join(cases, F.exists("keywords", lambda k: F.col("__text").contains(F.lower(k)))).select("query_id", "case_no", "dir")
     rest = q.join(named.select("query_id").distinct(), "query_id", "left_anti").filter(tx.contains_any(F.col("__text"), list(broad)))
-    every = rest.select("query_id").join(F.broadcast(cases.select("case_no", "dir")), F.lit(True))
+    every = rest.select("query_id").join(cases.select("case_no", "dir"), F.lit(True))
     return named.union(every.select("query_id", "case_no", "dir"))
 
 
+def case_registry(items: DataFrame) -> DataFrame:
+    """The example cases (at, id, dir, label, keywords, hints) as a table: numbered in order, keywords in lower case, the id
+    where there is no label, no nulls. A registry has some tens of rows."""
+    none = F.array().cast("array<string>")
+    c = items.withColumns({"label": F.coalesce("label", F.col("id").cast("string")), "dir": F.coalesce("dir", F.lit("")), "keywords": F.transform(F.coalesce("keywords", none), F.lower), "hints": F.coalesce("hints", none)})
+    return ranked(c, [], [F.asc("at")], None, "case_no").select("case_no", "id", "dir", "label", "keywords", "hints")
+
+
+def rule_hints(queries: DataFrame, rules: Sequence[tuple[Sequence[str], str]] = lx.RULE_HINTS) -> DataFrame:
+    """(query_id, rank, hint): what a query's wording calls for, whatever its cases, in the order of the rules."""
+    low = F.lower(F.concat_ws(" ", "problem", "constraints"))
+    found = F.filter(F.array(*[F.when(tx.contains_any(low, words), F.lit(hint)) for words, hint in rules]), lambda x: x.isNotNull())
+    return queries.select("query_id", F.posexplode(found).alias("rank", "hint")).withColumn("rank", F.col("rank") + 1)
+
+
+def all_hints(queries: DataFrame, routes: DataFrame, cases: DataFrame) -> DataFrame:
+    """The hints of a query's cases, then those of the rules."""
+    own = case_hints(routes, cases).withColumn("__part", F.lit(0))
+    both = own.unionByName(rule_hints(queries).withColumn("__part", F.lit(1)))
+    return ranked(both.withColumnRenamed("rank", "__was"), ["query_id"], [F.asc("__part"), F.asc("__was")]).select("query_id", "rank", "hint")
+
+
+def case_candidates(chunks: DataFrame, routes: DataFrame, queries: DataFrame, mandatory: DataFrame, inject: int = 4, few: int = 2) -> DataFrame:
+    """For queries with under `few` mandatory chunks (query_id, ...) the first chunks (R04) of the cases' folders, boosted
+    (R12) and scored (R13): hits with kind null. routes: query_id, dir; queries: query_id, keywords. A folder's chunks are
+    taken once, however many queries it serves."""
+    most = max(3 * inject, 8)
+    dirs = routes.select("dir").distinct()
+    inside = chunks.join(dirs, F.lower("source").contains(F.lower("dir")))  # folders are as many as cases
+    first = ranked(inside, ["dir"], [F.asc("doc_id"), F.asc("chunk_index")], most, "__n").drop("__n")
+    served = mandatory.groupBy("query_id").count().filter(F.col("count") >= few).select("query_id")
+    open_ = routes.select("query_id", "dir").join(served, "query_id", "left_anti")
+    found = ranked(open_.join(first, "dir"), ["query_id"], [F.asc("doc_id"), F.asc("chunk_index"), F.asc("dir")], most, "__n").drop("__n")
+    boosted = found.join(queries.select("query_id", "keywords"), "query_id").withColumns(
+        {"example_score": case_score(F.col("text"), F.col("keywords")), "score": 0.55 + source_boost(F.col("source"), F.array("dir")), "kind": F.lit(None).cast("string")}
+    )
+    return boosted.select("query_id", "doc_id", "chunk_index", "text", "score", "kind", "example_score")
+
+
 def case_hints(routes: DataFrame, cases: DataFrame) -> DataFrame:
     """The hints of a query's cases in order, each once."""
     hints = cases.select("case_no", "label", F.posexplode("hints").alias("hint_no", "hint"))
-    found = routes.join(F.broadcast(hints), "case_no").withColumn("hint", F.concat_ws(": ", "label", "hint"))
+    found = routes.join(hints, "case_no").withColumn("hint", F.concat_ws(": ", "label", "hint"))
     once = ranked(found, ["query_id", "hint"], [F.asc("case_no"), F.asc("hint_no")], 1, "__n")
     return ranked(once, ["query_id"], [F.asc("case_no"), F.asc("hint_no")], None, "rank").select("query_id", "rank", "hint")
 
@@ -164,10 +203,10 @@ def conflicts(hits: DataFrame, up: Sequence[str] = lx.INCREASE, down: Sequence[s
     directed = hits.withColumn("direction", chunk_direction(F.col("text"), up, down)).filter("direction IS NOT NULL")
     words = directed.select("query_id", "rank", "doc_id", "direction", F.posexplode(tx.all_of(F.lower("text"), f"[а-яa-z]{{{least},}}")).alias("at", "term"))
     words = words.filter(~F.col("term").isin(list(stop)))
-    terms = words.groupBy("query_id", "term").agg(
-        F.count_distinct("direction").alias("n"), F.sort_array(F.collect_set("doc_id")).alias("docs"), F.min(F.struct("rank", "at")).alias("first")
-    ).filter("n = 2")
-    found = ranked(terms, ["query_id"], [F.asc("first.rank"), F.asc("first.at")], most)
+    terms = words.groupBy("query_id", "term").agg(F.min("direction").alias("low"), F.max("direction").alias("high"), F.min(F.struct("rank", "at")).alias("first")).filter("low <> high")
+    best = ranked(terms, ["query_id"], [F.asc("first.rank"), F.asc("first.at")], most).select("query_id", "term", "rank")
+    docs = words.select("query_id", "term", "doc_id").join(best, ["query_id", "term"]).groupBy("query_id", "term").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
+    found = best.join(docs, ["query_id", "term"])
     names = F.array_join(F.transform("docs", lambda d: d.cast("string")), ", ")
     one = F.concat(F.lit("Противоречие по «"), "term", F.lit("» в документе "), names, F.lit(": в разных фрагментах указаны противоположные эффекты"))
     many = F.concat(F.lit("Противоречие по «"), "term", F.lit("»: разные источники ("), names, F.lit(") указывают на противоположные эффекты"))
@@ -177,7 +216,6 @@ def conflicts(hits: DataFrame, up: Sequence[str] = lx.INCREASE, down: Sequence[s
 def knowledge_gaps(queries: DataFrame, hits: DataFrame, topics: Sequence[tuple[str, str]] = lx.GAP_TOPICS, stop: Sequence[str] = lx.GAP_STOP, enough: int = 5, most: int = 8) -> DataFrame:
     """(query_id, rank, topic, severity): topics a query asks for that no hit covers, keywords that no hit
     holds, and too few hits. queries: query_id, problem, constraints, keywords (lower-cased)."""
-    spark = queries.sparkSession
     asked = F.concat_ws(" ", "problem", "constraints")
     flags = hits.groupBy("query_id").agg(F.count("*").alias("hits"), *[F.max(tx.matches(F.col("text"), p)).alias(f"__t{i}") for i, (_, p) in enumerate(topics)])
     q = queries.join(flags, "query_id", "left")
@@ -191,7 +229,7 @@ def knowledge_gaps(queries: DataFrame, hits: DataFrame, topics: Sequence[tuple[s
     missing = words.join(held, ["query_id", "topic"], "left_anti").select("query_id", (F.col("at") + 1000).alias("at"), "topic", F.lit("medium").alias("severity"))
     few = q.filter(F.coalesce("hits", F.lit(0)) < enough).select("query_id", F.lit(10**6).alias("at"), F.lit("объём контекста").alias("topic"), F.lit("high").alias("severity"))
     once = ranked(gaps.union(missing).union(few), ["query_id", "topic"], [F.asc("at")], 1, "__n").drop("__n")
-    return ranked(once, ["query_id"], [F.asc("at")], most).select("query_id", "rank", "topic", "severity") if spark else once
+    return ranked(once, ["query_id"], [F.asc("at")], most).select("query_id", "rank", "topic", "severity")
 
 
 def source_rollup(hits: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -209,7 +247,7 @@ def doc_corpus(hits: DataFrame) -> DataFrame:
 
 def expand_keywords(words: DataFrame, aliases: DataFrame, most: int = 20) -> DataFrame:
     """Keywords (query_id, at, word) and the aliases (term, alias) of terms that contain them or that they contain."""
-    met = words.join(F.broadcast(aliases), F.lower("word").contains(F.lower("term")) | F.lower("term").contains(F.lower("word")))
+    met = words.join(aliases, F.lower("word").contains(F.lower("term")) | F.lower("term").contains(F.lower("word")))
     both = words.select("query_id", "at", F.lit(0).alias("side"), "word").union(met.select("query_id", "at", F.lit(1).alias("side"), F.col("alias").alias("word")))
     order = [F.asc("at"), F.asc("side"), F.asc("word")]
     return ranked(ranked(both, ["query_id", "word"], order, 1, "__n").drop("__n"), ["query_id"], order, most).select("query_id", "rank", "word")

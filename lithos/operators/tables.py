@@ -122,6 +122,77 @@ def sheet_overview(rows: DataFrame) -> DataFrame:
     return sized.join(top, keys, "left").join(samples.select(*keys, F.col("s.s").alias("samples")), keys, "left")
 
 
+def workbook_rows(rows: DataFrame) -> DataFrame:
+    """Rows of all sheets of a workbook as one sheet "", sheets by name: what its KPIs are read from."""
+    at = F.row_number().over(Window.partitionBy("workbook").orderBy("sheet", "row_idx")) - 1
+    return rows.select("workbook", F.lit("").alias("sheet"), at.alias("row_idx"), "cells")
+
+
+def overview_lines(overview: DataFrame) -> DataFrame:
+    """K10 as text: (workbook, sheet, at, line)."""
+    head = F.concat(F.lit("- Лист «"), "sheet", F.lit("»: "), F.col("n_rows").cast("string"), F.lit(" строк × "), F.col("n_columns").cast("string"), F.lit(" колонок"))
+    columns = F.when(F.size("columns") > 0, F.concat(F.lit("  Колонки: "), F.array_join("columns", ", ")))
+    samples = F.transform(F.coalesce("samples", F.array().cast("array<string>")), lambda s: F.concat(F.lit("  · "), s))
+    lines = F.filter(F.concat(F.array(head, columns), samples), lambda x: x.isNotNull())
+    return overview.select("workbook", "sheet", F.posexplode(lines).alias("at", "line"))
+
+
+def workbook_summary(rows: DataFrame) -> DataFrame:
+    """(workbook, part, sheet, at, line) in order: the file, then its KPIs, or else an overview of each sheet."""
+    n = rows.groupBy("workbook").agg(F.count_distinct("sheet").alias("sheets"))
+    kpis = kpi_summary(workbook_rows(rows)).drop("sheet")
+    with_kpis = kpis.select("workbook").distinct().withColumn("known", F.lit(True))
+    heads = n.join(with_kpis, "workbook", "left").select("workbook", F.posexplode(F.array(F.concat(F.lit("- Файл: "), "workbook", F.lit(", листов: "), F.col("sheets").cast("string")), F.when(F.col("known"), "## Сводка KPI").otherwise("## Обзор листов"))).alias("at", "line"))
+    rest = overview_lines(sheet_overview(rows)).join(with_kpis, "workbook", "left_anti")
+    empty = F.lit("")
+    return (
+        heads.select("workbook", F.lit(0).alias("part"), empty.alias("sheet"), F.col("at").cast("long").alias("at"), "line")
+        .union(kpis.select("workbook", F.lit(1), empty, "at", "line"))
+        .union(rest.select("workbook", F.lit(1), "sheet", F.col("at").cast("long"), "line"))
+    )
+
+
+def workbook_kpis(summary: DataFrame) -> DataFrame:
+    """Per workbook tailings_tonnage (string), recoverable_pct and the size classes in order, from the lines of kpi_summary()."""
+    line = F.col("line")
+    tonnage = F.replace(F.nullif(F.regexp_extract("line", r":\s*([\d.,eE+-]+)", 1), F.lit("")), F.lit(","), F.lit("."))
+    share = F.replace(F.nullif(F.regexp_extract("line", r":\s*([\d.,]+)\s*%", 1), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+    size = F.nullif(tx.strip(F.regexp_extract("line", r"(?i)^-\s*([+\-]?\d+(?:\s*\+\s*\d+)?(?:\s*мкм)?)", 1)), F.lit(""))
+    s = summary.withColumns({"tonnage": F.when(line.contains("Отвальные хвосты"), tonnage), "share": F.when(F.lower(line).contains("извлекаемый металл"), share), "size": size})
+    sizes = F.transform(F.sort_array(F.collect_list(F.when(F.col("size").isNotNull(), F.struct("at", "size")))), lambda x: x["size"])
+    return s.groupBy("workbook").agg(F.max("tonnage").alias("tailings_tonnage"), F.max("share").alias("recoverable_pct"), sizes.alias("grain_classes"))
+
+
+def priority_chunks(summary: DataFrame) -> DataFrame:
+    """(workbook, text): a short chunk of a workbook's KPI lines (some tens at most), to be put before its other chunks."""
+    lines = summary.groupBy("workbook").agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", "line")))["line"], "\n").alias("lines"))
+    return lines.select("workbook", kpi_chunk(F.col("workbook"), F.col("lines")).alias("text"))
+
+
+def kpi_chunk(name: Column, lines: Column) -> Column:
+    head = F.concat(F.lit("# KPI-сводка: "), name)
+    return F.concat_ws("\n", head, F.lit("Тег: enterprise_kpi — цитируй этот блок для KPI из Excel (%, тоннаж, крупность)."), F.lit(""), lines)
+
+
+def with_priority(chunks: DataFrame, first: DataFrame) -> DataFrame:
+    """Chunks (doc_id, chunk_index, text) with a document's priority chunk (doc_id, text) as number 0 and the others behind it."""
+    some = first.select("doc_id", F.lit(1).alias("__shift")).distinct()
+    moved = chunks.select("doc_id", "chunk_index", "text").join(some, "doc_id", "left").withColumn("chunk_index", F.col("chunk_index") + F.coalesce("__shift", F.lit(0)))
+    return first.select("doc_id", F.lit(0).alias("chunk_index"), "text").union(moved.select("doc_id", "chunk_index", "text"))
+
+
+def recovered_summary(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the KPI chunk of a processed document (doc_id, title, text), from the table rows in its text, or
+    else from the one figure that a pattern finds; documents with neither have none."""
+    key = F.col("doc_id").cast("string")
+    rows = text_rows(docs).select(key.alias("workbook"), F.lit("").alias("sheet"), "row_idx", "cells")
+    lines = kpi_summary(rows).groupBy(F.col("workbook").alias("__k")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", "line")))["line"], "\n").alias("lines"))
+    share = F.replace(F.nullif(F.regexp_extract("text", r"(?iU)итого\s+извлекаем\w*\s+металл[^|]{0,80}\|\s*([\d.,]+)", 1), F.lit("")), F.lit(","), F.lit("."))
+    found = F.coalesce("lines", F.concat(F.lit("- Итого извлекаемый металл в хвостах: "), share, F.lit("%")))
+    joined = docs.join(lines, key == F.col("__k"), "left").withColumn("__found", found).filter("__found IS NOT NULL")
+    return joined.select("doc_id", kpi_chunk(F.coalesce("title", F.lit("KPI.xlsx")), F.col("__found")).alias("text"))
+
+
 def rows_text(rows: DataFrame) -> DataFrame:
     """A sheet's rows as text, cells joined by " | "."""
     r = rows.withColumn("cells", trimmed(F.col("cells"))).filter(F.size("cells") > 0).withColumn("line", F.array_join("cells", " | "))
@@ -174,6 +245,33 @@ def experiment_text(name: Column) -> Column:
     return F.concat_ws("\n", head, line("pH", "pH", ""), line("Дозировка реагента", "reagent_dosage", " кг/т"), line("Температура", "temperature_C", " °C"), line("Извлечение", "recovery_pct", "%"))
 
 
+FACTORS = ("pH", "reagent_dosage", "temperature_C")
+
+
+def experiment_metadata(file: Column, stem: Column) -> Column:
+    """An experiment's source `file#sample`, title, tags, factors, result, and its record for a laboratory archive."""
+    sample = F.coalesce("sample_id", F.lit("row"))
+    factors = F.map_filter(F.create_map(*[x for f in FACTORS for x in (F.lit(f), F.col(f).cast("double"))]), lambda k, v: v.isNotNull())
+    lab = F.struct(
+        stem.alias("investigation_id"), F.concat(stem, F.lit("_study")).alias("study_id"), F.concat(stem, F.lit("_"), sample).alias("assay_id"), F.map_keys(factors).alias("factor_names"),
+        factors.alias("factor_values"), F.lit("recovery_pct").alias("measurement_type"), F.col("recovery_pct").cast("string").alias("measurement_value"), F.lit("%").alias("unit"),
+    )
+    return F.struct(
+        F.concat(file, F.lit("#"), sample).alias("source"), F.concat(stem, F.lit(" / "), sample).alias("title"), sample.alias("sample_id"), F.lit("лабораторный опыт").alias("material"),
+        F.array(*[F.lit(x) for x in ("structured_experiment", "experiment_row", "xlsx_type:lab_experiments")]).alias("tags"), factors.alias("process_parameters"),
+        F.create_map(F.lit("recovery_pct"), F.col("recovery_pct").cast("double")).alias("measurement_results"), lab.alias("lab_record"),
+        F.concat(F.lit("allotrope:process/flotation/"), stem, F.lit("-laboratory-assay")).alias("process_uri"),
+    )
+
+
+def experiment_documents(rows: DataFrame, most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """A document (doc_id, workbook, text, metadata) for each experiment of the sheets, and per workbook the totals (n_documents, n_experiments)."""
+    stem = F.regexp_replace("workbook", r"\.[^.]*$", "")
+    e = experiment_rows(rows, most=most)
+    docs = e.select(experiment_id(stem).alias("doc_id"), "workbook", experiment_text(F.col("workbook")).alias("text"), experiment_metadata(F.col("workbook"), stem).alias("metadata"))
+    return docs.dropDuplicates(["doc_id"]), docs.groupBy("workbook").agg(F.count_distinct("doc_id").alias("n_documents"), F.count("*").alias("n_experiments"))
+
+
 def experiment_id(stem: Column) -> Column:
     """Stem, safe sample name and a digest of the five fields."""
     fields = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in ("sample_id", "pH", "reagent_dosage", "temperature_C", "recovery_pct")])

@@ -136,8 +136,7 @@ def j02(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j03_rank", "WITH " + t.HYPOTHESES + " SELECT hyp_id, run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY round(" + COMPOSITE + ", 9) DESC, hyp_id) AS INT) AS rank FROM hyp")
 def j03(spark: SparkSession, d: str) -> DataFrame:
-    h = t.hypotheses(spark, d).withColumn("composite", F.round(judging.composite(), 9))
-    return retrieval.ranked(h, ["run_id"], [F.desc("composite"), F.asc("hyp_id")]).select("hyp_id", "run_id", "rank")
+    return judging.rank_hypotheses(t.hypotheses(spark, d)).select("hyp_id", "run_id", "rank")
 
 
 CHECKS = r"""ck AS (SELECT hyp_id, unnest(['testable_formulation', 'reasoning', 'sources', 'mechanism', 'novelty', 'risks', 'kpi_value', 'roadmap_steps', 'roadmap_resources', 'roadmap_criteria']) AS key,

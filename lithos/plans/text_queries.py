@@ -400,12 +400,7 @@ def c08(spark: SparkSession, d: str) -> DataFrame:
     """WITH o AS (SELECT lang AS case_id, lower(string_agg(text, ' ')) AS low FROM documents GROUP BY lang), l AS (SELECT unnest(['en', 'de', 'fr', 'es']) AS case_id), t AS (SELECT case_id, list_distinct(regexp_extract_all(lower(text), '[а-яёa-z]{4,}')) AS w FROM benchmark, l), j AS (SELECT t.case_id, w, len(list_filter(w, lambda x: contains(low, x))) AS hits FROM t LEFT JOIN o USING (case_id)) SELECT case_id, count(*) AS topics, count(*) FILTER (len(w) > 0 AND hits >= greatest(1, len(w) // 3)) AS found, round(count(*) FILTER (len(w) > 0 AND hits >= greatest(1, len(w) // 3)) / count(*), 3) AS recall FROM j GROUP BY case_id""",
 )
 def v03(spark: SparkSession, d: str) -> DataFrame:
-    """A language's documents are a case. Words are looked up in the case's set of texts by document, not in one joined text."""
+    """A language's documents are a case, and all benchmark passages are each case's topics."""
     langs = F.explode(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")])).alias("case_id")
-    words = table(spark, d, "benchmark").select("item_id", langs, F.array_distinct(tx.all_of(F.lower("text"), "[а-яёa-z]{4,}")).alias("w"))
-    asked = words.select("case_id", "item_id", F.explode_outer("w").alias("word"))
-    tokens = documents(spark, d).select(F.col("lang").alias("case_id"), F.explode(F.array_distinct(tx.all_of(F.lower("text"), r"\S+"))).alias("token")).distinct()
-    held = tokens.join(F.broadcast(asked.select("case_id", "word").distinct()), "case_id").filter(F.col("token").contains(F.col("word"))).select("case_id", "word").distinct().withColumn("hit", F.lit(1))
-    by_topic = asked.join(held, ["case_id", "word"], "left").groupBy("case_id", "item_id").agg(F.count("word").alias("n"), F.count("hit").alias("hits"))
-    found = (F.col("n") > 0) & (F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("n") / 3)))
-    return by_topic.groupBy("case_id").agg(F.count("*").alias("topics"), F.count_if(found).alias("found")).withColumn("recall", F.round(F.col("found") / F.col("topics"), 3))
+    topics = table(spark, d, "benchmark").select(langs, F.col("text").alias("topic"))
+    return evaluation.topic_recall(topics, documents(spark, d).select(F.col("lang").alias("case_id"), "text"), stop=())
