@@ -347,6 +347,62 @@ def test_language_counts(spark):
     assert np.bincount(of).tolist() == [2 + 3 + 2, 1 + 2 + 1] and feature.max() < language.FEATURES
 
 
+def plain_features(word):
+    """Hashed n-grams of a word between spaces, one by one."""
+    w, out, mask = f" {word.lower()} ", [], (1 << 64) - 1
+    for n in language.ORDERS:
+        for i in range(len(w) - n + 1):
+            g = w[i : i + n]
+            if (n == 1 and g == " ") or " " in g[1:-1] or (i == len(w) - 1):
+                continue
+            code = n
+            for ch in g:
+                code = (code * 0x110001 + ord(ch)) & mask
+            code ^= code >> 30
+            code = code * 0xBF58476D1CE4E5B9 & mask
+            code ^= code >> 27
+            code = code * 0x94D049BB133111EB & mask
+            out.append((code ^ code >> 31) >> (64 - language.FEATURE_BITS))
+    return out
+
+
+def test_language_query(spark, tmp_path):
+    """The query against plain naive Bayes."""
+    docs = documents(spark, 40).withColumn("score", F.lit("clash"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = rows_of(docs)
+    held = lambda r: r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2
+    counts, priors = defaultdict(Counter), Counter()
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None and not held(r):
+            priors[r["lang"]] += 1
+            for w in words(r["text"]):
+                counts[r["lang"]].update(plain_features(w))
+    langs = sorted(priors)
+    got = rows_of(language.op6_language_nb(spark, str(tmp_path)))
+    assert len(got) == len(rows)
+    by = {(r["doc_id"], r["lang_pred"], round(r["score"], 6), r["held_out"]) for r in got}
+    for r in rows:
+        if not any(ch.isalpha() for ch in r["text"] or ""):
+            want = ("und", 0.0)
+        else:
+            f = [x for w in words(r["text"]) for x in plain_features(w)]
+            total = {k: sum(counts[k].values()) + language.SMOOTHING * language.FEATURES for k in langs}
+            logs = [np.log(priors[k] / sum(priors.values())) + sum(np.log((counts[k][x] + language.SMOOTHING) / total[k]) for x in f) for k in langs]
+            best = int(np.argmax(logs))
+            scaled = (np.array(logs) - logs[best]) * min(1, language.EVIDENCE / max(len(f), 1))
+            want = (langs[best], round(1 / np.exp(scaled).sum(), 6))
+        assert (r["doc_id"], *want, held(r)) in by, r
+
+
+def test_language_without_labels(spark):
+    docs = documents(spark, 20).withColumn("lang_pred", F.lit("own"))
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = rows_of(language.keep_known(bare))
+    assert len(kept) == bare.count() - 4 and all(r["lang"] is None and r["lang_pred"] == "own" for r in kept)
+    assert language.keep_known(docs).columns == docs.columns and {r["lang_pred"] for r in rows_of(language.keep_known(docs))} == {"own"}
+
+
 # ---- 8 ----
 
 
@@ -406,6 +462,48 @@ def test_likeness_of_shifted_texts():
     assert len(f.places) <= fingerprints.PLACES and fingerprints.Fingerprint.parse(str(f)).likeness(f) == 1
 
 
+def plain_places(text):
+    """(order, place) of a text's places, hashed window by window, and the bound under which they were taken."""
+    p, b, w = fingerprints.PRIMES[0], fingerprints.BASES[0], fingerprints.WINDOW
+    orders = []
+    for i in range(len(text) - w + 1):
+        h = sum((ord(ch) + 1) * pow(b, j, p) for j, ch in enumerate(text[i : i + w])) % p
+        orders.append(int(fingerprints.mix64(np.array([h + 1], np.uint64))[0]) >> 33)
+    bound = sorted(orders)[fingerprints.PLACES - 1] if len(orders) >= fingerprints.PLACES else fingerprints.ORDERS
+    return [(o, i + w) for i, o in enumerate(orders[:-1]) if o < bound] + [(0, len(text))], bound
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    (x, m), (y, n) = plain_places(a), plain_places(b)
+
+    def spans(text, places, bound):
+        ends = [at for o, at in places if o < bound or at == len(text)]
+        return Counter((text[s:e], text[max(0, e - fingerprints.WINDOW) : e] if len(text) >= fingerprints.WINDOW else "") for s, e in zip([0, *ends], ends))
+
+    both = spans(a, x, min(m, n)) & spans(b, y, min(m, n))
+    return sum(len(s) * k for (s, _), k in both.items()) / max(len(a), len(b), 1)
+
+
+def test_fingerprint_query(spark, tmp_path):
+    """The query against spans that are compared as strings; several null and equal ids."""
+    docs = documents(spark, 24).filter("doc_id <> 11 OR doc_id IS NULL")
+    more = [(None, "another text without an id, of some words more than the first", "en", "s", 1), (4, "a second text of id four", "en", "s", 1)]
+    docs = docs.union(spark.createDataFrame(more, docs.schema))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_of(fingerprints.op8_prefix_fingerprints(spark, str(tmp_path)))
+    order = sorted(rows_of(docs), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["text"] is not None, r["text"] or ""))
+    assert len(got) == len(order)
+    want = Counter()
+    for r, after in zip(order, order[1:] + order[:1]):
+        text, following = r["text"] or "", after["text"] or ""
+        k = len(text) // 3
+        edited = text[: len(text) - k] + following[:k]
+        want[(r["doc_id"], len(text), hashlib.sha256(edited.encode()).hexdigest(), round(plain_likeness(text, edited), 9), round(plain_likeness(text, following), 9))] += 1
+    assert Counter((g["doc_id"], g["n_chars"], g["edited_sha256"], round(g["near_edited"], 9), round(g["near_next"], 9)) for g in got) == want
+
+
 # ---- 9 ----
 
 

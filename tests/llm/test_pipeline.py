@@ -47,6 +47,21 @@ def test_stages(spark):
     assert max(sums.values()) <= 4096
 
 
+def test_near_duplicates_of_odd_rows(spark):
+    """One row of each group, whatever its id: repeated rows, null ids, several texts of one id."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w30", "x")
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, text), (5, text), (5, near), (None, text), (None, near), (9, other), (9, other), (None, other), (2, ""), (2, ""), (3, None), (None, None), (7, "alone here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, component long")
+    got = rows_of(dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, ""))
+    assert list(got[0]) == docs.columns
+    kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in got)
+    first = [t for i, t in kept if i == 5]
+    assert len(first) == 1 and first[0] in (text, near)
+    assert sorted(x for x in kept if x[0] != 5) == sorted([(9, other), (2, ""), (2, ""), (3, ""), (-1, ""), (7, "alone here")])
+
+
 def test_empty(spark):
     docs = documents(spark, 10).limit(0)
     for _, stage in corpus_pipeline.STAGES:
