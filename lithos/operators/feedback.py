@@ -100,29 +100,39 @@ def stepped(weights: dict[str, float], status: str, expert: Mapping[str, float]
     return {c: v / total for c, v in w.items()} if total > 0 else dict(lx.RANKING_WEIGHTS)
 
 
-def fold_weights(events: DataFrame, key: str = "tenant") -> DataFrame:
-    """each tenant's weights after its events in order of (ts, event_id). The order matters, so that a tenant is
-    one fold; its events arrive sorted, batch by batch, and only the weights are held. An event with expert scores (columns
-    expert_<criterion>, where events have them) moves the weights by these alone."""
+def fold_weights(events: DataFrame, key: str = "tenant", start: DataFrame | None = None) -> DataFrame:
+    """each tenant's weights after its events in order of (ts, event_id), and how many there were. The order matters, so
+    that a tenant is one fold; its events arrive sorted, batch by batch, and only the weights are held. An event with expert
+    scores (columns expert_<criterion>, where events have them) moves the weights by these alone. start: an earlier result,
+    from which the fold goes on."""
     experts = [f"expert_{c}" for c in CRITERIA if f"expert_{c}" in events.columns]
     cols = [key, "ts", "event_id", "status", *CRITERIA, *experts]
-    rows = events.select(*cols).repartition(key).sortWithinPartitions(key, "ts", "event_id")
+    rows = events.select(*cols, F.lit(None).cast("long").alias("__n"))
+    if start is not None:
+        fields = {f.name: f.dataType for f in rows.schema}
+        own = {c: F.col(c).cast("double") for c in CRITERIA} | {key: F.col(key), "status": F.lit("start"), "__n": F.col("n")}
+        rows = start.select(*[own.get(c, F.lit(None)).cast(fields[c]).alias(c) for c in rows.columns]).union(rows)
+    rows = rows.repartition(key).sortWithinPartitions(key, F.col("__n").isNull(), "ts", "event_id")
     out = f"{key} {events.schema[key].dataType.simpleString()}, n long, " + ", ".join(f"{c} double" for c in CRITERIA)
 
     def fold(batches):
         import pandas as pd
 
-        now, n, w, done = None, 0, {}, []
+        now, n, w, done, begun = None, 0, {}, [], False
         for b in batches:
             for r in b.itertuples(index=False):
-                if n and r[0] != now:
+                if begun and r[0] != now:
                     done.append((now, n, *(w[c] for c in CRITERIA)))
-                if not n or r[0] != now:
-                    now, n, w = r[0], 0, dict(lx.RANKING_WEIGHTS)
-                given = {c.removeprefix("expert_"): v for c, v in zip(cols[4:], r[4:], strict=True) if c in experts and not pd.isna(v)}
-                w = stepped(w, r[3], given or None, {c: (None if pd.isna(v) else v) for c, v in zip(CRITERIA, r[4 : 4 + len(CRITERIA)], strict=True)})
+                if not begun or r[0] != now:
+                    now, n, w, begun = r[0], 0, dict(lx.RANKING_WEIGHTS), True
+                own = dict(zip(CRITERIA, r[4 : 4 + len(CRITERIA)], strict=True))
+                if not pd.isna(r[-1]):
+                    w, n = own, int(r[-1])
+                    continue
+                given = {c.removeprefix("expert_"): v for c, v in zip(cols[4:], r[4:], strict=False) if c in experts and not pd.isna(v)}
+                w = stepped(w, r[3], given or None, {c: (None if pd.isna(v) else v) for c, v in own.items()})
                 n += 1
-        if n:
+        if begun:
             done.append((now, n, *(w[c] for c in CRITERIA)))
         yield pd.DataFrame(done, columns=[key, "n", *CRITERIA])
 

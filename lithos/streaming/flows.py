@@ -37,12 +37,26 @@ def feedback_counts(events: DataFrame) -> DataFrame:
 
 
 def feedback_stream(spark: SparkSession, folder: str, schema: str, log_folder: str, weight_folder: str, checkpoint: str) -> StreamingQuery:
-    """Appends each batch to the log and writes the weights after all events in order of (ts, event_id)."""
+    """Appends each batch to the log and carries the weights on by it: a batch starts from the weights of the one before and
+    writes a version of its own, so that the work is the batch's and readers (current_weights()) see no gap. Events
+    that come late count when they come. A batch that is run again gives the same version."""
 
     def learn(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{log_folder}/batch={number}")
-        log = batch.sparkSession.read.parquet(log_folder)
-        fold_weights(log).write.mode("overwrite").parquet(weight_folder)
+        before = current_weights(batch.sparkSession, weight_folder, number)
+        fold_weights(batch, start=before).write.mode("overwrite").parquet(f"{weight_folder}/version={number}")
 
     stream = spark.readStream.schema(schema).parquet(folder)
     return stream.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_weights(spark: SparkSession, weight_folder: str, before: int = 1 << 62) -> DataFrame | None:
+    """The newest whole version of the weights with a number under `before`; None if there is none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(weight_folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return None
+    done = [p.getPath() for p in files.listStatus(root) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p.getPath(), "_SUCCESS"))]
+    numbers = [int(p.getName().split("=")[1]) for p in done if p.getName().startswith("version=")]
+    last = max((n for n in numbers if n < before), default=None)
+    return None if last is None else spark.read.parquet(f"{weight_folder}/version={last}")
