@@ -129,7 +129,7 @@ p AS (SELECT *, coalesce(sum(lim) OVER f, 0) AS full_before, sum(weight) OVER ()
 l AS (SELECT arg_min((total - full_before) / weight_left, ratio) FILTER (WHERE (total - full_before) / weight_left <= ratio) AS level FROM p),
 t AS (SELECT source, source_size, weight, least(CAST(lim AS DOUBLE), weight * coalesce(level, 0)) AS target FROM r, l),
 o AS (SELECT d.*, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM d),
-c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle FROM o)
+c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle FROM o),
 m AS (SELECT doc_id, size, t.source_size, t.target, t.weight, least(middle / t.target, 1) AS q,
   CASE WHEN t.source_size > 0 THEN greatest(0, least(3, ceil((t.target - middle) / t.source_size))) ELSE 0 END AS passes
 FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
