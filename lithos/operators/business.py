@@ -22,6 +22,19 @@ BASELINE = (
     r"efficien\w*\s*[:=]?\s*(\d+(?:[.,]\d+)?)\s*%?",
 )
 
+# Resources that a step names, those where it names none, failure where it states none, and step templates.
+RESOURCES = (r"(\d+(?:[.,]\d+)?\s*(?:кг|г)\s*/?\s*т\s+\w+)", r"(лаборатор\w+\s+\w+)", r"(флотомашин\w+|ячейк\w+)", r"(проб[аы]\s+\d+)", r"(реагент\w+)")
+DEFAULT_RESOURCES = ("пробы 1 кг", "существующее лабораторное оборудование")
+DEFAULT_SUCCESS = "Улучшение целевого KPI ≥3% относительно контроля"
+DEFAULT_FAILURE = "Отсутствие статистически значимого эффекта vs контроль"
+TEMPLATES = (
+    ("lab_baseline", "Контрольный опыт на пробах 1 кг", 7, ("пробы 1 кг", "лабораторная флотомашина", "реагенты базового режима")),
+    ("reagent_sweep", "Серия опытов с варьированием дозировки", 14, ("пробы 3×1 кг", "реагент", "анализ проб")),
+    ("ph_matrix", "Оптимизация pH в заданном диапазоне", 10, ("пробы 2 кг", "pH-метр", "реагенты регулировки pH")),
+    ("pilot_cell", "Пилотные испытания на промышленной ячейке", 21, ("проба 50 кг", "пилотная ячейка", "оператор смены")),
+    ("analytics", "Химический и granulometric анализ", 5, ("10 проб", "ICP/AAS", "гранулометрия")),
+)
+
 
 def expected_delta(text: Column, expected_value: Column, predicted: Column | None = None) -> Column:
     """The model's value within [-5, 15], else the first stated effect of at most 15, else from the value score."""
@@ -87,9 +100,13 @@ def structured_roadmap(hyps: DataFrame) -> DataFrame:
     s = steps.withColumns({"step_order": order, "description": clean})
     title = F.when(F.length("description") > 20, F.substring("description", 1, 80)).otherwise(F.concat(F.lit("Шаг "), order.cast("string"), F.lit(": проверка гипотезы")))
     success = F.regexp_extract("description", r"(?iU)успех\s*[-–:]\s*([^.]+)", 1)
+    failure = F.regexp_extract("description", r"(?iU)провал\s*[-–:]\s*([^.]+)", 1)
+    named = F.slice(F.array_distinct(F.transform(F.concat(*[tx.all_of(F.col("description"), f"(?iU){p}", 1) for p in RESOURCES]), tx.strip)), 1, 5)
     return s.select(
         "hyp_id", "step_order", title.alias("title"), "description", step_duration(F.col("description"), F.when(order == 1, 7).otherwise(14)).alias("duration_days"),
-        F.substring(F.when(success != "", tx.strip(success)).otherwise(F.lit("Улучшение целевого KPI ≥3% относительно контроля")), 1, 200).alias("success_criteria"),
+        F.substring(F.when(success != "", tx.strip(success)).otherwise(F.lit(DEFAULT_SUCCESS)), 1, 200).alias("success_criteria"),
+        F.substring(F.when(failure != "", tx.strip(failure)).otherwise(F.lit(DEFAULT_FAILURE)), 1, 200).alias("failure_criteria"),
+        F.when(F.size(named) > 0, named).otherwise(F.array(*[F.lit(r) for r in DEFAULT_RESOURCES])).alias("resources"),
         F.when(order > 1, F.array(order - 1)).otherwise(F.array().cast("array<int>")).alias("depends_on"),
     )
 
@@ -121,6 +138,16 @@ def roadmap_lines(steps: DataFrame) -> DataFrame:
     return steps.select("hyp_id", "step_order", line.alias("line"))
 
 
+def template_steps(wanted: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
+    """Steps of wanted (hyp_id, step_order, template): those of known templates."""
+    rows = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.struct(F.lit(title).alias("title"), F.lit(days).alias("days"), F.array(*[F.lit(r) for r in resources]).alias("resources"))) for k, title, days, resources in templates]))
+    found = wanted.withColumn("t", F.try_element_at(rows, F.col("template"))).filter("t IS NOT NULL")
+    return found.select(
+        "hyp_id", "step_order", "t.title", F.col("t.title").alias("description"), F.col("t.days").alias("duration_days"), "t.resources", F.lit(DEFAULT_SUCCESS).alias("success_criteria"), F.lit(DEFAULT_FAILURE).alias("failure_criteria"),
+        F.when(F.col("step_order") > 1, F.array(F.col("step_order") - 1)).otherwise(F.array().cast("array<int>")).alias("depends_on"),
+    )
+
+
 def reorder(steps: DataFrame, orders: DataFrame) -> DataFrame:
     """Steps in the order of orders (hyp_id, new_order ARRAY): numbers are places in that list, so that unknown ones leave holes."""
     o = orders.select("hyp_id", F.posexplode("new_order").alias("at", "step_order"))

@@ -150,6 +150,28 @@ def counterfactual(hyps: DataFrame, metrics: DataFrame) -> DataFrame:
     return j.select("hyp_id", first.alias("parameter"), "baseline", (F.col("predicted") - F.col("baseline")).alias("delta"))
 
 
+def counterfactual_text(problem: Column, kpi: Column, text: Column, median: Column, mean: Column, predicted: Column) -> Column:
+    """B06 in words: what stays where nothing is changed, against the model's median or else the hits' mean, and the model's prediction."""
+    p = tx.parameters(text)
+    stated = lambda key, label: F.concat(F.lit(label), F.try_element_at(p, F.lit(key)).cast("string"))
+    param = F.coalesce(stated("pH", "pH="), stated("dosage", "дозировка "), stated("temperature", "температура "), F.lit("ключевой параметр режима"))
+    n = lambda c, form="%.2f": F.when(c.isNotNull(), F.format_string(form, c.cast("double")))
+    base = F.coalesce(median, mean)
+    note = F.coalesce(F.concat(F.lit("медиана "), kpi, F.lit(" по архиву "), n(median)), F.concat(F.lit("среднее "), kpi, F.lit(" в источниках "), n(mean)))
+    known = F.concat(
+        F.lit("Контрфактуал: при сохранении базового режима ("), note, F.lit(") прогноз "), kpi, F.lit(" остаётся ~"), n(base), F.lit("; при внедрении гипотезы ("), param, F.lit(") ML-модель даёт "), n(predicted),
+        F.lit(" (Δ "), n(predicted - base, "%+.2f"), F.lit("). Без изменений KPI по «"), F.substring(problem, 1, 55), F.lit("…» не достигается."),
+    )
+    other = F.concat(F.lit("Контрфактуал: если НЕ менять "), param, F.lit(", сохраняется текущий уровень "), kpi, F.lit(" по задаче «"), F.substring(problem, 1, 60), F.lit("…»"), F.coalesce(F.concat(F.lit(" ("), note, F.lit(")")), F.lit("")))
+    return F.coalesce(known, other)
+
+
+def relative_source(path: Column, root: str) -> Column:
+    """A path below root relative to it; others as they are."""
+    base = root.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
+
+
 def analysis(hyps: DataFrame, hits: DataFrame, gaps: DataFrame) -> DataFrame:
     """Predictive score where there is no model: 0.45, 0.1 for each parameter that a hit states as well (0.85 at most),
     less 0.06 for each high gap of the query (0.15 at least)."""

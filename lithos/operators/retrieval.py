@@ -260,6 +260,13 @@ def subgraph(nodes: DataFrame, edges: DataFrame, keywords: Sequence[str], most:
     return hit.join(ends, "id", "left").orderBy("id", "other", "type").limit(most)
 
 
+def subgraph_nodes(nodes: DataFrame, edges: DataFrame, keywords: Sequence[str], most: int = 30) -> DataFrame:
+    """The nodes (id, name, label) of subgraph(): those whose name holds a keyword (hop 0) and their neighbours (hop 1)."""
+    part = subgraph(nodes, edges, keywords, most)
+    ends = part.select("id", F.lit(0).alias("hop")).union(part.filter("other IS NOT NULL").select(F.col("other"), F.lit(1)))
+    return ends.groupBy("id").agg(F.min("hop").alias("hop")).join(nodes, "id").select("id", "name", "label", "hop")
+
+
 def merge_graphs(graphs: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows (graph_no, at, ...) once for each key; the first graph wins."""
     return ranked(graphs, list(key), [F.asc("graph_no"), F.asc("at")], 1, "__n").drop("__n")

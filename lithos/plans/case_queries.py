@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 from lithos.operators import business, citations, evaluation, feedback, graphs, hypotheses, judging, proposals, retrieval, tables
+from lithos.sources import files
+from lithos.sources import sql as stores
 
 from . import record_queries as rec
 from . import tables as t
@@ -600,3 +602,89 @@ def j04(spark: SparkSession, d: str) -> DataFrame:
     gaps = spark.createDataFrame([], "query_id string, severity string")
     e = proposals.enriched(h, hits, gaps, F.lit(True))
     return e.select("hyp_id", F.size("roadmap").alias("steps"), "predictive", "business_case.delta_pct", "completeness", F.round("composite", 6).alias("composite"))
+
+
+# ---- sources and exports -------------------------------------------------------------------------
+
+
+@query(
+    "s10_ingested",
+    r"""SELECT CAST(doc_id AS VARCHAR) AS source, NOT regexp_matches(coalesce(text, ''), '[^ \t\n\r\f\v]') AND doc_id % 11 <> 3 AS skipped, CASE WHEN doc_id % 11 = 3 THEN 'unreadable' END AS error, doc_id % 11 <> 3 AND regexp_matches(coalesce(text, ''), '[^ \t\n\r\f\v]') AS has_chunks FROM documents WHERE doc_id % 4 <> 0""",
+)
+def s10(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files: a quarter is indexed already, every eleventh could not be read."""
+    docs, k = t.table(spark, d, "documents"), F.col("doc_id")
+    texts = docs.select(k.cast("string").alias("source"), F.when(k % 11 != 3, F.col("text")).alias("text"), F.when(k % 11 == 3, F.lit("unreadable")).alias("error"))
+    _, results = files.ingested(texts, docs.filter(k % 4 == 0).select(k.cast("string").alias("source")))
+    return results.select("source", "skipped", "error", (F.col("chunks_indexed") > 0).alias("has_chunks"))
+
+
+@query(
+    "s14_rows_document",
+    "SELECT n_regionkey, md5('# nations' || chr(10) || '## Columns: n_nationkey, n_name' || chr(10) || string_agg('Row ' || CAST(k AS VARCHAR) || ': n_nationkey=' || CAST(n_nationkey AS VARCHAR) || ' | n_name=' || n_name, chr(10) ORDER BY k)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) GROUP BY 1",
+)
+def s14(spark: SparkSession, d: str) -> DataFrame:
+    n = t.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return stores.rows_document(n, "nations", ["n_nationkey"], ["n_regionkey"]).select("n_regionkey", F.md5("text").alias("digest"))
+
+
+@query("s22_run_list", "WITH " + t.HYPOTHESES + " SELECT run_id, count(*) AS hypotheses, count(*) FILTER (hyp_id % 3 = 0) AS approved, max(hyp_id) AS created_at FROM hyp GROUP BY 1")
+def s22(spark: SparkSession, d: str) -> DataFrame:
+    h = t.hypotheses(spark, d)
+    return stores.run_list(h.select("run_id", "hyp_id", (F.col("hyp_id") % 3 == 0).alias("approved"), F.col("hyp_id").alias("created_at")))
+
+
+@query(
+    "s23_nested_task",
+    "WITH " + t.HYPOTHESES + " SELECT hyp_id, substr(text, 1, 120) AS summary, novelty, CAST(len(roadmap) AS INT) AS steps, 'Механизм: ' || mechanism || chr(10) || chr(10) || 'Обоснование: ' || reasoning || chr(10) || chr(10) || 'Score: 0.5' AS description FROM hyp",
+)
+def s23(spark: SparkSession, d: str) -> DataFrame:
+    h = t.hypotheses(spark, d).withColumns({"composite": F.lit(0.5), "approved": F.lit(True)})
+    task = stores.task_json(h).withColumn("j", F.from_json("task", "summary string, description string, custom_fields struct<novelty:double>, roadmap array<string>"))
+    return task.select("hyp_id", "j.summary", "j.custom_fields.novelty", F.size("j.roadmap").alias("steps"), "j.description")
+
+
+@query("t21_relative_source", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/other/' || CAST(page_id AS VARCHAR) ELSE 'docs/' || CAST(page_id AS VARCHAR) || '.html' END AS source FROM pages")
+def t21(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id").cast("string")
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/other/"), k)).otherwise(F.concat(F.lit("/data/docs/"), k, F.lit(".html")))
+    return t.table(spark, d, "pages").select("page_id", proposals.relative_source(path, "/data").alias("source"))
+
+
+@query(
+    "r19_subgraph_nodes",
+    "WITH " + t.GRAPH + ", h AS (SELECT id, name FROM nd WHERE contains(lower(name), 'an') OR contains(lower(name), 'red')), e AS (SELECT source AS id, target AS other, type FROM ed UNION ALL SELECT target, source, type FROM ed), p AS (SELECT h.id, other FROM h LEFT JOIN e USING (id) ORDER BY h.id, other NULLS FIRST, type LIMIT 30), x AS (SELECT id, 0 AS hop FROM p UNION ALL SELECT other, 1 FROM p WHERE other IS NOT NULL) SELECT id, name, label, CAST(min(hop) AS INT) AS hop FROM x JOIN nd USING (id) GROUP BY id, name, label",
+)
+def r19(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.subgraph_nodes(*t.graph(spark, d), ["an", "RED"])
+
+
+@query(
+    "b06_counterfactual_text",
+    "WITH " + t.HYPOTHESES + """, x AS (SELECT *, CASE WHEN hyp_id % 2 = 0 THEN 80.5 END AS median, CASE WHEN hyp_id % 3 = 0 THEN 70.25 END AS mean, CASE WHEN hyp_id % 5 <> 0 THEN 90.0 END AS pred, 'pH=' || CAST(hyp_id % 14 AS VARCHAR) || '.0' AS param FROM hyp),
+n AS (SELECT *, coalesce(median, mean) AS base, CASE WHEN median IS NOT NULL THEN 'медиана k по архиву ' || printf('%.2f', median) WHEN mean IS NOT NULL THEN 'среднее k в источниках ' || printf('%.2f', mean) END AS note FROM x)
+SELECT hyp_id, CASE WHEN base IS NOT NULL AND pred IS NOT NULL THEN 'Контрфактуал: при сохранении базового режима (' || note || ') прогноз k остаётся ~' || printf('%.2f', base) || '; при внедрении гипотезы (' || param || ') ML-модель даёт ' || printf('%.2f', pred) || ' (Δ ' || printf('%+.2f', pred - base) || '). Без изменений KPI по «raise recovery…» не достигается.'
+ ELSE 'Контрфактуал: если НЕ менять ' || param || ', сохраняется текущий уровень k по задаче «raise recovery…»' || coalesce(' (' || note || ')', '') END AS text FROM n""",
+)
+def b06(spark: SparkSession, d: str) -> DataFrame:
+    h, k = t.hypotheses(spark, d), F.col("hyp_id")
+    return h.select("hyp_id", proposals.counterfactual_text(F.lit("raise recovery"), F.lit("k"), F.col("text"), F.when(k % 2 == 0, 80.5), F.when(k % 3 == 0, 70.25), F.when(k % 5 != 0, 90.0)).alias("text"))
+
+
+@query(
+    "b09_step_resources",
+    "WITH " + t.HYPOTHESES + """, s AS (SELECT hyp_id, unnest(roadmap) AS step, unnest(range(1, len(roadmap) + 1)) AS n FROM hyp)
+SELECT hyp_id, CAST(n AS INT) AS step_order, CASE WHEN contains(step, 'проба 1') THEN 'Лабораторная проверка;проба 1' ELSE 'пробы 1 кг;существующее лабораторное оборудование' END AS resources, 'Отсутствие статистически значимого эффекта vs контроль' AS failure FROM s""",
+)
+def b09(spark: SparkSession, d: str) -> DataFrame:
+    return business.structured_roadmap(t.hypotheses(spark, d)).select("hyp_id", "step_order", F.array_join("resources", ";").alias("resources"), F.col("failure_criteria").alias("failure"))
+
+
+@query(
+    "b15_template_steps",
+    "SELECT DISTINCT l_orderkey AS hyp_id, l_linenumber AS step_order, CASE WHEN l_linenumber % 2 = 0 THEN 'Оптимизация pH в заданном диапазоне' ELSE 'Химический и granulometric анализ' END AS title, CAST(CASE WHEN l_linenumber % 2 = 0 THEN 10 ELSE 5 END AS INT) AS days FROM lineitem WHERE l_linenumber <> 3",
+)
+def b15(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    wanted = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("hyp_id"), n.alias("step_order"), F.when(n == 3, "none").when(n % 2 == 0, "ph_matrix").otherwise("analytics").alias("template")).distinct()
+    return business.template_steps(wanted).select("hyp_id", "step_order", "title", F.col("duration_days").alias("days"))

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithos.functions.text import document_id
+from lithos.operators import chunking
+
 # Suffixes that can be read, and folders that hold derived files.
 SUFFIXES = ("txt", "md", "pdf", "docx", "xlsx", "xls", "png", "jpg", "jpeg", "tif", "tiff")
 DERIVED = ("processed", "generations")
@@ -92,6 +95,19 @@ def missing(files: DataFrame, index: DataFrame, folders: Sequence[str] = ()) ->
     return files.join(index, "source", "left_anti")
 
 
+def ingested(texts: DataFrame, index: DataFrame, folders: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """What of the texts (source, text, error; see read_texts()) is new comes in: its chunks (source, doc_id, chunk_index, text),
+    and a row (source, chunks_indexed, skipped, error) for each new file. A file that could not be read is a row with its
+    error; one without content is skipped; those already in the index (source) are not touched."""
+    new = missing(texts, index.select("source"), folders)
+    own = new.filter("error IS NULL").withColumn("doc_id", document_id(F.regexp_replace(F.element_at(F.split("source", "/"), -1), r"\.[^.]*$", ""), F.col("text")))
+    chunks = chunking.chunks(own.select("source", "doc_id", "text"))
+    counts = chunks.groupBy("source").agg(F.count("*").alias("n"))
+    joined = new.select("source", "error").join(counts, "source", "left")
+    n = F.coalesce("n", F.lit(0))
+    return chunks, joined.select("source", n.alias("chunks_indexed"), (F.col("error").isNull() & (n == 0)).alias("skipped"), "error")
+
+
 def ingest_summary(results: DataFrame) -> DataFrame:
     """Counts over results (chunks_indexed, skipped, error)."""
     return results.agg(F.count("*").alias("processed"), F.count_if(F.col("chunks_indexed") > 0).alias("ingested"), F.count_if(F.coalesce("skipped", F.lit(False))).alias("skipped"), F.count("error").alias("errors"))

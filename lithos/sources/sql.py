@@ -35,6 +35,24 @@ def row_lines(df: DataFrame, order: list[str], by: list[str]) -> DataFrame:
     return df.withColumn("n", n).select(*by, "n", F.concat(F.lit("Row "), F.col("n").cast("string"), F.lit(": "), F.concat_ws(" | ", *cells)).alias("line"))
 
 
+def rows_document(df: DataFrame, title: str, order: list[str], by: list[str], most: int = 500) -> DataFrame:
+    """(by, text): a group's first `most` rows as one document: title, columns, a line for each row (row_lines())."""
+    names = [c for c in df.columns if c not in by]
+    lines = row_lines(df, order, by).filter(F.col("n") <= most).groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(F.struct("n", "line")))["line"], "\n").alias("lines"))
+    return lines.select(*by, F.concat(F.lit(f"# {title}\n## Columns: {', '.join(names)}\n"), "lines").alias("text"))
+
+
+def run_list(table: DataFrame) -> DataFrame:
+    """The stored runs (run_id, hyp_id, approved, created_at): hypotheses, approvals and when, the newest first."""
+    return table.groupBy("run_id").agg(F.count("*").alias("hypotheses"), F.count_if("approved").alias("approved"), F.max("created_at").alias("created_at")).orderBy(F.desc("created_at"), "run_id")
+
+
+def stored(table: DataFrame, run_id: str | None = None, hyp_id: str | None = None) -> DataFrame:
+    """The rows of a run, or one hypothesis, of a stored table; the filter reaches the files."""
+    out = table if run_id is None else table.filter(F.col("run_id") == run_id)
+    return out if hyp_id is None else out.filter(F.col("hyp_id") == hyp_id)
+
+
 def last_values(df: DataFrame, by: str, order: str, columns: list[str], head: int = 20) -> DataFrame:
     """Per group the last non-null value of each column over the first rows."""
     first = ranked(df, [by], [F.asc(order)], head, "n")
@@ -60,9 +78,16 @@ def replace_rows(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def task_json(hyps: DataFrame) -> DataFrame:
-    """One JSON document a hypothesis: summary of at most 120 characters, labels and custom fields."""
-    body = F.struct(F.substring("text", 1, 120).alias("summary"), F.array(F.lit("hypothesis"), F.col("run_id")).alias("labels"), F.struct("composite", "approved").alias("custom_fields"))
-    return hyps.select("hyp_id", F.to_json(body).alias("task"))
+    """One JSON document a hypothesis: summary of at most 120 characters, description, labels, custom fields, and nested
+    what hyps has of roadmap, sources, business_case and predictive (its analysis)."""
+    line = lambda label, c: F.concat(F.lit(label), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    description = F.concat_ws("\n\n", line("Механизм: ", "mechanism"), line("Обоснование: ", "reasoning"), line("Score: ", "composite")) if {"mechanism", "reasoning"} <= set(hyps.columns) else None
+    fields = [c for c in ("composite", "approved", "novelty", "feasibility", "expected_value", "risk_technical", "risk_economic") if c in hyps.columns]
+    nested = [c for c in ("roadmap", "sources", "business_case", "predictive") if c in hyps.columns]
+    body = [F.substring("text", 1, 120).alias("summary"), F.array(F.lit("hypothesis"), F.col("run_id")).alias("labels"), F.struct(*fields).alias("custom_fields"), *nested]
+    if description is not None:
+        body.insert(1, description.alias("description"))
+    return hyps.select("hyp_id", F.to_json(F.struct(*body)).alias("task"))
 
 
 def task_rows(hyps: DataFrame) -> DataFrame:
