@@ -14,9 +14,9 @@ from .common import lower_ascii, slices, utf8, word_spans
 
 END = 2
 #: Texts are encoded in slices of about so many bytes.
-ENCODED_BYTES = 1 << 20
+ENCODED_BYTES = 2 << 20
 #: Bytes of the distinct words whose ids a Python worker keeps; beyond that it starts afresh.
-KEPT_BYTES = 2 << 20
+KEPT_BYTES = 8 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
