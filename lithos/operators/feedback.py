@@ -78,13 +78,6 @@ def snapshot(counts: DataFrame, words: DataFrame, profiles: DataFrame, patterns:
     return out
 
 
-def normalized(weights: Column) -> Column:
-    """A map of weights that sum to 1; the defaults where the sum is not positive."""
-    total = F.aggregate(F.map_values(weights), F.lit(0.0), lambda a, x: a + x)
-    default = F.map_from_arrays(F.array(*[F.lit(c) for c in lx.RANKING_WEIGHTS]), F.array(*[F.lit(float(v)) for v in lx.RANKING_WEIGHTS.values()]))
-    return F.when(total > 0, F.transform_values(weights, lambda k, v: v / total)).otherwise(default)
-
-
 def stepped(weights: dict[str, float], status: str, expert: Mapping[str, float] | None, own: Mapping[str, float]) -> dict[str, float]:
     """one event's step: expert scores where there are some, else the hypothesis's own; clipped and normalised."""
     confirmed, w = status == "confirmed", dict(weights)

@@ -12,6 +12,7 @@ from .lineage import settled
 from .retrieval import ranked
 
 RAW = "text string, mechanism string, reasoning string, novelty_score double, feasibility_score double, expected_value_score double, risk struct<technical:double,economic:double>, roadmap array<string>, sources array<struct<doc_id:string,snippet:string>>"
+# The control step; the defaults in sanitized() are fixed values as well.
 _CONTROL = "Сравнение с контрольным режимом и оценка влияния на целевой KPI"
 
 

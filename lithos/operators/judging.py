@@ -57,6 +57,7 @@ def _first_failing(*cases: tuple[Column, str]) -> Column:
     return out
 
 
+# Wording that compares, names resources and states criteria. The notes of the checks below are fixed values as well.
 _COMPARISON = r"новизн|известн|в отличие|аналог|существующ|типов|стандартн|согласно|источник|типичн|распростран|в сравнении|отличается"
 _RESOURCES = r"ресурс|оборудован|реагент|лаборатор|персонал|бюджет|установк|проб|образец|кг|л\b|мл\b|время|час"
 _CRITERIA = r"критери|успех|провал|порог|ожидаем|если\s|при\s+достижен|сравнить|контроль|базов|\d+\s*%|процент"

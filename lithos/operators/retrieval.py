@@ -207,6 +207,7 @@ def conflicts(hits: DataFrame, up: Sequence[str] = lx.INCREASE, down: Sequence[s
     best = ranked(terms, ["query_id"], [F.asc("first.rank"), F.asc("first.at")], most).select("query_id", "term", "rank")
     docs = words.select("query_id", "term", "doc_id").join(best, ["query_id", "term"]).groupBy("query_id", "term").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
     found = best.join(docs, ["query_id", "term"])
+    # fixed values: the two messages
     names = F.array_join(F.transform("docs", lambda d: d.cast("string")), ", ")
     one = F.concat(F.lit("Противоречие по «"), "term", F.lit("» в документе "), names, F.lit(": в разных фрагментах указаны противоположные эффекты"))
     many = F.concat(F.lit("Противоречие по «"), "term", F.lit("»: разные источники ("), names, F.lit(") указывают на противоположные эффекты"))

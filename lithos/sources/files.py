@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.functions.text import document_id
+from lithos.functions.text import document_id, strip
 from lithos.operators import chunking
 
 # Suffixes that can be read, and folders that hold derived files.
@@ -53,8 +53,13 @@ def assemble(docs: DataFrame) -> DataFrame:
 
 
 def processed(spark: SparkSession, folder: str, sources: Sequence[str] = (), most: int | None = None) -> DataFrame:
-    """Processed documents, one JSON file each, in file order; broken files are left out."""
-    docs = spark.read.schema(DOCUMENT).option("multiLine", "true").option("mode", "DROPMALFORMED").json(folder).withColumn("file", F.input_file_name()).filter("id IS NOT NULL")
+    """Processed documents in file order: JSON files of one document, over any lines, or of one in each line
+    (write_processed()); broken ones are left out."""
+    texts = spark.read.text(folder, wholetext=True).withColumn("file", F.input_file_name())
+    lines = F.filter(F.transform(F.split("value", r"\r\n|\n|\r"), strip), lambda x: x != "")
+    each = F.when(F.forall(lines, lambda x: x.startswith("{") & x.endswith("}")), lines).otherwise(F.array("value"))
+    parsed = texts.select("file", F.explode(each).alias("value")).select(F.from_json("value", DOCUMENT).alias("d"), "file")
+    docs = parsed.filter("d.id IS NOT NULL").select("d.*", "file")
     if sources:
         hit = F.lit(False)
         for s in sources:
@@ -64,8 +69,8 @@ def processed(spark: SparkSession, folder: str, sources: Sequence[str] = (), mos
 
 
 def write_processed(docs: DataFrame, folder: str) -> None:
-    """One record for each id, the newest version."""
-    docs.groupBy("id").agg(F.max_by(F.struct(*[c for c in docs.columns if c not in ("id", "version")]), "version").alias("d")).select("id", "d.*").write.mode("overwrite").json(folder)
+    """One record for each id, the newest version; a thousand in a file at most."""
+    docs.groupBy("id").agg(F.max_by(F.struct(*[c for c in docs.columns if c not in ("id", "version")]), "version").alias("d")).select("id", "d.*").write.mode("overwrite").option("maxRecordsPerFile", 1000).json(folder)
 
 
 def catalog(docs: DataFrame) -> DataFrame:

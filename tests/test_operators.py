@@ -287,3 +287,17 @@ def test_aligned_candidates(spark, tmp_path):
     spark.createDataFrame([(1, passage), (2, "ok")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {x["pair_id"]: x["overlap"] for x in text_queries.c08(spark, str(tmp_path)).collect()}
     assert set(got) == {"1-1", "1-2", "1-null", "1-null-2", "2-5", "2-6"} and got["1-null"] == got["1-null-2"] == 1.0 and got["1-1"] > 0.5
+
+
+def test_processed_documents(spark, tmp_path):
+    """The newest version of each id is written and read back; broken files and other sources are left out."""
+    from lithos.sources import files
+
+    meta = lambda s: F.struct(F.lit("t").alias("title"), F.lit(s).alias("source"))
+    docs = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("b", "text", 1)], "id string, text string, version int").withColumns({"path": F.col("id"), "metadata": F.when(F.col("id") == "a", meta("Folder/A")).otherwise(meta("else"))})
+    folder = str(tmp_path / "docs")
+    files.write_processed(docs, folder)
+    (tmp_path / "docs" / "broken.json").write_text("{ no json")
+    assert {(r["id"], r["text"]) for r in files.processed(spark, folder).collect()} == {("a", "new"), ("b", "text")}
+    assert [r["id"] for r in files.processed(spark, folder, ["folder/a"]).collect()] == ["a"]
+    assert files.processed(spark, folder, most=1).count() == 1
