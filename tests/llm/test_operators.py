@@ -282,6 +282,28 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_token_queries(spark, tmp_path):
+    """op5 and op7 against the tokenizer on whole texts; the padding of op5 on a table of many documents."""
+    docs = documents(spark, 40).union(documents(spark, 3, seed=9).withColumn("text", F.repeat("long text of words; ", 2500)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = rows_of(docs)
+    pieces = rows_of(packing.op5_pack_windows(spark, str(tmp_path)))
+    by = Counter((r["doc_id"], r["doc_tokens"]) for r in pieces if r["start"] == 0)
+    assert by == Counter((r["doc_id"], len(ids_of(r["text"]))) for r in rows)
+    wanted = Counter()
+    for r in rows:
+        ids = ids_of(r["text"])
+        for p in {(p["start"], p["length"]) for p in pieces if (p["doc_id"], p["doc_tokens"]) == (r["doc_id"], len(ids))}:
+            wanted[(r["doc_id"], *p, crc(ids[p[0] : p[0] + p[1]]))] += 1
+    assert Counter((p["doc_id"], p["start"], p["length"], p["ids_crc32"]) for p in pieces) == wanted
+    got = rows_of(tokenfiles.op7_token_files(spark, str(tmp_path)))
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((r["doc_id"], len(i), crc(i)) for r in rows for i in [ids_of(r["text"])])
+    starts = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+    many = rows_of(packing.op5_pack_windows(spark, "/root/testdata/sf0.01"))
+    assert sum(p["length"] for p in many) >= 0.95 * 4096 * len({p["sequence_id"] for p in many})
+
+
 def test_windows():
     r = random.Random(2)
     for n in (1, 2, 3, 50, 700):
