@@ -56,6 +56,13 @@ def overlap_with(p: Column, corpus: Column) -> Column:
     return _met(p, corpus, F.greatest)
 
 
+def _may_overlap(p: Column, text: Column) -> Column:
+    """Whether overlap_with() can be over 0: some token of the snippet stands in the text, in its spelling or with е for ё; or a run
+    without tokens might. Costs a fraction of it."""
+    held = lambda low, plain: F.exists(F.array_union(p["tokens"], p["form_tokens"]), lambda t: low.contains(t) | plain.contains(t))
+    return F.exists(p["runs"], lambda r: F.size(r["tokens"]) == 0) | tx.let(F.lower(text), lambda low: held(low, F.translate(low, "ё", "е")))
+
+
 def citation_overlap(snippet: Column, corpus: Column) -> Column:
     """C03."""
     return tx.let(prepared(snippet), lambda p: overlap_with(p, corpus))
@@ -148,7 +155,7 @@ def _windowed(pairs: DataFrame, wanted: Column, terms: Column, max_len: int, ste
     own = pairs.withColumns({"__p": prepared(wanted), "__t": F.transform(F.coalesce(terms, none), F.lower)})
     bonus = lambda w: 0.06 * tx.let(F.lower(w), lambda low: F.size(F.filter("__t", lambda t: low.contains(t))))
     shortest = F.least(F.lit(100), F.length("corpus"))
-    best = _best(F.col("corpus"), step, lengths, shortest, lambda w: overlap_with(F.col("__p"), w) + bonus(w))
+    best = _best(F.col("corpus"), step, lengths, shortest, lambda w: F.when(_may_overlap(F.col("__p"), w), overlap_with(F.col("__p"), w)).otherwise(F.lit(0.0)) + bonus(w))
     found = own.withColumn("__b", F.when(wanted.isNotNull(), best))
     # the window without white space at its end keeps its start
     taken = F.length(tx.strip(F.substring("corpus", F.col("__b.start") + 1, F.col("__b.length"))))
