@@ -284,7 +284,7 @@ def test_packing(spark):
 
 def test_token_queries(spark, tmp_path):
     """op5 and op7 against the tokenizer on whole texts; the padding of op5 on a table of many documents."""
-    docs = documents(spark, 40).union(documents(spark, 3, seed=9).withColumn("text", F.repeat("long text of words; ", 2500)))
+    docs = documents(spark, 40).union(documents(spark, 3, seed=9).withColumn("text", F.repeat(F.lit("long text of words; "), 2500)))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = rows_of(docs)
     pieces = rows_of(packing.op5_pack_windows(spark, str(tmp_path)))
