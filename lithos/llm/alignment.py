@@ -104,9 +104,9 @@ class PairEncoder:
 
     @staticmethod
     def _by_piece(v: Vocabulary) -> bool:
-        """Whether a space within a token stands only at its front, behind other spaces."""
-        tokens = [v.data[s:e].tobytes() for s, e in zip(v.offsets[:-1], v.offsets[1:], strict=True)]
-        return all(b" " not in t.lstrip() for t in tokens) and v.encode(["ab  cd.\tef\n gh"])[0] == [i for x in v.encode(["ab", " cd.\tef\n gh"]) for i in x]
+        """Whether a space within a token stands only at its front, behind other white space."""
+        tokens = [v.data[s:e].tobytes().decode(errors="replace") for s, e in zip(v.offsets[:-1], v.offsets[1:], strict=True)]
+        return all(" " not in t.lstrip() for t in tokens) and v.encode(["ab  cd.\tef\n gh"])[0] == [i for x in v.encode(["ab", " cd.\tef\n gh"]) for i in x]
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
