@@ -89,6 +89,7 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     inner = np.flatnonzero(data == 0x20)
     inner = inner[inner > 0]
     begins[inner[_CUT_AFTER[data[inner - 1]]]] = True
+    begins[offsets[1:][offsets[1:] > 0] - 1] = False  # a row's last space stays with what is before it: encoders put no space before nothing
     begins[offsets[:-1]] = True  # a row's start; an empty row shares it with the next
     starts = np.flatnonzero(begins[:-1]) if len(data) else np.zeros(0, np.int64)
     return starts, np.searchsorted(starts, offsets)
