@@ -345,7 +345,8 @@ def measured_long(data: np.ndarray, encoder: PairEncoder, most: int) -> Measured
     starts, _ = pieces_of(data, np.array([0, len(data)])) if encoder.by_piece else (np.zeros(1, np.int64), None)
     cuts = np.unique(starts[np.searchsorted(starts, np.arange(0, len(data), most), "right") - 1])
     sums, texts, pairs = np.zeros(4, np.int64), [], (np.zeros(0, np.int64),) * 3
-    for s, e in zip(cuts, np.append(cuts[1:], len(data)), strict=True):
+    bounds = np.append(cuts, len(data))
+    for s, e in zip(bounds[:-1], bounds[1:], strict=True):
         part = data[s + (s > 0) : e]
         ok, m = measured(part, np.array([0, len(part)]), encoder)
         if len(part) and not ok[0]:
