@@ -3,20 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept by checkpoint() in the folder that spark.checkpoint.dir names: what reads it more than once
-    does not compute it again, and lost executors cost nothing. Where no folder is set and Spark runs in one process, a temporary one is taken."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset and Spark runs in one process, a temporary one."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return _own[0]
+
+
+_own: list[str] = []
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder's name there."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept by checkpoint(): what reads it more than once does not compute it again, and lost
+    executors cost nothing."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()

@@ -9,24 +9,21 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from lithos.operators import chunking, learning
 from lithos.operators.feedback import CRITERIA, bucket, fold_weights
+from lithos.operators.lineage import settled
+from lithos.sources import stores
 
 
 def ingest_stream(spark: SparkSession, folder: str, schema: str, chunk_folder: str, checkpoint: str) -> StreamingQuery:
-    """Chunks of each new file of documents (doc_id, text, source), written once.
+    """Chunks of each new file of documents (doc_id, text, source), in a table in buckets of doc_id (stores.upsert_store()).
 
-    The checkpoint remembers files; a batch that is run again skips documents that are already there, so
-    that the result is the same as that of one batch over all files.
+    Documents that are already there are left out; a batch looks at the buckets of its documents alone, and one that is run
+    again writes the same rows, so that the result is that of one batch over all files.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = chunking.chunks(batch.dropDuplicates(["doc_id"]))
-        try:
-            there = batch.sparkSession.read.parquet(chunk_folder).select("doc_id").distinct()
-            new = new.join(there, "doc_id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        new.write.mode("append").parquet(chunk_folder)
+        new = settled(stores.new_keys(batch.dropDuplicates(["doc_id"]), chunk_folder, ["doc_id"]))
+        chunks = chunking.chunks(new).withColumn("batch", F.lit(number).cast("long"))
+        stores.upsert_store(chunks, chunk_folder, ["doc_id", "chunk_index"], "batch", by=["doc_id"])
 
     stream = spark.readStream.schema(schema).parquet(folder)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
