@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from lithos.functions import text as tx
 from lithos.operators import chunking, retrieval
 
-from . import case_queries, proposal_queries, record_queries, text_queries
+from . import case_queries, proposal_queries, record_queries, state_queries, text_queries
 from .tables import table
 
-_MODULES = (text_queries, record_queries, proposal_queries, case_queries)
+_MODULES = (text_queries, record_queries, proposal_queries, case_queries, state_queries)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
 
