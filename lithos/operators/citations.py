@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
+from .containment import containing
 from .retrieval import ranked
 
 
@@ -73,7 +74,9 @@ def resolve_doc_ids(citations: DataFrame, hits: DataFrame) -> DataFrame:
     or that it contains. citations: citation_id, query_id, cited_id; resolved is null where there is none."""
     ids = hits.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
     exact = citations.join(ids.select("query_id", F.col("doc_id").alias("cited_id"), F.lit(True).alias("exact")), ["query_id", "cited_id"], "left")
-    loose = exact.filter("exact IS NULL").join(ids, "query_id").filter(F.col("doc_id").contains(F.col("cited_id")) | F.col("cited_id").contains(F.col("doc_id")))
+    rest = exact.filter("exact IS NULL")
+    pairs = containing(ids, "doc_id", rest, "cited_id", ["query_id"]).unionByName(containing(rest, "cited_id", ids, "doc_id", ["query_id"])).distinct()
+    loose = rest.join(pairs, ["query_id", "cited_id"]).join(ids, ["query_id", "doc_id"])
     best = loose.groupBy("citation_id").agg(F.min_by("doc_id", F.struct("rank", "doc_id")).alias("near"))
     return exact.join(best, "citation_id", "left").withColumn("resolved", F.when(F.col("exact"), F.col("cited_id")).otherwise(F.col("near"))).drop("exact", "near")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
+from .containment import containing
 from .retrieval import ranked
 
 
@@ -136,11 +137,12 @@ def index_summary(files: DataFrame, indexed: DataFrame, results: DataFrame) -> D
     )
 
 
-def retrieval_hit(cases: DataFrame, hits: DataFrame) -> DataFrame:
-    """Whether a case's id, or its first 12 characters, stands in a retrieved doc_id. cases: case_id, doc_id."""
-    h = hits.select("case_id", F.col("doc_id").alias("got"))
-    met = cases.join(h, "case_id", "left").withColumn("met", F.col("got").contains(F.col("doc_id")) | F.col("got").contains(F.substring("doc_id", 1, 12)))
-    return met.groupBy("case_id").agg(F.coalesce(F.max("met"), F.lit(False)).alias("hit"))
+def retrieval_hit(cases: DataFrame, hits: DataFrame, by: str = "case_id") -> DataFrame:
+    """Whether a case's id, or its first 12 characters, stands in a retrieved doc_id. cases: case_id, doc_id; hits: case_id,
+    doc_id; where many cases share a query's hits, both have the column `by` instead. A whole id stands nowhere that its first 12 characters do not."""
+    own = cases.select("case_id", by, F.substring("doc_id", 1, 12).alias("__id")) if by != "case_id" else cases.select("case_id", F.substring("doc_id", 1, 12).alias("__id"))
+    met = containing(hits.select(by, F.col("doc_id").alias("__got")), "__got", own, "__id", [by]).select(by, "__id").distinct().withColumn("__met", F.lit(True))
+    return own.join(met, [by, "__id"], "left").groupBy("case_id").agg(F.coalesce(F.max("__met"), F.lit(False)).alias("hit"))
 
 
 def citation_support(hyps: DataFrame, terms: int = 5) -> DataFrame:

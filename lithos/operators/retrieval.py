@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
+from .containment import containing
+
 FIRST_STAGE = 3
 LEAST_FIRST_STAGE = 24
 
@@ -55,9 +57,12 @@ def novelty(queries: DataFrame, nearest: DataFrame) -> DataFrame:
 
 
 def source_scan(chunks: DataFrame, patterns: Sequence[str], most: int, score: float = 0.55) -> DataFrame:
-    """Chunks whose source contains any pattern, the first `most` by (doc_id, chunk_index)."""
-    hit = tx.contains_any(F.lower("source"), [p.lower() for p in patterns])
-    return chunks.filter(hit).withColumn("score", F.lit(score)).orderBy("doc_id", "chunk_index").limit(most)
+    """Chunks whose source contains any pattern, the first `most` by (doc_id, chunk_index). Each distinct source is looked at
+    once, for all patterns together."""
+    wanted = chunks.sparkSession.createDataFrame([(p.lower(),) for p in patterns], "pattern string")
+    low = chunks.withColumn("__low", F.lower("source"))
+    hit = containing(low, "__low", wanted, "pattern").select("__low").distinct()
+    return low.join(hit, "__low", "left_semi").drop("__low").withColumn("score", F.lit(score)).orderBy("doc_id", "chunk_index").limit(most)
 
 
 def lookup(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -107,14 +112,23 @@ def expand_neighbours(hits: DataFrame, chunks: DataFrame, k: int, least: float =
     return ranked(once, ["query_id"], [F.asc("hit"), F.asc("place")], k + 4).withColumn("expanded", F.col("place") > 0).drop("hit", "place")
 
 
+#: A registry of cases has no more rows.
+CASES = 10_000
+
+
 def route_cases(queries: DataFrame, cases: DataFrame, broad: Sequence[str]) -> DataFrame:
     """(query_id, case_no, dir) of the cases (case_no, dir, keywords) that a query names; all, if it names none but a broad keyword."""
     text = F.lower(F.concat_ws(" ", "problem", "constraints"))
     q = queries.select("query_id", text.alias("__text"))
-    named = q.join(cases, F.exists("keywords", lambda k: F.col("__text").contains(F.lower(k)))).select("query_id", "case_no", "dir")
-    rest = q.join(named.select("query_id").distinct(), "query_id", "left_anti").filter(tx.contains_any(F.col("__text"), list(broad)))
-    every = rest.select("query_id").join(cases.select("case_no", "dir"), F.lit(True))
-    return named.union(every.select("query_id", "case_no", "dir"))
+    words = cases.select("case_no", "dir", F.explode("keywords").alias("w")).select("case_no", "dir", F.lower("w").alias("__word"))
+    met = containing(q, "__text", words, "__word").join(words, "__word")
+    named = q.join(met, "__text").select("query_id", "case_no", "dir").distinct()
+    rest = q.join(named.select("query_id").distinct(), "query_id", "left_anti").filter(tx.contains_any(F.col("__text"), list(broad))).select("query_id")
+    numbers = sorted(r[0] for r in cases.select("case_no").limit(CASES + 1).collect())
+    if len(numbers) > CASES:
+        raise ValueError(f"a registry has {CASES} cases at most")
+    every = rest.withColumn("case_no", F.explode(F.array(*[F.lit(n) for n in numbers]).cast(f"array<{cases.schema['case_no'].dataType.simpleString()}>")))
+    return named.unionByName(every.join(cases.select("case_no", "dir"), "case_no").select("query_id", "case_no", "dir"))
 
 
 def case_registry(items: DataFrame) -> DataFrame:
@@ -145,7 +159,8 @@ def case_candidates(chunks: DataFrame, routes: DataFrame, queries: DataFrame, ma
     taken once, however many queries it serves."""
     most = max(3 * inject, 8)
     dirs = routes.select("dir").distinct()
-    inside = chunks.join(dirs, F.lower("source").contains(F.lower("dir")))  # folders are as many as cases
+    low, folders = chunks.withColumn("__low", F.lower("source")), dirs.withColumn("__dir", F.lower("dir"))
+    inside = low.join(containing(low, "__low", folders, "__dir"), "__low").join(folders, "__dir").drop("__low", "__dir")
     first = ranked(inside, ["dir"], [F.asc("doc_id"), F.asc("chunk_index")], most, "__n").drop("__n")
     served = mandatory.groupBy("query_id").count().filter(F.col("count") >= few).select("query_id")
     open_ = routes.select("query_id", "dir").join(served, "query_id", "left_anti")
@@ -248,17 +263,28 @@ def doc_corpus(hits: DataFrame) -> DataFrame:
 
 def expand_keywords(words: DataFrame, aliases: DataFrame, most: int = 20) -> DataFrame:
     """Keywords (query_id, at, word) and the aliases (term, alias) of terms that contain them or that they contain."""
-    met = words.join(aliases, F.lower("word").contains(F.lower("term")) | F.lower("term").contains(F.lower("word")))
+    w, a = words.withColumn("__word", F.lower("word")), aliases.withColumn("__term", F.lower("term"))
+    pairs = containing(w, "__word", a, "__term").unionByName(containing(a, "__term", w, "__word")).distinct()
+    met = w.join(pairs, "__word").join(a, "__term")
     both = words.select("query_id", "at", F.lit(0).alias("side"), "word").union(met.select("query_id", "at", F.lit(1).alias("side"), F.col("alias").alias("word")))
     order = [F.asc("at"), F.asc("side"), F.asc("word")]
     return ranked(ranked(both, ["query_id", "word"], order, 1, "__n").drop("__n"), ["query_id"], order, most).select("query_id", "rank", "word")
 
 
-def subgraph(nodes: DataFrame, edges: DataFrame, keywords: Sequence[str], most: int = 30) -> DataFrame:
-    """Edges at nodes (id, name) whose name holds a keyword, with the node on the other side; the first `most`."""
-    hit = nodes.filter(tx.contains_any(F.lower("name"), [k.lower() for k in keywords])).select("id", "name")
+def subgraphs(nodes: DataFrame, edges: DataFrame, keywords: DataFrame, most: int = 30) -> DataFrame:
+    """For each query the edges (query_id, id, name, other, type, rank) at nodes (id, name) whose name holds one of its keywords
+    (query_id, keyword), with the node on the other side; the first `most`. All queries' keywords are looked for in one pass."""
+    low, asked = nodes.select("id", "name", F.lower("name").alias("__name")), keywords.select("query_id", F.lower("keyword").alias("__keyword")).distinct()
+    met = containing(low, "__name", asked, "__keyword").join(asked, "__keyword").select("query_id", "__name").distinct()
+    hit = low.join(met, "__name").select("query_id", "id", "name")
     ends = edges.select(F.col("source").alias("id"), F.col("target").alias("other"), "type").union(edges.select(F.col("target").alias("id"), F.col("source").alias("other"), "type"))
-    return hit.join(ends, "id", "left").orderBy("id", "other", "type").limit(most)
+    return ranked(hit.join(ends, "id", "left"), ["query_id"], [F.asc("id"), F.asc("other"), F.asc("type")], most).select("query_id", "id", "name", "other", "type", "rank")
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, keywords: Sequence[str], most: int = 30) -> DataFrame:
+    """The same for one list of keywords."""
+    asked = nodes.sparkSession.createDataFrame([(0, k) for k in keywords], "query_id int, keyword string")
+    return subgraphs(nodes, edges, asked, most).orderBy("rank").drop("query_id", "rank")
 
 
 def subgraph_nodes(nodes: DataFrame, edges: DataFrame, keywords: Sequence[str], most: int = 30) -> DataFrame:

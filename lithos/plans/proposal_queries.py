@@ -320,9 +320,9 @@ def l06(spark: SparkSession, d: str) -> DataFrame:
 def v05(spark: SparkSession, d: str) -> DataFrame:
     docs = t.documents(spark, d)
     key = F.concat("lang", F.col("doc_id").cast("string"))
-    cases = docs.select(key.alias("case_id"), F.concat(F.lit("src"), (F.col("doc_id") % 40).cast("string")).alias("doc_id"))
-    hits = docs.select("lang", key.alias("case_id")).join(docs.select("lang", F.col("source").alias("doc_id")).distinct(), "lang").select("case_id", "doc_id")
-    return evaluation.retrieval_hit(cases, hits)
+    cases = docs.select(key.alias("case_id"), "lang", F.concat(F.lit("src"), (F.col("doc_id") % 40).cast("string")).alias("doc_id"))
+    hits = docs.select("lang", F.col("source").alias("doc_id")).distinct()  # those of a language, for all its cases
+    return evaluation.retrieval_hit(cases, hits, "lang")
 
 
 @query("v06_citation_support", "WITH w AS (SELECT lang AS run_id, list_filter(regexp_extract_all(lower(text), '[а-яёa-z]{6,}'), lambda x, i: list_position(regexp_extract_all(lower(text), '[а-яёa-z]{6,}'), x) = i)[1:5] AS w, lower(substr(text, 200, 200)) AS s FROM documents) SELECT run_id, round(avg(CAST(len(list_filter(w, lambda x: contains(s, x))) > 0 AS INT)), 3) AS support FROM w GROUP BY 1")
