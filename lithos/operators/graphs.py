@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
+from .lineage import settled
 from .retrieval import ranked
 
 # Phases of a roadmap (pattern, label, order; 0: the step's own number), and known labels.
@@ -134,10 +135,13 @@ def whole_graph(hyps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     own = own.withColumn("__e", F.when(F.coalesce(has("chunk_text"), F.lit("")) != "", causal_graph(F.concat_ws(" ", "text", has("chunk_text"), "mechanism", "problem"), F.col("mechanism"), source)))
     enough = (F.size("__g.nodes") >= 2) & (F.size("__g.links") >= 1)
     part = lambda name, kind: F.concat(F.col(f"__g.{name}"), F.when(enough, F.array().cast(kind)).otherwise(F.col(f"__c.{name}")), F.coalesce(F.col(f"__e.{name}"), F.array().cast(kind)))
-    nodes = own.select("hyp_id", source.alias("__source"), F.posexplode(part("nodes", _NODE)).alias("at", "n")).select("hyp_id", "at", "n.id", "n.type", F.coalesce("n.source_doc_id", F.when(F.col("n.type").isin("Material", "Process", "Parameter", "Property") & (F.col("n.id") != GANGUE), F.col("__source"))).alias("source_doc_id"))
+    # the wording's patterns run once: nodes, links and states read what they found
+    own = settled(own.select("hyp_id", "roadmap", source.alias("__source"), part("nodes", _NODE).alias("__nodes"), part("links", _LINK).alias("__links")))
+    nodes = own.select("hyp_id", "__source", F.posexplode("__nodes").alias("at", "n")).select("hyp_id", "at", "n.id", "n.type", F.coalesce("n.source_doc_id", F.when(F.col("n.type").isin("Material", "Process", "Parameter", "Property") & (F.col("n.id") != GANGUE), F.col("__source"))).alias("source_doc_id"))
     nodes = distinct_nodes(nodes)
-    links = own.select("hyp_id", F.posexplode(part("links", _LINK)).alias("at", "k")).select("hyp_id", "at", "k.source", "k.target", "k.type")
-    states = roadmap_states(hyps)
+    links = own.select("hyp_id", F.posexplode("__links").alias("at", "k")).select("hyp_id", "at", "k.source", "k.target", "k.type")
+    states = roadmap_states(own)
+    nodes = settled(nodes)
     target = nodes.groupBy("hyp_id").agg(F.min_by("id", F.when(F.col("type") == "Property", F.col("at"))).alias("kpi"), F.max_by("id", "at").alias("last"))
     first = states.filter("at = 0").join(target, "hyp_id").select("hyp_id", F.lit(1 << 20).alias("at"), F.col("id").alias("source"), F.coalesce("kpi", "last").alias("target"), F.lit("VALIDATES").alias("type"))
     phases = states.select("hyp_id", (F.col("at") + (1 << 20)).alias("at"), "id", F.lit("State").alias("type"), F.lit(None).cast("string").alias("source_doc_id"))

@@ -15,39 +15,30 @@ from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
 from .containment import containing
+from .vectors import blocked_top_k
 
 FIRST_STAGE = 3
 LEAST_FIRST_STAGE = 24
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], most: int | None = None, name: str = "rank") -> DataFrame:
     """A row's place (from 1) among those that share `by`; the first `most`. Spark limits groups before the shuffle."""
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return out if most is None else out.filter(F.col(name) <= most)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, parts: int = 64, exclude_self: bool = False) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """The k rows of vectors (vec_id, embedding) nearest by cosine to each query (query_id, query_vector).
 
-    Unit vectors are expected. Every block of rows meets every query once; a block keeps its own k before
-    blocks meet, so that k x parts rows a query are shuffled. Ties go to the smaller vec_id.
+    Unit vectors are expected. Blocks of rows meet blocks of queries as matrix products (vectors.py); of a block k rows a query are
+    shuffled. Ties go to the smaller vec_id.
     """
-    blocks = vectors.withColumn("__part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-    scored = blocks.join(queries, F.lit(True)).select("query_id", "vec_id", "__part", dot(F.col("embedding"), F.col("query_vector")).alias("score"))
-    if exclude_self:
-        scored = scored.filter("query_id <> vec_id")
-    order = [F.desc("score"), F.asc("vec_id")]
-    return ranked(ranked(scored, ["query_id", "__part"], order, k).drop("__part", "rank"), ["query_id"], order, k)
+    return ranked(blocked_top_k(vectors, queries, k, exclude_self=exclude_self), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
 def vector_top_k_in(vectors: DataFrame, queries: DataFrame, k: int, within: str) -> DataFrame:
-    """The same among the rows that share column `within` with the query."""
-    scored = vectors.join(queries, within).select("query_id", "vec_id", within, dot(F.col("embedding"), F.col("query_vector")).alias("score"))
-    return ranked(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    """The same among the rows that share column `within` with the query; a large group is dealt into blocks."""
+    return ranked(blocked_top_k(vectors, queries, k, [within]), ["query_id"], [F.desc("score"), F.asc("vec_id")], k).select("query_id", "vec_id", within, "score", "rank")
 
 
 def novelty(queries: DataFrame, nearest: DataFrame) -> DataFrame:

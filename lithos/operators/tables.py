@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
+from .lineage import settled
 from .retrieval import ranked
 
 NUMERIC = r"^[\d.,eE+\-]+$"
@@ -59,15 +60,16 @@ def grain(cells: Column) -> Column:
 
 def rule_of(cells: Column, rules: Sequence[tuple[str, str]] = lx.TABLE_RULES) -> Column:
     """(at, rule, label) of the first cell that a rule matches, by the first such rule."""
-    low = lambda c: F.lower(tx.strip(c))
+    any_rule = "|".join(f"(?:{p})" for p, _ in rules)
 
-    def first(c: Column) -> Column:
+    def first(low: Column) -> Column:
         out = F.lit(None).cast("string")
         for pattern, rule in reversed(rules):
-            out = F.when(tx.matches(low(c), pattern), F.lit(rule)).otherwise(out)
-        return out
+            out = F.when(tx.matches(low, pattern), F.lit(rule)).otherwise(out)
+        return F.when(tx.matches(low, any_rule), out)  # most cells match none: one search tells
 
-    return F.get(F.filter(F.transform(cells, lambda c, i: F.struct(i.alias("at"), first(c).alias("rule"), tx.strip(c).alias("label"))), lambda x: x["rule"].isNotNull()), 0)
+    named = F.transform(cells, lambda c, i: tx.let(tx.strip(c), lambda label: F.struct(i.alias("at"), tx.let(F.lower(label), first).alias("rule"), label.alias("label"))))
+    return F.get(F.filter(named, lambda x: x["rule"].isNotNull()), 0)
 
 
 def header_rows(rows: DataFrame, scan: int = 25) -> DataFrame:
@@ -94,6 +96,7 @@ def kpi_summary(rows: DataFrame, rules: Sequence[tuple[str, str]] = lx.TABLE_RUL
     before = Window.partitionBy(*keys).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("inside", F.coalesce(F.last(event, ignorenulls=True).over(before), F.lit(0)) == 1)
     r = r.withColumn("values", numbers_after(F.col("cells"), F.coalesce("rule.at", "g.at", F.lit(0))))
+    r = settled(r.filter("rule IS NOT NULL OR (g IS NOT NULL AND inside)").select(*keys, "row_idx", "rule", "g", "inside", "values"))  # its patterns run once
     first = F.get("values", 0)
     ruled = r.filter(F.col("rule").isNotNull() & (F.size("values") > 0))
     last = ruled.filter("rule.rule IN ('tailings', 'recoverable')").groupBy(*keys, F.col("rule.rule").alias("kind")).agg(F.max_by(first, "row_idx").alias("v"))
@@ -140,10 +143,10 @@ def overview_lines(overview: DataFrame) -> DataFrame:
 def workbook_summary(rows: DataFrame) -> DataFrame:
     """(workbook, part, sheet, at, line) in order: the file, then its KPIs, or else an overview of each sheet."""
     n = rows.groupBy("workbook").agg(F.count_distinct("sheet").alias("sheets"))
-    kpis = kpi_summary(workbook_rows(rows)).drop("sheet")
+    kpis = settled(kpi_summary(workbook_rows(rows)).drop("sheet"))
     with_kpis = kpis.select("workbook").distinct().withColumn("known", F.lit(True))
     heads = n.join(with_kpis, "workbook", "left").select("workbook", F.posexplode(F.array(F.concat(F.lit("- Файл: "), "workbook", F.lit(", листов: "), F.col("sheets").cast("string")), F.when(F.col("known"), "## Сводка KPI").otherwise("## Обзор листов"))).alias("at", "line"))
-    rest = overview_lines(sheet_overview(rows)).join(with_kpis, "workbook", "left_anti")
+    rest = overview_lines(sheet_overview(rows.join(with_kpis, "workbook", "left_anti")))
     empty = F.lit("")
     return (
         heads.select("workbook", F.lit(0).alias("part"), empty.alias("sheet"), F.col("at").cast("long").alias("at"), "line")
