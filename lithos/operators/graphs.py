@@ -48,15 +48,16 @@ REAGENTS = (
 GANGUE = "минералы пустой породы"
 
 
-def distinct_nodes(nodes: DataFrame, by: Sequence[str] = ("hyp_id",)) -> DataFrame:
-    """A node once whatever its case, the first (at) one; empty ids go."""
-    n = nodes.withColumn("id", tx.clean_id(F.col("id"))).filter("id <> ''").withColumn("__k", F.lower("id"))
+def distinct_nodes(nodes: DataFrame, by: Sequence[str] = ("hyp_id",), clean: bool = False) -> DataFrame:
+    """A node once whatever its case, the first (at) one; empty ids go. clean: the ids are clean already."""
+    n = (nodes if clean else nodes.withColumn("id", tx.clean_id(F.col("id")))).filter("id <> ''").withColumn("__k", F.lower("id"))
     return ranked(n, [*by, "__k"], [F.asc("at")], 1, "__n").drop("__n", "__k")
 
 
-def distinct_links(links: DataFrame, by: Sequence[str] = ("hyp_id",)) -> DataFrame:
-    """A link once whatever its ends' case; no loops."""
-    k = links.withColumns({"source": tx.clean_id(F.col("source")), "target": tx.clean_id(F.col("target"))}).withColumns({"__s": F.lower("source"), "__t": F.lower("target")})
+def distinct_links(links: DataFrame, by: Sequence[str] = ("hyp_id",), clean: bool = False) -> DataFrame:
+    """A link once whatever its ends' case; no loops. clean: the ends are clean already."""
+    k = links if clean else links.withColumns({"source": tx.clean_id(F.col("source")), "target": tx.clean_id(F.col("target"))})
+    k = k.withColumns({"__s": F.lower("source"), "__t": F.lower("target")})
     k = k.filter((F.col("__s") != F.col("__t")) & (F.col("__s") != "") & (F.col("__t") != ""))
     return ranked(k, [*by, "__s", "__t", "type"], [F.asc("at")], 1, "__n").drop("__n", "__s", "__t")
 
@@ -94,20 +95,27 @@ def causal_graph(text: Column, mechanism: Column, source: Column) -> Column:
         process = F.lit("процесс обогащения")
         for w, name in reversed(PROCESS_WORDS):
             process = F.when(low.contains(w), F.lit(name)).otherwise(process)
-        gear = F.slice(F.array_distinct(F.filter(F.array(*[F.when(tx.matches(low, p), F.lit(label)) for p, label in EQUIPMENT]), lambda x: x.isNotNull())), 1, 4)
+        none = F.array().cast("array<string>")
+        any_gear, any_reagent = ("(?U)" + "|".join(f"(?:{p})" for p in ps) for ps in ([p for p, _ in EQUIPMENT], REAGENTS))  # most texts name none: one search tells
+        gear = F.when(low.rlike(any_gear), F.slice(F.array_distinct(F.filter(F.array(*[F.when(tx.matches(low, p), F.lit(label)) for p, label in EQUIPMENT]), lambda x: x.isNotNull())), 1, 4)).otherwise(none)
         ph = F.transform(tx.all_of(low, r"(?iU)pH\s*(\d+(?:[.,]\d+)?(?:\s*[-–—]\s*\d+(?:[.,]\d+)?)?)", 1), lambda v: F.concat(F.lit("pH "), F.replace(v, F.lit(","), F.lit("."))))
-        named = F.filter(F.transform(F.concat(*[tx.all_of(low, f"(?iU){p}") for p in REAGENTS]), tx.strip), lambda x: F.length(x) >= 3)
-        instead = F.when((F.size(gear) == 0) & (F.coalesce(mechanism, F.lit("")) != ""), F.array(F.substring(F.substring_index(mechanism, ".", 1), 1, 40))).otherwise(F.array().cast("array<string>"))
-        parts = F.struct(kpi.alias("kpi"), process.alias("process"), gear.alias("gear"), ph.alias("ph"), F.slice(F.when(F.size(named) > 0, named).otherwise(instead), 1, 3).alias("reagents"))
-        return tx.let(parts, lambda p: _assembled(p, low, source))
+        named = F.when(low.rlike(any_reagent), F.filter(F.transform(F.concat(*[tx.all_of(low, f"(?iU){p}") for p in REAGENTS]), tx.strip), lambda x: F.length(x) >= 3)).otherwise(none)
+
+        def with_reagents(f: Column) -> Column:
+            instead = F.when((F.size(f["gear"]) == 0) & (F.coalesce(mechanism, F.lit("")) != ""), F.array(F.substring(F.substring_index(mechanism, ".", 1), 1, 40))).otherwise(none)
+            reagents = F.slice(F.when(F.size(f["named"]) > 0, f["named"]).otherwise(instead), 1, 3)
+            return tx.let(F.struct(f["kpi"].alias("kpi"), f["process"].alias("process"), f["gear"].alias("gear"), F.transform(f["ph"], lambda x: tx.clean_id(x)).alias("ph"), F.transform(reagents, lambda x: tx.clean_id(x)).alias("reagents")), lambda p: _assembled(p, low, source))
+
+        return tx.let(F.struct(kpi.alias("kpi"), process.alias("process"), gear.alias("gear"), ph.alias("ph"), named.alias("named")), with_reagents)
 
     return tx.let(F.lower(text), build)
 
 
 def _assembled(p: Column, low: Column, source: Column) -> Column:
+    """Nodes and links of the parts, whose names are clean."""
     none = F.lit(None).cast("string")
-    node = lambda kind, s=source: lambda x: F.struct(tx.clean_id(x).alias("id"), F.lit(kind).alias("type"), s.alias("source_doc_id"))
-    link = lambda a, b, kind: F.struct(tx.clean_id(a).alias("source"), tx.clean_id(b).alias("target"), F.lit(kind).alias("type"))
+    node = lambda kind, s=source: lambda x: F.struct(x.alias("id"), F.lit(kind).alias("type"), s.alias("source_doc_id"))
+    link = lambda a, b, kind: F.struct(a.alias("source"), b.alias("target"), F.lit(kind).alias("type"))
     gangue = low.contains("пуст") & (F.size(p["reagents"]) > 0)
     nodes = F.concat(
         F.array(node("Property")(p["kpi"]), node("Process")(p["process"])), F.transform(p["gear"], node("Material")), F.transform(p["ph"], node("Parameter")), F.transform(p["reagents"], node("Material")),
@@ -133,19 +141,18 @@ def whole_graph(hyps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     source = F.try_element_at("sources", F.lit(1))["doc_id"]
     own = hyps.withColumns({"__g": supplied_graph(has("graph")), "__c": causal_graph(F.concat_ws(" ", "text", "mechanism", "problem"), F.col("mechanism"), source)})
     own = own.withColumn("__e", F.when(F.coalesce(has("chunk_text"), F.lit("")) != "", causal_graph(F.concat_ws(" ", "text", has("chunk_text"), "mechanism", "problem"), F.col("mechanism"), source)))
+    own = settled(own.select("hyp_id", "roadmap", source.alias("__source"), "__g", "__c", "__e"))  # the wording's patterns run once: nodes, links and states read what they found
     enough = (F.size("__g.nodes") >= 2) & (F.size("__g.links") >= 1)
     part = lambda name, kind: F.concat(F.col(f"__g.{name}"), F.when(enough, F.array().cast(kind)).otherwise(F.col(f"__c.{name}")), F.coalesce(F.col(f"__e.{name}"), F.array().cast(kind)))
-    # the wording's patterns run once: nodes, links and states read what they found
-    own = settled(own.select("hyp_id", "roadmap", source.alias("__source"), part("nodes", _NODE).alias("__nodes"), part("links", _LINK).alias("__links")))
-    nodes = own.select("hyp_id", "__source", F.posexplode("__nodes").alias("at", "n")).select("hyp_id", "at", "n.id", "n.type", F.coalesce("n.source_doc_id", F.when(F.col("n.type").isin("Material", "Process", "Parameter", "Property") & (F.col("n.id") != GANGUE), F.col("__source"))).alias("source_doc_id"))
-    nodes = distinct_nodes(nodes)
-    links = own.select("hyp_id", F.posexplode("__links").alias("at", "k")).select("hyp_id", "at", "k.source", "k.target", "k.type")
+    nodes = own.select("hyp_id", "__source", F.posexplode(part("nodes", _NODE)).alias("at", "n")).select("hyp_id", "at", "n.id", "n.type", F.coalesce("n.source_doc_id", F.when(F.col("n.type").isin("Material", "Process", "Parameter", "Property") & (F.col("n.id") != GANGUE), F.col("__source"))).alias("source_doc_id"))
+    nodes = distinct_nodes(nodes, clean=True)
+    links = own.select("hyp_id", F.posexplode(part("links", _LINK)).alias("at", "k")).select("hyp_id", "at", "k.source", "k.target", "k.type")
     states = roadmap_states(own)
     nodes = settled(nodes)
     target = nodes.groupBy("hyp_id").agg(F.min_by("id", F.when(F.col("type") == "Property", F.col("at"))).alias("kpi"), F.max_by("id", "at").alias("last"))
     first = states.filter("at = 0").join(target, "hyp_id").select("hyp_id", F.lit(1 << 20).alias("at"), F.col("id").alias("source"), F.coalesce("kpi", "last").alias("target"), F.lit("VALIDATES").alias("type"))
     phases = states.select("hyp_id", (F.col("at") + (1 << 20)).alias("at"), "id", F.lit("State").alias("type"), F.lit(None).cast("string").alias("source_doc_id"))
-    return distinct_nodes(nodes.unionByName(phases)), distinct_links(links.unionByName(first)), states
+    return distinct_nodes(nodes.unionByName(phases), clean=True), distinct_links(links.unionByName(first), clean=True), states
 
 
 def roadmap_states(hyps: DataFrame, phases: Sequence[tuple[str, str, int]] = PHASES, most: int = 6) -> DataFrame:
