@@ -68,6 +68,17 @@ def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
     return df.coalesce(max(8, -(-rows // each)))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores behind it that df has no such column, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes materialized tables that no later step reads."""
     for df in tables:

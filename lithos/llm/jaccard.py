@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, few, lower_ascii, materialize, mix64, parquet, ragged, slices, tidy, utf8, whole_groups, window_hashes, word_hashes, word_spans
+from .common import discard, few, free_names, lower_ascii, materialize, mix64, parquet, ragged, slices, tidy, utf8, whole_groups, window_hashes, word_hashes, word_spans
 
 SHINGLE = 5
 #: Similarity in percent: documents link when 100 x intersection >= PERCENT x union.
@@ -528,12 +528,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     others = others.filter(~(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("own")))).select("doc_id", "t").distinct()
     again = named.groupBy("doc_id", "t").count().filter("count > 1").select("doc_id", "t")
     marked = materialize(others.withColumn("goes", F.lit(True)).union(again.join(others, again["doc_id"].eqNullSafe(others["doc_id"]) & (again["t"] == others["t"]), "left_anti").withColumn("goes", F.lit(False))), "marked")
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("__m.doc_id")) & (F.xxhash64("text") == F.col("__m.t"))
-    joined = docs.join(marked.select(F.struct("doc_id", "t", "goes").alias("__m")), key, "left")
-    single = joined.filter("__m IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
-    order = Window.partitionBy("__m").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
-    repeated = joined.filter("NOT __m.goes").withColumn("__n", F.row_number().over(order)).filter("__n = 1")
-    return single.union(repeated.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    mark, place = free_names(docs, "__m", "__n")
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{mark}.doc_id")) & (F.xxhash64("text") == F.col(f"{mark}.t"))
+    joined = docs.join(marked.select(F.struct("doc_id", "t", "goes").alias(mark)), key, "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    order = Window.partitionBy(mark).orderBy(F.to_json(F.struct(*own)))
+    repeated = joined.filter(~F.col(f"{mark}.goes")).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    return joined.filter(F.col(mark).isNull()).select(*own).union(repeated.select(*own))
 
 
 def op9_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

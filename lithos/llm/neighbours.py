@@ -27,7 +27,7 @@ BLOCK = 4096
 LEAST = 16
 LEAF = 64
 
-_INDEX = "vec_id long, projected array<double>, vector array<float>, norm double"
+_INDEX = "vec_id long, projected array<double>, vector array<{}>, norm double"
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -210,13 +210,18 @@ class Part:
         return who, row, scores[who, row]
 
 
-def clean(embeddings: DataFrame) -> DataFrame:
-    """vec_id, vector, norm of the rows that take part: finite in every component and not zero."""
+def component(*tables: DataFrame) -> str:
+    """What vectors are kept as: float where all are, else double."""
+    return "float" if all(t.schema["embedding"].dataType.elementType == T.FloatType() for t in tables) else "double"
+
+
+def clean(embeddings: DataFrame, kind: str) -> DataFrame:
+    """vec_id, vector, norm of the rows that take part: finite in every component and in norm, and not zero."""
     v = F.col("embedding")
-    rows = embeddings.select(F.col("vec_id").cast("long"), v.cast("array<float>").alias("vector")).filter(
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast(f"array<{kind}>").alias("vector")).filter(
         F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     )
-    return rows.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).filter("norm > 0")
+    return rows.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).filter((F.col("norm") > 0) & (F.col("norm") < F.lit(float("inf"))))
 
 
 def search(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -234,12 +239,13 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     and a block of queries meets only the cells that its queries look into.
     """
     spark = embeddings.sparkSession
-    rows, asked = clean(embeddings), clean(queries)
+    kind = component(embeddings, queries)
+    rows, asked = clean(embeddings, kind), clean(queries, kind)
     stats = rows.agg(F.count("*"), F.max("norm"), F.max(F.size("vector"))).first()
     if not stats[0]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     total, largest, dim = stats
-    padded = F.when(F.size("vector") == dim, F.col("vector")).otherwise(F.slice(F.concat("vector", F.array_repeat(F.lit(0.0).cast("float"), dim)), 1, dim))
+    padded = F.when(F.size("vector") == dim, F.col("vector")).otherwise(F.slice(F.concat("vector", F.array_repeat(F.lit(0.0).cast(kind), dim)), 1, dim))
     rows, asked = rows.withColumn("vector", padded), asked.filter(F.size("vector") <= dim).withColumn("vector", padded)
     asked = asked.groupBy("vec_id").agg(F.min(F.struct("vector", "norm")).alias("v")).select("vec_id", "v.*")
     table = projection(dim)
@@ -278,8 +284,8 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         fields = [f for f in table.select(*columns).schema]
         return table.select(*columns).mapInArrow(tidy(run), T.StructType([T.StructField("cell", T.IntegerType()), *fields]))
 
-    indexed = materialize(rows.mapInArrow(tidy(index(False)), _INDEX), "vectors")
-    asked = materialize(asked.select("vec_id", "vector", "norm").mapInArrow(tidy(index(True)), _INDEX), "queries")
+    indexed = materialize(rows.mapInArrow(tidy(index(False)), _INDEX.format(kind)), "vectors")
+    asked = materialize(asked.select("vec_id", "vector", "norm").mapInArrow(tidy(index(True)), _INDEX.format(kind)), "queries")
     counts = homes(indexed, "vec_id", "projected").groupBy("cell").count().filter(F.col("count") > 2 * PART)
     large = spark.createDataFrame(counts.collect(), "cell int, count long")  # SAMPLE / LEAST rows at most
     if large.limit(1).count():
@@ -344,7 +350,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 who, cell = pa.array(who[away]), cell[away]
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(x.take(who) for x in c.columns)], ["cell", *c.schema.names])
 
-    others = visit(materialize(bounded.mapInArrow(tidy(reach), f"cell int, {_INDEX}, bound double"), "reach"))
+    others = visit(materialize(bounded.mapInArrow(tidy(reach), f"cell int, {_INDEX.format(kind)}, bound double"), "reach"))
     found = first.select("query_id", "vec_id", "score").union(others).filter("query_id <> vec_id")
     return top(found, k).select("query_id", "rank", "vec_id", "score")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, parquet, ragged, slices, _SPACE, tidy, utf8, whole_groups, window_hashes, word_hashes, word_spans
+from .common import free_names, materialize, mix64, parquet, ragged, slices, _SPACE, tidy, utf8, whole_groups, window_hashes, word_hashes, word_spans
 from .encoding import _gather, _offsets
 
 WINDOW = 20
@@ -187,11 +187,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return copies.union(sorted_).union(hot)
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs with `__spans`, the array of its document's (start, n)."""
-    spans = repeated_spans(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text"))
-    spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).agg(F.collect_set(F.struct("start", "n")).alias("__spans"))
-    return docs.join(spans, docs["doc_id"].eqNullSafe(spans["__id"]) & (F.xxhash64(docs["text"]) == spans["__t"]), "left").drop("__id", "__t")
+def _with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the array of its document's (start, n), and that column's name: one that docs does not have."""
+    key, digest, name = free_names(docs, "__id", "__t", "__spans")
+    spans = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text"))
+    spans = spans.groupBy(F.col("doc_id").alias(key), F.col("t").alias(digest)).agg(F.collect_set(F.struct("start", "n")).alias(name))
+    return docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans[key]) & (F.xxhash64(docs["text"]) == spans[digest]), "left").drop(key, digest), name
 
 
 def kept_words(docs: DataFrame) -> DataFrame:
@@ -212,16 +213,17 @@ def kept_words(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words), pa.array(removed), digests], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    return _with_spans(docs).select("doc_id", "text", "__spans").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    cut, spans = _with_spans(docs)
+    return cut.select("doc_id", "text", spans).mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the words left as text; a text that loses nothing stays as it is, white space included."""
+    """docs with the words left as text; a text that loses nothing stays as it is, white space included. Columns may have any names."""
     names, text = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, f"c{text}"):
                 _, removed, texts = _cut(part.column(text), part.column(len(names)))
                 own = part.column(text)
                 new = [t if n else o for n, t, o in zip(removed, texts, own.cast(pa.binary()).to_pylist(), strict=True)]
@@ -229,7 +231,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 columns[text] = pa.array(new, pa.binary()).cast(own.type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _with_spans(docs).select(*names, "__spans").mapInArrow(tidy(run), docs.schema)
+    cut, spans = _with_spans(docs)
+    numbered = cut.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate((*names, spans))])  # mapInArrow takes no name with a point
+    return numbered.mapInArrow(tidy(run), docs.schema)
 
 
 def _cut(texts: pa.Array, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

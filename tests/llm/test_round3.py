@@ -263,3 +263,44 @@ def test_licenses(spark):
 def test_licenses_stay_in_the_jvm(spark):
     plan = licenses.scan(documents(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# ---- columns of any name; doubles ----
+
+
+def test_stages_with_clashing_columns(spark):
+    """Columns named as the stages name theirs inside come out as they went in."""
+    import corpus_pipeline
+
+    names = ["__spans", "__id", "__t", "__m", "__n", "__M_", "t", "id", "key", "goes", "component", "own", "size", "target", "positions", "position", "passes", "__place", "__bucket", "__source", "lang_pred", "score", "a.b", "first", "n", "start", "hash", "text_crc32"]
+    docs = documents(spark, 25).select("*", *[F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        for r in rows_of(got):
+            own = "none" if r["doc_id"] is None else str(r["doc_id"])
+            assert all(r[n] == f"{n}-{own}" for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
+
+
+def test_neighbours_of_doubles(spark):
+    """Scores are those of the vectors as given, beyond what floats hold."""
+    from lithos.llm import neighbours
+
+    r = np.random.default_rng(5)
+    x = r.standard_normal((300, 8)) * 10.0 ** r.integers(-3, 4, (300, 1)) + 1e-9
+    x[7] *= 1e45  # no float holds it
+    x[9] = 1e-60
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for q in rows_of(neighbours.search(e, e.filter("vec_id % 20 = 0"), 20)):
+        got.setdefault(q["query_id"], {})[q["vec_id"]] = q["score"]
+    assert set(got) == set(range(0, 300, 20))
+    hits = 0
+    for i, found in got.items():
+        s = x @ x[i]
+        s[i] = -np.inf
+        assert all(abs(v - s[j]) <= 1e-12 * max(1.0, abs(s[j])) for j, v in found.items())
+        hits += len(set(np.argsort(-s)[:20].tolist()) & set(found))
+    assert hits >= 0.9 * 20 * len(got)
+    assert any(7 in f for f in got.values())
