@@ -81,6 +81,12 @@ def resolve_doc_ids(citations: DataFrame, hits: DataFrame) -> DataFrame:
     return exact.join(best, "citation_id", "left").withColumn("resolved", F.when(F.col("exact"), F.col("cited_id")).otherwise(F.col("near"))).drop("exact", "near")
 
 
+def garbage_id(doc_id: Column) -> Column:
+    """Whether what stands as an id of a document is none: blank, unknown, a piece of the answer's own structure, or with brackets."""
+    low = F.lower(doc_id)
+    return F.coalesce((doc_id == "") | (doc_id == "unknown") | tx.contains_any(low, ["verification", "roadmap", "reasoning", "'"]) | doc_id.rlike(r"[\[\]{}]"), F.lit(True))
+
+
 def grounding(citations: DataFrame, corpus: DataFrame, least: float = lx.OVERLAP_MIN, shortest: int = 20) -> DataFrame:
     """C11: per hypothesis, whether a citation (hyp_id, doc_id, snippet) holds against its document's corpus, and the counts of what fails."""
     joined = citations.join(corpus.select("doc_id", "corpus"), "doc_id", "left")

@@ -9,6 +9,7 @@ from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
 from .lineage import settled
+from .ranks import ranked_wide
 from .retrieval import ranked
 
 RAW = "text string, mechanism string, reasoning string, novelty_score double, feasibility_score double, expected_value_score double, risk struct<technical:double,economic:double>, roadmap array<string>, sources array<struct<doc_id:string,snippet:string>>"
@@ -87,7 +88,7 @@ def merge_samples(found: DataFrame) -> DataFrame:
 
 def numbered(merged: DataFrame) -> DataFrame:
     """hyp_id, the run's first 8 characters and the hypothesis's number."""
-    n = ranked(merged, ["run_id"], [F.asc("sample_no"), F.asc("at")], None, "__n")
+    n = ranked_wide(merged, ["run_id"], [F.asc("sample_no"), F.asc("at")], "hyp_no").withColumnRenamed("hyp_no", "__n")
     return n.withColumn("hyp_id", F.concat(F.substring("run_id", 1, 8), F.lit("-h"), (F.col("__n") - 1).cast("string"))).drop("__n")
 
 
@@ -104,10 +105,10 @@ def clean_sources(cited: DataFrame, hits: DataFrame, least: float = lx.OVERLAP_M
     hits, one for each document, snippets of at most 300 characters, filled from the hit's text; the top hit where
     none is left. A snippet that overlaps its document by less than `least` gives way to the excerpt that alignment (C08)
     finds, where that overlaps better and has `shortest` characters."""
-    from .citations import align, citation_overlap, resolve_doc_ids
+    from .citations import align, citation_overlap, garbage_id, resolve_doc_ids
 
     hint = [F.first("hypothesis").alias("hypothesis")] if "hypothesis" in cited.columns else []
-    ids = resolve_doc_ids(cited.withColumn("citation_id", F.concat_ws("/", "hyp_id", F.col("at").cast("string"))), hits).filter("resolved IS NOT NULL")
+    ids = resolve_doc_ids(cited.filter(~garbage_id(F.col("cited_id"))).withColumn("citation_id", F.concat_ws("/", "hyp_id", F.col("at").cast("string"))), hits).filter("resolved IS NOT NULL")
     text = hits.groupBy("query_id", "doc_id").agg(F.min_by("text", "rank").alias("doc_text"), F.min("rank").alias("rank"))
     good = ids.join(text.withColumnRenamed("doc_id", "resolved"), ["query_id", "resolved"])
     snippet = F.substring(F.when(F.coalesce("snippet", F.lit("")) != "", F.col("snippet")).otherwise(F.substring("doc_text", 1, 200)), 1, 300)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
-from .retrieval import ranked
+from .lineage import settled
+from .ranks import ranked_wide
 
 
 def unit(value: Column, top: float = 10.0) -> Column:
@@ -39,7 +40,7 @@ def composite(weights: Mapping[str, float] = lx.RANKING_WEIGHTS, vector_novelty:
 
 def rank_hypotheses(hyps: DataFrame, weights: Mapping[str, float] = lx.RANKING_WEIGHTS, by: Sequence[str] = ("run_id",)) -> DataFrame:
     """Composite (9 digits, so that equal scores are equal) and rank within a run; ties by hyp_id."""
-    return ranked(hyps.withColumn("composite", F.round(composite(weights), 9)), list(by), [F.desc("composite"), F.asc("hyp_id")])
+    return ranked_wide(hyps.withColumn("composite", F.round(composite(weights), 9)), list(by), [F.desc("composite"), F.asc("hyp_id")])
 
 
 def _text(c: str) -> Column:
@@ -228,6 +229,94 @@ def rationale(df: DataFrame, most: int = 8) -> DataFrame:
     return df.withColumn("rationale", F.array_distinct(F.concat(head, gates, F.slice(F.coalesce("issues", F.array().cast("array<string>")), 1, most))))
 
 
+# The lines of a decision.
+_GROUNDED, _FAILED = "Цитата из источника подтверждена в RAG-контексте (пересечение ≥ {:.0%})", "Гипотеза не прошла один или несколько критериев судьи (см. замечания)"
+_BLOCKING = (("Ограничения:", "Источники:"), ("цитата", "overlap", "совпала"))
+
+
+def decision_rationale(df: DataFrame, checked: DataFrame, overlap: float = lx.OVERLAP_MIN, floor: float = 6.0, least: float = lx.APPROVE_SCORE, most: int = 8) -> DataFrame:
+    """Df with `rationale`, the lines that explain a verdict, each once and in order.
+
+    Approved: the reviewer's summary, the confirmed quotation, the checklist's share and a tick for each required check, the scores, the
+    total, the first source. Else: the summary, the blocking issues (of constraints, sources and quotations; all issues where there are
+    none; `most` of them), a cross with its note for each required check that failed. df: verdict()'s columns, REVIEW, issues, sources,
+    compliance()'s columns and, where there is one, review_summary; checked: checks(), with label where keys have one.
+    """
+    label = F.col("label") if "label" in checked.columns else F.col("key")
+    suffix = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit(" — "), "note")).otherwise("")
+    line = F.when(F.col("passed"), F.concat(F.lit("✓ "), label)).otherwise(F.concat(F.lit("✗ "), label, suffix))
+    required = checked.filter("required").withColumn("line", line).groupBy("hyp_id")
+    marks = required.agg(*[F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("at", "line")))), lambda x: x["line"]).alias(n) for n, c in (("__ticks", F.col("passed")), ("__crosses", ~F.col("passed")))])
+    none = F.array().cast("array<string>")
+    joined = df.join(marks, "hyp_id", "left").withColumns({c: F.coalesce(c, none) for c in ("__ticks", "__crosses")})
+    number = lambda c, digits=1: F.format_string(f"%.{digits}f", F.col(c).cast("double"))
+    summary = F.array(tx.strip(F.coalesce("review_summary", F.lit("")))) if "review_summary" in df.columns else none
+    first = F.try_element_at("sources", F.lit(1))
+    source = F.when(F.size("sources") > 0, F.concat(F.lit("Опора на источник `"), first["doc_id"], F.lit("`: «"), F.substring(tx.strip(F.coalesce(first["snippet"], F.lit(""))), 1, 80), F.lit("…»")))
+    share = F.concat(F.lit("Чеклист ТЗ: "), F.col("mandatory_passed").cast("string"), F.lit("/"), F.col("mandatory_total").cast("string"), F.lit(" обязательных пунктов ("), F.format_string("%.0f", F.bround(F.col("compliance_pct"), 0)), F.lit("%)"))
+    scores = F.concat(F.lit("Оценки судьи: проверяемость "), number("testability"), F.lit(", доказательства "), number("evidence_quality"), F.lit(", релевантность "), number("relevance"), F.lit(f" (пороги ≥ {floor})"))
+    total = F.concat(F.lit("Итоговый балл "), number("overall_score"), F.lit(f"/10 (порог одобрения {least})"))
+    approved = F.concat(summary, F.array(F.when(F.col("source_grounded"), F.lit(_GROUNDED.format(overlap)))), F.array(share), "__ticks", F.array(scores, total, source))
+    issues = F.coalesce("issues", none)
+    starts, words = _BLOCKING
+    blocking = F.filter(issues, lambda i: _any(*[i.startswith(s) for s in starts], *[F.lower(i).contains(w) for w in words]))
+    rejected = F.concat(summary, F.slice(F.when(F.size(blocking) > 0, blocking).otherwise(issues), 1, most), "__crosses")
+    clean = lambda lines: F.array_distinct(F.filter(F.transform(lines, tx.strip), lambda x: x.isNotNull() & (x != "")))
+    why = clean(rejected)
+    lines = F.when(F.col("approved"), clean(approved)).when(F.size(why) > 0, why).otherwise(F.array(F.lit(_FAILED)))
+    return joined.withColumn("rationale", lines).drop("__ticks", "__crosses")
+
+
+def _any(*conditions: Column) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def summary_notes(summary: DataFrame, least_output: int = 3, target: float = 75.0) -> DataFrame:
+    """run_summary() with `notes`: the index against its target, approvals, compliance, and what calls for work. n_hits: a run's
+    retrieved chunks, where summary has that column."""
+    whole = lambda c: F.format_string("%.0f", F.bround(c, 0))
+    number = lambda c: F.col(c).cast("string")
+    empty = F.when(F.col("n_hits") == 0, F.lit("⚠ База знаний пуста — запустите индексацию данных")) if "n_hits" in summary.columns else F.lit(None).cast("string")
+    notes = F.array(
+        F.concat(F.lit("★ JQI (по всем оценённым гипотезам): "), F.format_string("%.1f", F.col("run_index")), F.lit(f" / {target:.0f}")),
+        F.concat(F.lit("★ Одобрено судьёй: "), number("n_approved"), F.lit(" из "), number("total"), F.lit(" ("), whole(100 * F.col("approval_rate")), F.lit("%)")),
+        F.concat(F.lit("★ Соответствие ТЗ кейса: "), whole(F.coalesce("avg_compliance_pct", F.lit(0.0))), F.lit("% обязательных пунктов")),
+        empty,
+        F.when(F.col("rejected") > 0, F.concat(F.lit("⚠ "), number("rejected"), F.lit(" гипотез отклонены — требуют доработки экспертом"))),
+        F.when(F.col("n_approved") < least_output, F.lit(f"⚠ Одобренных меньше целевого минимума ({least_output})")),
+    )
+    return summary.withColumn("notes", F.filter(notes, lambda x: x.isNotNull()))
+
+
+def repair_loop(hyps: DataFrame, judge: Callable[[DataFrame], DataFrame], repairs: Callable[[DataFrame, int], DataFrame], passes: int = 1, target: float = 75.0, columns: Sequence[str] = ("text", "mechanism", "reasoning")) -> DataFrame:
+    """Hypotheses judged, repaired and judged again, for at most `passes` passes.
+
+    judge enriches and judges rows of hyps: its columns, run_id, approved, overall_score and source_grounded among others. repairs gives, for what
+    is not approved of the runs that go on, and the number of the pass (from 0), new values of `columns` by hyp_id; null ones keep the old.
+    A run is done when its index (J19) reaches the target, or when a pass has no repair for it; only runs that go on are judged again.
+    Each pass is settled, so that lineage does not grow.
+    """
+    own = hyps.columns
+    state = settled(judge(hyps).withColumn("passes", F.lit(0)))
+    open_ = settled(run_index(state).filter(F.col("run_index") < target).select("run_id"))
+    for n in range(passes):
+        if open_.isEmpty():
+            break
+        rejected = state.join(open_, "run_id", "left_semi").filter(~F.col("approved"))
+        fixes = settled(repairs(rejected, n).join(rejected.select("hyp_id", "run_id"), "hyp_id").select("hyp_id", "run_id", *[F.col(c).alias(f"__{c}") for c in columns]))
+        going = fixes.select("run_id").distinct()
+        if going.isEmpty():
+            break
+        before = state.join(going, "run_id", "left_semi").select(*own).join(fixes.drop("run_id"), "hyp_id", "left")
+        again = before.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).select(*own)
+        state = settled(state.join(going, "run_id", "left_anti").unionByName(judge(again).withColumn("passes", F.lit(n + 1))))
+        open_ = settled(run_index(state.join(going, "run_id", "left_semi")).filter(F.col("run_index") < target).select("run_id"))
+    return state
+
+
 def run_summary(verdicts: DataFrame, pct: DataFrame) -> DataFrame:
     """Totals and means of each run, with the mean share of required checks."""
     joined = verdicts.join(pct.select("hyp_id", "compliance_pct"), "hyp_id", "left")
@@ -237,7 +326,15 @@ def run_summary(verdicts: DataFrame, pct: DataFrame) -> DataFrame:
 
 def output_order(df: DataFrame) -> DataFrame:
     """Approved first, then by objective, score and composite."""
-    return ranked(df, ["run_id"], [F.desc("approved"), F.desc("objective"), F.desc("overall_score"), F.desc("composite"), F.asc("hyp_id")])
+    return ranked_wide(df, ["run_id"], [F.desc("approved"), F.desc("objective"), F.desc("overall_score"), F.desc("composite"), F.asc("hyp_id")])
+
+
+def source_labels(df: DataFrame, known: DataFrame) -> DataFrame:
+    """(hyp_id, label): a hypothesis's sources (doc_ids, in order), each with whether the context (known: hyp_id, doc_id) holds it."""
+    ids = df.select("hyp_id", F.posexplode_outer("doc_ids").alias("at", "doc_id")).join(known.select("hyp_id", "doc_id").distinct().withColumn("known", F.lit(True)), ["hyp_id", "doc_id"], "left")
+    part = F.concat(F.substring("doc_id", 1, 28), F.when(F.col("known"), " (✓ RAG)").otherwise(" (✗ нет в RAG)"))
+    parts = ids.groupBy("hyp_id").agg(F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce(part, F.lit("")).alias("part"))))).alias("p"))
+    return parts.select("hyp_id", F.when(F.size("p") > 0, F.array_join("p.part", "; ")).otherwise("—").alias("label"))
 
 
 def result_table(df: DataFrame, known: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lithos.functions import text as tx
 
+from .ranks import exact_median
 from .retrieval import ranked
 
 # Parts of metric names.
@@ -23,12 +24,18 @@ def metric_key(key: Column) -> Column:
 
 
 def feature_records(metrics: DataFrame) -> DataFrame:
-    """Long records (doc_id, key, role, value) of metrics (doc_id, at, key, value): the first target and up to
-    five features of each document that has both."""
+    """Long records (doc_id, key, role, value) of metrics (doc_id, at, key, value, and bucket where known): the first
+    target and up to five features of each document that has both. Where no key names a target, the first of the bucket
+    measurement_results is one."""
     m = metrics.withColumns({"key": metric_key(F.col("key")), "value": tx.parse_number(F.col("value").cast("string"))}).filter("value IS NOT NULL")
     last = ranked(m, ["doc_id", "key"], [F.desc("at")], 1, "n").drop("n")
     role = F.when(tx.contains_any(F.col("key"), TARGETS), "target").when(tx.contains_any(F.col("key"), FEATURES), "feature")
-    r = ranked(last.withColumn("role", role).filter("role IS NOT NULL"), ["doc_id", "role"], [F.asc("at")], 5, "n").filter("role = 'feature' OR n = 1").drop("n")
+    last = last.withColumn("role", role)
+    if "bucket" in metrics.columns:
+        named = last.filter("role = 'target'").select("doc_id").distinct()
+        spare = ranked(last.filter("bucket = 'measurement_results'").join(named, "doc_id", "left_anti"), ["doc_id"], [F.asc("at"), F.asc("key")], 1, "n").select("doc_id", "key", F.lit("target").alias("spare"))
+        last = last.join(spare, ["doc_id", "key"], "left").withColumn("role", F.coalesce("spare", "role")).drop("spare")
+    r = ranked(last.filter("role IS NOT NULL"), ["doc_id", "role"], [F.asc("at")], 5, "n").filter("role = 'feature' OR n = 1").drop("n")
     both = r.groupBy("doc_id").agg(F.count_distinct("role").alias("roles")).filter("roles = 2").select("doc_id")
     return r.join(both, "doc_id")
 
@@ -47,26 +54,27 @@ def design(records: DataFrame, most: int = 5, spare: int = 3) -> DataFrame:
 def ridge(df: DataFrame, target: str, features: Sequence[str], alpha: float = 1.0) -> DataFrame:
     """One row (target, features, n, baseline, r2, intercept, coefficients, means, scales).
 
-    Features are scaled by their population deviation. One pass gives the sums of products; the solve is as
-    small as the number of features; R2 follows from the same sums. Fewer than 4 complete rows give no row.
+    Features are scaled by their population deviation. One pass gives means and centred co-moments, which Spark merges
+    without the cancelling of plain sums; the solve is as small as the number of features; R2 follows from the same
+    moments. The median is selected (ranks.exact_median()). Fewer than 4 complete rows give no row.
     """
     spark, cols = df.sparkSession, [*features, target]
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    sums = [F.sum(c).alias(f"s_{c}") for c in cols] + [F.sum(F.col(a) * F.col(b)).alias(f"p_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
-    got = rows.agg(F.count("*").alias("n"), F.median(target).alias("median"), *sums).first()
+    moments = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)] + [F.covar_pop(a, b).alias(f"p_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    got = rows.agg(F.count("*").alias("n"), *moments).first()
     schema = "target string, features array<string>, n long, baseline double, r2 double, intercept double, coefficients array<double>, means array<double>, scales array<double>"
     if not got or got["n"] < 4:
         return spark.createDataFrame([], schema)
     n, k = got["n"], len(features)
-    mean = np.array([got[f"s_{c}"] for c in cols]) / n
-    cov = np.array([[got[f"p_{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)]) / n - np.outer(mean, mean)
+    mean = np.array([got[f"m_{i}"] for i in range(k + 1)])
+    cov = np.array([[got[f"p_{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
     scale = np.sqrt(np.maximum(np.diag(cov)[:k], 0))
     scale[scale == 0] = 1.0
     xx, xy = cov[:k, :k] / np.outer(scale, scale), cov[:k, k] / scale
     w = np.linalg.solve(n * xx + alpha * np.eye(k), n * xy)
     left = cov[k, k] - 2 * w @ xy + w @ xx @ w
     r2 = 1 - left / cov[k, k] if cov[k, k] > 0 else 0.0
-    return spark.createDataFrame([(target, list(features), n, float(got["median"]), float(r2), float(mean[k]), w.tolist(), mean[:k].tolist(), scale.tolist())], schema)
+    return spark.createDataFrame([(target, list(features), n, exact_median(rows, target), float(r2), float(mean[k]), w.tolist(), mean[:k].tolist(), scale.tolist())], schema)
 
 
 def text_features(text: Column, features: Sequence[str], defaults: dict[str, float] = DEFAULTS) -> Column:
@@ -86,6 +94,23 @@ def predict(df: DataFrame, model: DataFrame, values: Column) -> DataFrame:
     return out.withColumn("predictive", F.when(F.col("delta").isNotNull(), score).otherwise(F.lit(0.45))).select(*df.columns, "predicted", "delta", "predictive")
 
 
+def prediction_notes(df: DataFrame, model: DataFrame, values: Column, base: Column, kpi: Column) -> DataFrame:
+    """L05 in words: df with `patterns` and `notes`. values: the features (L04), base: those of the ordinary regime, kpi: the label."""
+    number = lambda c: F.format_string("%.2f", c)
+    own, plain = (predict(df.withColumn("__v", v), model, F.col("__v")) for v in (values, base))
+    key = [c for c in df.columns]
+    both = own.withColumn("__row", F.to_json(F.struct(*key))).join(plain.select(F.to_json(F.struct(*key)).alias("__row"), F.col("predicted").alias("__base")).distinct(), "__row", "left").drop("__row")
+    both = both.join(F.broadcast(model.select("baseline", "r2", F.col("n").alias("__n"), F.col("target").alias("__target"))), F.lit(True), "left")  # one row
+    known = F.col("predicted").isNotNull()
+    patterns = F.array(
+        F.concat(F.lit("Прогноз "), kpi, F.lit(": "), number(F.col("predicted")), F.lit(" (гипотеза)")), F.concat(F.lit("Базовый режим: "), number(F.col("__base"))),
+        F.concat(F.lit("Δ к медиане корпуса ("), number(F.col("baseline")), F.lit("): "), F.format_string("%+.2f", F.col("delta"))),
+    )
+    notes = F.concat(F.lit("Ridge R²="), number(F.col("r2")), F.lit(", n="), F.col("__n").cast("string"), F.lit(", target="), "__target", F.lit("; прогноз "), number(F.col("predicted")), F.lit(" vs база "), number(F.col("__base")))
+    untrained = F.lit("ML-модель не обучена (мало исторических экспериментов)")
+    return both.withColumns({"patterns": F.when(known, patterns).otherwise(F.array().cast("array<string>")), "notes": F.when(known, notes).otherwise(untrained)}).select(*key, "predicted", "delta", "predictive", "patterns", "notes")
+
+
 def model_label(model: DataFrame) -> DataFrame:
     """L06."""
     return model.select(F.concat(F.lit("Ridge ("), "target", F.lit(" ~ "), F.array_join(F.slice("features", 1, 4), ", "), F.lit(")")).alias("label"), "r2", "baseline")

@@ -15,6 +15,8 @@ from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
 from .containment import containing
+from .lineage import settled
+from .ranks import ranked_wide
 from .vectors import blocked_top_k
 
 FIRST_STAGE = 3
@@ -78,14 +80,14 @@ def rerank(hits: DataFrame, boost: Column | None = None) -> DataFrame:
     final = F.col("score") + 0.15 * keyword_share(F.col("text"), F.col("keywords")) + 0.1 * tx.quality(F.col("text")) + tx.kpi_boost(F.col("text"))
     final = final if boost is None else final + boost
     hits = hits.withColumn("rerank_score", F.when(F.size("keywords") == 0, F.col("score")).otherwise(final)).withColumnRenamed("rank", "was")
-    return ranked(hits, ["query_id"], [F.desc("rerank_score"), F.asc("was")]).drop("was")
+    return ranked_wide(hits, ["query_id"], [F.desc("rerank_score"), F.asc("was")]).drop("was")
 
 
 def drop_low_quality(hits: DataFrame, least: float = 0.15, keep: int = 5) -> DataFrame:
     """Hits of some quality; the first `keep` of a query where none has it."""
-    good = tx.quality(F.col("text")) >= least
-    hits = hits.withColumn("__good", good).withColumn("__any", F.max("__good").over(Window.partitionBy("query_id")))
-    return hits.filter(F.when(F.col("__any"), F.col("__good")).otherwise(F.col("rank") <= keep)).drop("__good", "__any")
+    marked = settled(hits.withColumn("__good", tx.quality(F.col("text")) >= least))
+    some = marked.groupBy("query_id").agg(F.max("__good").alias("__any"))  # a query's hits are gathered nowhere
+    return marked.join(some, "query_id").filter(F.when(F.col("__any"), F.col("__good")).otherwise(F.col("rank") <= keep)).select(*hits.columns)
 
 
 def dedupe_prefix(hits: DataFrame, head: int = 200) -> DataFrame:
