@@ -140,6 +140,40 @@ def analogies(hyps: DataFrame, hits: DataFrame, topic: str = tx.SMALL + "{6,}",
     return scored.groupBy("hyp_id").agg(F.max_by(F.struct("doc_id", "score"), F.struct("score", -F.col("rank"))).alias("best")).select("hyp_id", "best.doc_id", "best.score")
 
 
+# Words that are no parameter to compare by, and the sentences of an analogy.
+_COMMON = ("извлечение", "повышение", "флотация")
+
+
+def analogy_texts(hyps: DataFrame, hits: DataFrame, topic: str = tx.SMALL + "{6,}", most: int = 6, first: int = 8) -> DataFrame:
+    """B05 in words: (hyp_id, kind, doc_id, analogy) for each hypothesis (hyp_id, query_id, text, mechanism).
+
+    kind "topic": the hit that analogies() chose. "token": where none scores, the first of the query's `first` hits that has one of the
+    hypothesis's words of 7 letters or more, by the first such word. "general": where none has.
+    """
+    labels = lambda c: F.slice(F.array_distinct(tx.all_of(F.lower(c), topic)), 1, most)
+    head = lambda c: F.concat(F.lit("«"), F.substring(c, 1, 140), F.lit("…»"))
+    wording = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("mechanism", F.lit("")))
+    own = hyps.select("hyp_id", "query_id", "text", wording.alias("wording"))
+    best = settled(analogies(hyps, hits, topic, most))
+    g = hits.select("query_id", F.col("doc_id").alias("hit_id"), "rank", F.col("text").alias("hit_text"))
+    # a document may have several hits: the best ranked one of those that score as much
+    near = own.join(best.select("hyp_id", "doc_id"), "hyp_id").join(g, ["query_id"]).filter(F.col("doc_id") == F.col("hit_id")).groupBy("hyp_id").agg(F.min_by(F.struct("doc_id", "text", "hit_text"), "rank").alias("x")).select("hyp_id", "x.*")
+    cross = F.slice(F.array_sort(F.array_except(labels(F.col("hit_text")), labels(F.col("text")))), 1, 3)
+    domain = F.when(F.size(cross) > 0, F.concat(F.lit("перенос из домена «"), F.get(cross, 0), F.lit("»"))).otherwise("смежный процесс в корпусе")
+    stated = F.array_join(F.transform(F.map_entries(tx.parameters(F.col("hit_text"))), lambda e: F.concat(e["key"], F.lit("≈"), e["value"].cast("string"))), ", ")
+    told = F.concat(F.lit("Cross-domain аналогия ("), domain, F.lit("): в "), F.substring(F.col("doc_id").cast("string"), 1, 36), F.lit("… описан похожий механизм"), F.when(stated != "", F.concat(F.lit(" ("), stated, F.lit(")"))).otherwise(""), F.lit(" — "), head(F.col("hit_text")))
+    by_topic = near.select("hyp_id", F.lit("topic").alias("kind"), F.col("doc_id").cast("string").alias("doc_id"), told.alias("analogy"))
+    rest = own.join(best.select("hyp_id"), "hyp_id", "left_anti")
+    tokens = F.filter(tx.all_of(F.lower("wording"), "[а-яёa-z]{7,}"), lambda w: ~w.isin(*_COMMON))
+    met = rest.withColumn("tokens", tokens).join(g.filter(F.col("rank") <= first), "query_id").withColumn("low", F.lower("hit_text"))
+    met = met.withColumn("token", F.get(F.filter("tokens", lambda w: F.col("low").contains(w)), 0)).filter("token IS NOT NULL")
+    met = met.groupBy("hyp_id").agg(F.min_by(F.struct("hit_id", "hit_text", "token"), "rank").alias("x")).select("hyp_id", "x.*")
+    by_token = met.select("hyp_id", F.lit("token").alias("kind"), F.col("hit_id").cast("string").alias("doc_id"), F.concat(F.lit("Аналогия по параметру «"), "token", F.lit("» в "), F.substring(F.col("hit_id").cast("string"), 1, 36), F.lit("…: "), head(F.col("hit_text"))).alias("analogy"))
+    general = F.concat(F.lit("Аналогия: механизм сопоставим с подходами из корпуса по теме «"), tx.kpi_label(F.col("text"), default=lx.DEFAULT_KPI_LABEL), F.lit("» и смежным процессам в базе знаний."))
+    others = rest.join(met.select("hyp_id"), "hyp_id", "left_anti").select("hyp_id", F.lit("general").alias("kind"), F.lit(None).cast("string").alias("doc_id"), general.alias("analogy"))
+    return by_topic.unionByName(by_token).unionByName(others)
+
+
 def counterfactual(hyps: DataFrame, metrics: DataFrame) -> DataFrame:
     """Per hypothesis its leading parameter, and the baseline: the model's, else the mean metric of its query's first ten hits.
     metrics: query_id, rank, text; hyps: hyp_id, query_id, text, baseline, predicted."""
@@ -162,7 +196,7 @@ def counterfactual_text(problem: Column, kpi: Column, text: Column, median: Colu
         F.lit("Контрфактуал: при сохранении базового режима ("), note, F.lit(") прогноз "), kpi, F.lit(" остаётся ~"), n(base), F.lit("; при внедрении гипотезы ("), param, F.lit(") ML-модель даёт "), n(predicted),
         F.lit(" (Δ "), n(predicted - base, "%+.2f"), F.lit("). Без изменений KPI по «"), F.substring(problem, 1, 55), F.lit("…» не достигается."),
     )
-    other = F.concat(F.lit("Контрфактуал: если НЕ менять "), param, F.lit(", сохраняется текущий уровень "), kpi, F.lit(" по задаче «"), F.substring(problem, 1, 60), F.lit("…»"), F.coalesce(F.concat(F.lit(" ("), note, F.lit(")")), F.lit("")))
+    other = F.concat(F.lit("Контрфактуал: если НЕ менять "), param, F.lit(", сохраняется текущий уровень "), kpi, F.lit(" по задаче «"), F.substring(problem, 1, 60), F.lit("…»"), F.coalesce(F.concat(F.lit(" ("), note, F.lit(")")), F.lit("")), F.lit(" без целевого прироста."))
     return F.coalesce(known, other)
 
 

@@ -664,7 +664,7 @@ def r19(spark: SparkSession, d: str) -> DataFrame:
     "WITH " + t.HYPOTHESES + """, x AS (SELECT *, CASE WHEN hyp_id % 2 = 0 THEN 80.5 END AS median, CASE WHEN hyp_id % 3 = 0 THEN 70.25 END AS mean, CASE WHEN hyp_id % 5 <> 0 THEN 90.0 END AS pred, 'pH=' || CAST(hyp_id % 14 AS VARCHAR) || '.0' AS param FROM hyp),
 n AS (SELECT *, coalesce(median, mean) AS base, CASE WHEN median IS NOT NULL THEN 'медиана k по архиву ' || printf('%.2f', median) WHEN mean IS NOT NULL THEN 'среднее k в источниках ' || printf('%.2f', mean) END AS note FROM x)
 SELECT hyp_id, CASE WHEN base IS NOT NULL AND pred IS NOT NULL THEN 'Контрфактуал: при сохранении базового режима (' || note || ') прогноз k остаётся ~' || printf('%.2f', base) || '; при внедрении гипотезы (' || param || ') ML-модель даёт ' || printf('%.2f', pred) || ' (Δ ' || printf('%+.2f', pred - base) || '). Без изменений KPI по «raise recovery…» не достигается.'
- ELSE 'Контрфактуал: если НЕ менять ' || param || ', сохраняется текущий уровень k по задаче «raise recovery…»' || coalesce(' (' || note || ')', '') END AS text FROM n""",
+ ELSE 'Контрфактуал: если НЕ менять ' || param || ', сохраняется текущий уровень k по задаче «raise recovery…»' || coalesce(' (' || note || ')', '') || ' без целевого прироста.' END AS text FROM n""",
 )
 def b06(spark: SparkSession, d: str) -> DataFrame:
     h, k = t.hypotheses(spark, d), F.col("hyp_id")

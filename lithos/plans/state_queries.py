@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.functions import lexicons as lx
-from lithos.operators import learning, lineage
+from lithos.operators import judging, learning, lineage, retrieval
 from lithos.operators.feedback import CRITERIA
 from lithos.sources import sql as sources
 from lithos.sources import stores
@@ -137,3 +137,106 @@ def s22(spark: SparkSession, d: str) -> DataFrame:
     stores.replace_hypotheses(h.filter("hyp_id % 10 = 3").select("run_id", "hyp_id", F.concat(F.lit("other "), "text").alias("text")), folder)
     runs = stores.list_runs(spark, folder).select("run_id", "hypotheses", F.col("approved"))
     return stores.read(spark, folder, "run_id").select("run_id", "hyp_id", "text").join(runs, "run_id")
+
+
+# ---- decisions -----------------------------------------------------------------------------------
+
+JUDGED = t.HYPOTHESES + """, j AS (SELECT hyp_id, run_id, text, has_source, doc_id, snippet, hyp_id % 3 = 0 AS approved, hyp_id % 2 = 0 AS source_grounded, CAST(hyp_id % 10 AS DOUBLE) AS testability, CAST(hyp_id % 7 AS DOUBLE) AS evidence_quality, CAST(hyp_id % 9 AS DOUBLE) AS relevance,
+ (hyp_id % 100) / 10 AS overall_score, 1 + hyp_id % 2 AS mandatory_passed, 50.0 * (1 + hyp_id % 2) AS compliance_pct FROM hyp)"""
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    """Hypotheses with verdicts by number: a third approved, half grounded, four kinds of issues."""
+    k = F.col("hyp_id")
+    none = F.array().cast("array<string>")
+    issues = F.when(k % 4 == 1, F.array(F.lit("ТЗ: a"), F.lit("Источники: нет"))).when(k % 4 == 2, F.array(F.lit("x"), F.lit("y"))).when(k % 4 == 3, none)
+    return t.hypotheses(spark, d).select(
+        "hyp_id", "run_id", "text", "sources", (k % 3 == 0).alias("approved"), (k % 2 == 0).alias("source_grounded"), (k % 10).cast("double").alias("testability"), (k % 7).cast("double").alias("evidence_quality"),
+        (k % 9).cast("double").alias("relevance"), (k % 100 / 10).alias("overall_score"), (1 + k % 2).alias("mandatory_passed"), F.lit(2).alias("mandatory_total"), (50.0 * (1 + k % 2)).alias("compliance_pct"), issues.alias("issues"),
+    )
+
+
+@query(
+    "j20_decision_lines",
+    "WITH " + JUDGED + """ SELECT hyp_id, CASE WHEN approved THEN
+ CASE WHEN source_grounded THEN 'Цитата из источника подтверждена в RAG-контексте (пересечение ≥ 30%)|' ELSE '' END || 'Чеклист ТЗ: ' || CAST(mandatory_passed AS VARCHAR) || '/2 обязательных пунктов (' || printf('%.0f', compliance_pct) || '%)|✓ first|' || CASE WHEN hyp_id % 2 = 1 THEN '✓ second|' ELSE '' END
+ || 'Оценки судьи: проверяемость ' || printf('%.1f', testability) || ', доказательства ' || printf('%.1f', evidence_quality) || ', релевантность ' || printf('%.1f', relevance) || ' (пороги ≥ 6.0)|Итоговый балл ' || printf('%.1f', overall_score) || '/10 (порог одобрения 6.5)'
+ || CASE WHEN has_source THEN '|Опора на источник `' || doc_id || '`: «' || substr(trim(snippet), 1, 80) || '…»' ELSE '' END
+WHEN hyp_id % 4 = 1 THEN 'Источники: нет' || CASE WHEN hyp_id % 2 = 0 THEN '|✗ second — why' ELSE '' END
+WHEN hyp_id % 4 = 2 THEN 'x|y|✗ second — why' WHEN hyp_id % 2 = 0 THEN '✗ second — why' ELSE 'Гипотеза не прошла один или несколько критериев судьи (см. замечания)' END AS lines FROM j""",
+)
+def j20(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of every decision; of two required checks the second fails for even numbers."""
+    j = judged(spark, d)
+    k = F.col("hyp_id")
+    checks = j.select("hyp_id", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit("first").alias("key"), F.lit(True).alias("passed")), F.struct(F.lit(1).alias("at"), F.lit("second").alias("key"), (k % 2 == 1).alias("passed")))).alias("c"))
+    checks = checks.select("hyp_id", "c.*", F.lit(True).alias("required"), F.lit("why").alias("note"))
+    return judging.decision_rationale(j, checks).select("hyp_id", F.array_join("rationale", "|").alias("lines"))
+
+
+_INDEX = "100 * (0.5 * avg(CAST(approved AS INT)) + 0.35 * avg(overall_score) / 10 + 0.15 * avg(CAST(source_grounded AS INT)))"
+
+
+@query(
+    "j21_summary_notes",
+    "WITH " + JUDGED + f""", r AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE approved) AS a, avg(compliance_pct) AS c, {_INDEX} AS i FROM j GROUP BY 1)
+SELECT run_id, '★ JQI (по всем оценённым гипотезам): ' || printf('%.1f', i) || ' / 75|★ Одобрено судьёй: ' || CAST(a AS VARCHAR) || ' из ' || CAST(n AS VARCHAR) || ' (' || printf('%.0f', 100 * a / n) || '%)|★ Соответствие ТЗ кейса: ' || printf('%.0f', c) || '% обязательных пунктов'
+ || CASE WHEN n > a THEN '|⚠ ' || CAST(n - a AS VARCHAR) || ' гипотез отклонены — требуют доработки экспертом' ELSE '' END || CASE WHEN a < 3 THEN '|⚠ Одобренных меньше целевого минимума (3)' ELSE '' END AS notes FROM r""",
+)
+def j21(spark: SparkSession, d: str) -> DataFrame:
+    j = judged(spark, d)
+    return judging.summary_notes(judging.run_summary(j.drop("compliance_pct"), j)).select("run_id", F.array_join("notes", "|").alias("notes"))
+
+
+@query(
+    "c12_source_labels",
+    "WITH " + t.HYPOTHESES + " SELECT hyp_id, CASE WHEN has_source THEN substr(doc_id, 1, 28) || CASE WHEN hyp_id % 4 = 1 THEN ' (✓ RAG)' ELSE ' (✗ нет в RAG)' END ELSE '—' END AS label FROM hyp",
+)
+def c12(spark: SparkSession, d: str) -> DataFrame:
+    """The context holds the sources of one hypothesis of four."""
+    h = t.hypotheses(spark, d).select("hyp_id", F.transform("sources", lambda s: s["doc_id"]).alias("doc_ids"))
+    known = h.filter("hyp_id % 4 = 1").select("hyp_id", F.explode("doc_ids").alias("doc_id"))
+    return judging.source_labels(h, known)
+
+
+def _repairs_sql(passes: int) -> str:
+    """As many passes, each as its own tables: the runs below the target that had a repair before, their repairs, and the rows after."""
+    parts = [t.HYPOTHESES, "s0 AS (SELECT hyp_id, run_id, hyp_id % 10 AS x, 0 AS passes FROM hyp)", "g0 AS (SELECT DISTINCT run_id FROM s0)"]
+    for n in range(passes):
+        index = "100 * (0.5 * avg(CAST(x >= 6.5 AS INT)) + 0.35 * avg(x) / 10 + 0.15 * avg(CAST(x > 1 AS INT)))"
+        parts += [
+            f"o{n} AS (SELECT run_id FROM s{n} WHERE run_id IN (SELECT run_id FROM g{n}) GROUP BY 1 HAVING {index} < 75)",
+            f"f{n} AS (SELECT hyp_id, run_id FROM s{n} WHERE run_id IN (SELECT run_id FROM o{n}) AND x < 6.5 AND hyp_id % 4 <> 0)",
+            f"g{n + 1} AS (SELECT DISTINCT run_id FROM f{n})",
+            f"s{n + 1} AS (SELECT hyp_id, run_id, x + CASE WHEN hyp_id IN (SELECT hyp_id FROM f{n}) THEN 3 ELSE 0 END AS x, CASE WHEN run_id IN (SELECT run_id FROM g{n + 1}) THEN {n + 1} ELSE passes END AS passes FROM s{n})",
+        ]
+    return "WITH " + ", ".join(parts) + f" SELECT hyp_id, CAST(x AS BIGINT) AS score, CAST(passes AS INT) AS passes FROM s{passes}"
+
+
+@query("h08_repair_loop", _repairs_sql(3))
+def h08(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by number; a repair adds 3 to what is not approved, but for one hypothesis of four."""
+    own = t.hypotheses(spark, d).select("hyp_id", "run_id", (F.col("hyp_id") % 10).cast("string").alias("text"), "mechanism", "reasoning")
+    x = F.col("text").cast("double")
+
+    def judge(h: DataFrame) -> DataFrame:
+        return h.withColumns({"overall_score": x, "approved": x >= 6.5, "source_grounded": x > 1})
+
+    def repairs(rejected: DataFrame, n: int) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return rejected.filter("hyp_id % 4 <> 0").select("hyp_id", (F.col("text").cast("long") + 3).cast("string").alias("text"), none.alias("mechanism"), none.alias("reasoning"))
+
+    return judging.repair_loop(own, judge, repairs, passes=3).select("hyp_id", F.col("text").cast("long").alias("score"), "passes")
+
+
+@query(
+    "r19_query_subgraphs",
+    "WITH " + t.GRAPH + """, q AS (SELECT n_nationkey AS query_id, lower(substr(n_name, 1, 3)) AS w FROM nation UNION SELECT n_nationkey, lower(right(n_name, 2)) FROM nation), h AS (SELECT DISTINCT query_id, id, name FROM nd JOIN q ON contains(lower(name), w)),
+e AS (SELECT source AS id, target AS other, type FROM ed UNION ALL SELECT target, source, type FROM ed), r AS (SELECT query_id, h.id, name, other, type, row_number() OVER (PARTITION BY query_id ORDER BY h.id, other NULLS FIRST, type) AS rank FROM h LEFT JOIN e USING (id))
+SELECT query_id, id, name, other, type, CAST(rank AS INT) AS rank FROM r WHERE rank <= 30""",
+)
+def r19(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation asks with the beginning and the end of its name."""
+    n = t.table(spark, d, "nation")
+    words = n.select(F.col("n_nationkey").alias("query_id"), F.explode(F.array(F.substring("n_name", 1, 3), F.right(F.col("n_name"), F.lit(2)))).alias("keyword"))
+    return retrieval.subgraphs(*t.graph(spark, d), words)
