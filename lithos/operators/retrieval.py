@@ -97,12 +97,16 @@ def dedupe_prefix(hits: DataFrame, head: int = 200) -> DataFrame:
 
 
 def expand_neighbours(hits: DataFrame, chunks: DataFrame, k: int, least: float = 0.1) -> DataFrame:
-    """Each hit and then its neighbours of some quality, each chunk once, k + 4 at most; rank is new."""
-    around = hits.select("query_id", "doc_id", F.col("rank").alias("hit"), F.posexplode(F.array(F.col("chunk_index"), F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("place", "chunk_index")).filter("chunk_index >= 0")
+    """Each hit and then its neighbours of some quality, each chunk once, k + 4 at most; rank is new. A hit keeps its score,
+    where hits have one; a neighbour's is 0."""
+    scored = "score" in hits.columns
+    score = [F.col("score").alias("__score")] if scored else []
+    around = hits.select("query_id", "doc_id", *score, F.col("rank").alias("hit"), F.posexplode(F.array(F.col("chunk_index"), F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("place", "chunk_index")).filter("chunk_index >= 0")
     own = chunks.select("doc_id", "chunk_index", "text")
     found = around.join(own, ["doc_id", "chunk_index"]).filter((F.col("place") == 0) | (tx.quality(F.col("text")) >= least))
     once = ranked(found, ["query_id", "doc_id", "chunk_index"], [F.asc("hit"), F.asc("place")], 1, "__n").drop("__n")
-    return ranked(once, ["query_id"], [F.asc("hit"), F.asc("place")], k + 4).withColumn("expanded", F.col("place") > 0).drop("hit", "place")
+    out = ranked(once, ["query_id"], [F.asc("hit"), F.asc("place")], k + 4).withColumn("expanded", F.col("place") > 0).drop("hit", "place")
+    return out.withColumn("score", F.when(F.col("expanded"), F.lit(0.0)).otherwise(F.col("__score"))).drop("__score") if scored else out
 
 
 #: A registry of cases has no more rows.

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.functions import lexicons as lx
-from lithos.operators import judging, learning, lineage, retrieval
+from lithos.operators import chunking, judging, learning, lineage, proposals, retrieval, runs
 from lithos.operators.feedback import CRITERIA
 from lithos.sources import sql as sources
 from lithos.sources import stores
 from lithos.streaming import flows
 
+from . import case_queries as cq
+from . import proposal_queries as pq
 from . import tables as t
+from . import text_queries as tq
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -240,3 +243,26 @@ def r19(spark: SparkSession, d: str) -> DataFrame:
     n = t.table(spark, d, "nation")
     words = n.select(F.col("n_nationkey").alias("query_id"), F.explode(F.array(F.substring("n_name", 1, 3), F.right(F.col("n_name"), F.lit(2)))).alias("keyword"))
     return retrieval.subgraphs(*t.graph(spark, d), words)
+
+
+def whole_run(spark: SparkSession, d: str, folder: str) -> dict[str, DataFrame]:
+    """All chunks of all documents; 25 problems, each with a vector; a run's samples cite documents of its number, and reviews go by number."""
+    e = t.table(spark, d, "embeddings")
+    case = F.concat(F.lit("dir"), F.pmod(F.xxhash64("source"), F.lit(3)).cast("string"))
+    owned = t.documents(spark, d).select(case.alias("query_id"), "doc_id", F.concat_ws("/", case, pq.file_name()).alias("source"), F.lit("").alias("title"), "text")
+    chunks = lineage.settled(pq.with_vector(spark, d, chunking.chunks(owned.select("doc_id", "source", "text")), F.xxhash64("doc_id", "chunk_index")))
+    lines = owned.filter(F.col("source").endswith(".xlsx")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    brought = proposals.mandatory(owned, lines).withColumnRenamed("query_id", "dir")
+    problems, hits, samples = cq.proposal_inputs(spark, d)
+    named = problems.withColumns({"problem": F.concat("problem", F.when(F.col("query_id").cast("int") % 3 == 0, " production").otherwise("")), "n": F.lit(5)})
+    asked = pq.with_vector(spark, d, named, F.col("query_id").cast("long") * 7)
+    asked = asked.join(e.select("vec_id", F.col("embedding").alias("query_vector")), "vec_id").drop("vec_id")
+    ids = samples.groupBy("run_id").agg(F.count("raw").cast("int").alias("k")).select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), "run_id").select(F.concat("run_id", F.lit("-h"), F.col("i").cast("string")).alias("hyp_id"))
+    return runs.run(asked, chunks, e.select("vec_id", "embedding"), tq.cases(spark), brought, samples, cq.reviews_of(ids), folder, ["metal"])
+
+
+@query("h19_stored_runs")
+def h19(spark: SparkSession, d: str) -> DataFrame:
+    """Whole runs from retrieval to the stored and ordered hypotheses."""
+    out = whole_run(spark, d, lineage.fresh(spark, "runs"))
+    return out["hypotheses"].select("run_id", "hyp_id", "rank", "approved", "source_grounded", F.round("objective", 4).alias("objective"))
