@@ -168,6 +168,16 @@ def scenario_summary(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("scenario").agg(F.count("*").alias("total"), F.count_if("approved").alias("approved"), F.avg("compliance_pct").alias("avg_compliance"), F.count_if(F.col("completeness") < 0.5).alias("incomplete_graphs"))
 
 
+def scenario_details(verdicts: DataFrame, checked: DataFrame, head: int = 100, most: int = 3) -> DataFrame:
+    """A row for each hypothesis of a scenario: scenario, hyp_id, approved, overall_score, compliance_pct, failed (the required checks that
+    it fails, in order), text (its beginning) and issues (the first `most`). verdicts: these columns and issues; checked: judging.checks(), with label where
+    keys have one."""
+    label = "label" if "label" in checked.columns else "key"
+    failed = checked.filter("required AND NOT passed").groupBy("hyp_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.col(label).alias("label")))), lambda x: x["label"]).alias("failed"))
+    none = F.array().cast("array<string>")
+    return verdicts.join(failed, "hyp_id", "left").select("scenario", "hyp_id", "approved", "overall_score", "compliance_pct", F.coalesce("failed", none).alias("failed"), F.substring("text", 1, head).alias("text"), F.slice(F.coalesce("issues", none), 1, most).alias("issues"))
+
+
 def readiness(counts: DataFrame, floors: dict[str, int] | None = None) -> DataFrame:
     """A message for each count (name, n) under its floor."""
     floors = floors or {"vectors": 10, "nodes": 1, "chunks": 3}

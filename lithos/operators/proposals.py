@@ -232,6 +232,43 @@ def corpus_graph(docs: DataFrame, metrics: DataFrame, keywords: Sequence[str], m
     return edges.orderBy("publication", "node").limit(most)
 
 
+# How a KPI stands in a document's text, and the measurement that is one.
+_RECOVERABLE, _RECOVERABLE_KEY, _KPI_TAG = r"(?iU)итого\s+извлекаем\w*\s+металл[^.\n]{0,40}(\d+[.,]\d+)", "recoverable_metal_pct", "enterprise_kpi"
+
+
+def whole_corpus_graph(docs: DataFrame, metrics: DataFrame, keywords: Sequence[str], most: int = 24, first_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) of the documents that hold a keyword in title, source, tags, metrics or the first 800 characters of the text.
+
+    nodes: at, id, type, title, source: each such document as a Publication, its recoverable share, its metrics that name a keyword
+    (Parameter or Property) and the share its text states, each once, by document and place. links: at, source, target, type (REPORTS, CITED_BY): all
+    of a document's, or with first_only only those to a node that it is the first to have. The first `most` of both. docs: doc_id, title, source,
+    text, tags; metrics: doc_id, at, key, value, bucket (process_parameters or measurement_results).
+
+    A document brings a node at least, so that the first `most` documents are enough.
+    """
+    words = [k.lower() for k in keywords]
+    spoken = metrics.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "key", F.col("value").cast("string")))), " ").alias("__m"))  # a document's own metrics
+    blob = F.lower(F.concat_ws(" ", "title", F.substring("text", 1, 800), "source", F.array_join("tags", " "), "__m"))
+    hit = settled(docs.join(spoken, "doc_id", "left").filter(tx.contains_any(blob, words)).orderBy("doc_id").limit(most).drop("__m"))
+    publication = F.concat(F.lit("doc:"), F.substring(F.col("doc_id").cast("string"), 1, 24))
+    number = F.regexp_extract(F.lower(F.substring("text", 1, 800)), _RECOVERABLE, 1)
+    stated = F.array_contains("tags", _KPI_TAG) & (number != "")
+    none = F.lit(None).cast("string")
+    own = hit.select("doc_id", publication.alias("pub"), F.lit(-2).cast("long").alias("place"), publication.alias("id"), F.lit("Publication").alias("type"), none.alias("link"), F.coalesce("title", F.col("doc_id").cast("string")).alias("title"), "source")
+    m = metrics.join(hit.select("doc_id", publication.alias("pub")), "doc_id").filter(F.col("value").isNotNull()).withColumns({"value": F.col("value").cast("string"), "in_words": tx.contains_any(F.lower("key"), words) | tx.contains_any(F.lower(F.col("value").cast("string")), words)})
+    row = lambda df, place, id_, type_, link: df.select("doc_id", "pub", place.cast("long").alias("place"), id_.alias("id"), type_.alias("type"), F.lit(link).alias("link"), none.alias("title"), none.alias("source"))
+    measured = F.col("bucket") == "measurement_results"
+    shares = row(m.filter(measured & (F.col("key") == _RECOVERABLE_KEY)), F.lit(-1), F.concat(F.lit("KPI recovery "), "value", F.lit("%")), F.lit("Property"), "REPORTS")
+    named = row(m.filter("in_words"), F.col("at") + F.when(measured, 1 << 20).otherwise(0), F.substring(F.concat_ws("=", "key", "value"), 1, 50), F.when(measured, "Property").otherwise("Parameter"), "CITED_BY")
+    told = row(hit.withColumn("pub", publication).filter(stated), F.lit(1 << 40), F.concat(F.lit("KPI "), number, F.lit("%")), F.lit("Property"), "REPORTS")
+    entries = settled(ranked(own.unionByName(shares).unionByName(named).unionByName(told), ["id"], [F.asc("doc_id"), F.asc("place")], None, "turn"))
+    order = [F.asc("doc_id"), F.asc("place"), F.asc("id")]
+    nodes = ranked(entries.filter("turn = 1"), [], order, most, "at").select("at", "id", "type", "title", "source")
+    links = entries.filter("link IS NOT NULL" + (" AND turn = 1" if first_only else ""))
+    links = ranked(links, [], order, most, "at").select("at", F.col("pub").alias("source"), F.col("id").alias("target"), F.col("link").alias("type"))
+    return nodes, links
+
+
 def mandatory(docs: DataFrame, summaries: DataFrame, most: int = 1400) -> DataFrame:
     """Hits that a case always brings: brainstorm documents (their beginning) and KPI tables (doc_id, line); KPIs first. docs: query_id, doc_id, source, title, text."""
     blob = F.lower(F.concat_ws(" ", "source", "title"))

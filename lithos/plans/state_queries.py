@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.functions import lexicons as lx
-from lithos.operators import chunking, judging, learning, lineage, proposals, retrieval, runs
+from lithos.operators import chunking, evaluation, judging, learning, lineage, proposals, retrieval, runs
 from lithos.operators.feedback import CRITERIA
 from lithos.sources import sql as sources
 from lithos.sources import stores
@@ -266,3 +266,32 @@ def h19(spark: SparkSession, d: str) -> DataFrame:
     """Whole runs from retrieval to the stored and ordered hypotheses."""
     out = whole_run(spark, d, lineage.fresh(spark, "runs"))
     return out["hypotheses"].select("run_id", "hyp_id", "rank", "approved", "source_grounded", F.round("objective", 4).alias("objective"))
+
+
+@query(
+    "v10_scenario_details",
+    "WITH " + JUDGED + """ SELECT run_id AS scenario, hyp_id, approved, overall_score, CASE WHEN hyp_id % 2 = 0 THEN 'second' ELSE '' END AS failed, substr(text, 1, 100) AS text,
+ CASE hyp_id % 4 WHEN 1 THEN 'ТЗ: a;Источники: нет' WHEN 2 THEN 'x;y' ELSE '' END AS issues FROM j""",
+)
+def v10(spark: SparkSession, d: str) -> DataFrame:
+    """A run is a scenario; of two required checks the second fails for even numbers."""
+    j = judged(spark, d)
+    checks = j.select("hyp_id", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit("first").alias("key"), F.lit(True).alias("passed")), F.struct(F.lit(1).alias("at"), F.lit("second").alias("key"), (F.col("hyp_id") % 2 == 1).alias("passed")))).alias("c"))
+    found = evaluation.scenario_details(j.withColumnRenamed("run_id", "scenario"), checks.select("hyp_id", "c.*", F.lit(True).alias("required")))
+    return found.drop("compliance_pct").withColumns({"failed": F.array_join("failed", ";"), "issues": F.array_join("issues", ";")})
+
+
+@query(
+    "r20_corpus_nodes",
+    """WITH h AS (SELECT doc_id, lang, source FROM documents WHERE contains(lower(substr(text, 1, 800)), 'tion') OR contains(lower(source), 'tion') ORDER BY doc_id LIMIT 24),
+e AS (SELECT doc_id, -2 AS place, 'doc:' || CAST(doc_id AS VARCHAR) AS id, 'Publication' AS type FROM h UNION ALL SELECT doc_id, 0, 'motion=' || lang, 'Parameter' FROM h UNION ALL SELECT doc_id, -1, 'KPI recovery ' || CAST(doc_id % 9 AS VARCHAR) || '%', 'Property' FROM h),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id, place) AS turn FROM e)
+SELECT CAST(row_number() OVER (ORDER BY doc_id, place, id) AS INT) AS pos, id, type FROM f WHERE turn = 1 ORDER BY pos LIMIT 24""",
+)
+def r20(spark: SparkSession, d: str) -> DataFrame:
+    """Every document has its language as a parameter that names the keyword, and a share by number; documents without the keyword in their text do not come in."""
+    docs = t.documents(spark, d).withColumns({"title": F.col("doc_id").cast("string"), "tags": F.array().cast("array<string>")})
+    met = docs.filter(F.lower(F.substring("text", 1, 800)).contains("tion") | F.lower("source").contains("tion"))
+    own = met.select("doc_id", F.lit(0).alias("at"), F.lit("motion").alias("key"), F.col("lang").alias("value"), F.lit("process_parameters").alias("bucket"))
+    shares = met.select("doc_id", F.lit(1).alias("at"), F.lit("recoverable_metal_pct").alias("key"), (F.col("doc_id") % 9).cast("string").alias("value"), F.lit("measurement_results").alias("bucket"))
+    return proposals.whole_corpus_graph(docs, own.unionByName(shares), ["TION"])[0].select(F.col("at").alias("pos"), "id", "type")

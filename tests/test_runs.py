@@ -35,3 +35,21 @@ def test_analogy_texts(spark):
     assert (got[2]["kind"], got[2]["doc_id"], got[2]["analogy"]) == ("token", "e2", "Аналогия по параметру «reagents» в e2…: «the Reagents…»")
     assert got[3]["kind"] == got[4]["kind"] == "general" and got[3]["analogy"].startswith("Аналогия: механизм сопоставим")
     assert proposals.analogy_texts(hyps, hits.limit(0)).filter(F.col("kind") != "general").count() == 0
+
+
+def test_corpus_graph(spark):
+    docs = spark.createDataFrame(
+        [(1, "A", "s1", "about flotation", []), (2, None, "s2", "nothing", []), (3, "C", "s3", "Итого извлекаемый металл, доля 72,5 и flotation", ["enterprise_kpi"]), (4, "D", "flotation.txt", None, None)],
+        "doc_id long, title string, source string, text string, tags array<string>",
+    )
+    metrics = spark.createDataFrame(
+        [(1, 0, "pH", "9", "process_parameters"), (1, 1, "flotation_time", "5", "process_parameters"), (1, 2, "recoverable_metal_pct", "80", "measurement_results"), (3, 0, "flotation_time", "5", "process_parameters"), (3, 1, "mode", None, "process_parameters"), (2, 0, "pH", "9", "process_parameters")],
+        "doc_id long, at int, key string, value string, bucket string",
+    )
+    nodes, links = proposals.whole_corpus_graph(docs, metrics, ["Flotation"])
+    assert [(r["id"], r["type"]) for r in nodes.orderBy("at").collect()] == [("doc:1", "Publication"), ("KPI recovery 80%", "Property"), ("flotation_time=5", "Parameter"), ("doc:3", "Publication"), ("KPI 2,5%", "Property"), ("doc:4", "Publication")]
+    got = [(r["source"], r["target"], r["type"]) for r in links.orderBy("at").collect()]
+    assert got[:3] == [("doc:1", "KPI recovery 80%", "REPORTS"), ("doc:1", "flotation_time=5", "CITED_BY"), ("doc:3", "flotation_time=5", "CITED_BY")] and len(got) == 4
+    first = proposals.whole_corpus_graph(docs, metrics, ["Flotation"], first_only=True)[1]
+    assert [(r["source"], r["target"]) for r in first.orderBy("at").collect()][:2] == [("doc:1", "KPI recovery 80%"), ("doc:1", "flotation_time=5")] and first.count() == 3
+    assert proposals.whole_corpus_graph(docs, metrics, ["Flotation"], most=2)[0].count() == 2 and proposals.whole_corpus_graph(docs.limit(0), metrics, ["x"])[0].count() == 0
