@@ -21,6 +21,8 @@ ORDERS = (1, 2, 3)
 #: A text's evidence counts as that of so many n-grams at most, so that the score does not just say 1.
 EVIDENCE = 60
 SMOOTHING = 0.5
+#: Texts are worked on in slices of about so many bytes: a slice's n-grams take some 60 times as much.
+SLICE = 1 << 20
 
 UNKNOWN = "und"
 LETTER = r"\p{L}"
@@ -70,7 +72,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 langs = part.column(part.schema.get_field_index("lang")).dictionary_encode()
                 names, lang_of = langs.dictionary.to_pylist(), langs.indices.to_numpy()
                 words, at, row = _words(part)
@@ -110,7 +112,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prior, logp = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 rows = part.num_rows
                 letters = part.column(part.schema.get_field_index("__letters")).to_numpy(zero_copy_only=False)
                 total, grams = np.tile(prior, (rows, 1)) if langs else np.zeros((rows, 0)), np.zeros(rows)
