@@ -259,12 +259,14 @@ def doc_corpus(hits: DataFrame) -> DataFrame:
 
 
 def expand_keywords(words: DataFrame, aliases: DataFrame, most: int = 20) -> DataFrame:
-    """Keywords (query_id, at, word) and the aliases (term, alias) of terms that contain them or that they contain."""
-    w, a = words.withColumn("__word", F.lower("word")), aliases.withColumn("__term", F.lower("term"))
+    """Keywords (query_id, at, word) and the aliases (term, alias, and place where their order counts) of terms that contain them or
+    that they contain. A keyword's aliases stand by place, then by themselves."""
+    placed = aliases if "place" in aliases.columns else aliases.withColumn("place", F.lit(0))
+    w, a = words.withColumn("__word", F.lower("word")), placed.withColumn("__term", F.lower("term"))
     pairs = containing(w, "__word", a, "__term").unionByName(containing(a, "__term", w, "__word")).distinct()
     met = w.join(pairs, "__word").join(a, "__term")
-    both = words.select("query_id", "at", F.lit(0).alias("side"), "word").union(met.select("query_id", "at", F.lit(1).alias("side"), F.col("alias").alias("word")))
-    order = [F.asc("at"), F.asc("side"), F.asc("word")]
+    both = words.select("query_id", "at", F.lit(0).alias("side"), F.lit(0).alias("place"), "word").union(met.select("query_id", "at", F.lit(1).alias("side"), "place", F.col("alias").alias("word")))
+    order = [F.asc("at"), F.asc("side"), F.asc("place"), F.asc("word")]
     return ranked(ranked(both, ["query_id", "word"], order, 1, "__n").drop("__n"), ["query_id"], order, most).select("query_id", "rank", "word")
 
 

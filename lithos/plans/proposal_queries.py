@@ -151,7 +151,7 @@ u AS (SELECT query_id, pos, 0 AS side, word FROM w UNION ALL SELECT query_id, po
 )
 def r18(spark: SparkSession, d: str) -> DataFrame:
     words = tq.problems(spark, d).select("query_id", F.posexplode(tx.problem_keywords(F.col("problem"), F.col("constraints"))).alias("at", "word"))
-    return retrieval.expand_keywords(words, spark.createDataFrame([("tion", "ending"), ("der", "article")], "term string, alias string"))
+    return retrieval.expand_keywords(words, spark.createDataFrame([(0, "tion", "ending"), (1, "der", "article")], "place int, term string, alias string"))
 
 
 @query("r20_corpus_graph", "SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS publication, 'tion=' || lang AS node, 'CITED_BY' AS type FROM documents WHERE contains(lower(substr(text, 1, 800)), 'tion') ORDER BY 1, 2 LIMIT 24")
