@@ -36,3 +36,10 @@ def settled(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and kept as compressed columns: what reads a few of them does not read the others."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

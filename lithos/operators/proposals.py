@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
 from . import business, citations, graphs, hypotheses, judging, retrieval
-from .lineage import settled
+from .lineage import kept, settled
 from .retrieval import ranked
 
 # How constraints are led in, in this order; materials; fields of documents in texts.
@@ -287,9 +287,16 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, extra: D
     near = retrieval.vector_top_k(vectors, queries.select("query_id", "query_vector"), first).drop("rank")
     words = queries.select("query_id", tx.keywords(F.concat_ws(" ", "problem", "constraints")).alias("keywords"), "dirs")
     place = [F.asc("vec_id"), F.asc("doc_id"), F.asc("chunk_index")]
-    hits = ranked(near.join(chunks, "vec_id"), ["query_id"], [F.desc("score"), *place], first).join(words, "query_id")
-    kept = retrieval.dedupe_prefix(retrieval.drop_low_quality(retrieval.rerank(hits, retrieval.source_boost(F.col("source"), F.col("dirs")))))
-    placed = ranked(kept.drop("rank"), ["query_id"], [F.desc("rerank_score"), *place])
+    chunks = kept(chunks.withColumn("__row", F.monotonically_increasing_id()), "chunks")  # cut once, read by column
+    # chunks may share a vector: a query needs its best vectors only until these have `first` chunks, and of a vector no more; texts come last
+    ids = settled(ranked(chunks.select("vec_id", "doc_id", "chunk_index", "__row"), ["vec_id"], [*place[1:], F.asc("__row")], first, "__of").drop("__of"))
+    held = ids.groupBy("vec_id").agg(F.count("*").alias("__held"))
+    before = F.coalesce(F.sum("__held").over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = near.join(held, "vec_id").withColumn("__before", before).filter(F.col("__before") < first).drop("__held", "__before")
+    hits = ranked(needed.join(ids, "vec_id"), ["query_id"], [F.desc("score"), *place, F.asc("__row")], first).join(words, "query_id")
+    hits = hits.join(chunks.select("__row", "text", "source"), "__row")
+    best = retrieval.best_of_few(hits, boost=retrieval.source_boost(F.col("source"), F.col("dirs"))).select("query_id", "doc_id", "chunk_index", "vec_id", "score", "rerank_score")
+    placed = settled(ranked(best, ["query_id"], [F.desc("rerank_score"), *place]))
     merged = retrieval.inject(placed, extra, inject, k)
     return retrieval.expand_neighbours(merged, chunks, k)
 
@@ -298,7 +305,8 @@ def case_extras(routes: DataFrame, brought: DataFrame, k: int = 12, inject: int
     """What the cases (query_id, dir) of each query bring (dir, doc_id, chunk_index, text, ...). Of a case only the first
     `inject` that are no hits yet can go in, so that its first ones, as many as these and the first stage's hits, stand for all."""
     most = inject + max(retrieval.FIRST_STAGE * k, retrieval.LEAST_FIRST_STAGE)
-    return routes.select("query_id", "dir").join(ranked(brought, ["dir"], retrieval.injection_order(), most, "__n").drop("__n"), "dir").drop("dir")
+    first = ranked(brought.withColumn("boost", tx.kpi_boost(F.col("text"))), ["dir"], retrieval.injection_order(F.col("boost")), most, "__n").drop("__n")
+    return routes.select("query_id", "dir").join(first, "dir").drop("dir")
 
 
 def propose(samples: DataFrame, reviews: DataFrame, problem: Column) -> DataFrame:

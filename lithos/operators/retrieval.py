@@ -75,11 +75,15 @@ def keyword_share(text: Column, keywords: Column) -> Column:
     return F.least(F.size(F.filter(keywords, lambda k: low.contains(F.lower(k)))) / F.greatest(F.size(keywords), F.lit(1)), F.lit(1.0))
 
 
+def rerank_score(boost: Column | None = None) -> Column:
+    """The score of a hit (score, text, keywords) by its wording."""
+    final = F.col("score") + 0.15 * keyword_share(F.col("text"), F.col("keywords")) + 0.1 * tx.quality(F.col("text")) + tx.kpi_boost(F.col("text"))
+    return F.when(F.size("keywords") == 0, F.col("score")).otherwise(final if boost is None else final + boost)
+
+
 def rerank(hits: DataFrame, boost: Column | None = None) -> DataFrame:
     """rerank_score and rank of hits (query_id, rank, score, text, keywords); score stays as it is."""
-    final = F.col("score") + 0.15 * keyword_share(F.col("text"), F.col("keywords")) + 0.1 * tx.quality(F.col("text")) + tx.kpi_boost(F.col("text"))
-    final = final if boost is None else final + boost
-    hits = hits.withColumn("rerank_score", F.when(F.size("keywords") == 0, F.col("score")).otherwise(final)).withColumnRenamed("rank", "was")
+    hits = hits.withColumn("rerank_score", rerank_score(boost)).withColumnRenamed("rank", "was")
     return ranked_wide(hits, ["query_id"], [F.desc("rerank_score"), F.asc("was")]).drop("was")
 
 
@@ -96,6 +100,16 @@ def dedupe_prefix(hits: DataFrame, head: int = 200) -> DataFrame:
     return ranked(hits, ["query_id", "__head"], [F.asc("rank")], 1, "__n").drop("__n", "__head")
 
 
+def best_of_few(hits: DataFrame, least: float = 0.15, keep: int = 5, head: int = 200, boost: Column | None = None) -> DataFrame:
+    """R06, R07 and R08 in one for hits of which a query has some tens (query_id, rank, score, text, keywords): rerank_score and rank, without
+    their texts. What counts of a text is worked out before hits are dealt by query, once."""
+    scored = hits.withColumns({"rerank_score": rerank_score(boost), "__good": tx.quality(F.col("text")) >= least, "__head": F.sha2(F.substring("text", 1, head), 256)}).drop("text", "keywords")
+    own = Window.partitionBy("query_id")
+    placed = ranked(scored.withColumnRenamed("rank", "__was"), ["query_id"], [F.desc("rerank_score"), F.asc("__was")]).withColumn("__any", F.max("__good").over(own))
+    kept = placed.filter(F.when(F.col("__any"), F.col("__good")).otherwise(F.col("rank") <= keep))
+    return ranked(kept, ["query_id", "__head"], [F.asc("rank")], 1, "__n").drop("__n", "__head", "__good", "__any", "__was")
+
+
 def expand_neighbours(hits: DataFrame, chunks: DataFrame, k: int, least: float = 0.1) -> DataFrame:
     """Each hit and then its neighbours of some quality, each chunk once, k + 4 at most; rank is new. A hit keeps its score,
     where hits have one; a neighbour's is 0."""
@@ -185,21 +199,26 @@ def case_score(text: Column, keywords: Column, marks: Sequence[str] = ("извл
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0.0)).otherwise(F.least(F.lit(1.0), base + bonus))
 
 
-def injection_order() -> list[Column]:
+def injection_order(boost: Column | None = None) -> list[Column]:
+    """boost: the text's KPI mark where it is worked out already."""
     stage = F.when(F.col("kind") == "kpi", 0).when(F.col("kind") == "brainstorm", 1).when(F.col("kind").isNotNull(), 2).otherwise(3)
     optional = F.when(F.col("kind").isNull(), F.col("example_score")).otherwise(F.lit(0.0))
-    return [F.asc(stage), F.desc(tx.kpi_boost(F.col("text"))), F.desc(optional), F.asc("doc_id"), F.asc("chunk_index")]
+    return [F.asc(stage), F.desc(tx.kpi_boost(F.col("text")) if boost is None else boost), F.desc(optional), F.asc("doc_id"), F.asc("chunk_index")]
 
 
 def inject(hits: DataFrame, extra: DataFrame, most: int, k: int) -> DataFrame:
     """Extra hits (kind, example_score) before the others: mandatory ones (kpi, brainstorm, other), then optional
-    ones by KPI mark and score; those already there are skipped, `most` go in, and k stay."""
+    ones by KPI mark (boost, where it is worked out already) and score; those already there are skipped, `most` go in, and k
+    stay. Hits may come without their texts."""
+    if "boost" not in extra.columns:
+        extra = extra.withColumn("boost", tx.kpi_boost(F.col("text")))  # before rows are dealt out, so that their order needs no text
     new = extra.join(hits.select("query_id", "doc_id", "chunk_index"), ["query_id", "doc_id", "chunk_index"], "left_anti")
-    order = injection_order()
+    order = injection_order(F.col("boost"))
     once = ranked(new, ["query_id", "doc_id", "chunk_index"], order, 1, "__n")
     first = ranked(once, ["query_id"], order, most, "__place")
-    both = first.select("query_id", "doc_id", "chunk_index", "text", "score", F.lit(0).alias("__part"), "__place").unionByName(
-        hits.select("query_id", "doc_id", "chunk_index", "text", "score", F.lit(1).alias("__part"), F.col("rank").alias("__place"))
+    text = ["text"] if "text" in hits.columns else []
+    both = first.select("query_id", "doc_id", "chunk_index", *text, "score", F.lit(0).alias("__part"), "__place").unionByName(
+        hits.select("query_id", "doc_id", "chunk_index", *text, "score", F.lit(1).alias("__part"), F.col("rank").alias("__place"))
     )
     return ranked(both, ["query_id"], [F.asc("__part"), F.asc("__place")], k).drop("__part", "__place")
 

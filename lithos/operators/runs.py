@@ -13,7 +13,7 @@ from lithos.sources import stores
 from . import proposals, retrieval
 from .lineage import settled
 
-_EXTRA = ["query_id", "doc_id", "chunk_index", "text", "score", "kind", "example_score"]
+_EXTRA = ["query_id", "doc_id", "chunk_index", "boost", "score", "kind", "example_score"]
 
 
 def whole_retrieval(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, routes: DataFrame, brought: DataFrame, k: int = 12, inject: int = 4) -> DataFrame:
@@ -28,7 +28,7 @@ def whole_retrieval(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, r
     own = settled(proposals.case_extras(routes, brought, k, inject).select(*_EXTRA))
     words = asked.select("query_id", tx.keywords(F.concat_ws(" ", "problem", "constraints")).alias("keywords"))
     more = retrieval.case_candidates(chunks.select("doc_id", "chunk_index", "text", "source"), routes, words, own.select("query_id"), inject)
-    extra = settled(own.unionByName(more.select(*_EXTRA)))
+    extra = settled(own.unionByName(more.withColumn("boost", tx.kpi_boost(F.col("text"))).select(*_EXTRA)))
     hits = proposals.retrieve(chunks, vectors, asked, extra, k, inject)
     named = hits.join(chunks.select("doc_id", "chunk_index", "source").dropDuplicates(["doc_id", "chunk_index"]), ["doc_id", "chunk_index"], "left")
     example = extra.select("query_id", "doc_id", "chunk_index").distinct().withColumn("is_example", F.lit(True))
