@@ -9,6 +9,7 @@ from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
 from .containment import containing
+from .lineage import spread
 from .retrieval import ranked
 
 
@@ -209,7 +210,7 @@ def align(pairs: DataFrame, max_len: int = 280) -> DataFrame:
     none = F.array().cast("array<string>")
     exact = tx.overlap_form(F.col("corpus")).contains(tx.overlap_form(F.col("snippet")))
     hinted = "hypothesis" in pairs.columns
-    own = pairs.withColumn("exact", exact)
+    own = spread(pairs, "pair_id").withColumn("exact", exact)
     own = own.withColumn("terms", F.when(~F.col("exact"), hypothesis_terms(F.col("hypothesis"))).otherwise(none) if hinted else none)
     out = _windowed(own, F.col("snippet"), F.col("terms"), max_len, 20, "__w").withColumn("excerpt", F.col("__w.excerpt"))
     out = out.withColumn("overlap", citation_overlap(F.col("excerpt"), F.col("corpus")))
