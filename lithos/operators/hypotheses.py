@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
-from .lineage import settled
+from .lineage import settled, spread
 from .ranks import ranked_wide
 from .retrieval import ranked
 
@@ -30,8 +30,10 @@ def items(samples: DataFrame, schema: str = RAW) -> DataFrame:
     """(run_id, sample_no, at, item) of samples (run_id, sample_no, raw): a list under "hypotheses", one object there, or the object itself."""
     listed = parse_json(F.col("raw"), f"hypotheses array<struct<{_colons(schema)}>>")["hypotheses"]
     single = parse_json(F.col("raw"), schema)
-    own = F.when(listed.isNotNull(), listed).when(single["text"].isNotNull(), F.array(single))
-    return samples.select("run_id", "sample_no", F.posexplode(own).alias("at", "item"))
+    parsed = spread(samples.select("run_id", "sample_no", "raw"), "run_id", "sample_no").withColumn("__listed", listed)
+    parsed = parsed.withColumn("__single", F.when(F.col("__listed").isNull(), single))
+    own = F.when(F.col("__listed").isNotNull(), F.col("__listed")).when(F.col("__single.text").isNotNull(), F.array("__single"))
+    return parsed.select("run_id", "sample_no", F.posexplode(own).alias("at", "item"))
 
 
 def _colons(schema: str) -> str:
@@ -107,19 +109,26 @@ def clean_sources(cited: DataFrame, hits: DataFrame, least: float = lx.OVERLAP_M
     finds, where that overlaps better and has `shortest` characters."""
     from .citations import align, citation_overlap, garbage_id, resolve_doc_ids
 
-    hint = [F.first("hypothesis").alias("hypothesis")] if "hypothesis" in cited.columns else []
+    hinted = "hypothesis" in cited.columns
     ids = resolve_doc_ids(cited.filter(~garbage_id(F.col("cited_id"))).withColumn("citation_id", F.concat_ws("/", "hyp_id", F.col("at").cast("string"))), hits).filter("resolved IS NOT NULL")
-    text = hits.groupBy("query_id", "doc_id").agg(F.min_by("text", "rank").alias("doc_text"), F.min("rank").alias("rank"))
-    good = ids.join(text.withColumnRenamed("doc_id", "resolved"), ["query_id", "resolved"])
-    snippet = F.substring(F.when(F.coalesce("snippet", F.lit("")) != "", F.col("snippet")).otherwise(F.substring("doc_text", 1, 200)), 1, 300)
-    once = ranked(good.withColumn("snippet", snippet), ["hyp_id", "resolved"], [F.asc("at")], 1, "__n").withColumn("pair_id", F.concat_ws("/", "hyp_id", "resolved"))
-    once = settled(once.withColumn("before", citation_overlap(F.col("snippet"), F.col("doc_text"))))
-    if hint:
-        once = once.join(cited.groupBy("hyp_id").agg(*hint).withColumnRenamed("hypothesis", "__h"), "hyp_id", "left")
-    weak = once.filter(F.col("before") < least).select("pair_id", "snippet", F.col("doc_text").alias("corpus"), *([F.col("__h").alias("hypothesis")] if hint else []))
-    better = once.join(align(weak).select("pair_id", "aligned", "overlap"), "pair_id", "left")
+    text = settled(hits.groupBy("query_id", "doc_id").agg(F.min_by("text", "rank").alias("doc_text"), F.min("rank").alias("rank")))
+    corpus = text.select("query_id", F.col("doc_id").alias("resolved"), F.col("doc_text").alias("corpus"))
+    good = ids.join(corpus.select("query_id", "resolved", F.substring("corpus", 1, 200).alias("__head")), ["query_id", "resolved"])
+    snippet = F.substring(F.when(F.coalesce("snippet", F.lit("")) != "", F.col("snippet")).otherwise(F.col("__head")), 1, 300)
+    once = ranked(good.withColumn("snippet", snippet).select("hyp_id", "query_id", "resolved", "at", "snippet"), ["hyp_id", "resolved"], [F.asc("at")], 1, "__n").drop("__n", "at")
+    if hinted:
+        once = once.join(cited.groupBy("hyp_id").agg(F.coalesce(F.first("hypothesis"), F.lit("")).alias("hypothesis")), "hyp_id", "left")
+    once = settled(once)
+    # many citations are alike: each different one is held against its document once, and aligned once
+    key = ["query_id", "resolved", "snippet"]
+    held = settled(spread(once.select(*key).distinct(), *key).join(corpus, ["query_id", "resolved"]).withColumn("before", citation_overlap(F.col("snippet"), F.col("corpus"))).drop("corpus"))
+    found = once.join(held, key, "left")
+    wide = [*key, "hypothesis"] if hinted else key
+    weak = found.filter(F.col("before") < least).select(*wide).distinct().join(corpus, ["query_id", "resolved"])
+    weak = weak.select(F.struct(*wide).alias("pair_id"), "snippet", "corpus", *(["hypothesis"] if hinted else []))
+    better = found.join(align(weak).select("pair_id.*", "aligned", "overlap"), wide, "left")
     use = (F.col("overlap") > F.col("before")) & (F.length("aligned") >= shortest)
-    out = better.select("hyp_id", F.col("resolved").alias("doc_id"), F.when(use, F.col("aligned")).otherwise(F.col("snippet")).alias("snippet"))
+    out = settled(better.select("hyp_id", F.col("resolved").alias("doc_id"), F.when(use, F.col("aligned")).otherwise(F.col("snippet")).alias("snippet")))
     top = text.groupBy("query_id").agg(F.min_by(F.struct("doc_id", "doc_text"), "rank").alias("t"))
     bare = cited.select("hyp_id", "query_id").distinct().join(out.select("hyp_id").distinct(), "hyp_id", "left_anti").join(top, "query_id")
     return out.union(bare.select("hyp_id", "t.doc_id", F.substring("t.doc_text", 1, 200)))
