@@ -132,12 +132,16 @@ def analogies(hyps: DataFrame, hits: DataFrame, topic: str = tx.SMALL + "{6,}",
     topic they share, 3 for each of the hit's own, 4 for each close parameter; scores under 3 do not count.
     Topics are a text's distinct long words, the first `most`."""
     labels = lambda c: F.slice(F.array_distinct(tx.all_of(F.lower(c), topic)), 1, most)
-    h = hyps.select("hyp_id", "query_id", labels(F.col("text")).alias("a"), tx.parameters(F.col("text")).alias("p"))
+    # hypotheses of one query and wording have one analogy: it is looked for once
+    h = hyps.select("query_id", "text").distinct().select("query_id", "text", labels(F.col("text")).alias("a"), tx.parameters(F.col("text")).alias("p"))
     g = hits.select("query_id", "rank", "doc_id", labels(F.col("text")).alias("b"), tx.parameters(F.col("text")).alias("q")).filter(F.size("b") > 0)
     close = F.size(F.filter(F.map_keys("p"), lambda k: F.coalesce(F.abs(F.try_element_at("p", k) - F.try_element_at("q", k)) < F.greatest(F.lit(1.0), F.try_element_at("p", k) * 0.25), F.lit(False))))
     score = 2 * F.size(F.array_intersect("a", "b")) + 3 * F.size(F.array_except("b", "a")) + 4 * close
     scored = h.join(g, "query_id").withColumn("score", score).filter("score >= 3")
-    return scored.groupBy("hyp_id").agg(F.max_by(F.struct("doc_id", "score"), F.struct("score", -F.col("rank"))).alias("best")).select("hyp_id", "best.doc_id", "best.score")
+    first = F.struct("score", -F.col("rank"))
+    best = scored.groupBy("query_id", "text").agg(F.max_by(F.struct("doc_id", "score", "rank"), first).alias("best")).select("query_id", "text", "best.*")
+    own = hyps.select("hyp_id", "query_id", "text").join(best, ["query_id", "text"])
+    return own.groupBy("hyp_id").agg(F.max_by(F.struct("doc_id", "score"), first).alias("best")).select("hyp_id", "best.doc_id", "best.score")
 
 
 # Words that are no parameter to compare by, and the sentences of an analogy.
