@@ -9,7 +9,7 @@ from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
 from .containment import containing
-from .lineage import spread
+from .lineage import kept, spread
 from .retrieval import ranked
 
 
@@ -32,8 +32,9 @@ def prepared(snippet: Column, window: int = 24) -> Column:
         words = F.split(form, " ")
         n = F.least(F.size(words), F.lit(window))
         runs = tx.let(F.struct(words.alias("w"), n.alias("n")), lambda s: F.transform(F.sequence(F.lit(0), F.size(s["w"]) - s["n"]), lambda i: F.array_join(F.slice(s["w"], i + 1, s["n"]), " ")))
-        with_tokens = F.transform(runs, lambda r: F.struct(r.alias("run"), tx.overlap_tokens(r).alias("tokens")))
-        return F.struct(tx.overlap_tokens(snippet).alias("tokens"), tx.overlap_tokens(form).alias("form_tokens"), form.alias("form"), F.size(words).alias("n_words"), with_tokens.alias("runs"))
+        with_tokens = F.transform(runs, lambda r: tx.let(tx.overlap_tokens(r), lambda t: F.struct(r.alias("run"), t.alias("tokens"), F.size(t).alias("n"))))
+        counted = lambda t: F.struct(t.alias("tokens"), F.size(t).alias("n"), tx.overlap_tokens(form).alias("form_tokens"), form.alias("form"), F.size(words).alias("n_words"), with_tokens.alias("runs"))
+        return tx.let(tx.overlap_tokens(snippet), counted)
 
     return tx.let(tx.overlap_form(snippet), parts)
 
@@ -44,9 +45,10 @@ def _met(p: Column, corpus: Column, result) -> Column:
     both = F.array_intersect(F.array_union(p["tokens"], p["form_tokens"]), tx.overlap_tokens(corpus))
 
     def scores(c: Column) -> Column:
-        share = lambda t: F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(t, c["both"])) / F.size(t))
-        own, whole = share(p["tokens"]), c["whole"]
-        best = F.array_max(F.transform(p["runs"], lambda r: F.when(whole.contains(r["run"]), F.lit(1.0)).otherwise(share(r["tokens"]))))
+        share = lambda t, n: F.when(n == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(t, c["both"])) / n)
+        own, whole = share(p["tokens"], p["n"]), c["whole"]
+        best = F.array_max(F.transform(p["runs"], lambda r: F.when(whole.contains(r["run"]), F.lit(1.0)).otherwise(share(r["tokens"], r["n"]))))
+        best = F.coalesce(best, F.when(F.size(p["runs"]) == 0, F.lit(0.0)))
         sub = F.when((p["form"] == "") | (whole == ""), F.lit(0.0)).when(whole.contains(p["form"]), F.lit(1.0)).when(p["n_words"] < 4, own).otherwise(best)
         return result(own, sub)
 
@@ -58,11 +60,36 @@ def overlap_with(p: Column, corpus: Column) -> Column:
     return _met(p, corpus, F.greatest)
 
 
+def fitted(p: Column, terms: Column, corpus: Column) -> Column:
+    """What of a prepared snippet, and of terms in lower case, can count in a window of corpus: tokens, runs and terms that the whole
+    corpus lacks are in none of its windows. Sizes stay those of the snippet, so that overlap_with() is the same for each window; and
+    snippets that differ only in what the corpus lacks become equal."""
+
+    def parts(c: Column) -> Column:
+        # the small form of a capital sigma depends on what stands around it
+        can = lambda t: c["sigma"] | c["low"].contains(t) | c["plain"].contains(t)
+        said = lambda f: F.when(c["sigma"] | (f == "") | c["whole"].contains(f), f)
+        some = lambda tokens: F.sort_array(F.filter(tokens, can))
+        runs = F.array_distinct(F.transform(p["runs"], lambda r: F.struct(said(r["run"]).alias("run"), some(r["tokens"]).alias("tokens"), r["n"].alias("n"))))
+        return F.struct(
+            some(p["tokens"]).alias("tokens"), p["n"].alias("n"), some(p["form_tokens"]).alias("form_tokens"), said(p["form"]).alias("form"), F.least(p["n_words"], F.lit(4)).alias("n_words"),
+            F.filter(runs, lambda r: r["run"].isNotNull() | (F.size(r["tokens"]) > 0)).alias("runs"), some(terms).alias("terms"),
+        )
+
+    low = tx.let(F.lower(corpus), lambda x: F.struct(x.alias("low"), F.translate(x, "ё", "е").alias("plain"), tx.overlap_form(corpus).alias("whole"), corpus.contains("Σ").alias("sigma")))
+    return tx.let(low, parts)
+
+
+def _live(f: Column) -> Column:
+    """Whether what is fitted() to a corpus can score in some window of it."""
+    return (F.size(f["tokens"]) > 0) | (F.size(f["form_tokens"]) > 0) | (F.size(f["terms"]) > 0) | F.exists(f["runs"], lambda r: r["n"] == 0)
+
+
 def _may_overlap(p: Column, text: Column) -> Column:
     """Whether overlap_with() can be over 0: some token of the snippet stands in the text, in its spelling or with е for ё; or a run
     without tokens might. Costs a fraction of it."""
     held = lambda low, plain: F.exists(F.array_union(p["tokens"], p["form_tokens"]), lambda t: low.contains(t) | plain.contains(t))
-    return F.exists(p["runs"], lambda r: F.size(r["tokens"]) == 0) | tx.let(F.lower(text), lambda low: held(low, F.translate(low, "ё", "е")))
+    return F.exists(p["runs"], lambda r: r["n"] == 0) | tx.let(F.lower(text), lambda low: held(low, F.translate(low, "ё", "е")))
 
 
 def citation_overlap(snippet: Column, corpus: Column) -> Column:
@@ -127,10 +154,11 @@ def sentence_bounds(corpus: Column, start: Column, length: Column, max_len: int,
 _BLOCK = 4000
 
 
-def _best(corpus: Column, step: int, lengths: tuple[int, ...], shortest: Column, score) -> Column:
-    """(score, turn, start, length) of the window with the highest score(window); the first length and start of equals."""
+def _best(corpus: Column, step: int, lengths: tuple[int, ...], shortest: Column, score, live: Column) -> Column:
+    """(score, turn, start, length) of the window with the highest score(window); the first length and start of equals. Without
+    `live` no window scores, and the first is looked at alone."""
     widest = max(lengths)
-    last = F.greatest(F.lit(0), F.length(corpus) - shortest)
+    last = F.when(live, F.greatest(F.lit(0), F.length(corpus) - shortest)).otherwise(F.lit(0))
 
     def in_block(at: Column) -> Column:
         block = F.substring(corpus, at + 1, F.lit(_BLOCK + widest))
@@ -151,7 +179,7 @@ def best_windows(pairs: DataFrame, max_len: int = 280, step: int = 20) -> DataFr
     equals. pairs: pair_id, snippet, corpus, and terms ARRAY<STRING> where terms count. excerpt is the window, between sentence ends (C07);
     where no window scores, the keywords' window (C06) or the snippet itself.
 
-    All is done in the pair's row: nothing is dealt out. `step` divides the blocks that long texts are walked in.
+    `step` divides the blocks that long texts are walked in.
     """
     terms = F.col("terms") if "terms" in pairs.columns else F.array().cast("array<string>")
     found = _windowed(pairs, F.col("snippet"), terms, max_len, step, "__w")
@@ -159,18 +187,26 @@ def best_windows(pairs: DataFrame, max_len: int = 280, step: int = 20) -> DataFr
 
 
 def _windowed(pairs: DataFrame, wanted: Column, terms: Column, max_len: int, step: int, name: str) -> DataFrame:
-    """pairs with the struct `name`: (start, length, score, excerpt) of the window of corpus that is best for `wanted`."""
+    """pairs with the struct `name`: (start, length, score, excerpt) of the window of corpus that is best for `wanted`, and the
+    excerpt's overlap with corpus. Of pairs with one corpus whose words differ only in what that lacks, one is looked at."""
     lengths = (max_len, max_len + 50, max_len - 30)
     none = F.array().cast("array<string>")
-    own = pairs.withColumns({"__p": prepared(wanted), "__t": F.transform(F.coalesce(terms, none), F.lower)})
-    bonus = lambda w: 0.06 * tx.let(F.lower(w), lambda low: F.size(F.filter("__t", lambda t: low.contains(t))))
+    own = pairs.withColumns({"__s": wanted, "__t": F.transform(F.coalesce(terms, none), F.lower)})
+    own = own.withColumn("__f", F.when(F.col("__s").isNotNull(), fitted(prepared(F.col("__s")), F.col("__t"), F.col("corpus"))))
+    own = kept(own.withColumn("__k", F.when(F.col("__f").isNotNull(), F.sha2(F.concat(F.sha2("corpus", 256), F.to_json("__f")), 256))), "windows")
+    asked = spread(own.filter("__k IS NOT NULL").select("__k", "__f", "corpus"), "__k").dropDuplicates(["__k"])
+    bonus = lambda w: 0.06 * tx.let(F.lower(w), lambda low: F.size(F.filter("__f.terms", lambda t: low.contains(t))))
     shortest = F.least(F.lit(100), F.length("corpus"))
-    best = _best(F.col("corpus"), step, lengths, shortest, lambda w: F.when(_may_overlap(F.col("__p"), w), overlap_with(F.col("__p"), w)).otherwise(F.lit(0.0)) + bonus(w))
-    found = own.withColumn("__b", F.when(wanted.isNotNull(), best))
+    score = lambda w: F.when(_may_overlap(F.col("__f"), w), overlap_with(F.col("__f"), w)).otherwise(F.lit(0.0)) + bonus(w)
+    asked = asked.withColumn("__b", _best(F.col("corpus"), step, lengths, shortest, score, _live(F.col("__f"))))
     # the window without white space at its end keeps its start
     taken = F.length(tx.strip(F.substring("corpus", F.col("__b.start") + 1, F.col("__b.length"))))
-    excerpt = F.when(F.col("__b.score") > 0, sentence_bounds(F.col("corpus"), F.col("__b.start"), taken, max_len)).otherwise(keyword_window(wanted, F.col("corpus"), F.col("__t"), max_len))
-    return found.withColumn(name, F.struct("__b.start", "__b.length", "__b.score", excerpt.alias("excerpt"))).drop("__p", "__t", "__b")
+    asked = asked.withColumn("__e", F.when(F.col("__b.score") > 0, sentence_bounds(F.col("corpus"), F.col("__b.start"), taken, max_len)))
+    best = asked.select("__k", "__b", "__e", citation_overlap(F.col("__e"), F.col("corpus")).alias("__o"))
+    found = spread(own.join(best, "__k", "left"), "pair_id")
+    found = found.withColumn("__x", F.coalesce("__e", keyword_window(F.col("__s"), F.col("corpus"), F.col("__t"), max_len)))
+    overlap = F.when(F.col("__e").isNotNull(), F.col("__o")).otherwise(citation_overlap(F.col("__x"), F.col("corpus")))
+    return found.withColumn(name, F.struct("__b.start", "__b.length", "__b.score", F.col("__x").alias("excerpt"), overlap.alias("overlap"))).drop("__s", "__t", "__f", "__k", "__b", "__e", "__o", "__x")
 
 
 def keyword_window(snippet: Column, corpus: Column, terms: Column, max_len: int = 280, step: int = 40) -> Column:
@@ -178,7 +214,8 @@ def keyword_window(snippet: Column, corpus: Column, terms: Column, max_len: int
     snippet's beginning where none is met."""
     words = F.filter(tx.all_of(F.lower(snippet), tx.SMALL + "{5,}"), lambda w: ~w.isin(*lx.KEYWORD_STOP))
     count = lambda keys, w: tx.let(F.lower(w), lambda low: F.size(F.filter(keys, lambda k: low.contains(k))).cast("double"))
-    best = tx.let(F.concat(words, terms), lambda keys: _best(corpus, step, (max_len + 80,), F.least(F.lit(81), F.length(corpus)), lambda w: count(keys, w)))
+    some = tx.let(F.lower(corpus), lambda low: F.filter(F.concat(words, terms), lambda k: low.contains(k) | corpus.contains("Σ")))  # others are in no window
+    best = tx.let(some, lambda keys: _best(corpus, step, (max_len + 80,), F.least(F.lit(81), F.length(corpus)), lambda w: count(keys, w), F.size(keys) > 0))
     met = tx.let(best, lambda b: F.when(b["score"] > 0, F.regexp_replace(tx.strip(F.substring(corpus, b["start"] + 1, F.lit(max_len))), r"\s+", " ")))
     return F.coalesce(met, F.substring(snippet, 1, max_len))
 
@@ -206,21 +243,21 @@ def candidates(snippets: DataFrame, docs: DataFrame, size: int = 3, least: int =
 def align(pairs: DataFrame, max_len: int = 280) -> DataFrame:
     """The excerpt that stands for a snippet, and its overlap. pairs: pair_id, snippet, corpus, and hypothesis where its
     terms and wording count: the best window for the snippet; for the hypothesis, where it overlaps better by 0.05; the
-    snippet itself where that overlaps better than both and by 0.25 at least. Blank snippets and corpora overlap by 0."""
+    snippet itself where that overlaps better than both and by 0.25 at least. Blank snippets and corpora overlap by 0. raw: the snippet's
+    overlap with its corpus, where it is known."""
     none = F.array().cast("array<string>")
     exact = tx.overlap_form(F.col("corpus")).contains(tx.overlap_form(F.col("snippet")))
     hinted = "hypothesis" in pairs.columns
     own = spread(pairs, "pair_id").withColumn("exact", exact)
     own = own.withColumn("terms", F.when(~F.col("exact"), hypothesis_terms(F.col("hypothesis"))).otherwise(none) if hinted else none)
-    out = _windowed(own, F.col("snippet"), F.col("terms"), max_len, 20, "__w").withColumn("excerpt", F.col("__w.excerpt"))
-    out = out.withColumn("overlap", citation_overlap(F.col("excerpt"), F.col("corpus")))
+    out = _windowed(own, F.col("snippet"), F.col("terms"), max_len, 20, "__w").withColumns({"excerpt": F.col("__w.excerpt"), "overlap": F.col("__w.overlap")}).drop("__w")
     if hinted:
         wanted = F.when(~F.col("exact") & (F.coalesce("hypothesis", F.lit("")) != ""), F.col("hypothesis"))
-        out = _windowed(out, wanted, F.col("terms"), max_len, 20, "__h").withColumn("hint", F.when(wanted.isNotNull(), F.col("__h.excerpt")))
-        out = out.withColumn("hint_overlap", F.when(F.col("hint").isNotNull(), citation_overlap(F.col("hint"), F.col("corpus"))))
+        out = _windowed(out, wanted, F.col("terms"), max_len, 20, "__h").withColumns({"hint": F.when(wanted.isNotNull(), F.col("__h.excerpt")), "hint_overlap": F.when(wanted.isNotNull(), F.col("__h.overlap"))})
         better = F.coalesce(F.col("hint_overlap") > F.col("overlap") + 0.05, F.lit(False))
         out = out.withColumns({"excerpt": F.when(better, F.col("hint")).otherwise(F.col("excerpt")), "overlap": F.when(better, F.col("hint_overlap")).otherwise(F.col("overlap"))})
-    out = out.withColumn("raw", citation_overlap(F.col("snippet"), F.col("corpus")))
+    if "raw" not in pairs.columns:
+        out = out.withColumn("raw", citation_overlap(F.col("snippet"), F.col("corpus")))
     blank = (tx.strip(F.coalesce("snippet", F.lit(""))) == "") | (F.coalesce("corpus", F.lit("")) == "")
     keep = blank | ~F.col("exact") & (F.col("overlap") < F.col("raw")) & (F.col("raw") >= 0.25)
     overlap = F.when(blank, F.lit(0.0)).when(F.col("exact"), F.lit(1.0)).when(keep, F.col("raw")).otherwise(F.col("overlap"))

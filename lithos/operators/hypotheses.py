@@ -124,8 +124,8 @@ def clean_sources(cited: DataFrame, hits: DataFrame, least: float = lx.OVERLAP_M
     held = settled(spread(once.select(*key).distinct(), *key).join(corpus, ["query_id", "resolved"]).withColumn("before", citation_overlap(F.col("snippet"), F.col("corpus"))).drop("corpus"))
     found = once.join(held, key, "left")
     wide = [*key, "hypothesis"] if hinted else key
-    weak = found.filter(F.col("before") < least).select(*wide).distinct().join(corpus, ["query_id", "resolved"])
-    weak = weak.select(F.struct(*wide).alias("pair_id"), "snippet", "corpus", *(["hypothesis"] if hinted else []))
+    weak = found.filter(F.col("before") < least).select(*wide, "before").distinct().join(corpus, ["query_id", "resolved"])
+    weak = weak.select(F.struct(*wide).alias("pair_id"), "snippet", "corpus", F.col("before").alias("raw"), *(["hypothesis"] if hinted else []))
     better = found.join(align(weak).select("pair_id.*", "aligned", "overlap"), wide, "left")
     use = (F.col("overlap") > F.col("before")) & (F.length("aligned") >= shortest)
     out = settled(better.select("hyp_id", F.col("resolved").alias("doc_id"), F.when(use, F.col("aligned")).otherwise(F.col("snippet")).alias("snippet")))
