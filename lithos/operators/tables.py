@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
-from .lineage import settled
+from .lineage import kept, spread
 from .retrieval import ranked
 
 NUMERIC = r"^[\d.,eE+\-]+$"
@@ -89,26 +89,44 @@ def kpi_summary(rows: DataFrame, rules: Sequence[tuple[str, str]] = lx.TABLE_RUL
     header or total row before, found by a window in row order. Recoverable share and tonnage keep the last value.
     """
     keys = ["workbook", "sheet"]
-    r = rows.withColumn("cells", trimmed(F.col("cells"))).filter(F.size("cells") > 0)
-    r = r.withColumns({"rule": rule_of(F.col("cells"), rules), "g": grain(F.col("cells"))})
-    totals = F.exists(F.transform(F.slice(labels(F.col("cells"), 3), 1, 3), lambda x: F.lower(x["label"])), lambda s: s.startswith("итого") | s.contains("раскрыт"))
-    event = F.when(F.col("rule.rule") == "grain_header", 1).when(F.col("rule").isNull() & F.col("g").isNull() & totals, 0)
-    before = Window.partitionBy(*keys).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("inside", F.coalesce(F.last(event, ignorenulls=True).over(before), F.lit(0)) == 1)
-    r = r.withColumn("values", numbers_after(F.col("cells"), F.coalesce("rule.at", "g.at", F.lit(0))))
-    r = settled(r.filter("rule IS NOT NULL OR (g IS NOT NULL AND inside)").select(*keys, "row_idx", "rule", "g", "inside", "values"))  # its patterns run once
-    first = F.get("values", 0)
-    ruled = r.filter(F.col("rule").isNotNull() & (F.size("values") > 0))
-    last = ruled.filter("rule.rule IN ('tailings', 'recoverable')").groupBy(*keys, F.col("rule.rule").alias("kind")).agg(F.max_by(first, "row_idx").alias("v"))
-    heads = last.select(*keys, F.when(F.col("kind") == "recoverable", -2).otherwise(-1).cast("long").alias("at"), F.when(F.col("kind") == "recoverable", F.concat(F.lit("- Итого извлекаемый металл в хвостах: "), "v", F.lit("%"))).otherwise(F.concat(F.lit("- Отвальные хвосты: "), "v", F.lit(" т"))).alias("line"))
-    metrics = ruled.filter("rule.rule NOT IN ('tailings', 'recoverable', 'grain_header')").select(*keys, F.col("row_idx").cast("long").alias("at"), F.concat(F.lit("- "), "rule.label", F.lit(": "), first).alias("line"))
-    shown = F.when(F.lower("g.label").contains("мкм"), F.col("g.label")).otherwise(F.concat("g.label", F.lit(" мкм")))
-    grains = r.filter("rule IS NULL AND g IS NOT NULL AND inside")
-    grains = ranked(grains, keys, [F.asc("row_idx")], most_grains, "n").select(
-        *keys, (F.col("row_idx") + F.lit(1 << 40)).alias("at"),
-        F.concat(F.lit("- "), shown, F.lit(": доля класса "), F.coalesce(first, F.lit("")), F.lit("%, метрика "), F.coalesce(F.get("values", 1), F.lit(""))).alias("line"),
+    r = rows.filter(F.size(trimmed(F.col("cells"))) > 0)
+    return _with_lines(r, keys, ["row_idx"], F.col("row_idx"), rules, most_grains).filter("line IS NOT NULL").select(*keys, "at", "line")
+
+
+def workbook_kpi_summary(rows: DataFrame, rules: Sequence[tuple[str, str]] = lx.TABLE_RULES, most_grains: int = 10) -> DataFrame:
+    """K09 of workbook_rows(), as (workbook, at, line): rows are numbered where they are sorted."""
+    return _with_lines(rows, ["workbook"], ["sheet", "row_idx"], F.col("__n") - 1, rules, most_grains).filter("line IS NOT NULL").select("workbook", "at", "line")
+
+
+def _with_lines(rows: DataFrame, keys: Sequence[str], order: Sequence[str], row_idx: Column, rules: Sequence[tuple[str, str]], most_grains: int, keep: Sequence[str] = ()) -> DataFrame:
+    """rows (keys, order, `keep`) with their number among those of their keys (__n) and the KPI line that stands at each (at, line), null
+    for most. What a line needs of a row is read before rows are sorted, once."""
+    cells = trimmed(F.col("cells"))
+    r = rows.select(*dict.fromkeys([*keys, *order, *keep]), cells.alias("__c")).withColumns({"__r": rule_of(F.col("__c"), rules), "__g": grain(F.col("__c"))})
+    totals = F.exists(F.transform(F.slice(labels(F.col("__c"), 3), 1, 3), lambda x: F.lower(x["label"])), lambda s: s.startswith("итого") | s.contains("раскрыт"))
+    event = F.when(F.col("__r.rule") == "grain_header", 1).when(F.col("__r").isNull() & F.col("__g").isNull() & totals, 0)
+    values = F.when(F.col("__r").isNotNull() | F.col("__g").isNotNull(), numbers_after(F.col("__c"), F.coalesce("__r.at", "__g.at"), 2))
+    r = r.withColumns({"__event": event, "__values": values})
+    r = r.select(*[c for c in r.columns if c not in ("__c", "__r", "__g", "__values")], F.col("__r.rule").alias("__rule"), F.coalesce("__r.label", "__g.label").alias("__label"), F.get("__values", 0).alias("__first"), F.get("__values", 1).alias("__second"))
+    r = spread(r, *keys)
+    all_, sorted_ = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(*order)
+    before = sorted_.rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumns({"__n": F.row_number().over(sorted_), "__inside": F.coalesce(F.last("__event", ignorenulls=True).over(before), F.lit(0)) == 1})
+    # a rule's name without a number says nothing; a size class may lack both numbers
+    r = r.withColumn("__kind", F.when(F.col("__rule").isNotNull(), F.when(F.col("__first").isNotNull() & (F.col("__rule") != "grain_header"), F.col("__rule"))).when(F.col("__label").isNotNull() & F.col("__inside"), "size class"))
+    is_ = lambda kind: F.col("__kind") == kind
+    last = lambda kind: is_(kind) & (F.col("__n") == F.max(F.when(is_(kind), F.col("__n"))).over(all_))
+    sizes = F.coalesce(F.count_if(is_("size class")).over(before), F.lit(0))
+    r = r.withColumns({"__share": last("recoverable"), "__tons": last("tailings"), "__sizes": sizes})
+    shown = F.when(F.lower("__label").contains("мкм"), F.col("__label")).otherwise(F.concat("__label", F.lit(" мкм")))
+    line = (
+        F.when(F.col("__share"), F.concat(F.lit("- Итого извлекаемый металл в хвостах: "), "__first", F.lit("%")))
+        .when(F.col("__tons"), F.concat(F.lit("- Отвальные хвосты: "), "__first", F.lit(" т")))
+        .when(is_("size class"), F.when(F.col("__sizes") < most_grains, F.concat(F.lit("- "), shown, F.lit(": доля класса "), F.coalesce("__first", F.lit("")), F.lit("%, метрика "), F.coalesce("__second", F.lit("")))))
+        .when(~F.col("__kind").isin("recoverable", "tailings"), F.concat(F.lit("- "), "__label", F.lit(": "), "__first"))
     )
-    return heads.union(metrics).union(grains)
+    at = F.when(F.col("__share"), F.lit(-2)).when(F.col("__tons"), F.lit(-1)).otherwise(row_idx.cast("long") + F.when(is_("size class"), F.lit(1 << 40)).otherwise(F.lit(0)))
+    return r.withColumns({"at": at.cast("long"), "line": line})
 
 
 def sheet_overview(rows: DataFrame) -> DataFrame:
@@ -141,18 +159,24 @@ def overview_lines(overview: DataFrame) -> DataFrame:
 
 
 def workbook_summary(rows: DataFrame) -> DataFrame:
-    """(workbook, part, sheet, at, line) in order: the file, then its KPIs, or else an overview of each sheet."""
-    n = rows.groupBy("workbook").agg(F.count_distinct("sheet").alias("sheets"))
-    kpis = settled(kpi_summary(workbook_rows(rows)).drop("sheet"))
-    with_kpis = kpis.select("workbook").distinct().withColumn("known", F.lit(True))
-    heads = n.join(with_kpis, "workbook", "left").select("workbook", F.posexplode(F.array(F.concat(F.lit("- Файл: "), "workbook", F.lit(", листов: "), F.col("sheets").cast("string")), F.when(F.col("known"), "## Сводка KPI").otherwise("## Обзор листов"))).alias("at", "line"))
-    rest = overview_lines(sheet_overview(rows.join(with_kpis, "workbook", "left_anti")))
-    empty = F.lit("")
-    return (
-        heads.select("workbook", F.lit(0).alias("part"), empty.alias("sheet"), F.col("at").cast("long").alias("at"), "line")
-        .union(kpis.select("workbook", F.lit(1), empty, "at", "line"))
-        .union(rest.select("workbook", F.lit(1), "sheet", F.col("at").cast("long"), "line"))
+    """(workbook, part, sheet, at, line) in order: the file, then its KPIs, or else an overview of each sheet. Rows are sorted
+    once; of workbooks with KPIs no more than the lines is kept."""
+    r = _with_lines(rows, ["workbook"], ["sheet", "row_idx"], F.col("__n") - 1, lx.TABLE_RULES, 10, ["cells"])
+    all_, sorted_ = Window.partitionBy("workbook"), Window.partitionBy("workbook").orderBy("sheet", "row_idx")
+    r = r.withColumns({"__known": F.max(F.col("line").isNotNull()).over(all_), "__new": F.col("sheet").isNotNull() & ~F.coalesce(F.lag("sheet").over(sorted_) == F.col("sheet"), F.lit(False))})
+    r = r.withColumn("__sheets", F.count_if("__new").over(all_))
+    told = lambda part, at, line: F.struct(F.lit(part).alias("part"), at.cast("long").alias("at"), line.alias("line"))
+    first = F.col("__n") == 1
+    lines = F.array(
+        F.when(first, told(0, F.lit(0), F.concat(F.lit("- Файл: "), "workbook", F.lit(", листов: "), F.col("__sheets").cast("string")))),
+        F.when(first, told(0, F.lit(1), F.when(F.col("__known"), "## Сводка KPI").otherwise("## Обзор листов"))),
+        F.when(F.col("line").isNotNull(), told(1, F.col("at"), F.col("line"))),
     )
+    r = r.select("workbook", "sheet", "row_idx", F.when(~F.col("__known"), F.col("cells")).alias("cells"), F.filter(lines, lambda x: x.isNotNull()).alias("lines"))
+    r = kept(r.filter("size(lines) > 0 OR cells IS NOT NULL"), "workbooks")
+    rest = overview_lines(sheet_overview(r.filter("cells IS NOT NULL").drop("lines")))
+    heads = r.select("workbook", F.explode("lines").alias("x")).select("workbook", "x.part", F.lit("").alias("sheet"), "x.at", "x.line")
+    return heads.union(rest.select("workbook", F.lit(1), "sheet", F.col("at").cast("long"), "line"))
 
 
 def workbook_kpis(summary: DataFrame) -> DataFrame:
@@ -179,6 +203,7 @@ def kpi_chunk(name: Column, lines: Column) -> Column:
 
 def with_priority(chunks: DataFrame, first: DataFrame) -> DataFrame:
     """Chunks (doc_id, chunk_index, text) with a document's priority chunk (doc_id, text) as number 0 and the others behind it."""
+    first = kept(first.select("doc_id", "text"), "first")  # read twice
     some = first.select("doc_id", F.lit(1).alias("__shift")).distinct()
     moved = chunks.select("doc_id", "chunk_index", "text").join(some, "doc_id", "left").withColumn("chunk_index", F.col("chunk_index") + F.coalesce("__shift", F.lit(0)))
     return first.select("doc_id", F.lit(0).alias("chunk_index"), "text").union(moved.select("doc_id", "chunk_index", "text"))

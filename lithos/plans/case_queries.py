@@ -71,7 +71,7 @@ def k11b(spark: SparkSession, d: str) -> DataFrame:
 coalesce((SELECT string_agg('+' || q || ' мкм', ';' ORDER BY n) FROM i x WHERE x.workbook = l.workbook AND n % 4 = 0 AND inside = 1), '') AS sizes FROM (SELECT DISTINCT workbook FROM ln) l""",
 )
 def k13(spark: SparkSession, d: str) -> DataFrame:
-    k = tables.workbook_kpis(tables.kpi_summary(tables.workbook_rows(workbooks(spark, d))))
+    k = tables.workbook_kpis(tables.workbook_kpi_summary(workbooks(spark, d)))
     return k.select("workbook", "tailings_tonnage", "recoverable_pct", F.array_join("grain_classes", ";").alias("sizes"))
 
 
@@ -84,12 +84,9 @@ KPI_TEXT = "'# KPI-сводка: ' || workbook || chr(10) || 'Тег: enterprise
 SELECT workbook AS doc_id, CAST(0 AS INT) AS chunk_index, md5(text) AS digest FROM p UNION ALL SELECT w.workbook, CAST(n - 1 + CASE WHEN p.workbook IS NULL THEN 0 ELSE 1 END AS INT), md5(q) FROM w LEFT JOIN p USING (workbook)""",
 )
 def k14(spark: SparkSession, d: str) -> DataFrame:
-    rows = workbooks(spark, d)
-    first = tables.priority_chunks(tables.kpi_summary(tables.workbook_rows(rows))).withColumnRenamed("workbook", "doc_id")
-    number = F.regexp_extract(F.array_join("cells", "|"), r"(\d+)", 1)
-    own = rows.select(F.col("workbook").alias("doc_id"), (F.col("row_idx") - 1).cast("int").alias("chunk_index"), number.alias("text"), F.col("row_idx").alias("n"))
+    first = tables.priority_chunks(tables.workbook_kpi_summary(workbooks(spark, d))).withColumnRenamed("workbook", "doc_id")
     q = t.table(spark, d, "lineitem").groupBy(F.concat(F.col("l_orderkey").cast("string"), F.lit(".xlsx")).alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").cast("int").cast("string").alias("q"))
-    chunks = own.drop("text").join(q, ["doc_id", "n"]).select("doc_id", "chunk_index", F.col("q").alias("text"))
+    chunks = q.select("doc_id", (F.col("n") - 1).cast("int").alias("chunk_index"), F.col("q").alias("text"))
     return tables.with_priority(chunks, first).select("doc_id", "chunk_index", F.md5("text").alias("digest"))
 
 
