@@ -11,6 +11,7 @@ from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
 from .lineage import kept, spread
+from .ranks import ranked_wide
 from .retrieval import ranked
 
 NUMERIC = r"^[\d.,eE+\-]+$"
@@ -257,12 +258,14 @@ def experiment_rows(rows: DataFrame, rules: Sequence[tuple[str, Sequence[str]]]
     """A row for each experiment with a numeric target; the default id counts the experiments."""
     keys = ["workbook", "sheet"]
     fields = experiment_columns(rows, rules)
-    cells = rows.filter(F.col("row_idx") < most).select(*keys, "row_idx", F.posexplode("cells").alias("at", "cell")).filter(tx.strip(F.col("cell")) != "")
-    long = cells.join(fields, [*keys, "at"]).filter("row_idx > header_idx")
-    value = lambda f: F.max(F.when(F.col("field") == f, tx.parse_number(F.col("cell")))).alias(f)
-    wide = long.groupBy(*keys, "row_idx").agg(F.max(F.when(F.col("field") == "sample_id", tx.strip(F.col("cell")))).alias("sample_id"), *[value(f) for f in ("pH", "reagent_dosage", "temperature_C", "recovery_pct")])
-    wide = wide.filter("recovery_pct IS NOT NULL")
-    numbered = ranked(wide, keys, [F.asc("row_idx")], None, "n")
+    places = fields.groupBy(*keys, "header_idx").agg(F.map_from_entries(F.collect_list(F.struct("field", "at"))).alias("__at"))  # a row a sheet
+    cell = lambda f: F.get("cells", F.try_element_at("__at", F.lit(f)))
+    value = lambda f: tx.parse_number(cell(f)).alias(f)
+    numbers = ("pH", "reagent_dosage", "temperature_C", "recovery_pct")
+    long = rows.filter(F.col("row_idx") < most).join(places, keys).filter("row_idx > header_idx")
+    long = long.select(*keys, "row_idx", F.nullif(tx.strip(cell("sample_id")), F.lit("")).alias("sample_id"), *[value(f) for f in numbers])
+    wide = spread(long, *keys, "row_idx").groupBy(*keys, "row_idx").agg(*[F.max(c).alias(c) for c in ("sample_id", *numbers)]).filter("recovery_pct IS NOT NULL")
+    numbered = ranked_wide(wide, keys, [F.asc("row_idx")], "n")  # a sheet may be long: no task holds it whole
     return numbered.withColumn("sample_id", F.coalesce("sample_id", F.concat(F.lit("row_"), "n"))).drop("n")
 
 
