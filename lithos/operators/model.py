@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.functions import text as tx
 
+from .lineage import settled, spread
 from .ranks import exact_median
 from .retrieval import ranked
 
@@ -27,23 +28,33 @@ def feature_records(metrics: DataFrame) -> DataFrame:
     """Long records (doc_id, key, role, value) of metrics (doc_id, at, key, value, and bucket where known): the first
     target and up to five features of each document that has both. Where no key names a target, the first of the bucket
     measurement_results is one."""
-    m = metrics.withColumns({"key": metric_key(F.col("key")), "value": tx.parse_number(F.col("value").cast("string"))}).filter("value IS NOT NULL")
-    last = ranked(m, ["doc_id", "key"], [F.desc("at")], 1, "n").drop("n")
+    m = metrics.withColumns({"key": metric_key(F.col("key")), "value": tx.parse_number(F.col("value").cast("string"))}).filter("doc_id IS NOT NULL AND value IS NOT NULL")
     role = F.when(tx.contains_any(F.col("key"), TARGETS), "target").when(tx.contains_any(F.col("key"), FEATURES), "feature")
-    last = last.withColumn("role", role)
-    if "bucket" in metrics.columns:
-        named = last.filter("role = 'target'").select("doc_id").distinct()
-        spare = ranked(last.filter("bucket = 'measurement_results'").join(named, "doc_id", "left_anti"), ["doc_id"], [F.asc("at"), F.asc("key")], 1, "n").select("doc_id", "key", F.lit("target").alias("spare"))
-        last = last.join(spare, ["doc_id", "key"], "left").withColumn("role", F.coalesce("spare", "role")).drop("spare")
-    r = ranked(last.filter("role IS NOT NULL"), ["doc_id", "role"], [F.asc("at")], 5, "n").filter("role = 'feature' OR n = 1").drop("n")
-    both = r.groupBy("doc_id").agg(F.count_distinct("role").alias("roles")).filter("roles = 2").select("doc_id")
-    return r.join(both, "doc_id")
+    m, spares = m.withColumn("role", role), "bucket" in metrics.columns
+    if not spares:
+        m = m.filter("role IS NOT NULL")
+    # metrics are dealt out by document once, and sorted twice
+    own = Window.partitionBy("doc_id").orderBy("key", F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    has = lambda name: F.coalesce(F.max(F.col("role") == name).over(own), F.lit(False))
+    m = spread(m, "doc_id").withColumns({"__target": has("target"), "__feature": has("feature")})
+    if not spares:
+        m = m.filter("__target AND __feature")
+    last = ranked(m, ["doc_id", "key"], [F.desc("at")], 1, "n").drop("n")
+    whole = Window.partitionBy("doc_id")
+    if spares:
+        spare = F.when(~F.col("__target") & (F.col("bucket") == "measurement_results"), F.struct("at", "key"))
+        last = last.withColumn("role", F.when(F.col("key").isNotNull() & (spare == F.min(spare).over(whole)), F.lit("target")).otherwise(F.col("role")))
+    r = ranked(last.filter("role IS NOT NULL"), ["doc_id", "role"], [F.asc("at")], 5, "n").filter("role = 'feature' OR n = 1").drop("n", "__target", "__feature")
+    if spares:
+        both = lambda name: F.max(F.col("role") == name).over(whole)
+        r = r.withColumn("__both", both("target") & both("feature")).filter("__both").drop("__both")
+    return r.select("doc_id", *[c for c in r.columns if c != "doc_id"])
 
 
 def design(records: DataFrame, most: int = 5, spare: int = 3) -> DataFrame:
     """(kind, key, n) of the columns of the design matrix: the commonest target, and the features seen twice or
     more, the first five; else the three commonest. Ties go by key."""
-    counts = records.groupBy("role", "key").agg(F.count("*").alias("n"))
+    counts = settled(records.groupBy("role", "key").agg(F.count("*").alias("n")))  # a row a key, read three times
     target = counts.filter("role = 'target'").orderBy(F.desc("n"), "key").limit(1)
     common = counts.filter("role = 'feature' AND n >= 2").orderBy("key").limit(most)
     top = counts.filter("role = 'feature'").orderBy(F.desc("n"), "key").limit(spare)
