@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
-from .lineage import settled
+from .lineage import settled, spread
 from .retrieval import ranked
 
 # Phases of a roadmap (pattern, label, order; 0: the step's own number), and known labels.
@@ -157,16 +157,21 @@ def whole_graph(hyps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def roadmap_states(hyps: DataFrame, phases: Sequence[tuple[str, str, int]] = PHASES, most: int = 6) -> DataFrame:
     """(hyp_id, at, id, phase_order, from_id): a state for each of six steps, and the state before it."""
-    steps = hyps.select("hyp_id", F.posexplode(F.slice("roadmap", 1, most)).alias("at", "step"))
-    own = F.concat(F.lit("шаг "), (F.col("at") + 1).cast("string"))
-    label, order = own, F.col("at") + 1
-    for pattern, name, number in reversed(phases):
-        hit = tx.matches(F.col("step"), pattern)
-        label, order = F.when(hit, F.lit(name)).otherwise(label), F.when(hit, F.lit(number) if number else F.col("at") + 1).otherwise(order)
-    s = steps.withColumns({"id": tx.clean_id(F.concat(label, F.lit(": "), F.substring("step", 1, 40))), "phase_order": order})
-    again = F.row_number().over(Window.partitionBy("hyp_id", F.lower("id")).orderBy("at")) > 1
-    s = s.withColumn("again", again).withColumn("id", F.when(F.col("again"), tx.clean_id(F.concat(own, F.lit(": "), F.substring("step", 1, 35)))).otherwise(F.col("id")))
-    return s.select("hyp_id", "at", "id", "phase_order", F.lag("id").over(Window.partitionBy("hyp_id").orderBy("at")).alias("from_id"))
+
+    def state(step: Column, at: Column) -> Column:
+        own = F.concat(F.lit("шаг "), (at + 1).cast("string"))
+        label, order = own, at + 1
+        for pattern, name, number in reversed(phases):
+            hit = tx.matches(step, pattern)
+            label, order = F.when(hit, F.lit(name)).otherwise(label), F.when(hit, F.lit(number) if number else at + 1).otherwise(order)
+        again = tx.clean_id(F.concat(own, F.lit(": "), F.substring(step, 1, 35)))
+        return F.struct(at.alias("at"), tx.clean_id(F.concat(label, F.lit(": "), F.substring(step, 1, 40))).alias("id"), again.alias("again"), order.alias("phase_order"))
+
+    # the steps of a hypothesis are few and in its row: nothing is dealt out or sorted
+    told = lambda s: F.transform(s, lambda x, i: F.struct(x["at"].alias("at"), F.when(F.exists(F.slice(s, F.lit(1), i), lambda y: F.lower(y["id"]).eqNullSafe(F.lower(x["id"]))), x["again"]).otherwise(x["id"]).alias("id"), x["phase_order"].alias("phase_order")))
+    linked = lambda s: F.transform(s, lambda x, i: F.struct(x["at"].alias("at"), x["id"].alias("id"), x["phase_order"].alias("phase_order"), F.get(s, i - 1)["id"].alias("from_id")))
+    states = tx.let(tx.let(F.transform(F.slice("roadmap", 1, most), state), told), linked)
+    return hyps.select("hyp_id", F.explode(states).alias("s")).select("hyp_id", "s.at", "s.id", "s.phase_order", "s.from_id")
 
 
 def graph_measures(hyps: DataFrame, nodes: DataFrame, links: DataFrame, states: DataFrame) -> DataFrame:
@@ -244,7 +249,8 @@ def merge_relations(parts: DataFrame, kinds: Sequence[str] = RELATIONS) -> DataF
     """Relations (doc_id, origin, at, source, target, type) once whatever their ends' case; metadata (origin 0) first; no loops."""
     known = parts.withColumn("type", F.when(F.upper("type").isin(list(kinds)), F.upper("type")).otherwise(F.lit(FALLBACK_RELATION)))
     k = known.withColumns({"__s": F.lower(tx.strip(F.col("source"))), "__t": F.lower(tx.strip(F.col("target")))}).filter("__s <> __t AND __s <> '' AND __t <> ''")
-    return ranked(k, ["doc_id", "__s", "__t", "type"], [F.asc("origin"), F.asc("at")], 1, "__n").drop("__n", "__s", "__t")
+    # dealt out by document first, so that rows are sorted once, behind that, and what counts by document deals nothing out again
+    return ranked(spread(k, "doc_id"), ["doc_id", "__s", "__t", "type"], [F.asc("origin"), F.asc("at")], 1, "__n").drop("__n", "__s", "__t")
 
 
 def merge_extracted(parts: DataFrame) -> DataFrame:
