@@ -110,7 +110,10 @@ def clean_sources(cited: DataFrame, hits: DataFrame, least: float = lx.OVERLAP_M
     from .citations import align, citation_overlap, garbage_id, resolve_doc_ids
 
     hinted = "hypothesis" in cited.columns
-    ids = resolve_doc_ids(cited.filter(~garbage_id(F.col("cited_id"))).withColumn("citation_id", F.concat_ws("/", "hyp_id", F.col("at").cast("string"))), hits).filter("resolved IS NOT NULL")
+    # what is cited is looked for once for each query, however many cite it
+    named = cited.filter(~garbage_id(F.col("cited_id")))
+    each = settled(resolve_doc_ids(named.select("query_id", "cited_id").distinct().withColumn("citation_id", F.struct("query_id", "cited_id")), hits).filter("resolved IS NOT NULL").select("query_id", "cited_id", "resolved"))
+    ids = named.join(each, ["query_id", "cited_id"])
     text = settled(hits.groupBy("query_id", "doc_id").agg(F.min_by("text", "rank").alias("doc_text"), F.min("rank").alias("rank")))
     corpus = text.select("query_id", F.col("doc_id").alias("resolved"), F.col("doc_text").alias("corpus"))
     good = ids.join(corpus.select("query_id", "resolved", F.substring("corpus", 1, 200).alias("__head")), ["query_id", "resolved"])
