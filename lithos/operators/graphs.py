@@ -167,11 +167,11 @@ def roadmap_states(hyps: DataFrame, phases: Sequence[tuple[str, str, int]] = PHA
         again = tx.clean_id(F.concat(own, F.lit(": "), F.substring(step, 1, 35)))
         return F.struct(at.alias("at"), tx.clean_id(F.concat(label, F.lit(": "), F.substring(step, 1, 40))).alias("id"), again.alias("again"), order.alias("phase_order"))
 
-    # the steps of a hypothesis are few and in its row: nothing is dealt out or sorted
+    # the steps of a hypothesis are few and in its row: nothing is sorted; rows are dealt out as a file of few parts has many
     told = lambda s: F.transform(s, lambda x, i: F.struct(x["at"].alias("at"), F.when(F.exists(F.slice(s, F.lit(1), i), lambda y: F.lower(y["id"]).eqNullSafe(F.lower(x["id"]))), x["again"]).otherwise(x["id"]).alias("id"), x["phase_order"].alias("phase_order")))
     linked = lambda s: F.transform(s, lambda x, i: F.struct(x["at"].alias("at"), x["id"].alias("id"), x["phase_order"].alias("phase_order"), F.get(s, i - 1)["id"].alias("from_id")))
     states = tx.let(tx.let(F.transform(F.slice("roadmap", 1, most), state), told), linked)
-    return hyps.select("hyp_id", F.explode(states).alias("s")).select("hyp_id", "s.at", "s.id", "s.phase_order", "s.from_id")
+    return spread(hyps.select("hyp_id", "roadmap"), "hyp_id").select("hyp_id", F.explode(states).alias("s")).select("hyp_id", "s.at", "s.id", "s.phase_order", "s.from_id")
 
 
 def graph_measures(hyps: DataFrame, nodes: DataFrame, links: DataFrame, states: DataFrame) -> DataFrame:
