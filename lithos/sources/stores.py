@@ -1,21 +1,25 @@
 """Keyed tables in files that a batch changes only where its keys are.
 
-A table is partitioned by a column: a hash bucket of the key (S06, S17, X01), or the run (S22). A change reads the partitions
+A table is partitioned by a column: a hash bucket of the key (S06, S17), or the run (S22). A change reads the partitions
 that it touches, writes what they shall hold to a folder beside the table, and then puts them in their place by dynamic
-partition overwrite. A change that was broken off is taken up again by the next one, from that folder.
+partition overwrite. A change that was broken off is taken up again by the next one, from that folder. A table that only grows (X01) is partitioned by bucket and batch: a batch writes its own partitions alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from lithos.operators.lineage import spread
 
 BUCKETS = 64
 #: Rows in a file at most.
 ROWS = 1_000_000
+#: Rows of a bucket that one task is given, about.
+PIECE = 16_384
 
 
 def bucket_of(key: Sequence[str], buckets: int = BUCKETS) -> Column:
@@ -102,8 +106,33 @@ def lookup(spark: SparkSession, folder: str, wanted: DataFrame, key: Sequence[st
     return there.join(asked, ["bucket", *key], "left_semi").drop("bucket")
 
 
+def add_new(rows: DataFrame, folder: str, key: Sequence[str], batch: str, make: Callable[[DataFrame], DataFrame] = lambda new: new, buckets: int = BUCKETS) -> None:
+    """make(rows whose key no other batch brought) into a table by bucket of the key and batch, which only grows.
+
+    Of rows with equal keys one comes in. Rows are dealt out once, beside the keys that their buckets have, and written once; what other
+    batches wrote is neither read, but for its keys, nor written. A batch that is run again takes the place of what it wrote
+    before. `bucket` and `batch` may not be columns of rows; make keeps the key and leaves `bucket` as it is.
+    """
+    spark = rows.sparkSession
+    asked = rows.withColumn("bucket", bucket_of(key, buckets))
+    held = asked.groupBy("bucket").count().collect()  # `buckets` rows at most
+    if not held:
+        return
+    pieces = 1 + max(r["count"] for r in held) // PIECE
+    both = asked.withColumn("__old", F.lit(0))
+    if exists(spark, folder):
+        schema = StructType([asked.schema[c] for c in (*key, "bucket")] + [StructField("batch", StringType())])
+        there = spark.read.schema(schema).parquet(folder).filter(F.col("bucket").isin([r["bucket"] for r in held]) & (F.col("batch") != batch))
+        both = both.unionByName(there.select("bucket", *key, F.lit(1).alias("__old")), allowMissingColumns=True)
+    names = [c for c in rows.columns if c not in key]
+    dealt = spread(both.withColumn("__piece", F.pmod(F.hash(*key), F.lit(pieces))), "bucket", "__piece")
+    once = dealt.groupBy("bucket", "__piece", *key).agg(F.max("__old").alias("__old"), F.first(F.struct(F.lit(0), *names)).alias("r"))
+    new = make(once.filter("__old = 0").select(*[F.col(f"r.{c}") if c in names else F.col(c) for c in rows.columns], "bucket"))
+    new.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS).partitionBy("bucket", "batch").parquet(folder)
+
+
 def new_keys(rows: DataFrame, folder: str, key: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
-    """The rows whose key the table does not have yet; only their buckets are looked at, and only the key is read."""
+    """The rows whose key the table does not have yet; only their buckets are looked at, and only the key is read."""
     spark = rows.sparkSession
     recover(spark, folder, "bucket", "int")
     if not exists(spark, folder):

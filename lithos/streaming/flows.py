@@ -9,21 +9,19 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from lithos.operators import chunking, learning
 from lithos.operators.feedback import CRITERIA, bucket, fold_weights
-from lithos.operators.lineage import settled
 from lithos.sources import stores
 
 
 def ingest_stream(spark: SparkSession, folder: str, schema: str, chunk_folder: str, checkpoint: str) -> StreamingQuery:
-    """Chunks of each new file of documents (doc_id, text, source), in a table in buckets of doc_id (stores.upsert_store()).
+    """Chunks of each new file of documents (doc_id, text, source), in a table by bucket of doc_id and batch (stores.add_new()).
 
-    Documents that are already there are left out; a batch looks at the buckets of its documents alone, and one that is run
-    again writes the same rows, so that the result is that of one batch over all files.
+    Documents that are already there are left out; a batch looks at the keys in the buckets of its documents alone and writes only its own
+    rows, and one that is run again puts the same rows in their place, so that the result is that of one batch over all files.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = settled(stores.new_keys(batch.dropDuplicates(["doc_id"]), chunk_folder, ["doc_id"]))
-        chunks = chunking.chunks(new).withColumn("batch", F.lit(number).cast("long"))
-        stores.upsert_store(chunks, chunk_folder, ["doc_id", "chunk_index"], "batch", by=["doc_id"])
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")  # the checkpoint's: two streams may write to one table
+        stores.add_new(batch, chunk_folder, ["doc_id"], f"{query}-{number}", chunking.chunks)
 
     stream = spark.readStream.schema(schema).parquet(folder)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
