@@ -5,6 +5,7 @@ Patterns are matched with (?iU), so that letters of any script have case and \\w
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -14,7 +15,7 @@ from . import lexicons as lx
 
 LETTERS = "[а-яА-Яa-zA-Z]"
 SMALL = "[а-яёa-z]"
-EDGES = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
+BLANKS = " \t\n\r\f\x0b"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -23,7 +24,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, EDGES, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -31,6 +32,13 @@ def matches(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(f"(?iU){pattern}"), F.lit(False))
 
 
+def matches_words(text: Column, pattern: str) -> Column:
+    """matches(), for alternatives most of which are plain words: where a text has one of them as it is written, the pattern need not
+    be searched, which takes far longer."""
+    plain = [w for w in pattern.split("|") if re.fullmatch(r"[^\W_]+", w)]
+    return let(text, lambda t: F.when(F.exists(F.array(*[F.lit(w) for w in plain]), lambda w: t.contains(w)), F.lit(True)).otherwise(matches(t, pattern)))
+
+
 def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 

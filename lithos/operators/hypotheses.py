@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
@@ -19,20 +20,36 @@ _CONTROL = "Сравнение с контрольным режимом и оц
 
 def parse_json(raw: Column, schema: str) -> Column:
     """The object in a model's output, code fences and surrounding prose taken off and raw control characters allowed; null if there is none."""
-    options = {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE"}
-    bare = tx.strip(F.regexp_replace(F.regexp_replace(tx.strip(raw), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
+    bare = _bare(raw)
+    return F.coalesce(F.when(_is_object(bare), F.from_json(bare, schema, _OPTIONS)), F.from_json(_inside(bare), schema, _OPTIONS))
+
+
+_OPTIONS = {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE"}
+
+
+def _bare(raw: Column) -> Column:
+    return tx.strip(F.regexp_replace(F.regexp_replace(tx.strip(raw), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
+
+
+def _is_object(text: Column) -> Column:
+    return text.startswith("{") & F.get_json_object(F.regexp_replace(text, r"[\x00-\x1f]", " "), "$").isNotNull()
+
+
+def _inside(bare: Column) -> Column:
+    """The object inside of other words; null if there is none."""
     object_ = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    good = lambda t: F.when(tx.strip(t).startswith("{") & F.get_json_object(F.regexp_replace(t, r"[\x00-\x1f]", " "), "$").isNotNull(), F.from_json(t, schema, options))
-    return F.coalesce(good(bare), good(object_))
+    return F.when(_is_object(object_), object_)
 
 
 def items(samples: DataFrame, schema: str = RAW) -> DataFrame:
     """(run_id, sample_no, at, item) of samples (run_id, sample_no, raw): a list under "hypotheses", one object there, or the object itself."""
-    listed = parse_json(F.col("raw"), f"hypotheses array<struct<{_colons(schema)}>>")["hypotheses"]
-    single = parse_json(F.col("raw"), schema)
-    parsed = spread(samples.select("run_id", "sample_no", "raw"), "run_id", "sample_no").withColumn("__listed", listed)
-    parsed = parsed.withColumn("__single", F.when(F.col("__listed").isNull(), single))
-    own = F.when(F.col("__listed").isNotNull(), F.col("__listed")).when(F.col("__single.text").isNotNull(), F.array("__single"))
+    dealt = spread(samples.select("run_id", "sample_no", "raw"), "run_id", "sample_no")
+    # the object is looked for and parsed once, with the list and with its own fields
+    parsed = dealt.withColumn("__bare", _bare(F.col("raw"))).withColumn("__json", F.coalesce(F.when(_is_object(F.col("__bare")), F.col("__bare")), _inside(F.col("__bare"))))
+    fields = [c.name for c in StructType.fromDDL(schema)]
+    parsed = parsed.withColumn("__got", F.from_json("__json", f"hypotheses array<struct<{_colons(schema)}>>, {schema}", _OPTIONS))
+    single = F.struct(*[F.col(f"__got.{c}").alias(c) for c in fields])
+    own = F.when(F.col("__got.hypotheses").isNotNull(), F.col("__got.hypotheses")).when(F.col("__got.text").isNotNull(), F.array(single))
     return parsed.select("run_id", "sample_no", F.posexplode(own).alias("at", "item"))
 
 

@@ -84,8 +84,8 @@ def _sources() -> Column:
 
 
 def _novelty() -> Column:
-    compared = tx.matches(F.concat_ws(" ", _text("reasoning"), _text("text"), _text("mechanism")), _COMPARISON)
-    return _first_failing((~F.col("novelty").between(1, 10), "Некорректная оценка новизны"), (~compared & (F.col("novelty") < 7), "Нет сравнения с известными решениями"))
+    compared = tx.matches_words(F.concat_ws(" ", _text("reasoning"), _text("text"), _text("mechanism")), _COMPARISON)
+    return _first_failing((~F.col("novelty").between(1, 10), "Некорректная оценка новизны"), ((F.col("novelty") < 7) & ~compared, "Нет сравнения с известными решениями"))
 
 
 def _risks() -> Column:
@@ -94,14 +94,16 @@ def _risks() -> Column:
 
 
 def _kpi(problem: Column) -> Column:
-    low = F.lower(F.concat_ws(" ", _text("text"), _text("reasoning"), _text("mechanism")))
-    linked = F.exists(F.filter(tx.kpi_markers(problem), lambda w: F.length(w) > 4), lambda w: low.contains(w))
-    return _first_failing((~F.col("expected_value").between(1, 10), "Некорректная оценка ценности"), (~linked, "Нет связи с формулировкой задачи"), (~tx.matches(low, lx.VALUE_LINK), "Нет явной связи с целевым KPI"))
+    markers = F.filter(tx.kpi_markers(problem), lambda w: F.length(w) > 4)
+    # lower case is dear: a wording is taken to it once
+    return tx.let(F.lower(F.concat_ws(" ", _text("text"), _text("reasoning"), _text("mechanism"))), lambda low: _first_failing(
+        (~F.col("expected_value").between(1, 10), "Некорректная оценка ценности"), (~F.exists(markers, lambda w: low.contains(w)), "Нет связи с формулировкой задачи"), (~tx.matches(low, lx.VALUE_LINK), "Нет явной связи с целевым KPI"),
+    ))
 
 
 def _roadmap(pattern: str, note: str) -> Column:
-    text = F.lower(F.array_join(F.coalesce("roadmap", F.array().cast("array<string>")), " "))
-    return _first_failing((text == "", "Дорожная карта отсутствует"), (~tx.matches(text, pattern), note))
+    text = F.array_join(F.coalesce("roadmap", F.array().cast("array<string>")), " ")  # a pattern does not tell cases apart
+    return _first_failing((text == "", "Дорожная карта отсутствует"), (~tx.matches_words(text, pattern), note))
 
 
 #: Name -> (required, note expression; an empty note is a pass). Replace or add entries to change the checklist.
@@ -154,7 +156,22 @@ def compliance(checked: DataFrame) -> DataFrame:
     """Counts, and the share of required checks passed in percent."""
     required, passed = F.col("required"), F.col("passed")
     by = checked.groupBy("hyp_id").agg(F.count_if(required & passed).alias("mandatory_passed"), F.count_if(required).alias("mandatory_total"), F.count_if(~required & passed).alias("optional_passed"), F.count_if(~required).alias("optional_total"))
-    return by.withColumns({"all_mandatory_met": F.col("mandatory_passed") == F.col("mandatory_total"), "compliance_pct": F.round(100 * F.col("mandatory_passed") / F.greatest("mandatory_total", F.lit(1)), 1)})
+    return _shared_out(by)
+
+
+def _shared_out(counts: DataFrame) -> DataFrame:
+    return counts.withColumns({"all_mandatory_met": F.col("mandatory_passed") == F.col("mandatory_total"), "compliance_pct": F.round(100 * F.col("mandatory_passed") / F.greatest("mandatory_total", F.lit(1)), 1)})
+
+
+def with_compliance(hyps: DataFrame, problem: Column, table: Mapping[str, tuple[bool, Callable[[Column], Column]]] = CHECKS) -> DataFrame:
+    """hyps with compliance() of their checks(), counted in each row: nothing is exploded, dealt out or joined."""
+    noted = hyps.withColumn("__notes", F.array(*[f(problem) for _, f in table.values()]))  # each note is worked out once
+    note = lambda i: F.get("__notes", i)
+    ok = [((note(i) == "") | note(i).startswith(RECOMMENDATION), r) for i, (r, _) in enumerate(table.values())]
+    n = lambda kind: sum((p.cast("long") for p, r in ok if r == kind), F.lit(0).cast("long"))
+    total = lambda kind: F.lit(sum(r == kind for _, r in ok)).cast("long")
+    counted = noted.withColumns({"mandatory_passed": n(True), "mandatory_total": total(True), "optional_passed": n(False), "optional_total": total(False)})
+    return _shared_out(counted.drop("__notes"))
 
 
 def messages(checked: DataFrame) -> DataFrame:
@@ -324,6 +341,10 @@ def run_summary(verdicts: DataFrame, pct: DataFrame) -> DataFrame:
     return run_index(verdicts).join(share, "run_id")
 
 
+#: What output_order() reads.
+ORDERED_BY = ("run_id", "approved", "objective", "overall_score", "composite", "hyp_id")
+
+
 def output_order(df: DataFrame) -> DataFrame:
     """Approved first, then by objective, score and composite."""
     return ranked_wide(df, ["run_id"], [F.desc("approved"), F.desc("objective"), F.desc("overall_score"), F.desc("composite"), F.asc("hyp_id")])

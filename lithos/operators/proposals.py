@@ -313,19 +313,20 @@ def case_extras(routes: DataFrame, brought: DataFrame, k: int = 12, inject: int
     return routes.select("query_id", "dir").join(first, "dir").drop("dir")
 
 
-def propose(samples: DataFrame, reviews: DataFrame, problem: Column) -> DataFrame:
-    """Supplied samples to ordered verdicts: items, sanitising, merging, checks, verdict, order, in one lazy plan.
-    Grounding is taken from whether an item names a source with a snippet."""
+def propose(samples: DataFrame, reviews: DataFrame, problem: Column, columns: Sequence[str] | None = None) -> DataFrame:
+    """Supplied samples to ordered verdicts: items, sanitising, merging, checks, verdict, order.
+    Grounding is taken from whether an item names a source with a snippet. columns: those that are wanted beside the order's own, as what
+    is ordered is sorted and kept with all it has; none given: all."""
     found = hypotheses.items(samples).select("run_id", "sample_no", "at", "item.*").withColumns(
         {"novelty": F.coalesce("novelty_score", F.lit(5.0)), "feasibility": F.coalesce("feasibility_score", F.lit(5.0)), "expected_value": F.coalesce("expected_value_score", F.lit(5.0)),
          "risk_technical": F.col("risk.technical"), "risk_economic": F.col("risk.economic"), "sources": F.coalesce("sources", F.array().cast("array<struct<doc_id:string,snippet:string>>"))}
     )
     h = hypotheses.numbered(hypotheses.merge_samples(hypotheses.sanitized(hypotheses.undefaulted(found))))
-    checked = judging.checks(h, problem)
-    joined = judging.with_reviews(h.join(judging.compliance(checked), "hyp_id"), reviews)
+    joined = judging.with_reviews(judging.with_compliance(h, problem), reviews)
     counted = joined.withColumns({"source_grounded": F.exists("sources", lambda s: F.length(s["snippet"]) >= 20), "n_issues": F.col("mandatory_total") - F.col("mandatory_passed"), "n_constraint_issues": F.lit(0)})
-    v = judging.verdict(counted).withColumns({"composite": judging.composite()})
-    return judging.output_order(v.withColumn("objective", judging.objective()))
+    v = judging.verdict(counted).withColumns({"composite": judging.composite()}).withColumn("objective", judging.objective())
+    v = v if columns is None else v.select(*dict.fromkeys((*judging.ORDERED_BY, *columns)))
+    return judging.output_order(settled(v))  # a range sort reads its input twice
 
 
 def enriched(hyps: DataFrame, hits: DataFrame, gaps: DataFrame, no_capex: Column) -> DataFrame:
@@ -372,8 +373,7 @@ def generate(problems: DataFrame, hits: DataFrame, samples: DataFrame, reviews:
     corpus = retrieval.doc_corpus(hits).select(key("query_id", F.col("doc_id").cast("string")).alias("doc_id"), "corpus")
     named = sources.join(h.select("hyp_id", "query_id"), "hyp_id").select("hyp_id", key("query_id", "doc_id").alias("doc_id"), "snippet")
     grounded = citations.grounding(named, corpus).select("hyp_id", "source_grounded")
-    checked = judging.checks(h, F.col("problem"), judging.WHOLE_CHECKS)
-    joined = judging.with_reviews(h.join(judging.compliance(checked), "hyp_id"), reviews).join(grounded, "hyp_id", "left").withColumn("source_grounded", F.coalesce("source_grounded", F.lit(False)))
+    joined = judging.with_reviews(judging.with_compliance(h, F.col("problem"), judging.WHOLE_CHECKS), reviews).join(grounded, "hyp_id", "left").withColumn("source_grounded", F.coalesce("source_grounded", F.lit(False)))
     joined = judging.with_constraint_issues(joined.withColumn("n_issues", F.col("mandatory_total") - F.col("mandatory_passed")), F.col("constraints"))
     v = judging.verdict(joined)
     ordered = judging.output_order(v.withColumn("objective", judging.objective()))

@@ -12,26 +12,28 @@ from .lineage import settled
 #: So many values at most come to the driver at the end of exact_median().
 FEW = 10_000
 CUTS = 1_024
+#: So many beginnings of groups in partitions at most go to every task.
+STARTS = 100_000
 
 
 def ranked_wide(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """A row's place (from 1) among those that share `by`, as retrieval.ranked(), for groups that may be large.
 
-    Rows are range-sorted by group and order, so that a large group lies in several partitions; a row's place is that in its
-    partition, and the number of its group's rows in the partitions before. Columns that begin with __ are this function's.
+    Rows are range-sorted by group and order, so that a large group lies in several partitions; a row's place is its distance from where its
+    group begins in its partition, and the number of the group's rows in the partitions before. Columns that begin with __ are this function's.
     """
     by = list(by)
     placed = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__at", F.monotonically_increasing_id())
     placed = settled(placed.withColumn("__part", F.shiftright("__at", 33)))
-    inside = F.row_number().over(Window.partitionBy("__part", *by).orderBy("__at"))
-    counts = placed.groupBy("__part", *by).agg(F.count("__at").alias("__k"))
-    before = F.sum("__k").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.withColumn("__before", before).filter("__before > 0").select(F.col("__part").alias("__p"), "__before", *[F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)])
+    starts = placed.groupBy("__part", *by).agg(F.min("__at").alias("__first"), F.count("__at").alias("__k"))
+    before = F.coalesce(F.sum("__k").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = settled(starts.select(F.col("__part").alias("__p"), (before - F.col("__first") + 1).alias("__shift"), *[F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)]))
+    if starts.count() <= STARTS:  # rows are not dealt out again
+        starts = F.broadcast(starts)
     same = F.col("__part") == F.col("__p")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__by_{i}"))
-    out = placed.withColumn("__inside", inside).join(offsets, same, "left")
-    return out.select(*[c for c in df.columns if c != name], (F.col("__inside") + F.coalesce("__before", F.lit(0))).cast("int").alias(name))
+    return placed.join(starts, same).select(*[c for c in df.columns if c != name], (F.col("__at") + F.col("__shift")).cast("int").alias(name))
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:
