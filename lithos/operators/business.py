@@ -38,11 +38,15 @@ TEMPLATES = (
 
 def expected_delta(text: Column, expected_value: Column, predicted: Column | None = None) -> Column:
     """The model's value within [-5, 15], else the first stated effect of at most 15, else from the value score."""
-    stated = [tx.first_number(text, p) for p in DELTA]
-    rest = F.coalesce(*[F.when(s <= 15, s) for s in stated], F.when(expected_value >= 7, F.round(2.0 + (expected_value - 7) * 1.5, 1)))
+    rest = F.coalesce(stated_delta(text), F.when(expected_value >= 7, F.round(2.0 + (expected_value - 7) * 1.5, 1)))
     return rest if predicted is None else F.when(predicted.isNotNull(), F.round(F.greatest(F.lit(-5.0), F.least(F.lit(15.0), predicted)), 2)).otherwise(rest)
 
 
+def stated_delta(text: Column) -> Column:
+    """The first stated effect of at most 15."""
+    return F.coalesce(*[F.when(s <= 15, s) for s in (tx.first_number(text, p) for p in DELTA)])
+
+
 def baseline(hits: DataFrame) -> DataFrame:
     """Per query the mean of all KPI numbers in its hits, and how many there are."""
     numbers = F.concat(*[tx.all_of(F.col("text"), f"(?iU){p}", 1) for p in BASELINE])
@@ -62,12 +66,18 @@ def economics(delta: Column, feasibility: Column, kpi: Column, no_capex: Column)
 
 def business_case(hyps: DataFrame, problem: Column, no_capex: Column, n_sources: Column) -> DataFrame:
     """Target KPI, effect, economics, confidence and narrative of each hypothesis. A column baseline of hyps goes into the narrative."""
-    h = hyps.withColumns({"target_kpi": tx.kpi_label(problem), "delta_pct": expected_delta(F.concat_ws(" ", "text", "reasoning"), F.col("expected_value"))})
+    return with_business_case(hyps.withColumns({"target_kpi": tx.kpi_label(problem), "delta_pct": expected_delta(F.concat_ws(" ", "text", "reasoning"), F.col("expected_value"))}), problem, no_capex, n_sources).select("hyp_id", "business_case.*")
+
+
+def with_business_case(h: DataFrame, problem: Column, no_capex: Column, n_sources: Column) -> DataFrame:
+    """business_case, a struct, of hypotheses that have target_kpi and delta_pct."""
+    own = h.columns
     h = h.withColumn("e", economics(F.col("delta_pct"), F.col("feasibility"), F.col("target_kpi"), no_capex))
     confidence = F.when(F.col("e").isNull(), "low").when(n_sources >= 2, "high").otherwise("medium")
-    base = F.col("baseline").cast("string") if "baseline" in hyps.columns else F.lit(None).cast("string")
+    base = F.col("baseline").cast("string") if "baseline" in own else F.lit(None).cast("string")
     h = h.withColumn("narrative", narrative(F.col("target_kpi"), problem, base, F.col("delta_pct"), F.col("e"), F.col("expected_value"), F.col("feasibility")))
-    return h.select("hyp_id", "target_kpi", "delta_pct", "narrative", F.round("e.revenue").alias("revenue"), F.round("e.savings").alias("savings"), F.col("e.capex").alias("capex"), F.round("e.payback_months", 1).alias("payback_months"), F.round("e.roi", 2).alias("roi"), confidence.alias("confidence"))
+    case = F.struct("target_kpi", "delta_pct", "narrative", F.round("e.revenue").alias("revenue"), F.round("e.savings").alias("savings"), F.col("e.capex").alias("capex"), F.round("e.payback_months", 1).alias("payback_months"), F.round("e.roi", 2).alias("roi"), confidence.alias("confidence"))
+    return h.withColumn("business_case", case).select(*own, "business_case")
 
 
 def narrative(kpi: Column, problem: Column, baseline: Column, delta: Column, e: Column, value: Column, feasibility: Column) -> Column:
@@ -91,14 +101,21 @@ def step_duration(text: Column, default: Column) -> Column:
     return F.when(n != "", F.greatest(F.lit(1), F.least(n.try_cast("int") * weeks, F.lit(90)))).otherwise(default)
 
 
+def described(raw: Column) -> Column:
+    return tx.strip(F.regexp_replace(F.regexp_replace(tx.strip(raw), r"(?iU)^(step|шаг)\s*\d+\s*:\s*", ""), r"\s+", " "))
+
+
+def step_title(description: Column, order: Column) -> Column:
+    return F.when(F.length(description) > 20, F.substring(description, 1, 80)).otherwise(F.concat(F.lit("Шаг "), order.cast("string"), F.lit(": проверка гипотезы")))
+
+
 def structured_roadmap(hyps: DataFrame) -> DataFrame:
     """The steps of hyps (hyp_id, text, roadmap); two default steps where there is no roadmap."""
     default = F.array(F.concat(F.lit("Лабораторная проверка: "), F.substring("text", 1, 100)), F.lit("Сравнение с контрольным режимом на существующем оборудовании"))
     steps = hyps.select("hyp_id", F.posexplode(F.when(F.size("roadmap") > 0, F.col("roadmap")).otherwise(default)).alias("at", "raw"))
-    clean = tx.strip(F.regexp_replace(F.regexp_replace(tx.strip(F.col("raw")), r"(?iU)^(step|шаг)\s*\d+\s*:\s*", ""), r"\s+", " "))
     order = F.col("at") + 1
-    s = steps.withColumns({"step_order": order, "description": clean})
-    title = F.when(F.length("description") > 20, F.substring("description", 1, 80)).otherwise(F.concat(F.lit("Шаг "), order.cast("string"), F.lit(": проверка гипотезы")))
+    s = steps.withColumns({"step_order": order, "description": described(F.col("raw"))})
+    title = step_title(F.col("description"), order)
     success = F.regexp_extract("description", r"(?iU)успех\s*[-–:]\s*([^.]+)", 1)
     failure = F.regexp_extract("description", r"(?iU)провал\s*[-–:]\s*([^.]+)", 1)
     named = F.slice(F.array_distinct(F.transform(F.concat(*[tx.all_of(F.col("description"), f"(?iU){p}", 1) for p in RESOURCES]), tx.strip)), 1, 5)
@@ -138,6 +155,16 @@ def roadmap_lines(steps: DataFrame) -> DataFrame:
     return steps.select("hyp_id", "step_order", line.alias("line"))
 
 
+def roadmap_told(text: Column, roadmap: Column) -> Column:
+    """B09 to B11 in a row: the lines of structured_roadmap()."""
+    default = F.array(F.concat(F.lit("Лабораторная проверка: "), F.substring(text, 1, 100)), F.lit("Сравнение с контрольным режимом на существующем оборудовании"))
+
+    def line(raw: Column, at: Column) -> Column:
+        return tx.let(described(raw), lambda d: F.format_string("Шаг %d: %s (%d дн.)", (at + 1).cast("int"), step_title(d, at + 1), step_duration(d, F.when(at == 0, 7).otherwise(14)).cast("int")))
+
+    return F.transform(F.when(F.size(roadmap) > 0, roadmap).otherwise(default), line)
+
+
 def template_steps(wanted: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     """Steps of wanted (hyp_id, step_order, template): those of known templates."""
     rows = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.struct(F.lit(title).alias("title"), F.lit(days).alias("days"), F.array(*[F.lit(r) for r in resources]).alias("resources"))) for k, title, days, resources in templates]))

@@ -155,8 +155,55 @@ def whole_graph(hyps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return distinct_nodes(nodes.unionByName(phases), clean=True), distinct_links(links.unionByName(first), clean=True), states
 
 
+def _firsts(items: Column, *names: str) -> Column:
+    """Of an array's structs that agree in these fields the first; a hypothesis's are few."""
+
+    def same(x: Column, y: Column) -> Column:
+        out = F.lit(True)
+        for n in names:
+            out = out & x[n].eqNullSafe(y[n])
+        return out
+
+    return tx.let(items, lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: same(x, y))))
+
+
+def told_measures(hyps: DataFrame) -> DataFrame:
+    """hyps with graph_measures() of whole_graph(), counted in each row; for n_sourced the nodes that name a source themselves (n_given)
+    and those that take the hypothesis's first where it has one (n_own), so that hypotheses of one wording can share a row."""
+    has = lambda c: F.col(c) if c in hyps.columns else F.lit(None).cast("string")
+    own = F.lit("")  # stands for the hypothesis's first source; no supplied node has it
+    graph = hyps.withColumns({"__g": supplied_graph(has("graph")), "__c": causal_graph(F.concat_ws(" ", "text", "mechanism", "problem"), F.col("mechanism"), own), "__s": states_array(F.coalesce("roadmap", F.array().cast("array<string>")))})
+    graph = graph.withColumn("__e", F.when(F.coalesce(has("chunk_text"), F.lit("")) != "", causal_graph(F.concat_ws(" ", "text", has("chunk_text"), "mechanism", "problem"), F.col("mechanism"), own)))
+    enough = (F.size("__g.nodes") >= 2) & (F.size("__g.links") >= 1)
+    part = lambda name, kind: F.concat(F.col(f"__g.{name}"), F.when(enough, F.array().cast(kind)).otherwise(F.col(f"__c.{name}")), F.coalesce(F.col(f"__e.{name}"), F.array().cast(kind)))
+    node = lambda n: F.struct(n["id"].alias("id"), F.lower(n["id"]).alias("k"), n["type"].alias("type"), n["source_doc_id"].alias("source"))
+    state = lambda x: F.struct(x["id"].alias("id"), F.lower(x["id"]).alias("k"), F.lit("State").alias("type"), F.lit(None).cast("string").alias("source"))
+    link = lambda a, b, kind: F.struct(F.lower(a).alias("s"), F.lower(b).alias("t"), kind.alias("type"))
+    full = lambda nodes: F.filter(nodes, lambda n: n["id"] != "")
+    graph = graph.withColumn("__n", _firsts(full(F.transform(part("nodes", _NODE), node)), "k"))
+    kpi = F.get(F.filter("__n", lambda n: n["type"] == "Property"), 0)["id"]
+    begins = F.when((F.size("__s") > 0) & (F.size("__n") > 0), F.array(link(F.get("__s", 0)["id"], F.coalesce(kpi, F.get("__n", F.size("__n") - 1)["id"]), F.lit("VALIDATES"))))
+    links = F.concat(F.transform(part("links", _LINK), lambda k: link(k["source"], k["target"], k["type"])), F.coalesce(begins, F.array().cast("array<struct<s:string,t:string,type:string>>")))
+    links = F.filter(links, lambda k: (k["s"] != k["t"]) & (k["s"] != "") & (k["t"] != ""))
+    graph = graph.withColumns({"__k": _firsts(links, "s", "t", "type"), "__n": _firsts(F.concat("__n", full(F.transform("__s", state))), "k")})
+    n = lambda cond: F.size(F.filter("__n", lambda x: F.coalesce(cond(x), F.lit(False)))).cast("long")
+    takes = lambda x: (x["source"] == "") | (x["source"].isNull() & x["type"].isin("Material", "Process", "Parameter", "Property") & (x["id"] != GANGUE))
+    counts = {
+        "n_nodes": n(lambda x: F.lit(True)), "n_kpi": n(lambda x: x["type"].isin("Property", "KPI")), "n_property": n(lambda x: x["type"] == "Property"), "n_interventions": n(lambda x: x["type"].isin("Material", "Process", "Parameter")),
+        "n_state_nodes": n(lambda x: x["type"] == "State"), "n_given": n(lambda x: x["source"] != ""), "n_own": n(takes), "n_links": F.size("__k").cast("long"), "n_states": F.size("__s").cast("long"),
+    }
+    return graph.select(*hyps.columns, *[c.alias(k) for k, c in counts.items()])
+
+
 def roadmap_states(hyps: DataFrame, phases: Sequence[tuple[str, str, int]] = PHASES, most: int = 6) -> DataFrame:
     """(hyp_id, at, id, phase_order, from_id): a state for each of six steps, and the state before it."""
+    # rows are dealt out as a file of few parts has many
+    states = states_array(F.col("roadmap"), phases, most)
+    return spread(hyps.select("hyp_id", "roadmap"), "hyp_id").select("hyp_id", F.explode(states).alias("s")).select("hyp_id", "s.at", "s.id", "s.phase_order", "s.from_id")
+
+
+def states_array(roadmap: Column, phases: Sequence[tuple[str, str, int]] = PHASES, most: int = 6) -> Column:
+    """H13 in a row: the states in order."""
 
     def state(step: Column, at: Column) -> Column:
         own = F.concat(F.lit("шаг "), (at + 1).cast("string"))
@@ -167,11 +214,10 @@ def roadmap_states(hyps: DataFrame, phases: Sequence[tuple[str, str, int]] = PHA
         again = tx.clean_id(F.concat(own, F.lit(": "), F.substring(step, 1, 35)))
         return F.struct(at.alias("at"), tx.clean_id(F.concat(label, F.lit(": "), F.substring(step, 1, 40))).alias("id"), again.alias("again"), order.alias("phase_order"))
 
-    # the steps of a hypothesis are few and in its row: nothing is sorted; rows are dealt out as a file of few parts has many
+    # the steps of a hypothesis are few and in its row: nothing is sorted
     told = lambda s: F.transform(s, lambda x, i: F.struct(x["at"].alias("at"), F.when(F.exists(F.slice(s, F.lit(1), i), lambda y: F.lower(y["id"]).eqNullSafe(F.lower(x["id"]))), x["again"]).otherwise(x["id"]).alias("id"), x["phase_order"].alias("phase_order")))
     linked = lambda s: F.transform(s, lambda x, i: F.struct(x["at"].alias("at"), x["id"].alias("id"), x["phase_order"].alias("phase_order"), F.get(s, i - 1)["id"].alias("from_id")))
-    states = tx.let(tx.let(F.transform(F.slice("roadmap", 1, most), state), told), linked)
-    return spread(hyps.select("hyp_id", "roadmap"), "hyp_id").select("hyp_id", F.explode(states).alias("s")).select("hyp_id", "s.at", "s.id", "s.phase_order", "s.from_id")
+    return tx.let(tx.let(F.transform(F.slice(roadmap, 1, most), state), told), linked)
 
 
 def graph_measures(hyps: DataFrame, nodes: DataFrame, links: DataFrame, states: DataFrame) -> DataFrame:

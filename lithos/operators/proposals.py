@@ -11,7 +11,7 @@ from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
 from . import business, citations, graphs, hypotheses, judging, retrieval
-from .lineage import kept, settled
+from .lineage import kept, settled, spread
 from .retrieval import ranked
 
 # How constraints are led in, in this order; materials; fields of documents in texts.
@@ -213,17 +213,20 @@ def relative_source(path: Column, root: str) -> Column:
 def analysis(hyps: DataFrame, hits: DataFrame, gaps: DataFrame) -> DataFrame:
     """Predictive score where there is no model: 0.45, 0.1 for each parameter that a hit states as well (0.85 at most),
     less 0.06 for each high gap of the query (0.15 at least)."""
+    return with_analysis(hyps.select("hyp_id", "query_id", tx.parameters(F.col("text")).alias("__p")), hits, gaps, F.col("__p")).select("hyp_id", "predictive")
+
+
+def with_analysis(hyps: DataFrame, hits: DataFrame, gaps: DataFrame, parameters: Column) -> DataFrame:
+    """hyps with predictive, as analysis() has it. parameters: what a hypothesis's text states."""
     keys = ("pH", "dosage", "metric")
-    p = lambda c: tx.parameters(c)
     states = lambda c, k: F.try_element_at(c, F.lit(k)).isNotNull()
-    h, g = hyps.select("hyp_id", "query_id", p(F.col("text")).alias("p")), hits.select("query_id", p(F.col("text")).alias("q"))
+    g = hits.select("query_id", tx.parameters(F.col("text")).alias("q"))
     stated = g.groupBy("query_id").agg(*[F.count_if(states("q", k)).alias(f"__{k}") for k in keys])
-    both = sum((F.when(states("p", k), F.coalesce(f"__{k}", F.lit(0))).otherwise(0) for k in keys), F.lit(0))
-    met = h.join(stated, "query_id", "left").select("hyp_id", "query_id", both.alias("both"))
-    high = gaps.filter("severity = 'high'").groupBy("query_id").agg(F.count("*").alias("high"))
-    score = F.least(F.lit(0.85), 0.45 + 0.1 * F.col("both"))
-    score = F.when(F.col("high") > 0, F.greatest(F.lit(0.15), score - 0.06 * F.col("high"))).otherwise(score)
-    return met.join(high, "query_id", "left").select("hyp_id", F.round(score, 3).alias("predictive"))
+    both = sum((F.when(states(parameters, k), F.coalesce(f"__{k}", F.lit(0))).otherwise(0) for k in keys), F.lit(0))
+    high = gaps.filter("severity = 'high'").groupBy("query_id").agg(F.count("*").alias("__high"))
+    score = F.least(F.lit(0.85), 0.45 + 0.1 * both)
+    score = F.when(F.col("__high") > 0, F.greatest(F.lit(0.15), score - 0.06 * F.col("__high"))).otherwise(score)
+    return hyps.join(stated, "query_id", "left").join(high, "query_id", "left").withColumn("predictive", F.round(score, 3)).select(*hyps.columns, "predictive")
 
 
 def corpus_graph(docs: DataFrame, metrics: DataFrame, keywords: Sequence[str], most: int = 24) -> DataFrame:
@@ -329,18 +332,29 @@ def propose(samples: DataFrame, reviews: DataFrame, problem: Column, columns: Se
     return judging.output_order(settled(v))  # a range sort reads its input twice
 
 
+#: So many wordings at most go to every task.
+WORDINGS = 100_000
+
+
 def enriched(hyps: DataFrame, hits: DataFrame, gaps: DataFrame, no_capex: Column) -> DataFrame:
     """Hypotheses (with query_id, problem) after their enrichment: the structured roadmap as their roadmap (B09 to B11),
     predictive (B07), business_case (B04), graph_issues and completeness (H14 to H16), and the composite score (J02)."""
-    steps = business.structured_roadmap(hyps)
-    lines = business.roadmap_lines(steps).groupBy("hyp_id").agg(F.sort_array(F.collect_list(F.struct("step_order", "line")))["line"].alias("lines"))
-    case = business.business_case(hyps, F.col("problem"), no_capex, F.size("sources"))
-    case = case.select("hyp_id", F.struct("target_kpi", "delta_pct", "revenue", "savings", "capex", "payback_months", "roi", "confidence", "narrative").alias("business_case"))
-    nodes, links, states = graphs.whole_graph(hyps)
-    measures = graphs.graph_measures(hyps, nodes, links, states).join(hyps.select("hyp_id", F.size("sources").alias("n_sources")), "hyp_id")
-    checked = graphs.validate(measures).select("hyp_id", F.col("issues").alias("graph_issues"), graphs.completeness().alias("completeness"))
-    out = hyps.join(lines, "hyp_id").join(analysis(hyps, hits, gaps), "hyp_id").join(case, "hyp_id").join(checked, "hyp_id")
-    return out.withColumn("roadmap", F.col("lines")).drop("lines").withColumn("composite", judging.composite(completeness=F.col("completeness")))
+    words = [c for c in ("text", "mechanism", "reasoning", "problem", "roadmap", "graph", "chunk_text") if c in hyps.columns]
+    # hypotheses of one wording have their patterns searched once, and in its row: nothing is exploded
+    told = graphs.told_measures(spread(hyps.select(*words).distinct(), *words))
+    told = told.withColumns({"__lines": business.roadmap_told(F.col("text"), F.col("roadmap")), "__p": tx.parameters(F.col("text")), "target_kpi": tx.kpi_label(F.col("problem")), "__stated": business.stated_delta(F.concat_ws(" ", "text", "reasoning"))})
+    told = settled(told.withColumnsRenamed({c: f"__w_{c}" for c in words}))
+    same = F.lit(True)
+    for c in words:
+        same = same & F.col(c).eqNullSafe(F.col(f"__w_{c}"))
+    h = hyps.join(F.broadcast(told) if told.count() <= WORDINGS else told, same).drop(*[f"__w_{c}" for c in words])
+    h = with_analysis(h, hits, gaps, F.col("__p"))
+    h = h.withColumn("delta_pct", F.coalesce("__stated", business.expected_delta(F.lit(None).cast("string"), F.col("expected_value"))))
+    h = business.with_business_case(h, F.col("problem"), no_capex, F.size("sources"))
+    source = F.try_element_at("sources", F.lit(1))["doc_id"]
+    h = h.withColumns({"n_sources": F.size("sources"), "n_sourced": F.col("n_given") + F.when(source.isNotNull(), F.col("n_own")).otherwise(0)})
+    h = graphs.validate(h).withColumnRenamed("issues", "graph_issues").withColumns({"completeness": graphs.completeness(), "roadmap": F.col("__lines")})
+    return h.select(*hyps.columns, "predictive", "business_case", "graph_issues", "completeness", judging.composite(completeness=F.col("completeness")).alias("composite"))
 
 
 def generate(problems: DataFrame, hits: DataFrame, samples: DataFrame, reviews: DataFrame) -> dict[str, DataFrame]:
