@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +27,31 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def one_thread() -> None:
+    """Keeps a worker's tokenizers to their own thread: Spark's tasks share the cores already, and a pool's threads cost each worker time and memory."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+def objects(dictionary: pa.Array) -> list[bytes]:
+    return dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Encodes texts word by word and remembers each word's ids.
 
     This is exact for a tokenizer whose pre-tokenizer always splits at ASCII white space and drops it:
     the ids of a text are then its words' ids in a row. Punctuation at a word's end is a word of its own
     where a letter or digit stands before it, as the pre-tokenizer splits there, and A-Z is lower-cased
-    first, as the normalizer does. Words of small Latin letters alone are one piece of the
+    first, as the normalizer does. Words of Latin letters alone are one piece of the
     pre-tokenizer, so that they go to the tokenizer's model directly; that way is taken only if it
     gives the same ids on the probe words. A tokenizer file of another kind, by its normalizer and
     pre-tokenizer, encodes whole texts.
     """
 
     _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
-    _PROBE = ("the", "tokenizer", "straße", "éèêîñ", "qzxjwvkq")
+    #: Capitals that A-Z's lower-casing leaves; the normalizer makes them the small letter 32 code points on.
+    _CAPITALS = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+    _PROBE = ("the", "tokenizer", "straße", "éèêîñ", "qzxjwvkq", _LETTERS, _CAPITALS)
     #: The rules of a file that may be encoded by words.
     _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
     _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -46,11 +59,13 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
+        one_thread()
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.by_words = self._splits_at_space()
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.spelling = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in self._LETTERS}
-        self.plain = re.compile(f"[{self._LETTERS}]+")
+        self.spelling = {ord(c): byte_level.pre_tokenize_str(c.lower())[0][0] for c in self._LETTERS + self._CAPITALS}
+        self.plain = re.compile(f"[{self._LETTERS}{self._CAPITALS}]+")
         self.direct = self.by_words and all(self._model_ids(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in self._PROBE)
         self.clear()
 
@@ -63,7 +78,7 @@ class WordEncoder:
         return [x["type"] for x in steps] == self._NORMALIZERS and space == [({"Regex": r"\s+"}, " ")] and found == {"pattern": {"Regex": self._SPLIT}, "behavior": "Removed", "invert": True}
 
     def _model_ids(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word.translate(self.spelling))]
+        return [t.id for t in self.model.tokenize(word.translate(self.spelling))]
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -80,10 +95,10 @@ class WordEncoder:
         for w in words:
             self.known[w] = len(self.known)
             self.size += len(w)
-        lengths = np.array([len(x) for x in got], np.int64)
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
 
     def encode(self, column: pa.Array, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in a row, and each row's offsets in them; null is as empty; `end` closes each row."""
@@ -100,12 +115,15 @@ class WordEncoder:
         if len(starts):
             joined = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(_offsets(ends - starts)), pa.py_buffer(_gather(data, starts, ends))])
             coded = joined.dictionary_encode()
-            words = coded.dictionary.to_pylist()
+            words = objects(coded.dictionary)
             if self.size > KEPT_BYTES:
                 self.clear()
-            if new := [w for w in words if w not in self.known]:
+            numbers = list(map(self.known.get, words))
+            if new := [w for w, k in zip(words, numbers, strict=True) if k is None]:
+                fresh = iter(range(len(self.known), len(self.known) + len(new)))
+                numbers = [next(fresh) if k is None else k for k in numbers]
                 self._learn(new)
-            which = np.array([self.known[w] for w in words], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            which = np.array(numbers, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
             lengths = self.lengths[which]
             total = np.concatenate([[0], np.cumsum(lengths)])
             ids = self.ids[np.arange(total[-1]) - np.repeat(total[:-1] - self.starts[which], lengths)]
@@ -122,9 +140,12 @@ class WordEncoder:
 
 
 _TAIL = np.zeros(256, bool)
-_TAIL[list(b".,;:!?")] = True
+_TAIL[list(b".,;:!?#$%&*")] = True
 _STEM = np.zeros(256, bool)
 _STEM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+#: Second bytes, behind 0xC3, of the Latin letters from U+00C0 to U+00FF.
+_LATIN = np.zeros(256, bool)
+_LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 
 
 def _split_tails(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +156,9 @@ def _split_tails(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first:
     for _ in range(3):
         at = ends - 1 - tail
         tail += (at > starts) & _TAIL[data[np.maximum(at, 0)]] & (tail == _)
-    tail[~_STEM[data[ends - 1 - tail]]] = 0
+    last = ends - 1 - tail
+    before = data[np.maximum(last - 1, 0)]
+    tail[~(_STEM[data[last]] | (_LATIN[data[last]] & (before == 0xC3) & (last > starts)))] = 0
     cut = np.flatnonzero(tail)
     middle = ends[cut] - tail[cut]
     first = first + np.concatenate([[0], np.cumsum(tail > 0)])[first]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mix64, parquet, slices, tidy, utf8, word_spans
-from .encoding import _gather, _offsets
+from .encoding import _gather, _offsets, objects
 
 #: Hashed features, so that the model has at most FEATURES numbers for each language, whatever the corpus.
 FEATURE_BITS = 15
@@ -21,7 +21,7 @@ ORDERS = (1, 2, 3)
 #: A text's evidence counts as that of so many n-grams at most, so that the score does not just say 1.
 EVIDENCE = 60
 SMOOTHING = 0.5
-#: Texts are worked on in slices of about so many bytes: a slice's n-grams take some 60 times as much.
+#: Texts are worked on in slices of about so many bytes: a slice's n-grams take up to some 80 times as much.
 SLICE = 1 << 20
 
 UNKNOWN = "und"
@@ -36,15 +36,15 @@ def _words(part: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
         return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     joined = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(_offsets(ends - starts)), pa.py_buffer(_gather(data, starts, ends))])
     coded = joined.dictionary_encode()
-    words = [w.decode("utf-8", "replace") for w in coded.dictionary.to_pylist()]
-    return words, coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(first) - 1), np.diff(first))
+    words = [w.decode("utf-8", "replace") for w in objects(coded.dictionary)]
+    return words, coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
 
 
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word, feature) of every n-gram of the words."""
-    points = np.frombuffer((" " + " ".join(words).lower() + " ").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    points = np.frombuffer((" " + " ".join(words).lower() + " ").encode("utf-32-le", "replace"), np.uint32)
     space = points == 32
-    word = np.cumsum(space) - 1
+    word = np.cumsum(space, dtype=np.int32) - 1
     of, found = [], []
     for n in ORDERS:
         size = len(points) - n + 1
@@ -53,12 +53,13 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         code = np.full(size, n, np.uint64)
         ok = np.ones(size, bool)
         for i in range(n):
-            code = code * np.uint64(0x110001) + points[i : i + size]
+            code *= np.uint64(0x110001)
+            code += points[i : i + size]
             if n == 1 or 0 < i < n - 1:
                 ok &= ~space[i : i + size]
         at = np.flatnonzero(ok & (word[:size] < len(words)))
         of.append(word[at])
-        found.append((mix64(code[at]) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64))
+        found.append((mix64(code[at]) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32))
     return np.concatenate(of), np.concatenate(found)
 
 
