@@ -11,6 +11,8 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, parquet, ragged, slices, tidy, utf8
-from .encoding import tokenizer_path
+from .encoding import objects, one_thread, tokenizer_path
 
 #: Texts are aligned in slices of about so many bytes; pairs are counted by slice before they are shuffled.
 SLICE = 2 << 20
 #: Bytes of the distinct pieces of text whose ids a Python worker keeps; beyond that it starts afresh.
 KEPT_BYTES = 4 << 20
+#: So many pieces go to a tokenizer as one text.
+JOINED = 256
 
 
 # ---- the tokenizers ------------------------------------------------------------------------------
@@ -95,10 +99,42 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.searchsorted(starts, offsets)
 
 
+def encoded_pieces(v: Vocabulary, pieces: list[bytes], joined: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pieces in a row, and how many each has.
+
+    Up to `joined` pieces are encoded as one text, as no token reaches over a space behind a piece; which are whose is told by
+    the tokens' bytes. Where these are not the text's, and behind a piece that ends in white space, pieces are encoded each by itself.
+    """
+    texts, bounds = [], [0]
+    for i in range(1, len(pieces) + 1):
+        if i == len(pieces) or i - bounds[-1] == joined or not pieces[i - 1] or not _CUT_AFTER[pieces[i - 1][-1]]:
+            texts.append(b" ".join(pieces[bounds[-1] : i]).decode())
+            bounds.append(i)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+    ids, counts = [], np.zeros(len(pieces), np.int64)
+    for s, e, text, got in zip(bounds, bounds[1:], texts, v.encode(texts), strict=False):
+        if e - s > 1:
+            own = np.array(got, np.int64)
+            spelled, lengths = v.bytes_of(own)
+            ends, want = np.cumsum(lengths), np.cumsum(sizes[s:e])
+            at = np.searchsorted(ends, want)
+            if spelled.tobytes() == b" " + text.encode() and np.array_equal(ends[at], want):
+                ids.append(own)
+                counts[s:e] = np.diff(at, prepend=-1)
+                continue
+            each = v.encode([p.decode() for p in pieces[s:e]])
+        else:
+            each = [got]
+        counts[s:e] = [len(x) for x in each]
+        ids.append(np.fromiter(chain.from_iterable(each), np.int64, int(counts[s:e].sum())))
+    return np.concatenate([np.zeros(0, np.int64), *ids]), counts
+
+
 class PairEncoder:
     """Ids by both tokenizers, piece by piece; a piece's ids are remembered."""
 
     def __init__(self, a: str, b: str) -> None:
+        one_thread()
         self.paths, self.a, self.b = (a, b), _open(a), _open(b)
         self.by_piece = all(self._by_piece(v) for v in (self.a, self.b))
         self.clear()
@@ -117,16 +153,14 @@ class PairEncoder:
         self.lengths = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
     def _learn(self, pieces: list[bytes]) -> None:
-        texts = [p.decode() for p in pieces]
         for p in pieces:
             self.known[p] = len(self.known)
             self.size += len(p)
         for k, v in enumerate((self.a, self.b)):
-            got = v.encode(texts)
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            ids, lengths = encoded_pieces(v, pieces, JOINED if self.by_piece else 1)
             self.starts[k] = np.concatenate([self.starts[k], len(self.ids[k]) + np.cumsum(lengths) - lengths])
             self.lengths[k] = np.concatenate([self.lengths[k], lengths])
-            self.ids[k] = np.concatenate([self.ids[k], np.fromiter((i for x in got for i in x), np.int64, int(lengths.sum()))])
+            self.ids[k] = np.concatenate([self.ids[k], ids])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For either tokenizer the ids of all rows in a row, and each row's offsets in them. Empty rows have none."""
@@ -140,12 +174,15 @@ class PairEncoder:
         keep = np.ones(len(data), bool)
         keep[starts[~fresh]] = False
         coded = pa.Array.from_buffers(pa.binary() if at.dtype == np.int32 else pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[keep]))]).dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = objects(coded.dictionary)
         if self.size > KEPT_BYTES:
             self.clear()
-        if new := [p for p in pieces if p not in self.known]:
+        numbers = list(map(self.known.get, pieces))
+        if new := [p for p, k in zip(pieces, numbers, strict=True) if k is None]:
+            later = iter(range(len(self.known), len(self.known) + len(new)))
+            numbers = [next(later) if k is None else k for k in numbers]
             self._learn(new)
-        which = np.array([self.known[p] for p in pieces], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        which = np.array(numbers, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
         out = []
         for k in range(2):
             lengths = self.lengths[k][which]
@@ -173,7 +210,7 @@ def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     Each search starts at the place of an anchor some searches before it (the first of its run), doubles its step until it
     has passed its value, and halves within the last step; all searches of the list take their steps together.
     """
-    run = 32
+    run = 4
     anchors = np.searchsorted(long, short[::run])
     low = np.repeat(anchors, run)[: len(short)]
     step = np.ones(len(short), np.int64)
@@ -250,6 +287,15 @@ def align(data: np.ndarray, offsets: np.ndarray, encoder: PairEncoder) -> Aligne
     return Aligned(ok, a, b, a_cut, b_cut, np.searchsorted(a_cut, a_rows))
 
 
+@cache
+def _decimals(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of 0 to 10**width - 1, right-aligned with room for a mark behind them, and which places of a row are used."""
+    numbers = np.arange(10**width)
+    digits = np.stack([*(numbers // 10**k % 10 + ord("0") for k in range(width - 1, -1, -1)), np.zeros_like(numbers)], axis=1).astype(np.uint8)
+    used = np.stack([*(numbers >= 10**k for k in range(width - 1, 0, -1)), *(np.ones_like(numbers, bool),) * 2], axis=1)
+    return digits, used
+
+
 def written(g: Aligned) -> list[bytes]:
     """Each row's groups as a1,a2|b1;a3|b2,b3 in decimal ids."""
     n = len(g.a_cut) - 1
@@ -263,19 +309,12 @@ def written(g: Aligned) -> list[bytes]:
     ids, marks = np.empty(total, np.int64), np.full(total, ord(","), np.uint8)
     ids[ragged(at, n_a)], ids[ragged(at + n_a, n_b)] = g.a_ids[: g.a_cut[-1]], g.b_ids[: g.b_cut[-1]]
     marks[at + n_a - 1], marks[at + n_a + n_b - 1] = ord("|"), ord(";")
-    digits = np.ones(total, np.int64)
-    for k in range(1, 10):
-        if not (more := ids >= 10**k).any():
-            break
-        digits += more
-    ends = np.cumsum(digits + 1)
-    out = np.empty(int(ends[-1]), np.uint8)
-    out[ends - 1] = marks
-    left, place = ids, ends - 2
-    for k in range(int(digits.max())):
-        has = digits > k
-        out[place[has] - k] = left[has] % 10 + ord("0")
-        left = left // 10
+    digits, used = _decimals(len(str(int(ids.max()))))
+    spelled = np.empty((total, digits.shape[1]), np.uint8)
+    np.take(digits, ids, axis=0, out=spelled)
+    spelled[:, -1] = marks
+    out = spelled[np.take(used, ids, axis=0)]
+    ends = np.cumsum(np.take(used.sum(axis=1), ids))
     first = np.append(at, total)[g.rows]
     bounds = np.concatenate([[0], ends])[first]
     return [out[s : max(s, e - 1)].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]  # without the last mark
@@ -293,11 +332,15 @@ def _counted(group: np.ndarray, ids: np.ndarray, long: np.ndarray) -> tuple[np.n
     return group[order], ids[order], often[order]
 
 
-def links(g: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, pair, how often) of the id pairs that share a group, each pair once a row; a pair is A's id << 32 | B's."""
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+_NO_PAIRS: Pairs = (np.zeros(0, np.int64),) * 4
+
+
+def links(g: Aligned) -> Pairs:
+    """summed() of the id pairs that share a group; a pair is A's id << 32 | B's."""
     n = len(g.a_cut) - 1
     if not n:
-        return (np.zeros(0, np.int64),) * 3
+        return _NO_PAIRS
     n_a, n_b = np.diff(g.a_cut), np.diff(g.b_cut)
     long = n_a * n_b > 64
     a_group, a, a_often = _counted(np.repeat(np.arange(n), n_a), g.a_ids[: g.a_cut[-1]], long)
@@ -309,14 +352,20 @@ def links(g: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return summed(row, np.repeat(a, partners) << 32 | b[which], np.repeat(a_often, partners) * b_often[which])
 
 
-def summed(row: np.ndarray, pair: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each (row, pair) once, sorted."""
+def summed(row: np.ndarray, pair: np.ndarray, often: np.ndarray) -> Pairs:
+    """Row, pair's number and how often, each (row, pair) once, sorted; and the distinct pairs by number."""
     known, code = np.unique(pair, return_inverse=True)
     key = row << 32 | code
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    return key[first] >> 32, known[key[first] & 0xFFFFFFFF], np.add.reduceat(often[order], first) if len(first) else often
+    if (often == 1).all():  # the usual case needs no order of equal ones
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        sums = np.diff(np.append(first, len(key)))
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        sums = np.add.reduceat(often[order], first)
+    return key[first] >> 32, key[first] & 0xFFFFFFFF, sums, known
 
 
 @dataclass
@@ -328,7 +377,7 @@ class Measured:
     n_groups: np.ndarray
     n_links: np.ndarray
     groups: list[bytes]
-    pairs: tuple[np.ndarray, np.ndarray, np.ndarray]
+    pairs: Pairs
 
 
 def measured(data: np.ndarray, offsets: np.ndarray, encoder: PairEncoder) -> tuple[np.ndarray, Measured]:
@@ -344,16 +393,16 @@ def measured_long(data: np.ndarray, encoder: PairEncoder, most: int) -> Measured
     """
     starts, _ = pieces_of(data, np.array([0, len(data)])) if encoder.by_piece else (np.zeros(1, np.int64), None)
     cuts = np.unique(starts[np.searchsorted(starts, np.arange(0, len(data), most), "right") - 1])
-    sums, texts, pairs = np.zeros(4, np.int64), [], (np.zeros(0, np.int64),) * 3
+    sums, texts, pairs = np.zeros(4, np.int64), [], _NO_PAIRS
     bounds = np.append(cuts, len(data))
     for s, e in zip(bounds[:-1], bounds[1:], strict=True):
         part = data[s + (s > 0) : e]
         ok, m = measured(part, np.array([0, len(part)]), encoder)
         if len(part) and not ok[0]:
-            return Measured(*np.zeros((4, 1), np.int64), [b""], (np.zeros(0, np.int64),) * 3)
+            return Measured(*np.zeros((4, 1), np.int64), [b""], _NO_PAIRS)
         sums += [m.n_a[0], m.n_b[0], m.n_groups[0], m.n_links[0]]
         texts.append(m.groups[0])
-        pairs = summed(*(np.concatenate(x) for x in zip(pairs, m.pairs, strict=True)))
+        pairs = summed(*(np.concatenate(x) for x in zip(*((row, known[code], often) for row, code, often, known in (pairs, m.pairs)), strict=True)))
     return Measured(*sums.reshape(4, 1), [b";".join(texts)], pairs)
 
 
@@ -378,8 +427,8 @@ def _slices(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], digest: b
                 data, offsets = utf8(part.column(1))
                 n = part.num_rows
                 m = measured_long(data, encoder, size) if n == 1 and len(data) > 2 * size else measured(data, offsets, encoder)[1]
-                row, pair, often = m.pairs
-                known, code, in_rows = np.unique(pair, return_inverse=True, return_counts=True)
+                row, code, often, known = m.pairs
+                in_rows = np.bincount(code, minlength=len(known))
                 bounds = np.append(np.searchsorted(row, np.arange(n + 1)), len(row))  # the slice's row has no pairs
                 texts = [hashlib.sha256(g).hexdigest() if g and digest else g.decode() for g in m.groups]
 
