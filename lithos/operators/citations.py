@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lithos.functions import lexicons as lx
 from lithos.functions import text as tx
 
+from . import windows
 from .containment import containing
-from .lineage import kept, spread
+from .lineage import kept, settled, spread
 from .retrieval import ranked
 
 
@@ -220,6 +221,10 @@ def keyword_window(snippet: Column, corpus: Column, terms: Column, max_len: int
     return F.coalesce(met, F.substring(snippet, 1, max_len))
 
 
+#: So many runs of snippets at most go to every task.
+RUNS = 100_000
+
+
 def candidates(snippets: DataFrame, docs: DataFrame, size: int = 3, least: int = 1) -> DataFrame:
     """Pairs of snippets (item_id, snippet) and docs (doc_id, corpus) that share at least `least` runs of `size` words (all of a snippet
     with fewer words), wherever they stand in either: an equi-join on hashes of the runs, counted before texts
@@ -227,13 +232,14 @@ def candidates(snippets: DataFrame, docs: DataFrame, size: int = 3, least: int =
     words = lambda df, text: df.withColumn("w", tx.all_of(F.lower(text), r"[\p{L}\p{M}\p{N}_]+"))
 
     def runs(df: DataFrame, *key: str) -> DataFrame:
-        hashed = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.col("n")), " ")))
+        hashed = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.xxhash64(F.slice("w", i, F.col("n"))))
         return df.filter((F.col("n") > 0) & (F.size("w") >= F.col("n"))).select(*key, "n", F.explode(F.array_distinct(hashed)).alias("run"))
 
     docs = docs.withColumn("__row", F.xxhash64("doc_id", "corpus"))  # ids may be null or repeated
-    asked = runs(words(snippets, "snippet").withColumn("n", F.least(F.lit(size), F.size("w"))), "item_id")
+    asked = settled(runs(words(snippets, "snippet").withColumn("n", F.least(F.lit(size), F.size("w"))), "item_id"))
     held = runs(words(docs, "corpus").join(F.broadcast(asked.select("n").distinct()), F.lit(True)), "doc_id", "__row")  # 1 to size
-    shared = held.join(asked, ["n", "run"]).groupBy("item_id", "doc_id", "__row").agg(F.count("*").alias("shared"))
+    met = F.broadcast(asked) if asked.count() <= RUNS else asked  # few snippets: the documents' runs are not dealt out
+    shared = held.join(met, ["n", "run"]).groupBy("item_id", "doc_id", "__row").agg(F.count("*").alias("shared"))
     needed = asked.groupBy("item_id").agg(F.least(F.lit(least), F.count("*")).alias("needed"))
     found = shared.join(needed, "item_id").filter("shared >= needed").select("item_id", "doc_id", "__row")
     placed = ranked(found, ["item_id", "doc_id"], [F.asc("__row")], None, "copy").drop("doc_id")
@@ -245,6 +251,21 @@ def align(pairs: DataFrame, max_len: int = 280) -> DataFrame:
     terms and wording count: the best window for the snippet; for the hypothesis, where it overlaps better by 0.05; the
     snippet itself where that overlaps better than both and by 0.25 at least. Blank snippets and corpora overlap by 0. raw: the snippet's
     overlap with its corpus, where it is known."""
+    none, hinted = F.array().cast("array<string>"), "hypothesis" in pairs.columns
+    hint = F.col("hypothesis").cast("string") if hinted else F.lit(None).cast("string")
+    own = pairs.select(
+        "pair_id", F.col("snippet").cast("string").alias("snippet"), F.col("corpus").cast("string").alias("corpus"), hint.alias("hypothesis"), (hypothesis_terms(hint) if hinted else none).alias("terms"),
+        (F.col("raw") if "raw" in pairs.columns else F.lit(None)).cast("double").alias("raw"), F.lit("raw" in pairs.columns).alias("raw_known"),
+    )
+    own = kept(own.withColumn("__regular", windows.regular(F.col("snippet")) & windows.regular(F.col("corpus")) & windows.regular(hint)), "pairs")
+    out = windows.align(spread(own.filter("__regular"), "pair_id"), max_len)
+    if own.filter("NOT __regular").isEmpty():
+        return out
+    return out.unionByName(_align_each(own.filter("NOT __regular").select(*[c for c in ("pair_id", "snippet", "corpus", "hypothesis", "raw") if c in pairs.columns]), max_len))
+
+
+def _align_each(pairs: DataFrame, max_len: int) -> DataFrame:
+    """align() for texts whose parts may have other small forms than the whole: each window is put into its form."""
     none = F.array().cast("array<string>")
     exact = tx.overlap_form(F.col("corpus")).contains(tx.overlap_form(F.col("snippet")))
     hinted = "hypothesis" in pairs.columns
