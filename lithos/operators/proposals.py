@@ -332,8 +332,8 @@ def propose(samples: DataFrame, reviews: DataFrame, problem: Column, columns: Se
     return judging.output_order(settled(v))  # a range sort reads its input twice
 
 
-#: So many wordings at most go to every task.
-WORDINGS = 100_000
+#: So many wordings at most, and bytes of them as JSON, go to every task (and through the driver).
+WORDINGS, WORDING_BYTES = 100_000, 16 << 20
 
 
 def enriched(hyps: DataFrame, hits: DataFrame, gaps: DataFrame, no_capex: Column) -> DataFrame:
@@ -347,7 +347,8 @@ def enriched(hyps: DataFrame, hits: DataFrame, gaps: DataFrame, no_capex: Column
     same = F.lit(True)
     for c in words:
         same = same & F.col(c).eqNullSafe(F.col(f"__w_{c}"))
-    h = hyps.join(F.broadcast(told) if told.count() <= WORDINGS else told, same).drop(*[f"__w_{c}" for c in words])
+    small = told.count() <= WORDINGS and (told.agg(F.sum(F.octet_length(F.to_json(F.struct(*told.columns))))).first()[0] or 0) <= WORDING_BYTES
+    h = hyps.join(F.broadcast(told) if small else told, same).drop(*[f"__w_{c}" for c in words])
     h = with_analysis(h, hits, gaps, F.col("__p"))
     h = h.withColumn("delta_pct", F.coalesce("__stated", business.expected_delta(F.lit(None).cast("string"), F.col("expected_value"))))
     h = business.with_business_case(h, F.col("problem"), no_capex, F.size("sources"))

@@ -245,6 +245,12 @@ def r19(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.subgraphs(*t.graph(spark, d), words)
 
 
+def numbers(counts: DataFrame, block: int = 10_000) -> DataFrame:
+    """(run_id, i) for i from 0 to k - 1 of each row (run_id, k), in as many tasks as there are blocks."""
+    starts = counts.filter("k > 0").select("run_id", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1, F.lit(block))).alias("start"))
+    return lineage.spread(starts, "run_id", "start").select("run_id", F.explode(F.sequence("start", F.least(F.col("start") + block, "k") - 1)).alias("i"))
+
+
 def whole_run(spark: SparkSession, d: str, folder: str) -> dict[str, DataFrame]:
     """All chunks of all documents; 25 problems, each with a vector; a run's samples cite documents of its number, and reviews go by number."""
     e = t.table(spark, d, "embeddings")
@@ -257,7 +263,9 @@ def whole_run(spark: SparkSession, d: str, folder: str) -> dict[str, DataFrame]:
     named = problems.withColumns({"problem": F.concat("problem", F.when(F.col("query_id").cast("int") % 3 == 0, " production").otherwise("")), "n": F.lit(5)})
     asked = pq.with_vector(spark, d, named, F.col("query_id").cast("long") * 7)
     asked = asked.join(e.select("vec_id", F.col("embedding").alias("query_vector")), "vec_id").drop("vec_id")
-    ids = samples.groupBy("run_id").agg(F.count("raw").cast("int").alias("k")).select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), "run_id").select(F.concat("run_id", F.lit("-h"), F.col("i").cast("string")).alias("hyp_id"))
+    ids = numbers(samples.groupBy("run_id").agg(F.count("raw").alias("k"))).select(F.concat("run_id", F.lit("-h"), F.col("i").cast("string")).alias("hyp_id"))
+    # dealt out behind the numbering, as few rows come before it and Spark would send all that they become to the driver
+    ids = lineage.spread(ids, "hyp_id")
     return runs.run(asked, chunks, e.select("vec_id", "embedding"), tq.cases(spark), brought, samples, cq.reviews_of(ids), folder, ["metal"])
 
 
